@@ -1,6 +1,11 @@
 """The queries of this subpackage and the SQL that gives the same rows, where SQL can."""
 
-from . import exact_dedup
+from . import byte_bpe, exact_dedup, packing, quality
 
-QUERIES = {"op2_exact_dedup": exact_dedup.op2_exact_dedup}
+QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op6_byte_bpe": byte_bpe.op6_byte_bpe,
+    "op10_quality_rules": quality.op10_quality_rules,
+}
 ORACLE_SQL = {"op2_exact_dedup": exact_dedup.SQL}
