@@ -1,4 +1,3 @@
-import os
 import random
 import re
 from collections import Counter
@@ -49,14 +48,12 @@ def test_small_blocks_give_the_same(monkeypatch):
 
 def test_verdict(spark):
     rnd = random.Random(1)
-    prose = " ".join("".join(rnd.choice(["an", "the", "er", "ti", "on", "re", "st"]) for _ in range(rnd.randint(1, 5))) for _ in range(700))
-    noise = " ".join(os.urandom(40).hex()[: rnd.randint(9, 80)] for _ in range(300)).translate({ord(c): None for c in "aeiou"})
+    prose = " ".join("".join(rnd.choice("an the er ti on re st ou in of hea wh ble ly nd es ing sh ed at or to is en for with".split()) for _ in range(rnd.randint(1, 5))) for _ in range(700))
     junk = "".join(chr(rnd.randint(0x4E00, 0x9FFF)) + " " * (i % 9 == 0) for i in range(3000))
     same = " ".join(f"{w} {w} {w}" for w in "ab" * 20) + " x" * 4000
     df = spark.createDataFrame([(0, prose), (1, junk), (2, same), (3, None)], "doc_id long, text string")
     assert {r.doc_id: r.kept for r in quality_rules(df).collect()} == {0: True, 1: False, 2: False, 3: False}
     assert [r.doc_id for r in keep_good(df).collect()] == [0]
-    assert noise
 
 
 def test_empty_and_columns(empty, odd):
