@@ -1,8 +1,8 @@
 """Language identification by compression: the language whose zstandard dictionary shrinks a text most.
 
-Each language's raw-content dictionary holds up to DICTIONARY bytes of sampled training text. A text is lower-cased, cut
-into chunks of CHUNK bytes so that the dictionary matters everywhere, and every chunk is compressed with every
-dictionary; the sums decide. The margin is the share by which the second smallest sum exceeds the smallest; texts with a
+Each language's raw-content dictionary holds up to DICTIONARY bytes of sampled training text. A text is lower-cased, its
+digits and ASCII signs become single spaces, and it is cut into chunks of CHUNK bytes so that the dictionary matters
+everywhere; every chunk is compressed with every dictionary, and the sums decide. The margin is the share by which the second smallest sum exceeds the smallest; texts with a
 margin below REJECT are rejected: `lang` is then `und`, while `best` still names the smallest.
 
 The training sample is bounded: about SAMPLE documents of each language, chosen by a hash of the id, and of each at most
@@ -27,13 +27,12 @@ from pyspark.sql import functions as F
 from .common import read, remainder
 
 SAMPLE = 400
-PIECE = 1500
+PIECE = 600
 DICTIONARY = 110 << 10
 LANGUAGES = 200  # more languages than this aren't learned: the most frequent ones are
-CHUNK = 2048
-LEVEL = 3
-SHORT_LEVEL = 19  # for texts below SHORT bytes: finer parsing, as single bytes decide there
-SHORT = 300
+CHUNK, LEVEL = 2048, 6
+SHORT = 3000  # texts below so many bytes are parsed more finely, as single bytes decide there
+SHORT_CHUNK, SHORT_LEVEL = 1024, 12
 REJECT = 0.02
 SHARPNESS = 0.45  # of the score, for each byte of difference
 
@@ -41,6 +40,14 @@ UNKNOWN = "und"
 _PLACES = 1 << 20
 
 
+_BLANK = {c: " " for c in range(128) if not chr(c).isalpha()}
+
+
+def plain(text: str) -> bytes:
+    """Lower-cased words, one space between them."""
+    return " ".join(text.lower().translate(_BLANK).split()).encode()
+
+
 def _hash(doc_id: str = "doc_id") -> Column:
     return F.xxhash64(F.col(doc_id), F.lit(17))
 
@@ -58,8 +65,8 @@ def fit(train: DataFrame, sample: int = SAMPLE) -> list[tuple[str, bytes]]:
     rows = picked.select("lang", _hash().alias("h"), piece.alias("piece")).orderBy("h", "piece").limit(2 * sample * len(found)).collect()
     texts = defaultdict(list)
     for r in rows:
-        texts[r["lang"]].append(r["piece"].lower())
-    return [(r["lang"], "\n".join(dict.fromkeys(texts[r["lang"]])).encode()[-DICTIONARY:]) for r in found if texts[r["lang"]]]
+        texts[r["lang"]].append(plain(r["piece"]))
+    return [(r["lang"], b"\n".join(dict.fromkeys(texts[r["lang"]]))[-DICTIONARY:]) for r in found if texts[r["lang"]]]
 
 
 class Judge:
@@ -78,9 +85,9 @@ class Judge:
         """best, lang, score, margin."""
         if not text or not self.names or not any(map(str.isalpha, text)):
             return UNKNOWN, UNKNOWN, 0.0, 0.0
-        raw = memoryview(text.lower().encode())
-        coders = self.fine if len(raw) < SHORT else self.usual
-        sizes = [sum(len(c.compress(raw[i : i + CHUNK])) for i in range(0, len(raw), CHUNK)) for c in coders]
+        raw = memoryview(plain(text))
+        coders, chunk = (self.fine, SHORT_CHUNK) if len(raw) < SHORT else (self.usual, CHUNK)
+        sizes = [sum(len(c.compress(raw[i : i + chunk])) for i in range(0, len(raw), chunk)) for c in coders]
         order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
         least = sizes[order[0]]
         score = 1 / sum(math.exp(max(-700.0, (least - s) * SHARPNESS)) for s in sizes)
