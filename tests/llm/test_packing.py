@@ -74,3 +74,15 @@ def test_nnls():
 
 def test_empty(empty):
     assert K.pack(K.pieces(empty, TOKENIZER)).count() == 0
+
+
+def test_words_against_the_tokenizer():
+    rnd = random.Random(6)
+    t = Tokenizer.from_file(TOKENIZER)
+    t.encode_special_tokens = True
+    signs = list("aebstrEÉéßñ'\"(.,!-#1²漢Σσİ\u0301\u00a0\x1c \n") + ["the", "ing", "'s", "'re", " "]
+    words = K.Words(TOKENIZER)
+    assert words.quick
+    for _ in range(4000):
+        text = "".join(rnd.choice(signs) for _ in range(rnd.randint(0, 30)))
+        assert np.frombuffer(words.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
