@@ -8,9 +8,10 @@ below the threshold, and the rest are confirmed on the full sets.
 
 No bucket is expanded into all its pairs. First every node of a bucket meets the bucket's least node only; confirmed
 links join nodes to components. Then only buckets that still hold nodes of different components are looked at again:
-their nodes are cut into blocks of about BLOCK, pairs of blocks are compared by sketch inside tasks, and only pairs of
-different components whose sketches agree go on to confirmation. Pairs within a component need no test, as they can't
-change the result. So every candidate pair that could matter is confirmed, and nothing is capped.
+their nodes are cut into blocks of about BLOCK, and each pair of blocks is a task's group of bounded size: pairs of
+different components whose sketches agree are confirmed there on their full sets, and only links come out. Pairs within
+a component need no test, as they can't change the result. So every candidate pair that could matter is tested, none is
+emitted, and nothing is capped.
 
 Defined cases: a null text has no words; a text without words has an empty set and is linked with nothing, its
 component is its own id; with fewer than `size` words the whole sequence is one shingle; rows that repeat share a set
@@ -35,6 +36,7 @@ from .components import components
 SAMPLES = 128
 BITS = 512  # of the parity bitmap
 BLOCK = 512
+NARROW = 1 << 12  # sets with fewer members travel as 32-bit members
 MISS = 1e-6  # chance at most that a pair at the threshold has no band in common
 
 _seed = np.random.default_rng(41)
@@ -139,8 +141,22 @@ def signatures(docs: DataFrame, size: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, key binary, bands array<long>, sketch array<long>")
 
 
+def _packed(keys: np.ndarray) -> bytes:
+    """A set for transport: 4 bytes for each member below NARROW members, else 8; ascending."""
+    return keys.tobytes() if len(keys) >= NARROW else np.sort(keys.astype(np.uint32)).tobytes()
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many members two unpacked sets share."""
+    if x.dtype != y.dtype:
+        x, y = np.sort(x.astype(np.uint32)), np.sort(y.astype(np.uint32))
+    if len(x) > len(y):
+        x, y = y, x
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+
+
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """key and members (the set's hashes, ascending, 8 bytes each) of each document with a set."""
+    """key, n (members) and members of each document with a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,34 +166,26 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
                 many = many[many > 0]
                 if len(many):
                     ends = np.cumsum(many)
-                    members = [keys[a:b].tobytes() for a, b in zip((ends - many).tolist(), ends.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(set_keys(keys, ends - many, many), pa.binary()), pa.array(members, pa.binary())], ["key", "members"])
+                    members = [_packed(keys[a:b]) for a, b in zip((ends - many).tolist(), ends.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(set_keys(keys, ends - many, many), pa.binary()), pa.array(many), pa.array(members, pa.binary())], ["key", "n", "members"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "key binary, members binary")
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "key binary, n long, members binary")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (u, v of keys) those whose full sets are similar enough."""
-    wanted = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct()
-    ids = nodes.join(wanted, "key").select("id").distinct()
-    sets = full_sets(docs.select("doc_id", "text").join(ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi"), size)
-    sets = durable(sets.join(wanted, "key", "left_semi").dropDuplicates(["key"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yes = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                i = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[i] == x).sum())
-                yes.append(100 * both >= percent * (len(x) + len(y) - both))
+            for n, a, m, b in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist(), batch.column(5), strict=True):
+                both = _common(*(np.frombuffer(z.as_buffer(), np.uint64 if k >= NARROW else np.uint32) for z, k in ((a, n), (b, m))))
+                yes.append(100 * both >= percent * (n + m - both))
             yield batch.select([0, 1]).filter(pa.array(yes, pa.bool_()))
 
-    left = sets.select(F.col("key").alias("u"), F.col("members").alias("a"))
-    right = sets.select(F.col("key").alias("v"), F.col("members").alias("b"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
+    left = sets.select(F.col("key").alias("u"), F.col("n").alias("n"), F.col("members").alias("a"))
+    right = sets.select(F.col("key").alias("v"), F.col("n").alias("m"), F.col("members").alias("b"))
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "n", "a", "m", "b").mapInArrow(run, "u binary, v binary")
 
 
 def _apart(a: str, b: str):
@@ -185,24 +193,35 @@ def _apart(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def _blocks_compared(most: int):
-    """Pairs of nodes of different components in one pair of blocks whose sketches agree."""
+def _blocks_compared(most: int, percent: int):
+    """Confirmed links between nodes of different components in one pair of blocks.
+
+    Sizes and sketches come first, full sets last; a pair is looked at in the first band it shares only, and what a link has
+    joined needs no second one. So few links come out, however many pairs are alike.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        key, root = group["key"].to_numpy(), group["root"].to_numpy()
-        side = group["side"].to_numpy()
+        key, side, n = group["key"].to_numpy(), group["side"].to_numpy(), group["n"].to_numpy()
         bits = np.stack(group["sketch"].to_numpy()).astype(np.int64).view(np.uint64)
-        code = pd.factorize(pd.Series([bytes(x) for x in root]))[0]
+        bands = np.stack(group["bands"].to_numpy()).astype(np.int64)
+        here = int(np.flatnonzero(bands[0] == group["band"].iloc[0])[0])
+        code = pd.factorize(pd.Series([bytes(x) for x in group["root"]]))[0]
+        members = [np.frombuffer(x, np.uint64 if k >= NARROW else np.uint32) for x, k in zip(group["members"], n, strict=True)]
         left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
         us, vs = [], []
         for i in left.tolist():
-            other = right[code[right] != code[i]]
-            if len(other):
-                apart = np.bitwise_count(bits[other] ^ bits[i]).sum(1)
-                for j in other[apart <= most].tolist():
+            other = right[(code[right] != code[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+            if not len(other):
+                continue
+            other = other[np.bitwise_count(bits[other] ^ bits[i]).sum(1) <= most]
+            if here and len(other):
+                other = other[~(bands[other, :here] == bands[i, :here]).any(1)]
+            for j in other.tolist():
+                if code[i] != code[j] and 100 * (both := _common(members[i], members[j])) >= percent * (n[i] + n[j] - both):
                     u, v = sorted((bytes(key[i]), bytes(key[j])))
                     us.append(u)
                     vs.append(v)
+                    code[code == code[j]] = code[i]
         return pd.DataFrame({"u": us, "v": vs}, dtype=object)
 
     return run
@@ -214,38 +233,46 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     most = most_bits(percent / 100)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = durable(signatures(docs, size, rows))
-    nodes = signed.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("id"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch"))
-    nodes = durable(nodes)
+    nodes = signed.where(F.col("key").isNotNull()).groupBy("key")
+    nodes = durable(nodes.agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")))
     banded = nodes.select("key", F.explode("bands").alias("band"))
-    shared = durable(banded.groupBy("band").agg(F.min("key").alias("u"), F.count("*").alias("n")).where("n > 1"))
+    shared = durable(banded.groupBy("band").agg(F.min("key").alias("u"), F.count("*").alias("many")).where("many > 1"))
+    inside = durable(banded.join(shared.select("band", "u"), "band"))
+    wanted = nodes.select("key", "id", "n", "sketch", "bands").join(inside.select("key").distinct(), "key", "left_semi")
+    wanted = durable(wanted)
+    ids = wanted.select("id").distinct()
+    sets = full_sets(docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi"), size)
+    sets = durable(sets.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]))
 
     # every node with the least node of its bucket
-    stars = banded.join(shared.select("band", "u"), "band").where(F.col("key") > F.col("u")).select("u", F.col("key").alias("v")).distinct()
-    sketches = nodes.select("key", "sketch")
-    near = stars.join(sketches.select(F.col("key").alias("u"), F.col("sketch").alias("su")), "u").join(sketches.select(F.col("key").alias("v"), F.col("sketch").alias("sv")), "v")
-    near = near.where(_apart("su", "sv") <= most).select("u", "v")
-    links = durable(_confirm(durable(near), docs, nodes, size, percent))
+    stars = inside.where(F.col("key") > F.col("u")).select("u", F.col("key").alias("v")).distinct()
+    one = wanted.select(F.col("key").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
+    two = wanted.select(F.col("key").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
+    near = stars.join(one, "u").join(two, "v").where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")).where(_apart("su", "sv") <= most)
+    links = durable(_confirm(durable(near.select("u", "v")), sets, percent))
     found = durable(components(links))
 
     # buckets that still hold different components
-    rooted = nodes.join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "sketch", "bands", F.coalesce("root", "key").alias("root"))
-    member = rooted.select("key", "root", F.explode("bands").alias("band")).join(shared.select("band"), "band", "left_semi")
-    mixed = member.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 <> r1")
-    mixed = mixed.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    todo = rooted.select("key", "root", "sketch", F.explode("bands").alias("band")).join(durable(mixed), "band")
+    rooted = durable(wanted.join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "sketch", "bands", F.coalesce("root", "key").alias("root")))
+    member = durable(inside.select("key", "band").join(rooted.select("key", "root"), "key"))
+    mixed = member.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("many")).where("r0 <> r1")
+    mixed = durable(mixed.select("band", F.ceil(F.col("many") / BLOCK).cast("int").alias("parts")))
+    todo = member.select("key", "band").join(mixed, "band").join(rooted, "key").join(sets.select("key", "members"), "key")
     todo = todo.withColumn("part", F.pmod(F.xxhash64("key", "band"), F.col("parts")).cast("int"))
     todo = todo.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     todo = todo.select(
         "key",
         "root",
+        "n",
         "sketch",
+        "bands",
+        "members",
         "band",
         F.least("part", "other").alias("p"),
         F.greatest("part", "other").alias("q"),
         F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2).alias("side"),
     )
-    crossed = todo.groupBy("band", "p", "q").applyInPandas(_blocks_compared(most), "u binary, v binary").distinct()
-    more = durable(_confirm(durable(crossed), docs, nodes, size, percent))
+    more = durable(todo.groupBy("band", "p", "q").applyInPandas(_blocks_compared(most, percent), "u binary, v binary"))
     if not more.isEmpty():
         found = durable(components(more.unionByName(found.select(F.col("node").alias("u"), F.col("root").alias("v")))))
     return signed.select("doc_id", "n_shingles", "key").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -261,10 +288,11 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents without near copies: of each component the one with the least id, all columns as they were."""
-    keep = near_dedup(docs, size, percent).where("kept").select(F.col("doc_id").alias("keep_doc")).distinct()
-    place = "_place_of_copy"
-    mine = docs.join(keep, docs["doc_id"].eqNullSafe(keep["keep_doc"]), "left_semi")
-    return mine.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(place) == 1).drop(place)
+    id_of = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    keep = near_dedup(docs, size, percent).where("kept").select(id_of.alias("_copy_id")).distinct()
+    mine = docs.withColumn("_copy_id", id_of).join(durable(keep), "_copy_id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("_copy_id").orderBy("text"))
+    return mine.withColumn("_copy", place).where("_copy = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
