@@ -18,6 +18,7 @@ that repeat are packed each; an empty table gives no rows; other columns are ign
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -34,9 +35,9 @@ END_ID = 1
 GRID = 64  # buckets of length in the patterns
 MOST = 3  # documents in a pattern at most
 SMALL = 3  # documents below capacity / SMALL aren't in patterns: they fill gaps
-GROUP = 100_000
+GROUP = 1000
 CACHE_ITEMS = 700_000
-SEPARATOR = "¦"  # one token, put between words to encode many at once
+SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -58,35 +59,62 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
-        mark = self._ids(SEPARATOR)
-        self.mark = mark[0] if len(mark) == 1 else None
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _new(self, words: list[str]) -> dict[str, bytes]:
-        plain = [w for w in words if SEPARATOR not in w] if self.mark is not None else []
+        self.bytes = self._byte_letters()
+        self.quick = all(self._quick(w) == self._whole(w) for w in ("(élan),", "x", "Straße\"", "naïve!?"))
+
+    @staticmethod
+    def _byte_letters() -> list[str]:
+        """The characters that stand for bytes in byte-level vocabularies: printable Latin-1 for itself, the rest from 256 on."""
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = (b for b in range(256) if b not in plain)
+        names = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+        return [names[b] for b in range(256)]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _token(self, word: str) -> bytes:
+        """The ids of one pre-token in lower case."""
+        word = word if word.isascii() else "".join([self.bytes[b] for b in word.encode()])
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+
+    def _quick(self, word: str) -> bytes | None:
+        """The ids of a white-space word made of ASCII signs, Latin-1 letters and ASCII signs; of others None."""
+        if not word.isascii():
+            try:
+                word.encode("latin-1")
+            except UnicodeEncodeError:
+                return None
+        word = word.lower()
+        inner = word.strip(SIGNS)
+        if not inner.isalpha() or "'" in word:
+            return None
+        if inner == word:
+            return self._token(word)
+        out = []
+        before, _, after = word.partition(inner)
+        for p in (before, inner, after):
+            if p:
+                if p not in self.cache:
+                    self.cache[p] = self._token(p)
+                out.append(self.cache[p])
+        return b"".join(out)
+
+    def _new(self, words: set[str]) -> dict[str, bytes]:
         new = {}
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            ids = np.array(self._ids(f" {SEPARATOR} ".join(part)), "<u4")
-            cuts = np.flatnonzero(ids == self.mark)
-            if len(cuts) == len(part) - 1:
-                begin, end = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
-                new.update({w: ids[a:b].tobytes() for w, a, b in zip(part, begin, end, strict=True)})
         for w in words:
-            if w not in new:
-                new[w] = np.array(self._ids(w), "<u4").tobytes()
+            ids = self._quick(w) if self.quick else None
+            new[w] = self._whole(w) if ids is None else ids
         return new
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of the whole text."""
         words = text.lower().split() if text.isascii() else text.split()
         if not text.isprintable() and any(c in text for c in "\x1c\x1d\x1e\x1f"):  # split() takes these for white space, the tokenizer doesn't
-            return np.array(self._ids(text), "<u4").tobytes()
+            return self._whole(text)
         found = list(map(self.cache.get, words))
         if None in found:
-            new = self._new(list({w for w, f in zip(words, found, strict=True) if f is None}))
+            new = self._new({w for w, f in zip(words, found, strict=True) if f is None})
             found = [new[w] if f is None else f for w, f in zip(words, found, strict=True)]
             if len(self.cache) + len(new) > CACHE_ITEMS:
                 self.cache.clear()
