@@ -70,3 +70,54 @@ def stream_merge_events(spark: SparkSession, events: DataFrame, root: str, full:
 def run_available(writer: DataStreamWriter, checkpoint: str) -> None:
     """All that has landed, then stop; the scheduled form uses processingTime=EVERY instead."""
     writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+COUNTER_OUT = "file_path string, line_no long, ts string, model string, input_tokens long, output_tokens long, cache_creation_tokens long, cache_read_tokens long, reasoning_output_tokens long"
+COUNTER_STATE = "prev array<bigint>, leading boolean, sec string"
+_PARTS = ("input", "cached", "output", "reasoning")
+
+
+def counter_step(prev: list[int] | None, last: list[int] | None, total: list[int] | None) -> tuple[list[int] | None, list[int] | None]:
+    """The increment of one counter line, or None, and the new baseline: the rules of normalize.counter_increments."""
+    lower = prev is not None and total is not None and any(t < p for t, p in zip(total, prev, strict=True))
+    if prev is not None and total == prev:
+        return None, prev
+    if lower and last is not None and min(sum(total), sum(prev), sum(last)) > 0 and (sum(total) * 100 >= sum(prev) * 98 or sum(total) + 2 * sum(last) >= sum(prev)):
+        return None, prev
+    use = last
+    if use is None and total is not None and not lower:
+        use = [t - p for t, p in zip(total, prev, strict=True)] if prev is not None else total
+    return (use if use and sum(use) else None), (total if total is not None else prev)
+
+
+def stream_counter_increments(lines: DataFrame) -> DataFrame:
+    """Counter increments across micro-batches, with the baseline of each session as state. Segments have to come in order."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    names = [c.split()[0] for c in COUNTER_OUT.split(", ")]
+
+    def run(key, frames, state):
+        prev, leading, sec = state.get if state.exists else (None, True, None)
+        rows = []
+        for r in pd.concat(list(frames)).sort_values("line_no").itertuples():
+            last, total = ([int(x[p]) for p in _PARTS] if x is not None else None for x in (r.last, r.total))
+            if r.replay and leading:
+                sec = sec or r.ts[:19]
+                if r.ts[:19] == sec:
+                    prev = total if total is not None else prev
+                    continue
+            leading = False
+            use, prev = counter_step(prev, last, total)
+            if use:
+                read = min(use[1], use[0])
+                rows.append((key[0], r.line_no, r.ts, r.model, use[0] - read, use[2], 0, read, use[3]))
+        state.update((prev, leading, sec))
+        yield pd.DataFrame(rows, columns=names)
+
+    return lines.groupBy("file_path").applyInPandasWithState(run, COUNTER_OUT, COUNTER_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_run_log(events: DataFrame, out: str) -> DataStreamWriter:
+    """One run row for each device and source of each batch."""
+    return events.writeStream.foreachBatch(lambda b, n: M.run_log(b, F.lit(n), F.current_timestamp()).write.mode("overwrite").parquet(f"{out}/batch={n}"))
