@@ -7,10 +7,12 @@ anchor. Windows with one anchor are neighbours and form a chunk. The work then n
 1. Texts that are equal as wholes are one text from here on; where there are several, all is repeated.
 2. Anchors whose gram occurs once can't belong to a repeated window and are dropped; only texts that have others go on.
 3. Chunks with equal contents: all their windows are repeated.
-4. Contents that share an anchor's gram but differ: their windows are compared one by one, by fingerprints of 64 bits
-   together with the gram's 64 bits.
+4. Contents that share an anchor's gram but differ: their windows are dealt out by gram and fingerprint, sorted in their
+   buckets and compared with their neighbours.
 
-Nothing is gathered by key: counts and semi-joins decide, so a passage in a third of all texts costs what its rows cost.
+Nothing is gathered by key: counts, semi-joins and neighbours in sorted streams decide, so a passage in a third of all texts
+costs what its rows cost. Full suffixes are never moved: at 400 bytes for each start they would be 400 times the input, which
+is why fingerprints take the place of their leading tokens.
 
 Defined cases: null is the empty text; texts shorter than `length` stay whole; matches never cross texts but may overlap;
 rows that repeat are copies of each other; long texts are scanned in segments, with the same result; an empty table gives no rows;
@@ -77,10 +79,10 @@ class Chunks:
         last = np.append(first[1:], len(inside)) - 1
         self.of, self.p0, self.p1, self.key = of[first], inside[first], inside[last], grams[least[first]]
 
-    def contents(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def contents(self, i: np.ndarray) -> np.ndarray:
+        """Hashes of whole chunks; with the gram's key they stand for the contents."""
         s, e = self.p0[i], self.p1[i] + self.length
-        size = (e - s).astype(np.uint64)
-        return _span(self.sums, s, e) ^ size, _span(self.sums, s, e, 0x5851F42D4C957F2D) + size * np.uint64(T._STEP)
+        return _span(self.sums, s, e) ^ (e - s).astype(np.uint64)
 
     def windows(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         p = np.arange(self.p0[i], self.p1[i] + 1)
@@ -120,49 +122,87 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, sha binary, n_bytes long, keys array<long>")
 
 
-def _each(batch: pa.RecordBatch, column: int, length: int, gram: int) -> Iterator[tuple[int, int, np.ndarray, Chunks, int, np.ndarray]]:
-    """For each text of a batch and each of its parts: row, number of the first chunk, bytes, chunks, place, chunk numbers here."""
-    for first, data, at in T.texts(batch.column(column), T.BLOCK):
+def _each(batch: pa.RecordBatch, length: int, gram: int) -> Iterator[tuple[int, int, Chunks, int]]:
+    """For each text (column `text`) of a batch and each of its parts: row, number of the first chunk, chunks, place."""
+    for first, data, at in T.texts(batch.column("text"), T.BLOCK):
         for row in range(len(at) - 1):
             text, base = data[at[row] : at[row + 1]], 0
             for c, a in _parts(text, np.array([0, len(text)]), length, gram):
-                yield first + row, base, text, c, a, np.arange(len(c.p0))
+                yield first + row, base, c, a
                 base += len(c.p0)
 
 
+def _here(numbers: pa.Scalar, base: int, c: Chunks) -> np.ndarray:
+    """Which of the chunk numbers are in this part, counted from its first."""
+    if not numbers.is_valid:
+        return np.zeros(0, np.int64)
+    j = numbers.values.to_numpy()
+    return np.sort(j[(j >= base) & (j < base + len(c.p0))]).astype(np.int64) - base
+
+
+def _batch(rows: list[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*rows, strict=True)], names)
+
+
 def _chunk_rows(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # sha, text, js
-            shas, js = batch.column(0), batch.column(2)
-            for row, base, _, c, a, _ in _each(batch, 1, length, gram):
-                j = js[row].values.to_numpy() if js[row].is_valid else np.zeros(0, np.int64)
-                mine = np.sort(j[(j >= base) & (j < base + len(c.p0))]) - base
+        for batch in batches:  # t1, t2, text, js
+            t1, t2, js, rows = batch.column("t1").to_numpy(), batch.column("t2").to_numpy(), batch.column("js"), []
+            for row, base, c, a in _each(batch, length, gram):
+                mine = _here(js[row], base, c)
                 if len(mine):
-                    c1, c2 = c.contents(mine)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([shas[row].as_py()] * len(mine), pa.binary()), pa.array((mine + base).astype(np.int32)), pa.array(c.key[mine].view(np.int64)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(c.p0[mine] + a), pa.array(c.p1[mine] + a)],
-                        ["sha", "j", "key", "c1", "c2", "p0", "p1"],
-                    )
+                    n = len(mine)
+                    rows.append((np.full(n, t1[row]), np.full(n, t2[row]), mine + base, c.key[mine].view(np.int64), c.contents(mine).view(np.int64), c.p0[mine] + a, c.p1[mine] + a))
+            yield from _batch(rows, ["t1", "t2", "j", "key", "content", "p0", "p1"])
 
     return run
 
 
 def _window_rows(length: int, gram: int):
+    """A row for each window of the chunks asked for; p is -1 in those that are only there to be met by others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # sha, text, js
-            shas, js = batch.column(0), batch.column(2)
-            for row, base, _, c, a, _ in _each(batch, 1, length, gram):
-                j = js[row].values.to_numpy()
-                for i in (np.sort(j[(j >= base) & (j < base + len(c.p0))]) - base).tolist():
-                    p, h = c.windows(i)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([shas[row].as_py()] * len(p), pa.binary()), pa.array(np.full(len(p), base + i, np.int32)), pa.array(np.full(len(p), c.key[i]).view(np.int64)), pa.array(h.view(np.int64)), pa.array(p + a)],
-                        ["sha", "j", "key", "h", "p"],
-                    )
+        for batch in batches:  # t1, t2, text, asked, met
+            t1, t2, rows, size = batch.column("t1").to_numpy(), batch.column("t2").to_numpy(), [], 0
+            for row, base, c, a in _each(batch, length, gram):
+                for column in ("asked", "met"):
+                    for i in _here(batch.column(column)[row], base, c).tolist():
+                        p, h = c.windows(i)
+                        n = len(p)
+                        rows.append((np.full(n, t1[row]), np.full(n, t2[row]), np.full(n, c.key[i]).view(np.int64), h.view(np.int64), p + a if column == "asked" else np.full(n, -1)))
+                        size += n
+                if size > 100_000:
+                    yield from _batch(rows, ["t1", "t2", "key", "h", "p"])
+                    rows, size = [], 0
+            yield from _batch(rows, ["t1", "t2", "key", "h", "p"])
 
     return run
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of (key, h) those that share both with a neighbour and were asked for; across batches too."""
+    held: list[pa.RecordBatch] = []  # the last row so far, which may be met by the next batch
+    met = False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        both = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+        key, h, p = (both.column(c).to_numpy() for c in ("key", "h", "p"))
+        same = (key[1:] == key[:-1]) & (h[1:] == h[:-1])
+        hit = np.zeros(len(key), bool)
+        hit[0] = bool(held) and met
+        hit[1:] |= same
+        hit[:-1] |= same
+        met = bool(hit[-1])
+        held = [both.slice(len(key) - 1)]
+        hit[-1] = False
+        yield both.select(["t1", "t2", "p"]).filter(pa.array(hit & (p >= 0)))
+    for last in held:
+        if met and last.column("p")[0].as_py() >= 0:
+            yield last.select(["t1", "t2", "p"])
+
+
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:  # sha, text, s, e
@@ -181,6 +221,11 @@ def _cut(length: int):
     return run
 
 
+def _half(sha: str, part: int):
+    """64 bits of a digest as a number; two parts stand for a text in narrow rows."""
+    return F.expr(f"cast(conv(hex(substring({sha}, {8 * part - 7}, 8)), 16, -10) as long)")
+
+
 def passages_removed(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """Two frames: doc_id, sha, n_bytes, copies of each document; and sha, n_removed, n_spans, kept (bytes) of changed texts.
 
@@ -189,29 +234,33 @@ def passages_removed(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame,
     gram = length // 2
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     seen = durable(anchors(docs, length, gram))
-    texts = durable(seen.groupBy("sha").agg(F.min(F.struct("doc_id", "n_bytes", "keys")).alias("x"), F.count("*").alias("copies")).select("sha", "copies", "x.*"))
-    spots = texts.select("sha", F.posexplode("keys").alias("j", "key"))
+    texts = durable(seen.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    rep = texts.select(F.col("sha").alias("rep_sha"), "rep")
+    reps = seen.join(rep, (F.col("sha") == F.col("rep_sha")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("sha", "keys")
+    spots = reps.select(_half("sha", 1).alias("t1"), F.posexplode("keys").alias("j", "key"))
     twice = durable(spots.groupBy("key").count().where("count > 1").select("key"))
-    held = durable(spots.join(twice, "key", "left_semi").groupBy("sha").agg(F.collect_set("j").alias("js")))
-    held = held.join(texts.select("sha", F.col("doc_id").alias("rep"), "copies"), "sha")
-
-    sha = F.unhex(F.sha2(F.col("text").cast("binary"), 256))
-    mine = docs.withColumn("sha0", sha)
-    found = durable(mine.join(held, mine["doc_id"].eqNullSafe(held["rep"]) & (mine["sha0"] == held["sha"])).select("sha", "text", "js", "copies").dropDuplicates(["sha"]))
-    chunks = durable(found.select("sha", "text", "js").mapInArrow(_chunk_rows(length, gram), "sha binary, j int, key long, c1 long, c2 long, p0 long, p1 long"))
-    contents = durable(chunks.groupBy("key", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("sha", "j")).alias("one")))
-    full = chunks.join(contents.where("n > 1").select("key", "c1", "c2"), ["key", "c1", "c2"], "left_semi").select("sha", F.col("p0").alias("s"), (F.col("p1") + length).alias("e"))
-
-    several = contents.groupBy("key").count().where("count > 1").select("key")
-    todo = contents.join(durable(several), "key", "left_semi").select("one.sha", "one.j", "n")
-    per_text = todo.groupBy("sha").agg(F.collect_set("j").alias("js"))
-    rows = durable(found.select("sha", "text").join(durable(per_text), "sha").select("sha", "text", "js").mapInArrow(_window_rows(length, gram), "sha binary, j int, key long, h long, p long"))
-    shared = rows.groupBy("key", "h").count().where("count > 1").select("key", "h")
-    alone = rows.join(todo.where("n = 1").select("sha", "j"), ["sha", "j"], "left_semi")
-    parts = alone.join(durable(shared), ["key", "h"], "left_semi").select("sha", F.col("p").alias("s"), (F.col("p") + length).alias("e"))
-
-    spans = full.unionByName(parts).groupBy("sha").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
-    changed = found.where("copies = 1").select("sha", "text").join(durable(spans), "sha").select("sha", "text", "s", "e")
+    held = durable(spots.join(twice, "key", "left_semi").groupBy("t1").agg(F.collect_set("j").alias("js")))
+    held = texts.withColumn("t1", _half("sha", 1)).join(held, "t1").select("sha", "rep", "copies", "js")
+
+    mine = docs.withColumn("sha0", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    found = mine.join(held, mine["doc_id"].eqNullSafe(held["rep"]) & (mine["sha0"] == held["sha"])).dropDuplicates(["sha"])
+    found = durable(found.select(_half("sha", 1).alias("t1"), _half("sha", 2).alias("t2"), "sha", "text", "js", "copies"))
+    chunks = found.select("t1", "t2", "text", "js").mapInArrow(_chunk_rows(length, gram), "t1 long, t2 long, j long, key long, content long, p0 long, p1 long")
+    one = F.min(F.struct("t1", "t2", "j")).alias("one")
+    contents = durable(chunks.groupBy("key", "content").agg(F.count("*").alias("n"), one))
+    full = chunks.join(contents.where("n > 1").select("key", "content"), ["key", "content"], "left_semi").select("t1", "t2", F.col("p0").alias("s"), (F.col("p1") + length).alias("e"))
+
+    several = durable(contents.groupBy("key").count().where("count > 1").select("key"))
+    todo = contents.join(several, "key", "left_semi").select("one.*", "n")
+    alone = F.col("n") == 1
+    per_text = todo.groupBy("t1", "t2").agg(F.collect_set(F.when(alone, F.col("j"))).alias("asked"), F.collect_set(F.when(~alone, F.col("j"))).alias("met"))
+    asked = found.select("t1", "t2", "text").join(durable(per_text), ["t1", "t2"]).select("t1", "t2", "text", "asked", "met")
+    rows = asked.mapInArrow(_window_rows(length, gram), "t1 long, t2 long, key long, h long, p long")
+    met = rows.repartition("key", "h").sortWithinPartitions("key", "h").mapInArrow(_met, "t1 long, t2 long, p long")
+    parts = met.select("t1", "t2", F.col("p").alias("s"), (F.col("p") + length).alias("e"))
+
+    spans = full.unionByName(parts).groupBy("t1", "t2").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
+    changed = found.where("copies = 1").select("t1", "t2", "sha", "text").join(durable(spans), ["t1", "t2"]).select("sha", "text", "s", "e")
     changed = changed.mapInArrow(_cut(length), "sha binary, n_removed long, n_spans long, kept binary")
     return seen.select("doc_id", "sha", "n_bytes").join(texts.select("sha", "copies"), "sha"), changed
 
