@@ -30,8 +30,8 @@ TERMS = 400
 LEAST_DOCS, LEAST_SHARE = 4, 0.006  # toxic sample documents that hold a term: at least so many, and so large a share
 LEAST_ODDS = 3.0  # smoothed log-odds of a term
 WINDOW = 6
-CACHE_ITEMS = 500_000
-STATES = 200_000
+CACHE_ITEMS = 300_000
+STATES = 1_000_000  # trie nodes in all kept states of the automaton together
 TRIM = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”„‟«»‘’‚‹›…–—¿¡"
 QUOTES = '"“”„«»‹›'
 #: Words of reporting and of address in the languages that are common in web text.
@@ -53,14 +53,14 @@ class Automaton:
     any term below allows. Transitions are made when first needed and kept, so a word costs one lookup for each character.
     """
 
-    def __init__(self, terms: list[str]) -> None:
+    def __init__(self, terms: list[str], most: list[int] | None = None) -> None:
+        self.most = [allowed(len(t)) for t in terms] if most is None else most
         self.children: list[dict[str, int]] = [{}]
         self.room = [0]
         self.term: list[int | None] = [None]
-        self.sizes = [len(t) for t in terms]
         for i, t in enumerate(terms):
             node = 0
-            self.room[0] = max(self.room[0], allowed(len(t)))
+            self.room[0] = max(self.room[0], self.most[i])
             for c in t:
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
@@ -68,7 +68,7 @@ class Automaton:
                     self.room.append(0)
                     self.term.append(None)
                 node = self.children[node][c]
-                self.room[node] = max(self.room[node], allowed(len(t)))
+                self.room[node] = max(self.room[node], self.most[i])
             self.term[node] = i
         self._reset()
 
@@ -77,6 +77,7 @@ class Automaton:
         self.sets: list[tuple] = []
         self.accept: list[tuple[int, int] | None] = []
         self.moves: list[dict[str, int]] = []
+        self.size = 0
         self.start = self._state({0: 0})
 
     def _state(self, nodes: dict[int, int]) -> int:
@@ -88,12 +89,13 @@ class Automaton:
                 if e <= self.room[child] and e < nodes.get(child, 99):
                     nodes[child] = e
                     todo.append(child)
-        key = tuple(sorted(nodes.items()))
+        key = tuple(sorted(n * 4 + e for n, e in nodes.items()))
         if key not in self.ids:
             self.ids[key] = len(self.sets)
+            self.size += len(key)
             self.sets.append(key)
             self.moves.append({})
-            ends = [(e, self.term[n]) for n, e in key if self.term[n] is not None and e <= allowed(self.sizes[self.term[n]])]
+            ends = [(e, self.term[n]) for n, e in nodes.items() if self.term[n] is not None and e <= self.most[self.term[n]]]
             self.accept.append(min(ends)[::-1] if ends else None)
         return self.ids[key]
 
@@ -104,7 +106,7 @@ class Automaton:
             if e <= self.room[n] and e < nodes.get(n, 99):
                 nodes[n] = e
 
-        for n, e in self.sets[state]:
+        for n, e in (divmod(k, 4) for k in self.sets[state]):
             put(n, e + 1)
             for d, child in self.children[n].items():
                 put(child, e + (d != c))
@@ -113,7 +115,7 @@ class Automaton:
 
     def match(self, word: str) -> tuple[int, int] | None:
         """The nearest term within its allowed edits and the distance, or None."""
-        if len(self.sets) > STATES:
+        if self.size > STATES:
             self._reset()
         state, moves = self.start, self.moves
         for c in word:
@@ -125,8 +127,8 @@ class Automaton:
 
 
 class Scanner:
-    def __init__(self, terms: list[str]) -> None:
-        self.automaton = Automaton(terms)
+    def __init__(self, terms: list[str], most: list[int] | None = None) -> None:
+        self.automaton = Automaton(terms, most)
         self.cache: dict[str, tuple | bool] = {}
 
     def _look(self, word: str) -> tuple[int, int] | bool:
@@ -235,10 +237,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(terms)
-        for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(0)]
-            hits = [[x for h in scanner.hits(t) for x in map(int, h)] for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([t.count(" ") for t in texts], pa.int32()), pa.array(hits, pa.list_(pa.int32()))], ["toxic", "words", "hits"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                texts = [t.as_py() or "" for t in batch.column(0)]
+                hits = [[x for h in scanner.hits(t) for x in map(int, h)] for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([t.count(" ") for t in texts], pa.int32()), pa.array(hits, pa.list_(pa.int32()))], ["toxic", "words", "hits"])
 
     seen = rows.select("text", "toxic").mapInArrow(run, "toxic int, words int, hits array<int>").collect()
     hits = [[(h[i], h[i + 1], bool(h[i + 2]), bool(h[i + 3])) for i in range(0, len(h), 4)] for h in (r["hits"] for r in seen)]
@@ -258,22 +262,24 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     terms, exact, fuzzy, weights = model.terms, model.exact, model.fuzzy, model.weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(terms)
-        for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(1)]
-            hits = [scanner.hits(t) for t in texts]
-            x = np.array([features(h, t.count(" "), exact, fuzzy) for h, t in zip(hits, texts, strict=True)]).reshape(-1, FEATURES)
-            p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(p),
-                    pa.array([[terms[k[0]] for k in h] for h in hits], pa.list_(pa.string())),
-                    pa.array([[k[1] for k in h] for h in hits], pa.list_(pa.int32())),
-                    pa.array([[k[2] for k in h] for h in hits], pa.list_(pa.bool_())),
-                ],
-                ["doc_id", "score", "terms", "edits", "quoted"],
-            )
+        scanner = Scanner(terms, [allowed(len(t)) if f > 0 else 0 for t, f in zip(terms, fuzzy, strict=True)])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                texts = [t.as_py() or "" for t in batch.column(1)]
+                hits = [scanner.hits(t) for t in texts]
+                x = np.array([features(h, t.count(" "), exact, fuzzy) for h, t in zip(hits, texts, strict=True)]).reshape(-1, FEATURES)
+                p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0),
+                        pa.array(p),
+                        pa.array([[terms[k[0]] for k in h] for h in hits], pa.list_(pa.string())),
+                        pa.array([[k[1] for k in h] for h in hits], pa.list_(pa.int32())),
+                        pa.array([[k[2] for k in h] for h in hits], pa.list_(pa.bool_())),
+                    ],
+                    ["doc_id", "score", "terms", "edits", "quoted"],
+                )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, terms array<string>, edits array<int>, quoted array<boolean>")
 
