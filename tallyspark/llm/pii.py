@@ -28,7 +28,7 @@ from .common import durable, read
 KEY = "change-me"  # the default of the secret key; a deployment passes its own
 ROUNDS = 40
 
-EMAIL = r"[\p{L}\p{N}](?:[\p{L}\p{N}._%+\-]{0,62}[\p{L}\p{N}_%+\-])?@[\p{L}\p{N}](?:[\p{L}\p{N}\-]{0,62})?(?:\.[\p{L}\p{N}\-]{1,63}){0,6}\.\p{L}{2,24}"
+EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}](?:[\p{L}\p{N}._%+\-]{0,62}[\p{L}\p{N}_%+\-])?@[\p{L}\p{N}](?:[\p{L}\p{N}\-]{0,62})?(?:\.[\p{L}\p{N}\-]{1,63}){0,6}\.\p{L}{2,24}"
 IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"
 CARD = r"(?<![\d\-])(?:\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{15,16})(?![\d\-])"
 SSN = r"(?<![\d\-])(?!000|666)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d\-])"
@@ -38,9 +38,13 @@ MALE = "Mr|Mister|Sir|Herr|Monsieur|Señor|Sr|Господин"
 FEMALE = "Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Srta|Госпожа"
 OPEN = "Dr|Prof|Professor|Доктор"
 NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE}|{OPEN})\.?[ ]\p{{Lu}}\p{{L}}{{1,30}}(?:[ \-]\p{{Lu}}\p{{L}}{{1,30}}){{0,2}}"
-ANY = "|".join(f"(?:{x})" for x in (EMAIL, IPV4, SSN, CARD, PHONE, NAME))
+#: Each part starts with a look at one character, so that most places in a text are left at once.
+NUMBERS = rf"(?=[\d+(])(?:{IPV4}|{SSN}|{CARD}|{PHONE})"
+TITLED = rf"(?=[MSHFDPГД]){NAME}"
+ANY = f"{EMAIL}|{NUMBERS}|{TITLED}"
+NO_EMAIL = f"{NUMBERS}|{TITLED}"
 #: What a text must have for any of these: a cheap test before the patterns.
-MAYBE = rf"[@0-9]|(?:{MALE}|{FEMALE}|{OPEN})\.?[ ]\p{{Lu}}"
+MAYBE = rf"[@0-9]|(?=[MSHFDPГД])(?:{MALE}|{FEMALE}|{OPEN})\.?[ ]\p{{Lu}}"
 
 #: Surrogate given names by script and gender.
 GIVEN = {
@@ -95,13 +99,20 @@ def _entity(m: Column) -> Column:
     return F.when(title == "", F.array(simple)).otherwise(F.concat(F.array(_piece(None, none, title)), words))
 
 
-def with_pieces(texts: DataFrame) -> DataFrame:
-    """Adds `pieces`, null where a text has no entity. texts: any rows with `text`."""
-    found = F.when(F.col("text").rlike(MAYBE), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
-    gaps = F.split("text", ANY, -1)
+def with_mentions(texts: DataFrame) -> DataFrame:
+    """Adds `mentions`, null where a text has none. The e-mail pattern is only tried where there is an @."""
+    at = F.col("text").contains("@")
+    found = F.when(at, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.regexp_extract_all("text", F.lit(NO_EMAIL), F.lit(0)))
+    found = F.when(at | F.col("text").rlike(MAYBE), found)
+    return texts.withColumn("mentions", F.when(F.size(found) > 0, found))
+
+
+def pieces() -> Column:
+    """The pieces of `text`, which has `mentions`."""
+    gaps = F.when(F.col("text").contains("@"), F.split("text", ANY, -1)).otherwise(F.split("text", NO_EMAIL, -1))
     none = F.lit(None).cast("string")
     both = F.zip_with(gaps, "mentions", lambda g, m: F.when(m.isNull(), F.array(_piece(None, none, g))).otherwise(F.concat(F.array(_piece(None, none, g)), _entity(m))))
-    return texts.withColumn("mentions", found).withColumn("pieces", F.when(F.size("mentions") > 0, F.flatten(both))).drop("mentions")
+    return F.flatten(both)
 
 
 def _stream(key: str, attempt: Column, *parts: Column) -> Column:
@@ -198,10 +209,10 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     """The documents with every entity replaced, all columns as they were."""
     columns = docs.columns
     mine = ["_row_id", "_row_hash", "_pieces", "_done"]
-    split = with_pieces(docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col("doc_id").alias("_row_id"), F.col("text").cast("string").alias("text")))
-    split = split.withColumn("_row_hash", F.xxhash64("text")).withColumnRenamed("pieces", "_pieces")
-    plain = split.where(F.col("_pieces").isNull()).select("row.*")
-    holds = split.where(F.col("_pieces").isNotNull())
+    split = with_mentions(docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col("doc_id").alias("_row_id"), F.col("text").cast("string").alias("text")))
+    plain = split.where(F.col("mentions").isNull()).select("row.*")
+    holds = split.where(F.col("mentions").isNotNull()).select("row", "_row_id", F.xxhash64("text").alias("_row_hash"), pieces().alias("_pieces"))
+    holds = durable(holds)
     mention = holds.select(*mine[:2], F.posexplode("_pieces").alias("i", "p")).where("p.kind IS NOT NULL").select(*mine[:2], "i", "p.kind", "p.canon", "p.raw")
     names = durable(dictionary(mention.select("kind", "canon").distinct(), key))
     told = mention.join(names, ["kind", "canon"]).select(*mine[:2], F.struct("i", _render(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("s")).alias("e"))
@@ -214,7 +225,7 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 def entities(docs: DataFrame) -> DataFrame:
     """doc_id, kind, canon, raw of every mention."""
-    found = with_pieces(docs.select("doc_id", F.col("text").cast("string").alias("text"))).where(F.col("pieces").isNotNull())
+    found = with_mentions(docs.select("doc_id", F.col("text").cast("string").alias("text"))).where(F.col("mentions").isNotNull()).withColumn("pieces", pieces())
     return found.select("doc_id", F.explode("pieces").alias("p")).where("p.kind IS NOT NULL").select("doc_id", "p.kind", "p.canon", "p.raw")
 
 
