@@ -75,8 +75,10 @@ def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """A row for each document: doc_id, keep_id, group_size, kept, text_sha256. Of equal texts the largest doc_id stays."""
     ids = identities(docs, block)
-    groups = ids.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("mult").alias("group_size"))
-    rows = ids.join(groups, ["level", "name"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mult"))))
+    ids = durable(ids)
+    several = ids.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("mult").alias("group_size")).where("group_size > 1")
+    rows = ids.join(durable(several), ["level", "name"], "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mult"))))
+    rows = rows.withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))).withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
     return rows.select(
         "doc_id",
         "keep_id",
@@ -87,14 +89,13 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents without exact copies, all columns as they were."""
-    keep = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("keep_doc"), "text_sha256")
+    """The documents without exact copies, all columns as they were. One shuffle of the texts."""
+    id_of = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    keep = exact_dedup(docs).where("kept").select(id_of.alias("_copy_id"), F.col("text_sha256").alias("_copy_sha"))
     sha = F.sha2(ascii_lower(F.coalesce("text", F.lit(""))).cast("binary"), 256)
-    mine = docs.join(keep, docs["doc_id"].eqNullSafe(keep["keep_doc"]) & (sha == keep["text_sha256"]), "left_semi")
-    # rows that repeat id and text: one of them
-    place = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text"))
-    dup = "_place_of_copy"
-    return mine.withColumn(dup, place).where(F.col(dup) == 1).drop(dup)
+    mine = docs.withColumns({"_copy_id": id_of, "_copy_sha": sha}).join(durable(keep), ["_copy_id", "_copy_sha"], "left_semi")
+    place = F.row_number().over(Window.partitionBy("_copy_id", "_copy_sha").orderBy("text"))  # rows that repeat an id and a text
+    return mine.withColumn("_copy", place).where("_copy = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
