@@ -41,7 +41,8 @@ NAMES = "token|secret|passw(?:or)?d|pwd|api[_-]?key|apikey|access[_-]?key|privat
 ASSIGNED = rf"(?i:(?<![a-z])(?:[a-z0-9_\-]{{0,30}})(?:{NAMES})(?:[a-z0-9_\-]{{0,20}})[\"']?\s{{0,3}}(?:=|:=|:|=>)\s{{0,3}}[\"']?)([A-Za-z0-9+/=_\-.!@#$%^&*]{{8,512}})"
 LONG = r"(?<![A-Za-z0-9+/=_\-])[A-Za-z0-9+/=_\-]{20,512}(?![A-Za-z0-9+/=_\-])"
 ANY = f"{BLOCK}|{FORMATS}|{ASSIGNED}|{LONG}"
-MAYBE = rf"[A-Za-z0-9+/=_\-]{{20}}|PRIVATE KEY|(?i:{NAMES})[\"']?\s{{0,3}}[=:]"
+#: Found in every text that holds a match of ANY: a cheap test before it.
+MAYBE = rf"[A-Za-z0-9+/=_\-]{{20}}|PRIVATE KEY|xox[abprs]-|eyJ|(?i:(?:{NAMES})[a-z0-9_\-]{{0,20}})[\"']?\s{{0,3}}[=:]"
 EXAMPLES = "example|sample|placeholder|dummy|changeme|your[_-]|xxxx|test|fake|todo|redacted"
 
 FEATURES = ["size", "upper", "lower", "digit", "sign", "turns", "distinct", "hex", "words", "longest", "named", "quoted", "format", "in_path", "near_secret", "near_example"]

@@ -46,6 +46,29 @@ def test_labelled_findings(spark):
     assert yes <= kept
 
 
+def test_short_candidates_pass_the_pre_test(spark):
+    alone = [
+        'SECRET_KEY = "s3cr3tPw!9x"',
+        "password_prod: hunter2hunter2",
+        "apikey_of_the_server1 := a1b2c3d4",
+        "my_pwd' => a1b2c3d4",
+        "xoxb-1234567890",
+        "eyJhbGciOiJI.eyJzdWIiOiIx.abcd",
+        "eyJ12345678.12345678.1234",
+        *(f"{name}=a1b2c3d4" for name in "token secret passwd password pwd api_key api-key apikey accesskey private_key auth credential bearer".split()),
+        "AKIA" + "A1B2" * 4,
+        "ASIA" + "A1B2" * 4,
+        "ghp_" + "a1b2" * 9,
+        "AIza" + "a1b2c" * 7,
+        "sk_live_" + "a1b2" * 4,
+        "glpat-" + "a1b2c" * 4,
+        "-----BEGIN PRIVATE KEY-----" + "a1b2" * 4 + "-----END PRIVATE KEY-----",
+        "a1b2c" * 4,
+    ]
+    docs = spark.createDataFrame([(i, f"so it is {t} here") for i, t in enumerate(alone)], "doc_id long, text string")
+    assert {r.doc_id for r in S.candidates(docs).collect()} == set(range(len(alone)))
+
+
 def test_odd_and_empty(odd, empty):
     assert S.scan(odd).count() >= 0
     assert S.scan(empty).count() == 0
