@@ -7,7 +7,8 @@ examples. The forest learns from labelled findings; where none are given, findin
 clear cases (a provider's format or a random value assigned to a secret's name, against plain words, placeholders, counters
 and paths), and the forest decides the rest by the features alone. The sample it learns from is bounded by SAMPLE.
 
-Dictionary words are those in at least WORD_DOCS sampled documents; the sample and the WORDS most frequent ones bound the dictionary.
+Dictionary words are counted over all documents: those in at least WORD_SHARE of them, and in WORD_DOCS at the least, of
+which the WORDS most frequent ones bound the dictionary.
 
 Defined cases: null and empty texts have no findings; a table without clear cases of both kinds gives findings whose score
 is the rule's verdict; rows that repeat are scanned each; an empty table gives no rows; other columns are ignored.
@@ -27,8 +28,8 @@ from .common import durable, read
 
 SAMPLE = 20_000
 WORDS = 2_000
-WORD_SAMPLE = 5_000  # documents from which the dictionary is counted
-WORD_DOCS = 5
+WORD_SHARE = 0.001  # of the documents that hold a word of the dictionary
+WORD_DOCS = 5  # in fewer documents a word isn't common, however small the table
 AROUND = 60  # characters of context on either side
 TREES, DEPTH = 25, 7
 KEEP = 0.5
@@ -78,11 +79,10 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def dictionary(docs: DataFrame) -> list[str]:
-    """The most frequent words of 4 to 12 letters in a bounded sample of the documents."""
-    n = docs.count()
-    some = docs if n <= WORD_SAMPLE else docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(_PLACES)) < math.ceil(WORD_SAMPLE / n * _PLACES))
-    words = some.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}{4,12}"), F.lit(0)))).alias("w"))
-    top = words.groupBy("w").count().where(F.col("count") >= WORD_DOCS).orderBy(F.desc("count"), "w").limit(WORDS).collect()
+    """The most frequent words of 4 to 12 letters, by the documents that hold them."""
+    least = max(WORD_DOCS, math.ceil(WORD_SHARE * docs.count()))
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}{4,12}"), F.lit(0)))).alias("w"))
+    top = words.groupBy("w").count().where(F.col("count") >= least).orderBy(F.desc("count"), "w").limit(WORDS).collect()
     return [r["w"] for r in top]
 
 

@@ -69,6 +69,14 @@ def test_short_candidates_pass_the_pre_test(spark):
     assert {r.doc_id for r in S.candidates(docs).collect()} == set(range(len(alone)))
 
 
+def test_dictionary_counts_all_documents(spark):
+    # 12,000 documents: "plenty" in one of three, "border" in exactly a thousandth, "scarce" in one less
+    some = spark.range(12_000).selectExpr("id AS doc_id", "concat(if(id % 3 = 0, 'plenty ', ''), if(id % 1000 = 7, 'border ', ''), if(id % 1000 = 9 AND id > 1000, 'scarce ', ''), 'and so') AS text")
+    assert S.dictionary(some) == ["plenty", "border"]
+    few = spark.createDataFrame([(i, "often" + " rarely" * (i < 4)) for i in range(5)], "doc_id long, text string")
+    assert S.dictionary(few) == ["often"]
+
+
 def test_odd_and_empty(odd, empty):
     assert S.scan(odd).count() >= 0
     assert S.scan(empty).count() == 0
