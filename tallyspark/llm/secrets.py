@@ -39,8 +39,8 @@ _PLACES = 1 << 20
 FORMATS = r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_\-]{35}|sk_live_[0-9A-Za-z]{16,}|glpat-[A-Za-z0-9_\-]{20}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{4,}"
 BLOCK = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}?-----END [A-Z ]{0,20}PRIVATE KEY-----"
 NAMES = "token|secret|passw(?:or)?d|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|credential|bearer"
-ASSIGNED = rf"(?i:(?<![a-z])(?:[a-z0-9_\-]{{0,30}})(?:{NAMES})(?:[a-z0-9_\-]{{0,20}})[\"']?\s{{0,3}}(?:=|:=|:|=>)\s{{0,3}}[\"']?)([A-Za-z0-9+/=_\-.!@#$%^&*]{{8,512}})"
-LONG = r"(?<![A-Za-z0-9+/=_\-])[A-Za-z0-9+/=_\-]{20,512}(?![A-Za-z0-9+/=_\-])"
+ASSIGNED = rf"(?i:(?<![a-z])(?:[a-z0-9_\-]{{0,30}})(?:{NAMES})(?:[a-z0-9_\-]{{0,20}})[\"']?\s{{0,3}}(?:=|:=|:|=>)\s{{0,3}}[\"']?)([A-Za-z0-9+/=_\-.!@#$%^&*]{{8,}})"
+LONG = r"(?<![A-Za-z0-9+/=_\-])[A-Za-z0-9+/=_\-]{20,}(?![A-Za-z0-9+/=_\-])"
 ANY = f"{BLOCK}|{FORMATS}|{ASSIGNED}|{LONG}"
 #: Found in every text that holds a match of ANY: a cheap test before it.
 MAYBE = rf"[A-Za-z0-9+/=_\-]{{20}}|PRIVATE KEY|xox[abprs]-|eyJ|(?i:(?:{NAMES})[a-z0-9_\-]{{0,20}})[\"']?\s{{0,3}}[=:]"

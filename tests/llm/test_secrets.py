@@ -77,6 +77,20 @@ def test_dictionary_counts_all_documents(spark):
     assert S.dictionary(few) == ["often"]
 
 
+def test_long_values_are_whole(spark):
+    rnd = random.Random(3)
+    base = lambda n: "".join(rnd.choice("ABCDEFGHIJKLMabcdefghijklm0123456789+/") for _ in range(n))
+    values = [base(n) for n in (512, 513, 2_000, 100_000)]
+    rows = [(2 * i + named, f"we keep {'private_key=' * named}{v} in it") for i, v in enumerate(values) for named in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.rule, r.value, r.place) for r in S.candidates(docs).collect())
+    assert got == [(2 * i + named, ("long", "assigned")[named], v, 9 + 12 * named) for i, v in enumerate(values) for named in (0, 1)]
+    out = {r.doc_id: r for r in S.scan(docs).collect()}
+    for i, v in enumerate(values):
+        for named in (0, 1):
+            assert (out[2 * i + named].n_chars, out[2 * i + named].value_sha256) == (len(v), hashlib.sha256(v.encode()).hexdigest())
+
+
 def test_odd_and_empty(odd, empty):
     assert S.scan(odd).count() >= 0
     assert S.scan(empty).count() == 0
