@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textscan as T
@@ -116,7 +116,8 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, key (null for empty sets), bands and sketch."""
+    """doc_id, n_shingles, key (null for empty sets), bands and sketch, and `sha` of documents that have it."""
+    carried = [c for c in ("sha",) if c in docs.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,11 +135,12 @@ def signatures(docs: DataFrame, size: int, rows: int) -> DataFrame:
                     for i, k, b, s in zip(full.tolist(), set_keys(keys, first, many[full]), band_keys(sig, rows).tolist(), odd_sketch(sig).tolist(), strict=True):
                         key[i], bands[i], sketch[i] = k, b, s
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, n), pa.array(many), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "key", "bands", "sketch"],
+                    [batch.column(0).slice(start, n), pa.array(many), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64())), *(batch.column(2 + i).slice(start, n) for i in range(len(carried)))],
+                    ["doc_id", "n_shingles", "key", "bands", "sketch", *carried],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, key binary, bands array<long>, sketch array<long>")
+    kinds = "doc_id long, n_shingles long, key binary, bands array<long>, sketch array<long>" + "".join(f", {c} binary" for c in carried)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *carried).mapInArrow(run, kinds)
 
 
 def _packed(keys: np.ndarray) -> bytes:
@@ -227,12 +229,17 @@ def _blocks_compared(most: int, percent: int):
     return run
 
 
-def linked(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, key and root (both null for empty sets): documents with one root are one component."""
+def _sha(text: Column) -> Column:
+    """The identity of a text beside its document's id, which may be null or repeat."""
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256))
+
+
+def linked(docs: DataFrame, size: int = 5, percent: int = 80, with_sha: bool = False) -> DataFrame:
+    """doc_id, n_shingles, key and root (both null for empty sets), and sha of the text if wanted: documents with one root are one component."""
     rows = band_rows(percent / 100)
     most = most_bits(percent / 100)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = durable(signatures(docs, size, rows))
+    signed = durable(signatures(docs.withColumn("sha", _sha(F.col("text"))) if with_sha else docs, size, rows))
     nodes = signed.where(F.col("key").isNotNull()).groupBy("key")
     nodes = durable(nodes.agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")))
     banded = nodes.select("key", F.explode("bands").alias("band"))
@@ -275,7 +282,7 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     more = durable(todo.groupBy("band", "p", "q").applyInPandas(_blocks_compared(most, percent), "u binary, v binary"))
     if not more.isEmpty():
         found = durable(components(more.unionByName(found.select(F.col("node").alias("u"), F.col("root").alias("v")))))
-    return signed.select("doc_id", "n_shingles", "key").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    return signed.select("doc_id", "n_shingles", "key", *(["sha"] if with_sha else [])).join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
 
 
 def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -287,11 +294,21 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without near copies: of each component the one with the least id, all columns as they were."""
-    id_of = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    keep = near_dedup(docs, size, percent).where("kept").select(id_of.alias("_copy_id")).distinct()
-    mine = docs.withColumn("_copy_id", id_of).join(durable(keep), "_copy_id", "left_semi")
-    place = F.row_number().over(Window.partitionBy("_copy_id").orderBy("text"))
+    """The documents without near copies: of each component the one with the least id, all columns as they were.
+
+    A document is known by its id and its text: null ids count as larger than any id, of documents with one id in a component the
+    one with the least digest of its text stays, and of rows that repeat an id and a text one stays. Texts without words are
+    linked with nothing and stay.
+    """
+    rows = durable(linked(docs, size, percent, with_sha=True))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "sha")).alias("x")
+    keep = rows.where(F.col("root").isNotNull()).groupBy("root").agg(least).select("x.doc_id", "x.sha")
+    keep = keep.unionByName(rows.where(F.col("root").isNull()).select("doc_id", "sha").distinct())
+    keep = durable(keep.select(F.col("doc_id").isNull().alias("_copy_null"), F.coalesce("doc_id", F.lit(0)).alias("_copy_id"), F.col("sha").alias("_copy_sha")))
+    by = ["_copy_null", "_copy_id", "_copy_sha"]
+    id_of = F.col("doc_id").cast("long")
+    mine = docs.withColumns({"_copy_null": id_of.isNull(), "_copy_id": F.coalesce(id_of, F.lit(0)), "_copy_sha": _sha(F.col("text"))}).join(keep, by, "left_semi")
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("text"))  # rows that repeat an id and a text
     return mine.withColumn("_copy", place).where("_copy = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -72,6 +72,24 @@ def test_odd_rows(odd):
     assert kept.columns == odd.columns
 
 
+def test_null_and_repeated_ids_keep_one_of_each_component(spark):
+    rnd = random.Random(9)
+    base = lambda: [f"w{rnd.randrange(10**6)}" for _ in range(60)]
+    text = lambda words, end="": " ".join(words) + end
+    a, b, c, e, f, g, h = (base() for _ in range(7))
+    rows = [
+        (None, text(a)), (None, text(b)), (None, text(b, " more")),  # distinct texts, and near copies, without ids
+        (1, text(c)), (1, text(e)), (1, text(e, " more")), (1, text(e)),  # one id: distinct texts, a near copy, a repeated row
+        (2, text(f)), (3, text(f, " more")), (None, text(f, " else")),
+        (3, text(g)), (3, text(h)), (4, text(h, " more")),  # the id of a copy is that of documents that stay
+        (5, None), (5, "  "), (None, ""),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = Counter(tuple(r) for r in N.keep_one(df).collect())
+    one_of = [[rows[0]], rows[1:3], [rows[3]], rows[4:6], [rows[7]], [rows[10]], [rows[11]], [rows[13]], [rows[14]], [rows[15]]]
+    assert sum(kept.values()) == len(one_of) and all(sum(kept[x] for x in group) == 1 for group in one_of), kept
+
+
 def test_odd_sketch_estimates():
     import numpy as np
 
