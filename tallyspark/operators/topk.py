@@ -24,8 +24,11 @@ def top_model_per_group(rows: DataFrame, group: str) -> DataFrame:
 def top_n_with_rest(rows: DataFrame, key: str, most: int = 8) -> DataFrame:
     """All keys if there are at most `most`; else the first most-1 and one row for the rest."""
     s = rows.groupBy(F.col(key).alias("key")).agg(zero("total_tokens").alias("total"), F.sum("cost").alias("c"))
-    s = s.withColumn("place", F.row_number().over(Window.orderBy(F.desc("total"), "key"))).withColumn("n", F.count("*").over(Window.partitionBy()))
-    name = F.when((F.col("n") <= most) | (F.col("place") < most), F.col("key")).otherwise("rest")
+    # the first keys and one more, which tells whether there is a rest; all others are never put in order
+    first = s.orderBy(F.desc("total"), "key").limit(most + 1).agg(F.sort_array(F.collect_list(F.struct((-F.col("total")).alias("t"), "key"))).alias("x"))
+    named = first.select(F.explode(F.when(F.size("x") <= most, F.col("x")).otherwise(F.slice("x", 1, most - 1))).alias("x")).select(F.col("x.key").alias("_named"), F.lit(True).alias("_is"))
+    s = s.join(F.broadcast(named), F.col("key").eqNullSafe(F.col("_named")), "left")
+    name = F.when(F.col("_is"), F.col("key")).otherwise("rest")
     return s.groupBy(name.alias("key")).agg(F.sum("total").alias("total"), P.as_double(F.sum("c")).alias("cost_usd"), F.count("*").alias("members"))
 
 
