@@ -518,9 +518,14 @@ def read_turns(spark, d):
     return out.groupBy("session_id").agg(F.count("*").alias("n"), F.sum("cache_read_tokens").alias("cache_read_tokens"))
 
 
+def _push_payloads(rows: DataFrame) -> DataFrame:
+    """A payload for each session of a device, so that more events make more payloads, not larger ones."""
+    return rows.groupBy("device", "session_id").agg(F.collect_list(F.struct("device", "source", "event_key", "total_tokens")).alias("time"))
+
+
 @query("S14_read_push_payload", "SELECT device AS from_device, CASE WHEN device = 'dev-1' THEN 'incremental' ELSE 'full' END AS mode, count(*) AS n, CAST(sum(total_tokens) AS BIGINT) AS total_tokens FROM usage GROUP BY 1, 2")
 def read_push(spark, d):
-    rows = U.named(spark, d).groupBy("device").agg(F.collect_list(F.struct("device", "source", "event_key", "total_tokens")).alias("time"))
+    rows = _push_payloads(U.named(spark, d))
     value = F.to_json(F.struct("device", F.when(F.col("device") == "dev-1", "incremental").otherwise("other").alias("mode"), "time"))
     out = readers.read_push_payload(rows.select(value.alias("value")))["time"]
     return out.groupBy("from_device", "mode").agg(F.count("*").alias("n"), F.sum("total_tokens").alias("total_tokens"))

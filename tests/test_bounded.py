@@ -1,6 +1,12 @@
 """Work that is bounded by keys or sessions, not by the whole input."""
 
+from pyspark.sql import functions as F
+
 from tallyspark.operators import topk as K
+from tallyspark.plans import adapter as U
+from tallyspark.plans import events
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_top_n_with_rest_puts_no_window_over_all_keys(spark):
@@ -12,3 +18,10 @@ def test_top_n_with_rest_puts_no_window_over_all_keys(spark):
     assert {k: got[k] for k in named} == {k: (int(k) % 50 * 10, 10.0, 1) for k in named}
     assert got.keys() == {*named, "rest"} and got["rest"] == (24500 - sum(got[k][0] for k in named), 930.0, 93)
     assert {r.key for r in K.top_n_with_rest(rows.where("k IN ('1', '2')"), "k", 2).collect()} == {"1", "2"}
+
+
+def test_push_payloads_hold_a_session_each(spark):
+    rows = U.named(spark, SF)
+    out = events._push_payloads(rows).select(F.size("time").alias("n"))
+    most = rows.groupBy("device", "session_id").count().agg(F.max("count")).first()[0]
+    assert out.agg(F.max("n"), F.sum("n")).first() == (most, rows.count())
