@@ -5,7 +5,7 @@ or two characters of look-ahead the classes become the symbols of an eight-state
 the pattern begins. Every symbol is a function on the states; the functions that compositions can make are few, so a
 composition is one lookup in a table, and the states before all characters come from an associative scan over blocks.
 The slices between boundaries go through a cache to pair merging. A slice's first byte is kept with its ids, so that a
-token can be traced to its place; decoding needs the ids only.
+token can be traced to its place; decoding holds the slices' places against the tokens' borders.
 
 Defined cases: null and empty texts have no ids and decode to nothing; texts are never cut; repeated rows are encoded
 each; an empty table gives no rows; other columns are ignored.
@@ -14,7 +14,6 @@ each; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import base64
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .common import read
+from .common import map_batches, read
 
 LETTER, NUMBER, SPACE, OTHER = range(4)
-#: White space of Unicode; fixed values.
-WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: What may follow an apostrophe that begins a match.
 ONE, TWO = "stmd", ("re", "ve", "ll")
 
@@ -39,7 +36,8 @@ SYMBOLS = 8  # and as many again for the first character of a text
 # States: nothing pending, in letters, in numbers, in others, after a plain space, in white space, one or two letters of a contraction to come.
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHER, PREFIX, IN_SPACE, LEFT1, LEFT2 = range(8)
 
-CACHE_ITEMS = 600_000
+CACHE_ITEMS = 300_000  # pieces in a worker's cache
+CACHE_PIECE = 64  # characters of a piece that is kept
 
 
 def _step(state: int, symbol: int) -> tuple[int, bool]:
@@ -112,9 +110,17 @@ class Automaton:
 
 
 def class_table() -> np.ndarray:
-    kinds = {"L": LETTER, "N": NUMBER}
-    table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
-    table[WHITE] = SPACE
+    """The class of every code point, by the tables of the tiktoken library itself: other Unicode versions class some otherwise.
+
+    All characters go once through an encoding whose pattern is one class and whose tokens are the 256 bytes; what isn't of the
+    class is left out.
+    """
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    table = np.full(0x110000, OTHER, np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
+        coder = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        members = bytes(coder.encode_ordinary(every)).decode()
+        table[np.frombuffer(members.encode("utf-32-le"), np.uint32)] = kind
     return table
 
 
@@ -170,10 +176,11 @@ class Encoder:
             raw = p.encode()
             one = self.ranks.get(raw)
             new[p] = np.array([one] if one is not None else self.merge(raw), "<u4").tobytes()
-        if len(self.cache) + len(new) > CACHE_ITEMS:
+        kept = {p: ids for p, ids in new.items() if len(p) <= CACHE_PIECE}
+        if len(self.cache) + len(kept) > CACHE_ITEMS:
             self.cache.clear()
-        if len(new) <= CACHE_ITEMS:
-            self.cache.update(new)
+        if len(kept) <= CACHE_ITEMS:
+            self.cache.update(kept)
         return new
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[list[bytes], list[bytes]]:
@@ -224,9 +231,16 @@ class Decoder:
         self.at = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(words), np.uint8)
 
-    def decode(self, ids: bytes, step: int = 1 << 18) -> bytes:
+    def decode(self, ids: bytes, offsets: bytes | None = None, step: int = 1 << 18) -> bytes:
+        """The bytes of the ids. With the offsets kept by encoding, every slice has to begin where a token begins."""
         ids = np.frombuffer(ids, "<u4")
         out = []
+        if offsets is not None:
+            begin = np.cumsum(self.lengths[ids]) - self.lengths[ids]
+            at = np.frombuffer(offsets, "<u4")
+            place = np.searchsorted(begin, at)
+            if len(at) and (place[-1] == len(begin) or (begin[place] != at).any()):
+                raise ValueError("ids and offsets don't belong together")
         for i in range(0, len(ids), step):
             part = ids[i : i + step]
             size = self.lengths[part]
@@ -245,21 +259,21 @@ def encode(docs: DataFrame, ranks: str) -> DataFrame:
                 ids, offsets = encoder.encode(data, at)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(ids)), pa.array(ids, pa.binary()), pa.array(offsets, pa.binary())], ["doc_id", "ids", "offsets"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary, offsets binary")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, ids binary, offsets binary")
 
 
 def decode(encoded: DataFrame, ranks: str) -> DataFrame:
-    """doc_id, ids and the decoded bytes."""
+    """doc_id, ids, offsets and the decoded bytes; offsets may be null, else they are held against the tokens' borders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder.of(ranks)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                out = [decoder.decode(x.as_buffer().to_pybytes()) for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
+                out = [decoder.decode(x.as_buffer().to_pybytes(), o.as_buffer().to_pybytes() if o.is_valid else None) for x, o in zip(part.column(1), part.column(2), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], ["doc_id", "ids", "offsets", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return map_batches(encoded.select("doc_id", "ids", "offsets"), run, "doc_id long, ids binary, offsets binary, decoded binary")
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:

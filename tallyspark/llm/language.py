@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, remainder
+from .common import map_batches, read, remainder
 
 SAMPLE = 400
 PIECE = 600
@@ -107,7 +107,7 @@ def identify(docs: DataFrame, model: list[tuple[str, bytes]]) -> DataFrame:
                 [batch.column(0), pa.array(best, pa.string()), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())], ["doc_id", "best", "lang", "score", "margin"]
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, best string, lang string, score double, margin double")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, best string, lang string, score double, margin double")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .common import durable, read
+from .common import durable, map_batches, read
 from .components import components
 
 SAMPLES = 128
@@ -140,7 +140,7 @@ def signatures(docs: DataFrame, size: int, rows: int) -> DataFrame:
                 )
 
     kinds = "doc_id long, n_shingles long, key binary, bands array<long>, sketch array<long>" + "".join(f", {c} binary" for c in carried)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *carried).mapInArrow(run, kinds)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *carried), run, kinds)
 
 
 def _packed(keys: np.ndarray) -> bytes:
@@ -171,7 +171,7 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
                     members = [_packed(keys[a:b]) for a, b in zip((ends - many).tolist(), ends.tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(set_keys(keys, ends - many, many), pa.binary()), pa.array(many), pa.array(members, pa.binary())], ["key", "n", "members"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "key binary, n long, members binary")
+    return map_batches(docs.select(F.col("text").cast("string")), run, "key binary, n long, members binary")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -187,7 +187,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("key").alias("u"), F.col("n").alias("n"), F.col("members").alias("a"))
     right = sets.select(F.col("key").alias("v"), F.col("n").alias("m"), F.col("members").alias("b"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "n", "a", "m", "b").mapInArrow(run, "u binary, v binary")
+    return map_batches(pairs.join(left, "u").join(right, "v").select("u", "v", "n", "a", "m", "b"), run, "u binary, v binary")
 
 
 def _apart(a: str, b: str):

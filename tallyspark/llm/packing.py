@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, read
+from .common import durable, map_batches, read
 
 CAPACITY = 4096
 END_ID = 1
@@ -36,7 +36,8 @@ GRID = 64  # buckets of length in the patterns
 MOST = 3  # documents in a pattern at most
 SMALL = 3  # documents below capacity / SMALL aren't in patterns: they fill gaps
 GROUP = 1000
-CACHE_ITEMS = 700_000
+CACHE_ITEMS = 300_000  # words in a worker's cache
+CACHE_WORD = 64  # characters of a word that is kept
 SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -95,9 +96,12 @@ class Words:
         before, _, after = word.partition(inner)
         for p in (before, inner, after):
             if p:
-                if p not in self.cache:
-                    self.cache[p] = self._token(p)
-                out.append(self.cache[p])
+                ids = self.cache.get(p)
+                if ids is None:
+                    ids = self._token(p)
+                    if len(p) <= CACHE_WORD:
+                        self.cache[p] = ids
+                out.append(ids)
         return b"".join(out)
 
     def _new(self, words: set[str]) -> dict[str, bytes]:
@@ -116,10 +120,11 @@ class Words:
         if None in found:
             new = self._new({w for w, f in zip(words, found, strict=True) if f is None})
             found = [new[w] if f is None else f for w, f in zip(words, found, strict=True)]
-            if len(self.cache) + len(new) > CACHE_ITEMS:
+            kept = {w: f for w, f in new.items() if len(w) <= CACHE_WORD}
+            if len(self.cache) + len(kept) > CACHE_ITEMS:
                 self.cache.clear()
-            if len(new) <= CACHE_ITEMS:
-                self.cache.update(new)
+            if len(kept) <= CACHE_ITEMS:
+                self.cache.update(kept)
         return b"".join(found)
 
 
@@ -139,7 +144,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
             doc, k, start, length, crc = zip(*rows, strict=True) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(k, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, PIECES)
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:

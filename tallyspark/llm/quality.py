@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .common import read
+from .common import map_batches, read
 
 MIN_WORDS = 20
 MAX_REPEATED = 30  # per cent of words in repeated windows
@@ -131,7 +131,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, the counts, ratio, bad_share, base_failed and kept."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_judge, SCHEMA)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _judge, SCHEMA)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
                 good = [not f and compression(raw[a:b], compressor)[1] <= BAD_SHARE for f, a, b in zip(failed, at[:-1], at[1:], strict=True)]
                 yield batch.slice(first, len(good)).filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_batches(docs, keep, docs.schema)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .common import durable, read
+from .common import durable, map_batches, read
 
 LENGTH = 400
 SEGMENT = 1 << 20
@@ -119,7 +119,7 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     [batch.column(0).slice(first, n), pa.array(sha, pa.binary()), pa.array(np.diff(at), pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "sha", "n_bytes", "keys"]
                 )
 
-    return docs.mapInArrow(run, "doc_id long, sha binary, n_bytes long, keys array<long>")
+    return map_batches(docs, run, "doc_id long, sha binary, n_bytes long, keys array<long>")
 
 
 def _each(batch: pa.RecordBatch, length: int, gram: int) -> Iterator[tuple[int, int, Chunks, int]]:
@@ -245,7 +245,7 @@ def passages_removed(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame,
     mine = docs.withColumn("sha0", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     found = mine.join(held, mine["doc_id"].eqNullSafe(held["rep"]) & (mine["sha0"] == held["sha"])).dropDuplicates(["sha"])
     found = durable(found.select(_half("sha", 1).alias("t1"), _half("sha", 2).alias("t2"), "sha", "text", "js", "copies"))
-    chunks = found.select("t1", "t2", "text", "js").mapInArrow(_chunk_rows(length, gram), "t1 long, t2 long, j long, key long, content long, p0 long, p1 long")
+    chunks = map_batches(found.select("t1", "t2", "text", "js"), _chunk_rows(length, gram), "t1 long, t2 long, j long, key long, content long, p0 long, p1 long")
     one = F.min(F.struct("t1", "t2", "j")).alias("one")
     contents = durable(chunks.groupBy("key", "content").agg(F.count("*").alias("n"), one))
     full = chunks.join(contents.where("n > 1").select("key", "content"), ["key", "content"], "left_semi").select("t1", "t2", F.col("p0").alias("s"), (F.col("p1") + length).alias("e"))
@@ -255,13 +255,13 @@ def passages_removed(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame,
     alone = F.col("n") == 1
     per_text = todo.groupBy("t1", "t2").agg(F.collect_set(F.when(alone, F.col("j"))).alias("asked"), F.collect_set(F.when(~alone, F.col("j"))).alias("met"))
     asked = found.select("t1", "t2", "text").join(durable(per_text), ["t1", "t2"]).select("t1", "t2", "text", "asked", "met")
-    rows = asked.mapInArrow(_window_rows(length, gram), "t1 long, t2 long, key long, h long, p long")
-    met = rows.repartition("key", "h").sortWithinPartitions("key", "h").mapInArrow(_met, "t1 long, t2 long, p long")
+    rows = map_batches(asked, _window_rows(length, gram), "t1 long, t2 long, key long, h long, p long")
+    met = map_batches(rows.repartition("key", "h").sortWithinPartitions("key", "h"), _met, "t1 long, t2 long, p long")
     parts = met.select("t1", "t2", F.col("p").alias("s"), (F.col("p") + length).alias("e"))
 
     spans = full.unionByName(parts).groupBy("t1", "t2").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
     changed = found.where("copies = 1").select("t1", "t2", "sha", "text").join(durable(spans), ["t1", "t2"]).select("sha", "text", "s", "e")
-    changed = changed.mapInArrow(_cut(length), "sha binary, n_removed long, n_spans long, kept binary")
+    changed = map_batches(changed, _cut(length), "sha binary, n_removed long, n_spans long, kept binary")
     return seen.select("doc_id", "sha", "n_bytes").join(texts.select("sha", "copies"), "sha"), changed
 
 

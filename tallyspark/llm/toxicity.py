@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .common import durable, read, remainder
+from .common import durable, map_batches, read, remainder
 from .near_dedup import shingles
 
 SAMPLE = 20_000
@@ -214,7 +214,7 @@ def _one_of_copies(rows: DataFrame) -> DataFrame:
                 least[of[one]] = keys[one].view(np.int64)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, n) for i in range(2)), pa.array(least)], ["text", "toxic", "least"])
 
-    keyed = rows.select("text", "toxic").mapInArrow(run, "text string, toxic int, least long")
+    keyed = map_batches(rows.select("text", "toxic"), run, "text string, toxic int, least long")
     return keyed.groupBy("least", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
@@ -244,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 hits = [[x for h in scanner.hits(t) for x in map(int, h)] for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([t.count(" ") for t in texts], pa.int32()), pa.array(hits, pa.list_(pa.int32()))], ["toxic", "words", "hits"])
 
-    seen = rows.select("text", "toxic").mapInArrow(run, "toxic int, words int, hits array<int>").collect()
+    seen = map_batches(rows.select("text", "toxic"), run, "toxic int, words int, hits array<int>").collect()
     hits = [[(h[i], h[i + 1], bool(h[i + 2]), bool(h[i + 3])) for i in range(0, len(h), 4)] for h in (r["hits"] for r in seen)]
     # a term's misspellings count for as much as they tell in the sample; those that ordinary words match are dropped
     near = np.zeros((2, len(terms)))
@@ -281,7 +281,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     ["doc_id", "score", "terms", "edits", "quoted"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, terms array<string>, edits array<int>, quoted array<boolean>")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, score double, terms array<string>, edits array<int>, quoted array<boolean>")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
