@@ -1,18 +1,23 @@
 """Removal of repeated passages: every byte under a string of `length` bytes that also starts anywhere else.
 
-Suffixes are sampled by content. Of the `gram`-byte strings in each window of `length` bytes the one with the least hash is
-the window's anchor, so equal windows have their anchors at the same place, and one start in about (length - gram) / 2 is an
-anchor. Windows with one anchor are neighbours and form a chunk. The work then narrows in steps, each a count by key:
+Suffixes are narrowed first, by content. Of the `gram`-byte strings in each window of `length` bytes the one with the least
+hash is the window's anchor, so equal windows have their anchors at the same place. Windows with one anchor are neighbours
+and form a chunk. The work narrows in steps, each a count by key:
 
 1. Texts that are equal as wholes are one text from here on; where there are several, all is repeated.
 2. Anchors whose gram occurs once can't belong to a repeated window and are dropped; only texts that have others go on.
 3. Chunks with equal contents: all their windows are repeated.
-4. Contents that share an anchor's gram but differ: their windows are dealt out by gram and fingerprint, sorted in their
-   buckets and compared with their neighbours.
+4. The suffixes that start in the other chunks are sorted. Splitters sampled from them cut their order into ranges: by the
+   two leading tokens of eight bytes, then by a fingerprint of the `length` bytes, then by text, so that even equal suffixes
+   can be shared out. Each range is a bucket, sorted locally by multikey quicksort (a token at a time, only where the tokens
+   before tie) and compared with its neighbours; suffixes that equal the splitter below their bucket have a partner across
+   the boundary, and one copy of them goes back to meet it.
 
-Nothing is gathered by key: counts, semi-joins and neighbours in sorted streams decide, so a passage in a third of all texts
-costs what its rows cost. Full suffixes are never moved: at 400 bytes for each start they would be 400 times the input, which
-is why fingerprints take the place of their leading tokens.
+Nothing is gathered by key: a passage in a third of all texts costs what its rows cost. The rest of a suffix isn't moved: at 400
+bytes for each start that would be 400 times the input, which is why a fingerprint stands for it behind the leading tokens.
+
+Beside the removal, the same count of keys tells which texts share a passage of WORDS words or more with another text, however
+few bytes those words have: strings of half as many words are sampled in the same way, and each is looked for elsewhere.
 
 Defined cases: null is the empty text; texts shorter than `length` stay whole; matches never cross texts but may overlap;
 rows that repeat are copies of each other; long texts are scanned in segments, with the same result; an empty table gives no rows;
@@ -33,7 +38,11 @@ from . import textscan as T
 from .common import durable, map_batches, read
 
 LENGTH = 400
+WORDS = 50  # passages of so many words are told too
 SEGMENT = 1 << 20
+BUCKET_ROWS = 1 << 20  # suffixes in a bucket, about
+SAMPLE_ROWS, SAMPLE_TEXTS = 200_000, 400  # suffixes, or texts at the least, that splitters are taken from; one suffix in SAMPLE_EACH
+SAMPLE_EACH = 8
 
 
 def _prefix(data: np.ndarray) -> np.ndarray:
@@ -53,7 +62,7 @@ class Chunks:
     """Chunks of the texts of one slice: owner, first and last window start, gram key."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray, length: int, gram: int) -> None:
-        self.sums = _prefix(data)
+        self.data, self.sums = data, _prefix(data)
         self.length = length
         n, wide = len(data), length - gram + 1
         if n < length:
@@ -84,9 +93,38 @@ class Chunks:
         s, e = self.p0[i], self.p1[i] + self.length
         return _span(self.sums, s, e) ^ (e - s).astype(np.uint64)
 
-    def windows(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        p = np.arange(self.p0[i], self.p1[i] + 1)
-        return p, _span(self.sums, p, p + self.length, 0x2545F4914F6CDD1D)
+    def suffixes(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the windows of some chunks: start, first and second token of eight bytes, fingerprint of the whole."""
+        many = self.p1[i] - self.p0[i] + 1
+        p = np.repeat(self.p0[i] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        tokens = np.zeros((2, len(p)), np.uint64)
+        for k in range(min(16, self.length)):
+            tokens[k // 8] = tokens[k // 8] << np.uint64(8) | self.data[p + k]
+        return p, tokens[0], tokens[1], _span(self.sums, p, p + self.length, 0x2545F4914F6CDD1D)
+
+
+def word_strings(data: np.ndarray, at: np.ndarray, words: int) -> list[np.ndarray]:
+    """For each text of a slice the distinct keys of its sampled strings of words // 2 words: in every `words` words there is one."""
+    size = words // 2
+    starts, ends = T.runs(data, at, T.IS_SPACE)
+    of = T.owner(at, starts)
+    keys, begin = T.windows(T.hashes(data, starts, ends), of, size)
+    wide, n = words - size + 1, len(at) - 1
+    count = len(keys) - wide + 1
+    if count <= 0:
+        return [np.zeros(0, np.int64)] * n
+    low = np.uint64((1 << 24) - 1)  # a slice has fewer words, or is one long text, where ties fall to a later place as well
+    v = (T.mix(keys + np.uint64(77)) & ~low) | (np.arange(len(keys), dtype=np.uint64) & low)
+    grid = np.concatenate([v, np.full(-len(v) % wide, ~np.uint64(0))]).reshape(-1, wide)
+    ahead = np.minimum.accumulate(grid, axis=1).ravel()
+    back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    base = np.arange(count)
+    least = np.minimum(back[:count], ahead[wide - 1 : wide - 1 + count]) & low
+    least = base + ((least - base.astype(np.uint64)) & low).astype(np.int64)  # places modulo 2^24, from the window's own
+    least = np.unique(least[of[begin[:count]] == of[begin[wide - 1 :]]])
+    owner = of[begin[least]]
+    cut = np.searchsorted(owner, np.arange(n + 1))
+    return [np.unique(keys[least[i:j]]).view(np.int64) for i, j in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def _parts(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> Iterator[tuple[Chunks, int]]:
@@ -99,8 +137,8 @@ def _parts(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> Iterator
         yield Chunks(part, np.array([0, len(part)]), length, gram), a
 
 
-def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """doc_id, sha, n_bytes, keys: the grams' keys of the text's chunks, in order."""
+def anchors(docs: DataFrame, length: int, gram: int, words: int = WORDS) -> DataFrame:
+    """doc_id, sha, n_bytes, keys (of the grams of the text's chunks, in order), strings (of the text's sampled word strings)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,11 +153,10 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     else:
                         keys = [k[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
                 sha = [hashlib.sha256(data[i:j]).digest() for i, j in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, n), pa.array(sha, pa.binary()), pa.array(np.diff(at), pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "sha", "n_bytes", "keys"]
-                )
+                lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, word_strings(data, at, words))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(sha, pa.binary()), pa.array(np.diff(at), pa.int64()), *lists], ["doc_id", "sha", "n_bytes", "keys", "strings"])
 
-    return map_batches(docs, run, "doc_id long, sha binary, n_bytes long, keys array<long>")
+    return map_batches(docs, run, "doc_id long, sha binary, n_bytes long, keys array<long>, strings array<long>")
 
 
 def _each(batch: pa.RecordBatch, length: int, gram: int) -> Iterator[tuple[int, int, Chunks, int]]:
@@ -147,60 +184,158 @@ def _batch(rows: list[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
 
 def _chunk_rows(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # t1, t2, text, js
-            t1, t2, js, rows = batch.column("t1").to_numpy(), batch.column("t2").to_numpy(), batch.column("js"), []
+        for batch in batches:  # tid, text, js
+            tid, js, rows = batch.column("tid").to_numpy(), batch.column("js"), []
             for row, base, c, a in _each(batch, length, gram):
                 mine = _here(js[row], base, c)
                 if len(mine):
-                    n = len(mine)
-                    rows.append((np.full(n, t1[row]), np.full(n, t2[row]), mine + base, c.key[mine].view(np.int64), c.contents(mine).view(np.int64), c.p0[mine] + a, c.p1[mine] + a))
-            yield from _batch(rows, ["t1", "t2", "j", "key", "content", "p0", "p1"])
+                    rows.append((np.full(len(mine), tid[row]), mine + base, c.key[mine].view(np.int64), c.contents(mine).view(np.int64), c.p0[mine] + a, c.p1[mine] + a))
+            yield from _batch(rows, ["tid", "j", "key", "content", "p0", "p1"])
 
     return run
 
 
-def _window_rows(length: int, gram: int):
-    """A row for each window of the chunks asked for; p is -1 in those that are only there to be met by others."""
+def multikey_order(words: list[np.ndarray]) -> np.ndarray:
+    """The order of rows by their words, most significant first: a word is looked at only where all before it tie."""
+    order = np.argsort(words[0])
+    new = np.ones(len(order), bool)
+    new[1:] = words[0][order][1:] != words[0][order][:-1]
+    for w in words[1:]:
+        tied = np.flatnonzero(~new | ~np.append(new[1:], True))
+        if not len(tied):
+            break
+        group, rows = np.cumsum(new)[tied], order[tied]
+        inner = np.lexsort((w[rows], group))
+        order[tied] = rows[inner]
+        v = w[order]
+        new[1:] |= v[1:] != v[:-1]
+    return order
+
+
+class Splitters:
+    """Sampled suffixes (lead, then, h, tid) that cut the order of all suffixes into buckets; each is the last of its bucket."""
+
+    def __init__(self, rows: np.ndarray, buckets: int) -> None:
+        rows = rows.astype(np.int64).reshape(-1, 4).view(np.uint64)
+        rows = rows[multikey_order(list(rows.T))] if len(rows) else rows
+        at = np.unique(np.arange(1, buckets) * len(rows) // buckets) if len(rows) else np.zeros(0, np.int64)
+        rows = rows[at]
+        keep = np.ones(len(rows), bool)
+        keep[1:] = (rows[1:] != rows[:-1]).any(1)
+        self.rows = rows[keep]
+        self.lead = np.ascontiguousarray(self.rows[:, 0])
+        self.whole = self._bytes(self.rows)
+
+    @staticmethod
+    def _bytes(rows: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(rows.astype(">u8")).view("S32").ravel()
+
+    def bucket(self, lead: np.ndarray, then: np.ndarray, h: np.ndarray, tid: np.ndarray) -> np.ndarray:
+        low = np.searchsorted(self.lead, lead, "left")
+        tie = np.flatnonzero(low < np.searchsorted(self.lead, lead, "right"))
+        if len(tie):
+            low[tie] = np.searchsorted(self.whole, self._bytes(np.stack([lead[tie], then[tie], h[tie], tid[tie]], 1)), "left")
+        return low
+
+    def alike(self, i: np.ndarray, lead: np.ndarray, then: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Whether suffixes have the string of the splitters numbered i; -1 is none."""
+        if not len(self.rows):
+            return np.zeros(len(i), bool)
+        r = self.rows[np.maximum(i, 0)]
+        return (i >= 0) & (r[:, 0] == lead) & (r[:, 1] == then) & (r[:, 2] == h)
+
+
+SUFFIX = ["bucket", "lead", "then", "h", "tid", "p"]
+
+
+def _suffix_rows(length: int, gram: int, splitters: Splitters | None):
+    """A row for each suffix of the chunks asked for; p is -1 in those that are only there to be met by others.
+
+    Without splitters it is their sample. With them, a suffix that has the string of the splitter below its bucket is
+    sent to that splitter's bucket too, once in a task, to be met there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # t1, t2, text, asked, met
-            t1, t2, rows, size = batch.column("t1").to_numpy(), batch.column("t2").to_numpy(), [], 0
+        told: set[int] = set()
+        for batch in batches:  # tid, text, asked, met
+            tids, rows, size = batch.column("tid").to_numpy(), [], 0
             for row, base, c, a in _each(batch, length, gram):
                 for column in ("asked", "met"):
-                    for i in _here(batch.column(column)[row], base, c).tolist():
-                        p, h = c.windows(i)
-                        n = len(p)
-                        rows.append((np.full(n, t1[row]), np.full(n, t2[row]), np.full(n, c.key[i]).view(np.int64), h.view(np.int64), p + a if column == "asked" else np.full(n, -1)))
-                        size += n
+                    mine = _here(batch.column(column)[row], base, c)
+                    if not len(mine):
+                        continue
+                    p, lead, then, h = c.suffixes(mine)
+                    tid = np.full(len(p), tids[row], np.uint64)
+                    if splitters is None:
+                        some = T.mix(tid * np.uint64(0x9FB21C651E98DF25) ^ (p + a).astype(np.uint64)) % np.uint64(SAMPLE_EACH) == 0
+                        rows.append(tuple(x[some].view(np.int64) for x in (np.zeros_like(lead), lead, then, h, tid, np.zeros_like(lead))))
+                    else:
+                        bucket = splitters.bucket(lead, then, h, tid)
+                        at = p + a if column == "asked" else np.full(len(p), -1)
+                        rows.append((bucket, *(x.view(np.int64) for x in (lead, then, h, tid)), at))
+                        for i in np.flatnonzero(splitters.alike(bucket - 1, lead, then, h)).tolist():
+                            # equal splitters follow each other; the copy goes to the first of them
+                            back = int(splitters.bucket(lead[i : i + 1], then[i : i + 1], h[i : i + 1], np.zeros(1, np.uint64))[0])
+                            if back not in told:
+                                told.add(back)
+                                rows.append((np.array([back]), *(x[i : i + 1].view(np.int64) for x in (lead, then, h, tid)), np.array([-1])))
+                    size += len(p)
                 if size > 100_000:
-                    yield from _batch(rows, ["t1", "t2", "key", "h", "p"])
+                    yield from _batch(rows, SUFFIX)
                     rows, size = [], 0
-            yield from _batch(rows, ["t1", "t2", "key", "h", "p"])
+            yield from _batch(rows, SUFFIX)
+
+    return run
+
+
+def _sorted_buckets(splitters: Splitters):
+    """Of a bucket's suffixes those that were asked for and have an equal: a neighbour, or the splitter below the bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        bucket, lead, then, h, tid, p = (table.column(c).to_numpy() for c in SUFFIX)
+        lead, then, h = (x.view(np.uint64) for x in (lead, then, h))
+        order = multikey_order([lead, then, h])
+        same = np.ones(len(order) - 1, bool)
+        for x in (lead, then, h):
+            same &= x[order][1:] == x[order][:-1]
+        hit = splitters.alike(bucket[order] - 1, lead[order], then[order], h[order])
+        hit[1:] |= same
+        hit[:-1] |= same
+        found = order[hit & (p[order] >= 0)]
+        for i in range(0, len(found), 100_000):
+            part = found[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(tid[part]), pa.array(p[part])], ["tid", "p"])
 
     return run
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in the order of (key, h) those that share both with a neighbour and were asked for; across batches too."""
-    held: list[pa.RecordBatch] = []  # the last row so far, which may be met by the next batch
-    met = False
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Maximal runs of spans (tid, s, e) that come in the order of tid and s; across batches too."""
+    last: tuple[int, int, int] | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        both = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
-        key, h, p = (both.column(c).to_numpy() for c in ("key", "h", "p"))
-        same = (key[1:] == key[:-1]) & (h[1:] == h[:-1])
-        hit = np.zeros(len(key), bool)
-        hit[0] = bool(held) and met
-        hit[1:] |= same
-        hit[:-1] |= same
-        met = bool(hit[-1])
-        held = [both.slice(len(key) - 1)]
-        hit[-1] = False
-        yield both.select(["t1", "t2", "p"]).filter(pa.array(hit & (p >= 0)))
-    for last in held:
-        if met and last.column("p")[0].as_py() >= 0:
-            yield last.select(["t1", "t2", "p"])
+        tid, s, e = (batch.column(c).to_numpy() for c in ("tid", "s", "e"))
+        if last:
+            tid, s, e = (np.append(x, y) for x, y in zip(last, (tid, s, e), strict=True))
+        first = np.ones(len(tid), bool)
+        first[1:] = tid[1:] != tid[:-1]
+        group = np.cumsum(first) - 1
+        room = np.int64(1) << 40  # more than any text's bytes: one running maximum serves all texts
+        reach = np.maximum.accumulate(group * room + e) - group * room
+        new = first.copy()
+        new[1:] |= s[1:] > reach[:-1]
+        a = np.flatnonzero(new)
+        rows = tid[a], s[a], reach[np.append(a[1:], len(tid)) - 1]
+        last = tuple(x[-1:] for x in rows)
+        yield pa.RecordBatch.from_arrays([pa.array(x[:-1]) for x in rows], ["tid", "s", "e"])
+    if last:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], ["tid", "s", "e"])
 
 
 def _cut(length: int):
@@ -226,43 +361,62 @@ def _half(sha: str, part: int):
     return F.expr(f"cast(conv(hex(substring({sha}, {8 * part - 7}, 8)), 16, -10) as long)")
 
 
+def _suffixes_met(found: DataFrame, contents: DataFrame, length: int, gram: int) -> DataFrame:
+    """tid, p of the suffixes in chunks that share an anchor's gram with a chunk of other contents and have an equal."""
+    spark = found.sparkSession
+    several = durable(contents.groupBy("key").count().where("count > 1").select("key"))
+    todo = contents.join(several, "key", "left_semi").select("one.*", "n")
+    alone = F.col("n") == 1
+    per_text = todo.groupBy("tid").agg(F.collect_set(F.when(alone, F.col("j"))).alias("asked"), F.collect_set(F.when(~alone, F.col("j"))).alias("met"), F.sum("many").alias("many"))
+    per_text = durable(per_text)
+    size = per_text.agg(F.sum("many").alias("rows"), F.count("*").alias("texts")).first()
+    asked = found.select("tid", "text").join(per_text, "tid").select("tid", "text", "asked", "met")
+    kinds = "bucket long, lead long, then long, h long, tid long, p long"
+    share = min(1.0, max(SAMPLE_ROWS / max(1, size["rows"] or 0), SAMPLE_TEXTS / max(1, size["texts"])))
+    some = asked.where(F.pmod(F.xxhash64("tid"), F.lit(1 << 20)) < share * (1 << 20))
+    sample = map_batches(some, _suffix_rows(length, gram, None), kinds).select("lead", "then", "h", "tid").collect()
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size["rows"] or 0) // BUCKET_ROWS))
+    splitters = Splitters(np.array([tuple(r) for r in sample], np.int64), buckets)
+    dealt = map_batches(asked, _suffix_rows(length, gram, splitters), kinds).repartitionById(buckets, F.col("bucket").cast("int"))
+    return map_batches(dealt, _sorted_buckets(splitters), "tid long, p long")
+
+
 def passages_removed(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """Two frames: doc_id, sha, n_bytes, copies of each document; and sha, n_removed, n_spans, kept (bytes) of changed texts.
+    """Two frames: doc_id, sha, n_bytes, copies, n_shared of each document; and sha, n_removed, n_spans, kept (bytes) of changed texts.
 
-    Texts that have copies and `length` bytes or more lose everything; they are only in the first frame.
+    Texts that have copies and `length` bytes or more lose everything; they are only in the first frame. n_shared: how many of
+    the text's sampled word strings another document holds; a document that shares WORDS words in a row has one at least.
     """
     gram = length // 2
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     seen = durable(anchors(docs, length, gram))
     texts = durable(seen.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     rep = texts.select(F.col("sha").alias("rep_sha"), "rep")
-    reps = seen.join(rep, (F.col("sha") == F.col("rep_sha")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("sha", "keys")
-    spots = reps.select(_half("sha", 1).alias("t1"), F.posexplode("keys").alias("j", "key"))
+    reps = seen.join(rep, (F.col("sha") == F.col("rep_sha")) & F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates(["sha"])
+    both = F.concat(F.transform("keys", lambda k, j: F.struct(j.alias("j"), k.alias("key"))), F.transform("strings", lambda k: F.struct(F.lit(-1).alias("j"), k.alias("key"))))
+    spots = reps.select("sha", F.explode(both).alias("x")).select(_half("sha", 1).alias("t1"), "x.j", "x.key")
     twice = durable(spots.groupBy("key").count().where("count > 1").select("key"))
-    held = durable(spots.join(twice, "key", "left_semi").groupBy("t1").agg(F.collect_set("j").alias("js")))
-    held = texts.withColumn("t1", _half("sha", 1)).join(held, "t1").select("sha", "rep", "copies", "js")
+    gram_at, shared = F.when(F.col("j") >= 0, F.col("j")), F.count(F.when(F.col("j") < 0, 1))
+    held = durable(spots.join(twice, "key", "left_semi").groupBy("t1").agg(F.collect_set(gram_at).alias("js"), shared.alias("n_shared")))
+    texts = durable(texts.withColumn("t1", _half("sha", 1)).join(held, "t1", "left").select("sha", "rep", "copies", "js", F.coalesce("n_shared", F.lit(0)).alias("n_shared")))
 
     mine = docs.withColumn("sha0", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    found = mine.join(held, mine["doc_id"].eqNullSafe(held["rep"]) & (mine["sha0"] == held["sha"])).dropDuplicates(["sha"])
-    found = durable(found.select(_half("sha", 1).alias("t1"), _half("sha", 2).alias("t2"), "sha", "text", "js", "copies"))
-    chunks = map_batches(found.select("t1", "t2", "text", "js"), _chunk_rows(length, gram), "t1 long, t2 long, j long, key long, content long, p0 long, p1 long")
-    one = F.min(F.struct("t1", "t2", "j")).alias("one")
+    todo = texts.where(F.size("js") > 0).select("sha", "rep", "copies", "js")
+    found = mine.join(todo, mine["doc_id"].eqNullSafe(todo["rep"]) & (mine["sha0"] == todo["sha"])).dropDuplicates(["sha"])
+    found = durable(found.select(F.monotonically_increasing_id().alias("tid"), "sha", "text", "js", "copies"))
+    chunks = map_batches(found.select("tid", "text", "js"), _chunk_rows(length, gram), "tid long, j long, key long, content long, p0 long, p1 long")
+    one = F.min(F.struct("tid", "j", (F.col("p1") - F.col("p0") + 1).alias("many"))).alias("one")
     contents = durable(chunks.groupBy("key", "content").agg(F.count("*").alias("n"), one))
-    full = chunks.join(contents.where("n > 1").select("key", "content"), ["key", "content"], "left_semi").select("t1", "t2", F.col("p0").alias("s"), (F.col("p1") + length).alias("e"))
+    full = chunks.join(contents.where("n > 1").select("key", "content"), ["key", "content"], "left_semi").select("tid", F.col("p0").alias("s"), (F.col("p1") + length).alias("e"))
+    parts = _suffixes_met(found, contents, length, gram).select("tid", F.col("p").alias("s"), (F.col("p") + length).alias("e"))
 
-    several = durable(contents.groupBy("key").count().where("count > 1").select("key"))
-    todo = contents.join(several, "key", "left_semi").select("one.*", "n")
-    alone = F.col("n") == 1
-    per_text = todo.groupBy("t1", "t2").agg(F.collect_set(F.when(alone, F.col("j"))).alias("asked"), F.collect_set(F.when(~alone, F.col("j"))).alias("met"))
-    asked = found.select("t1", "t2", "text").join(durable(per_text), ["t1", "t2"]).select("t1", "t2", "text", "asked", "met")
-    rows = map_batches(asked, _window_rows(length, gram), "t1 long, t2 long, key long, h long, p long")
-    met = map_batches(rows.repartition("key", "h").sortWithinPartitions("key", "h"), _met, "t1 long, t2 long, p long")
-    parts = met.select("t1", "t2", F.col("p").alias("s"), (F.col("p") + length).alias("e"))
-
-    spans = full.unionByName(parts).groupBy("t1", "t2").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
-    changed = found.where("copies = 1").select("t1", "t2", "sha", "text").join(durable(spans), ["t1", "t2"]).select("sha", "text", "s", "e")
+    spans = map_batches(full.unionByName(parts).repartition("tid").sortWithinPartitions("tid", "s"), _merged, "tid long, s long, e long")
+    spans = spans.groupBy("tid").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
+    changed = found.where("copies = 1").select("tid", "sha", "text").join(durable(spans), "tid").select("sha", "text", "s", "e")
     changed = map_batches(changed, _cut(length), "sha binary, n_removed long, n_spans long, kept binary")
-    return seen.select("doc_id", "sha", "n_bytes").join(texts.select("sha", "copies"), "sha"), changed
+    shared = F.when(F.col("copies") > 1, F.greatest("n_strings", "n_shared")).otherwise(F.col("n_shared")).cast("long").alias("n_shared")
+    each = seen.select("doc_id", "sha", "n_bytes", F.size("strings").alias("n_strings")).join(texts.select("sha", "copies", "n_shared"), "sha")
+    return each.select("doc_id", "sha", "n_bytes", "copies", shared), changed
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,8 +426,9 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_gone = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     return rows.select(
         "doc_id",
-        "n_bytes",
         F.when(all_gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(all_gone, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", F.lit(0))).alias("n_spans"),
+        "n_shared",
+        "n_bytes",
         F.when(all_gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha")))).alias("kept_sha256"),
     )

@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyspark.llm import repeats as R
@@ -67,8 +69,6 @@ def test_segments_give_the_same(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts(7, 10) + ["".join(t or "" for t in texts(7, 40))])), "doc_id long, text string").coalesce(1)
     rows = df.collect()
     monkeypatch.setattr(R, "SEGMENT", 300)
-    import numpy as np
-
     for r in rows:
         raw = np.frombuffer((r.text or "").encode(), np.uint8)
         spans = [(int(s) + a, int(e) + a) for c, a in R._parts(raw, np.array([0, len(raw)]), 40, 20) for s, e in zip(c.p0, c.p1, strict=True)]
@@ -76,10 +76,72 @@ def test_segments_give_the_same(spark, monkeypatch):
 
 
 def test_query(odd, spark, tables):
-    got = Counter(tuple(r) for r in R.op3_suffix_dedup(spark, tables(odd)).collect())
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    got = Counter(tuple(r) for r in R.op3_suffix_dedup(spark, tables(odd)).select(*columns).collect())
     assert got == brute(odd.collect(), 400)
 
 
+@pytest.mark.parametrize("bucket_rows", [50, 1000])
+def test_many_buckets(spark, monkeypatch, bucket_rows):
+    """A passage in most texts: its equal suffixes fill many buckets, and every boundary cuts through some."""
+    monkeypatch.setattr(R, "BUCKET_ROWS", bucket_rows)
+    rnd = random.Random(9)
+    hot = "".join(rnd.choice("abcd") for _ in range(90))
+    rows = [(i, "".join(rnd.choice("xyz") for _ in range(rnd.randint(0, 30))) + hot[rnd.randint(0, 9) :] + str(i) * 3) for i in range(60)]
+    df = spark.createDataFrame(rows + [(99, None)], "doc_id long, text string").coalesce(3)
+    assert result(df, 40) == brute(df.collect(), 40)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_buckets_find_every_equal(seed):
+    """Random rows of few values: each row with an equal is found, whichever bucket either is in."""
+    rng = np.random.default_rng(seed)
+    n = 300
+    rows = rng.integers(-2, 3, (n, 3))
+    tid, p = np.arange(n) // 3, np.arange(n) % 3
+    cut = R.Splitters(np.column_stack([rows, tid])[rng.random(n) < 0.2], 40)
+    lead, then, h = (np.ascontiguousarray(rows[:, i]).view(np.uint64) for i in range(3))
+    bucket = cut.bucket(lead, then, h, tid.astype(np.uint64))
+    sent = [(b, *r, t, q) for b, r, t, q in zip(bucket, rows, tid, p, strict=True)]
+    told = set()
+    for i in np.flatnonzero(cut.alike(bucket - 1, lead, then, h)):
+        back = int(cut.bucket(lead[i : i + 1], then[i : i + 1], h[i : i + 1], np.zeros(1, np.uint64))[0])
+        if back not in told:
+            told.add(back)
+            sent.append((back, *rows[i], tid[i], -1))
+    got = set()
+    for b in {x[0] for x in sent}:
+        mine = np.array([x for x in sent if x[0] == b], np.int64)
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in mine.T], R.SUFFIX)
+        got |= {x for out in R._sorted_buckets(cut)(iter([batch])) for x in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)}
+    many = Counter(map(tuple, rows.tolist()))
+    assert got == {(int(t), int(q)) for r, t, q in zip(rows.tolist(), tid, p, strict=True) if many[tuple(r)] > 1}
+
+
+def test_shared_word_passages(spark):
+    """Documents that share WORDS words in a row are told, others aren't, though no string of 400 bytes is shared."""
+    rnd = random.Random(4)
+    new = lambda n: [rnd.choice("abcdefghij") + str(rnd.randint(0, 99)) for _ in range(n)]
+    passages = [new(R.WORDS) for _ in range(12)]
+    rows = []
+    for i in range(48):
+        words = new(rnd.randint(0, 80)) + passages[i % 12] + new(rnd.randint(0, 80))
+        rows.append((i, " ".join(words if i < 24 else new(150))))
+    rows += [(50, rows[30][1]), (51, " ".join(new(10))), (52, None), (53, " ".join(["again"] * 200))]
+    docs, _ = R.passages_removed(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2))
+    told = {r.doc_id for r in docs.collect() if r.n_shared}
+    assert told == {*range(24), 30, 50}
+
+
+def test_long_text(spark):
+    """A text of some megabytes that repeats a passage at its ends, over the borders of segments."""
+    rnd = random.Random(5)
+    body, passage = "".join(rnd.choices("abcdefgh ", k=2_600_000)), "".join(rnd.choices("ABCD ", k=700))
+    docs, changed = R.passages_removed(spark.createDataFrame([(1, passage + body + passage), (2, "short")], "doc_id long, text string"))
+    (row,) = changed.collect()
+    assert (row.n_removed, row.n_spans, bytes(row.kept).decode()) == (1400, 2, body) and docs.count() == 2
+
+
 def test_empty(empty):
     docs, changed = R.passages_removed(empty)
     assert docs.count() == changed.count() == 0
