@@ -8,13 +8,13 @@ and form a chunk. The work narrows in steps, each a count by key:
 2. Anchors whose gram occurs once can't belong to a repeated window and are dropped; only texts that have others go on.
 3. Chunks with equal contents: all their windows are repeated.
 4. The suffixes that start in the other chunks are sorted. Splitters sampled from them cut their order into ranges: by the
-   two leading tokens of eight bytes, then by a fingerprint of the `length` bytes, then by text, so that even equal suffixes
-   can be shared out. Each range is a bucket, sorted locally by multikey quicksort (a token at a time, only where the tokens
-   before tie) and compared with its neighbours; suffixes that equal the splitter below their bucket have a partner across
+   leading token of eight bytes, then by a fingerprint of the `length` bytes, then by text, so that even equal suffixes can be
+   shared out. Each range is a bucket, sorted locally by multikey quicksort (the fingerprint only where leading tokens
+   tie) and compared with its neighbours; suffixes that equal the splitter below their bucket have a partner across
    the boundary, and one copy of them goes back to meet it.
 
 Nothing is gathered by key: a passage in a third of all texts costs what its rows cost. The rest of a suffix isn't moved: at 400
-bytes for each start that would be 400 times the input, which is why a fingerprint stands for it behind the leading tokens.
+bytes for each start that would be 400 times the input, which is why a fingerprint stands for it behind the leading token.
 
 Beside the removal, the same count of keys tells which texts share a passage of WORDS words or more with another text, however
 few bytes those words have: strings of half as many words are sampled in the same way, and each is looked for elsewhere.
@@ -93,14 +93,14 @@ class Chunks:
         s, e = self.p0[i], self.p1[i] + self.length
         return _span(self.sums, s, e) ^ (e - s).astype(np.uint64)
 
-    def suffixes(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the windows of some chunks: start, first and second token of eight bytes, fingerprint of the whole."""
+    def suffixes(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the windows of some chunks: start, leading token of eight bytes, fingerprint of the whole."""
         many = self.p1[i] - self.p0[i] + 1
         p = np.repeat(self.p0[i] - np.cumsum(many) + many, many) + np.arange(many.sum())
-        tokens = np.zeros((2, len(p)), np.uint64)
-        for k in range(min(16, self.length)):
-            tokens[k // 8] = tokens[k // 8] << np.uint64(8) | self.data[p + k]
-        return p, tokens[0], tokens[1], _span(self.sums, p, p + self.length, 0x2545F4914F6CDD1D)
+        lead = np.zeros(len(p), np.uint64)
+        for k in range(min(8, self.length)):
+            lead = lead << np.uint64(8) | self.data[p + k]
+        return p, lead, _span(self.sums, p, p + self.length, 0x2545F4914F6CDD1D)
 
 
 def word_strings(data: np.ndarray, at: np.ndarray, words: int) -> list[np.ndarray]:
@@ -177,9 +177,13 @@ def _here(numbers: pa.Scalar, base: int, c: Chunks) -> np.ndarray:
     return np.sort(j[(j >= base) & (j < base + len(c.p0))]).astype(np.int64) - base
 
 
+NARROW = ("bucket", "p")  # a text has less than 2^31 bytes
+
+
 def _batch(rows: list[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*rows, strict=True)], names)
+        arrays = (np.concatenate(x) for x in zip(*rows, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32 if c in NARROW else np.int64)) for c, x in zip(names, arrays, strict=True)], names)
 
 
 def _chunk_rows(length: int, gram: int):
@@ -213,10 +217,10 @@ def multikey_order(words: list[np.ndarray]) -> np.ndarray:
 
 
 class Splitters:
-    """Sampled suffixes (lead, then, h, tid) that cut the order of all suffixes into buckets; each is the last of its bucket."""
+    """Sampled suffixes (lead, h, tid) that cut the order of all suffixes into buckets; each is the last of its bucket."""
 
     def __init__(self, rows: np.ndarray, buckets: int) -> None:
-        rows = rows.astype(np.int64).reshape(-1, 4).view(np.uint64)
+        rows = rows.astype(np.int64).reshape(-1, 3).view(np.uint64)
         rows = rows[multikey_order(list(rows.T))] if len(rows) else rows
         at = np.unique(np.arange(1, buckets) * len(rows) // buckets) if len(rows) else np.zeros(0, np.int64)
         rows = rows[at]
@@ -228,24 +232,24 @@ class Splitters:
 
     @staticmethod
     def _bytes(rows: np.ndarray) -> np.ndarray:
-        return np.ascontiguousarray(rows.astype(">u8")).view("S32").ravel()
+        return np.ascontiguousarray(rows.astype(">u8")).view("S24").ravel()
 
-    def bucket(self, lead: np.ndarray, then: np.ndarray, h: np.ndarray, tid: np.ndarray) -> np.ndarray:
+    def bucket(self, lead: np.ndarray, h: np.ndarray, tid: np.ndarray) -> np.ndarray:
         low = np.searchsorted(self.lead, lead, "left")
         tie = np.flatnonzero(low < np.searchsorted(self.lead, lead, "right"))
         if len(tie):
-            low[tie] = np.searchsorted(self.whole, self._bytes(np.stack([lead[tie], then[tie], h[tie], tid[tie]], 1)), "left")
+            low[tie] = np.searchsorted(self.whole, self._bytes(np.stack([lead[tie], h[tie], tid[tie]], 1)), "left")
         return low
 
-    def alike(self, i: np.ndarray, lead: np.ndarray, then: np.ndarray, h: np.ndarray) -> np.ndarray:
+    def alike(self, i: np.ndarray, lead: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Whether suffixes have the string of the splitters numbered i; -1 is none."""
         if not len(self.rows):
             return np.zeros(len(i), bool)
         r = self.rows[np.maximum(i, 0)]
-        return (i >= 0) & (r[:, 0] == lead) & (r[:, 1] == then) & (r[:, 2] == h)
+        return (i >= 0) & (r[:, 0] == lead) & (r[:, 1] == h)
 
 
-SUFFIX = ["bucket", "lead", "then", "h", "tid", "p"]
+SUFFIX = ["bucket", "lead", "h", "tid", "p"]
 
 
 def _suffix_rows(length: int, gram: int, splitters: Splitters | None):
@@ -264,21 +268,21 @@ def _suffix_rows(length: int, gram: int, splitters: Splitters | None):
                     mine = _here(batch.column(column)[row], base, c)
                     if not len(mine):
                         continue
-                    p, lead, then, h = c.suffixes(mine)
+                    p, lead, h = c.suffixes(mine)
                     tid = np.full(len(p), tids[row], np.uint64)
                     if splitters is None:
                         some = T.mix(tid * np.uint64(0x9FB21C651E98DF25) ^ (p + a).astype(np.uint64)) % np.uint64(SAMPLE_EACH) == 0
-                        rows.append(tuple(x[some].view(np.int64) for x in (np.zeros_like(lead), lead, then, h, tid, np.zeros_like(lead))))
+                        rows.append(tuple(x[some].view(np.int64) for x in (np.zeros_like(lead), lead, h, tid, np.zeros_like(lead))))
                     else:
-                        bucket = splitters.bucket(lead, then, h, tid)
+                        bucket = splitters.bucket(lead, h, tid)
                         at = p + a if column == "asked" else np.full(len(p), -1)
-                        rows.append((bucket, *(x.view(np.int64) for x in (lead, then, h, tid)), at))
-                        for i in np.flatnonzero(splitters.alike(bucket - 1, lead, then, h)).tolist():
+                        rows.append((bucket, *(x.view(np.int64) for x in (lead, h, tid)), at))
+                        for i in np.flatnonzero(splitters.alike(bucket - 1, lead, h)).tolist():
                             # equal splitters follow each other; the copy goes to the first of them
-                            back = int(splitters.bucket(lead[i : i + 1], then[i : i + 1], h[i : i + 1], np.zeros(1, np.uint64))[0])
+                            back = int(splitters.bucket(lead[i : i + 1], h[i : i + 1], np.zeros(1, np.uint64))[0])
                             if back not in told:
                                 told.add(back)
-                                rows.append((np.array([back]), *(x[i : i + 1].view(np.int64) for x in (lead, then, h, tid)), np.array([-1])))
+                                rows.append((np.array([back]), *(x[i : i + 1].view(np.int64) for x in (lead, h, tid)), np.array([-1])))
                     size += len(p)
                 if size > 100_000:
                     yield from _batch(rows, SUFFIX)
@@ -297,13 +301,11 @@ def _sorted_buckets(splitters: Splitters):
             return
         table = pa.Table.from_batches(held).combine_chunks()
         held.clear()
-        bucket, lead, then, h, tid, p = (table.column(c).to_numpy() for c in SUFFIX)
-        lead, then, h = (x.view(np.uint64) for x in (lead, then, h))
-        order = multikey_order([lead, then, h])
-        same = np.ones(len(order) - 1, bool)
-        for x in (lead, then, h):
-            same &= x[order][1:] == x[order][:-1]
-        hit = splitters.alike(bucket[order] - 1, lead[order], then[order], h[order])
+        bucket, lead, h, tid, p = (table.column(c).to_numpy() for c in SUFFIX)
+        lead, h = lead.view(np.uint64), h.view(np.uint64)
+        order = multikey_order([lead, h])
+        same = (lead[order][1:] == lead[order][:-1]) & (h[order][1:] == h[order][:-1])
+        hit = splitters.alike(bucket[order] - 1, lead[order], h[order])
         hit[1:] |= same
         hit[:-1] |= same
         found = order[hit & (p[order] >= 0)]
@@ -371,14 +373,14 @@ def _suffixes_met(found: DataFrame, contents: DataFrame, length: int, gram: int)
     per_text = durable(per_text)
     size = per_text.agg(F.sum("many").alias("rows"), F.count("*").alias("texts")).first()
     asked = found.select("tid", "text").join(per_text, "tid").select("tid", "text", "asked", "met")
-    kinds = "bucket long, lead long, then long, h long, tid long, p long"
+    kinds = "bucket int, lead long, h long, tid long, p int"
     share = min(1.0, max(SAMPLE_ROWS / max(1, size["rows"] or 0), SAMPLE_TEXTS / max(1, size["texts"])))
     some = asked.where(F.pmod(F.xxhash64("tid"), F.lit(1 << 20)) < share * (1 << 20))
-    sample = map_batches(some, _suffix_rows(length, gram, None), kinds).select("lead", "then", "h", "tid").collect()
+    sample = map_batches(some, _suffix_rows(length, gram, None), kinds).select("lead", "h", "tid").collect()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size["rows"] or 0) // BUCKET_ROWS))
     splitters = Splitters(np.array([tuple(r) for r in sample], np.int64), buckets)
-    dealt = map_batches(asked, _suffix_rows(length, gram, splitters), kinds).repartitionById(buckets, F.col("bucket").cast("int"))
-    return map_batches(dealt, _sorted_buckets(splitters), "tid long, p long")
+    dealt = map_batches(asked, _suffix_rows(length, gram, splitters), kinds).repartitionById(buckets, "bucket")
+    return map_batches(dealt, _sorted_buckets(splitters), "tid long, p int")
 
 
 def passages_removed(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
@@ -391,13 +393,13 @@ def passages_removed(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame,
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     seen = durable(anchors(docs, length, gram))
     texts = durable(seen.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    rep = texts.select(F.col("sha").alias("rep_sha"), "rep")
-    reps = seen.join(rep, (F.col("sha") == F.col("rep_sha")) & F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates(["sha"])
     both = F.concat(F.transform("keys", lambda k, j: F.struct(j.alias("j"), k.alias("key"))), F.transform("strings", lambda k: F.struct(F.lit(-1).alias("j"), k.alias("key"))))
-    spots = reps.select("sha", F.explode(both).alias("x")).select(_half("sha", 1).alias("t1"), "x.j", "x.key")
-    twice = durable(spots.groupBy("key").count().where("count > 1").select("key"))
-    gram_at, shared = F.when(F.col("j") >= 0, F.col("j")), F.count(F.when(F.col("j") < 0, 1))
-    held = durable(spots.join(twice, "key", "left_semi").groupBy("t1").agg(F.collect_set(gram_at).alias("js"), shared.alias("n_shared")))
+    spots = seen.select(_half("sha", 1).alias("t1"), F.explode(both).alias("x")).select("t1", "x.j", "x.key")
+    # in two texts, or at two places of one; copies of a text are one text
+    place = F.struct("t1", "j")
+    twice = durable(spots.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("key"))
+    gram_at, string = F.when(F.col("j") >= 0, F.col("j")), F.when(F.col("j") < 0, F.col("key"))
+    held = durable(spots.join(twice, "key", "left_semi").groupBy("t1").agg(F.collect_set(gram_at).alias("js"), F.size(F.collect_set(string)).alias("n_shared")))
     texts = durable(texts.withColumn("t1", _half("sha", 1)).join(held, "t1", "left").select("sha", "rep", "copies", "js", F.coalesce("n_shared", F.lit(0)).alias("n_shared")))
 
     mine = docs.withColumn("sha0", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
