@@ -36,7 +36,6 @@ from .components import components
 SAMPLES = 128
 BITS = 512  # of the parity bitmap
 BLOCK = 512
-NARROW = 1 << 12  # sets with fewer members travel as 32-bit members
 MISS = 1e-6  # chance at most that a pair at the threshold has no band in common
 
 _seed = np.random.default_rng(41)
@@ -143,15 +142,8 @@ def signatures(docs: DataFrame, size: int, rows: int) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *carried), run, kinds)
 
 
-def _packed(keys: np.ndarray) -> bytes:
-    """A set for transport: 4 bytes for each member below NARROW members, else 8; ascending."""
-    return keys.tobytes() if len(keys) >= NARROW else np.sort(keys.astype(np.uint32)).tobytes()
-
-
 def _common(x: np.ndarray, y: np.ndarray) -> int:
-    """How many members two unpacked sets share."""
-    if x.dtype != y.dtype:
-        x, y = np.sort(x.astype(np.uint32)), np.sort(y.astype(np.uint32))
+    """How many members two sets share."""
     if len(x) > len(y):
         x, y = y, x
     return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
@@ -168,7 +160,7 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
                 many = many[many > 0]
                 if len(many):
                     ends = np.cumsum(many)
-                    members = [_packed(keys[a:b]) for a, b in zip((ends - many).tolist(), ends.tolist(), strict=True)]
+                    members = [keys[a:b].tobytes() for a, b in zip((ends - many).tolist(), ends.tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(set_keys(keys, ends - many, many), pa.binary()), pa.array(many), pa.array(members, pa.binary())], ["key", "n", "members"])
 
     return map_batches(docs.select(F.col("text").cast("string")), run, "key binary, n long, members binary")
@@ -181,7 +173,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             yes = []
             for n, a, m, b in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist(), batch.column(5), strict=True):
-                both = _common(*(np.frombuffer(z.as_buffer(), np.uint64 if k >= NARROW else np.uint32) for z, k in ((a, n), (b, m))))
+                both = _common(*(np.frombuffer(z.as_buffer(), np.uint64) for z in (a, b)))
                 yes.append(100 * both >= percent * (n + m - both))
             yield batch.select([0, 1]).filter(pa.array(yes, pa.bool_()))
 
@@ -208,7 +200,7 @@ def _blocks_compared(most: int, percent: int):
         bands = np.stack(group["bands"].to_numpy()).astype(np.int64)
         here = int(np.flatnonzero(bands[0] == group["band"].iloc[0])[0])
         code = pd.factorize(pd.Series([bytes(x) for x in group["root"]]))[0]
-        members = [np.frombuffer(x, np.uint64 if k >= NARROW else np.uint32) for x, k in zip(group["members"], n, strict=True)]
+        members = [np.frombuffer(x, np.uint64) for x in group["members"]]
         left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
         us, vs = [], []
         for i in left.tolist():

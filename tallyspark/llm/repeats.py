@@ -395,8 +395,9 @@ def passages_removed(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame,
     texts = durable(seen.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     both = F.concat(F.transform("keys", lambda k, j: F.struct(j.alias("j"), k.alias("key"))), F.transform("strings", lambda k: F.struct(F.lit(-1).alias("j"), k.alias("key"))))
     spots = seen.select(_half("sha", 1).alias("t1"), F.explode(both).alias("x")).select("t1", "x.j", "x.key")
-    # in two texts, or at two places of one; copies of a text are one text
-    place = F.struct("t1", "j")
+    # in two texts, or at two places of one; copies of a text are one text. The sum stands for both: digests are random
+    place = F.try_add("t1", F.col("j").cast("long"))
+    place = F.coalesce(place, F.col("t1"))
     twice = durable(spots.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("key"))
     gram_at, string = F.when(F.col("j") >= 0, F.col("j")), F.when(F.col("j") < 0, F.col("key"))
     held = durable(spots.join(twice, "key", "left_semi").groupBy("t1").agg(F.collect_set(gram_at).alias("js"), F.size(F.collect_set(string)).alias("n_shared")))
