@@ -128,13 +128,15 @@ def row_id(*parts: Column | str) -> Column:
 
 
 def compact_number(x: Column | str) -> Column:
-    """K, M and B with one decimal, none where it is zero."""
+    """K, M and B with one decimal, none where it is zero. Rounded by the number's exact binary value, ties away from zero."""
     x = _c(x).cast("double")
+    a = F.abs(x)
 
     def cut(by: float, sign: str) -> Column:
-        return F.concat(F.regexp_replace(F.format_string("%.1f", x / by), r"\.0$", ""), F.lit(sign))
+        q = a / by
+        q = F.when((q * 4) % 2 == 1, q + 0.01).otherwise(q)  # .25 and .75 are the only exact ties; format_number sends them to even
+        return F.concat(F.when(x < 0, "-").otherwise(""), F.regexp_replace(F.call_function("format_number", q, F.lit("0.0")), r"\.0$", ""), F.lit(sign))
 
-    a = F.abs(x)
     return F.when(x.isNull(), "—").when(a >= 1e9, cut(1e9, "B")).when(a >= 1e6, cut(1e6, "M")).when(a >= 1e3, cut(1e3, "K")).otherwise(F.format_string("%.0f", x))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import scalars as S
 
 PARTS = ("input", "cached", "output", "reasoning")
+FOLD = 256  # lines of a session that are folded at once
 
 
 def collapse_snapshots_max(rows: DataFrame, scope: str = "file_path") -> DataFrame:
@@ -134,7 +135,6 @@ def counter_increments(lines: DataFrame) -> DataFrame:
     usage_type = "struct<input:bigint,cached:bigint,output:bigint,reasoning:bigint>"
     event = F.struct("line_no", "ts", "model", "replay", F.when(F.col("last").isNotNull(), _usage(F.col("last"))).alias("last"), F.when(F.col("total").isNotNull(), _usage(F.col("total"))).alias("total"))
     out_type = f"array<struct<line_no:bigint,ts:string,model:string,use:{usage_type}>>"
-    start = F.struct(F.lit(None).cast(usage_type).alias("prev"), F.lit(True).alias("leading"), F.lit(None).cast("string").alias("sec"), F.array().cast(out_type).alias("out"))
 
     def fold(a: Column, e: Column) -> Column:
         sec = F.coalesce(a["sec"], F.substring(e["ts"], 1, 19))
@@ -153,7 +153,15 @@ def counter_increments(lines: DataFrame) -> DataFrame:
         base = F.when(unchanged & ~copied | stale & ~copied, prev).otherwise(F.coalesce(total, prev))
         return F.struct(base.alias("prev"), (a["leading"] & copied).alias("leading"), F.when(e["replay"], sec).otherwise(a["sec"]).alias("sec"), F.when(keep, F.concat(a["out"], F.array(row))).otherwise(a["out"]).alias("out"))
 
+    # in chunks, so that an array that grows is never longer than a chunk, or than the number of chunks
+    chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size("events") / FOLD).cast("int") - 1), lambda k: F.slice("events", k * FOLD + 1, F.lit(FOLD)))
+    carry = F.struct(F.lit(None).cast(usage_type).alias("prev"), F.lit(True).alias("leading"), F.lit(None).cast("string").alias("sec"), F.array().cast(f"array<{out_type}>").alias("outs"))
+
+    def chunk(a: Column, events: Column) -> Column:
+        begin = F.struct(a["prev"].alias("prev"), a["leading"].alias("leading"), a["sec"].alias("sec"), F.array().cast(out_type).alias("out"))
+        return F.aggregate(events, begin, fold, lambda s: F.struct(s["prev"].alias("prev"), s["leading"].alias("leading"), s["sec"].alias("sec"), F.concat(a["outs"], F.array(s["out"])).alias("outs")))
+
     folded = lines.groupBy("file_path").agg(F.array_sort(F.collect_list(event)).alias("events"))
-    rows = folded.select("file_path", F.explode(F.aggregate("events", start, fold, lambda a: a["out"])).alias("r"))
+    rows = folded.select("file_path", F.explode(F.aggregate(chunks, carry, chunk, lambda a: F.flatten(a["outs"]))).alias("r"))
     i, read = S.split_cached(F.col("r.use.input"), F.col("r.use.cached"))
     return rows.select("file_path", "r.line_no", "r.ts", "r.model", i.alias("input_tokens"), F.col("r.use.output").alias("output_tokens"), F.lit(0).cast("long").alias("cache_creation_tokens"), read.alias("cache_read_tokens"), F.col("r.use.reasoning").alias("reasoning_output_tokens"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RATE = "decimal(18,12)"
+RATE, MONEY = "decimal(18,12)", "decimal(31,12)"
 TIER_SIZES = {"128k": 128_000, "200k": 200_000, "256k": 256_000, "272k": 272_000}
 #: Which counters have which tiers.
 TIERS = {"input": ("128k", "200k", "256k", "272k"), "output": ("128k", "200k", "256k", "272k"), "cache_read": ("200k", "272k"), "cache_write": ("200k",)}
@@ -50,10 +50,10 @@ def model_candidates(models: DataFrame) -> DataFrame:
 
 def read_price_dim(prices: DataFrame) -> DataFrame:
     """Prices with all rate columns as exact decimals; entries without an input and an output price are no prices."""
+    rate = {c: F.col(c).cast(RATE) if c in prices.columns else F.lit(None).cast(RATE) for c in RATES}
+    rate |= {c: F.coalesce(rate[c], F.lit(0).cast(RATE)) for c in TIERS}
     out = prices.where(F.col("input").isNotNull() | F.col("output").isNotNull())
-    for c in RATES:
-        out = out.withColumn(c, F.col(c).cast(RATE) if c in prices.columns else F.lit(None).cast(RATE))
-    return out.select("dataset", "model_key", *RATES).withColumns({c: F.coalesce(c, F.lit(0).cast(RATE)) for c in TIERS})
+    return out.select("dataset", "model_key", *(x.alias(c) for c, x in rate.items()))
 
 
 def _hits(names: DataFrame, dim: DataFrame, bare: bool) -> DataFrame:
@@ -108,22 +108,27 @@ def resolve_prices(models: DataFrame, dim: DataFrame, first: DataFrame | None =
     return out.select(*on, "rates")
 
 
+def _exact(n: Column, price: Column) -> Column:
+    """Any count of tokens times a rate: 19 digits hold every long."""
+    return (n.cast("decimal(19,0)") * price).cast(MONEY)
+
+
 def _part(tokens: Column, rates: str, kind: str, tiered: bool) -> Column:
     """Graduated price of one counter: up to each tier at the running price. A tier without a price is skipped."""
     price = lambda c: F.greatest(F.coalesce(F.col(f"{rates}.{c}"), F.lit(0)), F.lit(0)).cast(RATE)
     n = F.greatest(F.coalesce(tokens, F.lit(0)), F.lit(0)).cast("long")
     if not tiered:
-        return n.cast("decimal(12,0)") * price(kind)
+        return _exact(n, price(kind))
     steps = [(TIER_SIZES[t], f"{kind}_above_{t}") for t in TIERS[kind]]
     total, lower, running = None, F.lit(0).cast("long"), price(kind)
     for size, c in steps:
         has = F.col(f"{rates}.{c}").isNotNull()
-        spent = (F.greatest(F.least(n, F.lit(size)) - lower, F.lit(0))).cast("decimal(12,0)") * running
-        spent = F.when(has, spent).otherwise(F.lit(0).cast("decimal(31,12)"))
+        spent = _exact(F.greatest(F.least(n, F.lit(size)) - lower, F.lit(0)), running)
+        spent = F.when(has, spent).otherwise(F.lit(0).cast(MONEY))
         total = spent if total is None else total + spent
         lower = F.when(has, F.lit(size).cast("long")).otherwise(lower)
         running = F.when(has, price(c)).otherwise(running)
-    rest = F.greatest(n - lower, F.lit(0)).cast("decimal(12,0)") * running
+    rest = _exact(F.greatest(n - lower, F.lit(0)), running)
     return rest if total is None else total + rest
 
 
@@ -138,13 +143,15 @@ def cost(rates: str = "rates", tiered: bool = True, counters: dict[str, Column]
     total = _part(c["input"], rates, "input", tiered)
     for kind in ("output", "cache_read", "cache_write"):
         total = total + _part(c[kind], rates, kind, tiered)
-    return F.coalesce(total, F.lit(0)).cast("decimal(31,12)")
+    return F.coalesce(total, F.lit(0)).cast(MONEY)
 
 
 def join_prices(facts: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Facts with `rates`. The resolved table has a row for each model in use, so it is broadcast."""
-    small = F.broadcast(resolved.select("model", "rates").dropDuplicates(["model"]))
-    return facts.join(small, "model", "left")
+    """Facts (with model and provider; without one it is null) with `rates`. The resolved table has a row for each pair in use, so it is broadcast."""
+    if "provider" not in facts.columns:
+        facts = facts.withColumn("provider", F.lit(None).cast("string"))
+    small = F.broadcast(resolved.select(F.col("model").alias("_m"), F.col("provider").alias("_p"), "rates"))
+    return facts.join(small, (F.col("model") == F.col("_m")) & F.col("provider").eqNullSafe(F.col("_p")), "left").drop("_m", "_p")
 
 
 def cache_savings(rates: str = "rates") -> Column:
@@ -153,13 +160,13 @@ def cache_savings(rates: str = "rates") -> Column:
     cached = F.col("cache_read_tokens") + F.col("cache_creation_tokens")
     zero = F.lit(0).cast("long")
     plain = cost(rates, counters={"input": F.col("input_tokens") + cached, "output": think, "cache_read": zero, "cache_write": zero})
-    return F.when(cached > 0, F.greatest(plain - cost(rates), F.lit(0).cast("decimal(31,12)"))).otherwise(F.lit(0).cast("decimal(31,12)"))
+    return F.when(cached > 0, F.greatest(plain - cost(rates), F.lit(0).cast(MONEY))).otherwise(F.lit(0).cast(MONEY))
 
 
 def effective_cost(computed: Column, recorded: Column, policy: str) -> Column:
     """computed-first, recorded-first or computed-only."""
     some = lambda x: F.when(x > 0, x)
-    zero = F.lit(0).cast("decimal(31,12)")
+    zero = F.lit(0).cast(MONEY)
     if policy == "computed-only":
         return computed
     a, b = (computed, recorded) if policy == "computed-first" else (recorded, computed)
@@ -181,8 +188,3 @@ def normalise_price_feed(feed: DataFrame) -> DataFrame:
     number = lambda x: F.when(x.try_cast(RATE) >= 0, x.try_cast(RATE))
     out = feed.select("model_key", F.coalesce(number(own["prompt"]), number(F.col("list_prompt"))).alias("input"), F.coalesce(number(own["completion"]), number(F.col("list_completion"))).alias("output"))
     return out.where("input IS NOT NULL AND output IS NOT NULL").select(F.lit("d2").alias("dataset"), "*")
-
-
-def rank_rates(found: DataFrame, keys: list[str]) -> DataFrame:
-    """Of several candidate rows the best by rank."""
-    return found.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy("rank"))).where("_place = 1").drop("_place")

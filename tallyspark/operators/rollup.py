@@ -31,9 +31,10 @@ def rollup_sessions(usage: DataFrame) -> DataFrame:
 
 
 def rollup_flat_repriced(usage: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Daily roll-up whose cost is the flat price of the summed tokens, not the sum of event costs."""
-    days = usage.groupBy("device", "source", "usage_date", "model").agg(*sums(()))
-    return P.join_prices(days, resolved).withColumn("cost", P.cost(tiered=False)).drop("rates")
+    """Daily roll-up whose cost is the flat price of the summed tokens of each provider, not the sum of event costs."""
+    keys = ["device", "source", "usage_date", "model"]
+    days = P.join_prices(usage.groupBy(*keys, "provider").agg(*sums(())), resolved).withColumn("cost", P.cost(tiered=False))
+    return days.groupBy(*keys).agg(*sums())
 
 
 def hourly_cube(usage: DataFrame, zone: str) -> DataFrame:

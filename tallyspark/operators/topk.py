@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.operators import pricing as P
+from tallyspark.operators.stages import checkpointed
 from tallyspark.operators.totals import zero
 
 
@@ -62,5 +63,19 @@ def sort_any_column(rows: DataFrame, column: str, descending: bool = False, tie:
     return rows.orderBy(key.desc() if descending else key.asc(), *([tie] if tie else []))
 
 
+def numbered(rows: DataFrame, name: str = "place") -> DataFrame:
+    """Sorted rows with their place from 1: each partition's rows before it are summed, so no window holds all rows.
+
+    The order is checkpointed first, as ranges sampled anew could fall otherwise.
+    """
+    inside = F.lit((1 << 33) - 1)  # of a row's id: its place in its partition; the partition stands above
+    rows = checkpointed(rows.withColumn("_row", F.monotonically_increasing_id()))
+    parts = rows.groupBy(F.shiftright("_row", 33).alias("_part")).count()
+    before = F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each partition
+    parts = parts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    out = rows.withColumn("_part", F.shiftright("_row", 33)).join(F.broadcast(parts), "_part")
+    return out.withColumn(name, F.col("_before") + F.col("_row").bitwiseAND(inside) + 1).drop("_row", "_part", "_before")
+
+
 def latest_sync(runs: DataFrame) -> DataFrame:
     return runs.agg(F.max_by("collected_at", "id").alias("collected_at"))

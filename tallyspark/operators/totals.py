@@ -63,9 +63,10 @@ def aggregate_by_key(rows: DataFrame, key: str) -> DataFrame:
 
 
 def with_share(rows: DataFrame, column: str = "total") -> DataFrame:
-    """Per cent of the sum over all rows; the rows are few by then."""
-    total = F.sum(column).over(whole())
-    return rows.withColumn("share", F.col(column).cast("double") / F.when(total == 0, 1).otherwise(total) * 100)
+    """Per cent of the sum over all rows: one row with the sum goes to all, no window holds them."""
+    total = rows.agg(F.sum(column).alias("_sum"))
+    share = F.col(column).cast("double") / F.when(F.col("_sum") == 0, 1).otherwise(F.col("_sum")) * 100
+    return rows.crossJoin(F.broadcast(total)).withColumn("share", share).drop("_sum")
 
 
 def by_source_device(rows: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ SELECT 'dev-' || CAST(user_id % 4 AS STRING) AS device, event_type AS source, CA
   ts AS event_time, CAST(ts AS DATE) AS usage_date, event_id,
   CASE event_id % 8 WHEN 0 THEN 'm-alpha-4-5-20250101' WHEN 1 THEN 'M-Alpha-4-5' WHEN 2 THEN 'm-beta-2(high)' WHEN 3 THEN 'm-beta-2'
     WHEN 4 THEN 'vendor/m-gamma-1' WHEN 5 THEN 'm-gamma-1-preview' WHEN 6 THEN 'm-unpriced' ELSE 'm-delta' END AS raw_model,
+  CASE WHEN event_id % 16 = 3 THEN 'resold' END AS provider,
   'proj-' || CAST(user_id % 7 AS STRING) AS project_path,
   'sess-' || CAST(user_id AS STRING) || '-' || CAST(CAST(ts AS DATE) AS STRING) AS session_id, user_id,
   CAST(floor(value * 100) AS BIGINT) AS input_tokens, (event_id * 7919) % 5000 AS output_tokens,
@@ -34,6 +35,7 @@ SELECT dataset, model_key, CAST(i AS DECIMAL(18,12)) AS input, CAST(o AS DECIMAL
 FROM (VALUES
   ('d1', 'm-alpha-4.5', '0.000003', '0.000015', '0.0000003', '0.00000375', NULL, '0.0000006'),
   ('d1', 'openai/m-beta-2', '0.00000175', '0.000014', '0.000000175', '0', NULL, NULL),
+  ('d1', 'resold/m-beta-2', '0.000002', '0.000016', '0.0000002', '0.0000025', NULL, NULL),
   ('d1', 'm-gamma-1', '0.00000125', '0.00001', '0', '0', NULL, NULL),
   ('d2', 'vendor/m-gamma-1', '0.0000012', '0.0000096', '0.00000012', '0.0000015', NULL, NULL),
   ('d1', 'm-delta', '0.000000435', '0.00000087', '0.000000003625', '0', '0.00000087', '0.00000000725'),
@@ -43,16 +45,18 @@ FROM (VALUES
 MODEL_SQL = r"""regexp_replace(regexp_replace(lower(trim(raw_model)), '\((minimal|low|medium|high|xhigh|none|auto)\)$', ''), '-[0-9]{8}$', '')"""
 TOTAL_SQL = "input_tokens + output_tokens + cache_creation_tokens + cache_read_tokens + CASE WHEN source = 'error' THEN 0 ELSE reasoning_output_tokens END"
 #: The listed price that each grouped model resolves to; worked out by hand from the rules.
-RATE_KEYS = "(VALUES ('m-alpha-4-5', 'd1', 'm-alpha-4.5'), ('m-beta-2', 'd1', 'openai/m-beta-2'), ('vendor/m-gamma-1', 'd2', 'vendor/m-gamma-1'), ('m-gamma-1-preview', 'd2', 'vendor/m-gamma-1'), ('m-delta', 'd1', 'm-delta')) AS k(model, dataset, model_key)"
+RATE_KEYS = "(VALUES ('m-alpha-4-5', NULL, 'd1', 'm-alpha-4.5'), ('m-beta-2', NULL, 'd1', 'openai/m-beta-2'), ('m-beta-2', 'resold', 'd1', 'resold/m-beta-2'), ('vendor/m-gamma-1', NULL, 'd2', 'vendor/m-gamma-1'), ('m-gamma-1-preview', NULL, 'd2', 'vendor/m-gamma-1'), ('m-delta', NULL, 'd1', 'm-delta')) AS k(model, provider, dataset, model_key)"
+#: One model can have several providers, each with its own price.
+SAME = "r.model = n.model AND r.provider IS NOT DISTINCT FROM n.provider"
 
 
 def _tiered(n: str, price: str, size: int, above: str) -> str:
-    d = lambda x: f"CAST({x} AS DECIMAL(12,0))"
+    d = lambda x: f"CAST({x} AS DECIMAL(19,0))"
     return f"CASE WHEN {above} IS NULL THEN {d(n)} * {price} ELSE {d(f'least({n}, {size})')} * {price} + {d(f'greatest({n} - {size}, 0)')} * {above} END"
 
 
 def cost_sql(i: str = "input_tokens", o: str = "(output_tokens + reasoning_output_tokens)", r: str = "cache_read_tokens", w: str = "cache_creation_tokens", tiered: bool = True) -> str:
-    flat = lambda n, p: f"CAST({n} AS DECIMAL(12,0)) * {p}"
+    flat = lambda n, p: f"CAST({n} AS DECIMAL(19,0)) * {p}"
     a = _tiered(i, "r.input", 128_000, "r.input_above_128k") if tiered else flat(i, "r.input")
     b = _tiered(r, "r.cache_read", 200_000, "r.cache_read_above_200k") if tiered else flat(r, "r.cache_read")
     return f"coalesce({a} + {flat(o, 'r.output')} + {b} + {flat(w, 'r.cache_write')}, 0)"
@@ -60,9 +64,9 @@ def cost_sql(i: str = "input_tokens", o: str = "(output_tokens + reasoning_outpu
 
 #: Start of every comparison query: usage_raw, price_dim, rates, usage (with model, total_tokens, cost), daily, session.
 BASE = f"""WITH usage_raw AS ({USAGE_RAW}), price_dim AS ({PRICE_DIM}),
-rates AS (SELECT k.model, p.* EXCLUDE (dataset, model_key) FROM {RATE_KEYS} JOIN price_dim p ON p.dataset = k.dataset AND p.model_key = k.model_key),
+rates AS (SELECT k.model, k.provider, p.* EXCLUDE (dataset, model_key) FROM {RATE_KEYS} JOIN price_dim p ON p.dataset = k.dataset AND p.model_key = k.model_key),
 named AS (SELECT *, {MODEL_SQL} AS model, {TOTAL_SQL} AS total_tokens FROM usage_raw),
-usage AS (SELECT n.*, {cost_sql()} AS cost FROM named n LEFT JOIN rates r ON r.model = n.model),
+usage AS (SELECT n.*, {cost_sql()} AS cost FROM named n LEFT JOIN rates r ON {SAME}),
 daily AS (SELECT device, source, usage_date, model, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
   CAST(sum(cache_creation_tokens) AS BIGINT) AS cache_creation_tokens, CAST(sum(cache_read_tokens) AS BIGINT) AS cache_read_tokens,
   CAST(sum(reasoning_output_tokens) AS BIGINT) AS reasoning_output_tokens, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, sum(cost) AS cost,
@@ -100,8 +104,7 @@ def named(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolved(spark: SparkSession, facts: DataFrame) -> DataFrame:
-    models = facts.select("model").distinct().withColumn("provider", F.lit(None).cast("string"))
-    return P.resolve_prices(models, P.read_price_dim(price_dim(spark)))
+    return P.resolve_prices(facts.select("model", "provider").distinct(), P.read_price_dim(price_dim(spark)))
 
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:

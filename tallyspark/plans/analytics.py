@@ -185,7 +185,7 @@ def rollup_workspace_model(spark, d):
     return _publish(R.rollup_workspace_model(U.usage(spark, d)))
 
 
-@query("A03_rollup_flat_repriced", f", g AS (SELECT device, source, usage_date, model, {_SUMS} FROM usage GROUP BY 1, 2, 3, 4) SELECT g.*, {dbl(U.cost_sql(tiered=False))} AS cost_usd FROM g LEFT JOIN rates r ON r.model = g.model")
+@query("A03_rollup_flat_repriced", f", g AS (SELECT device, source, usage_date, model, provider, {_SUMS} FROM usage GROUP BY 1, 2, 3, 4, 5), p AS (SELECT g.*, {U.cost_sql(tiered=False)} AS cost FROM g LEFT JOIN rates r ON r.model = g.model AND r.provider IS NOT DISTINCT FROM g.provider) SELECT device, source, usage_date, model, {_SUMS}, {dbl('sum(cost)')} AS cost_usd FROM p GROUP BY 1, 2, 3, 4")
 def rollup_flat(spark, d):
     named = U.named(spark, d)
     return _publish(R.rollup_flat_repriced(named, U.resolved(spark, named)))
@@ -326,11 +326,11 @@ def rolling_mean(spark, d):
 
 @query(
     "W03_growth",
-    f", g AS (SELECT usage_date, CAST(sum(total_tokens) AS BIGINT) AS t, row_number() OVER (ORDER BY usage_date DESC) AS r FROM usage WHERE user_id % 5 = 0 AND day(event_time) NOT IN (4, 5, 11, 18, 19, 20) GROUP BY 1), x AS (SELECT sum(t) FILTER (r = 1) AS d1, sum(t) FILTER (r = 2) AS d0, sum(t) FILTER (r <= 7) AS w1, sum(t) FILTER (r BETWEEN 8 AND 14) AS w0, sum(t) FILTER (r <= 30) AS m1, sum(t) FILTER (r BETWEEN 31 AND 60) AS m0, CAST(round(CAST(sum(t) AS DOUBLE) / count(*)) AS BIGINT) AS mean FROM g) "
+    f", g AS (SELECT usage_date, CAST(sum(total_tokens) AS BIGINT) AS t, row_number() OVER (ORDER BY usage_date DESC) AS r FROM usage GROUP BY 1), x AS (SELECT sum(t) FILTER (r = 1) AS d1, sum(t) FILTER (r = 2) AS d0, sum(t) FILTER (r <= 7) AS w1, sum(t) FILTER (r BETWEEN 8 AND 14) AS w0, sum(t) FILTER (r <= 30) AS m1, sum(t) FILTER (r BETWEEN 31 AND 60) AS m0, CAST(round(CAST(sum(t) AS DOUBLE) / count(*)) AS BIGINT) AS mean FROM g) "
     "SELECT CASE WHEN d0 <> 0 THEN CAST(d1 - d0 AS DOUBLE) / CAST(d0 AS DOUBLE) * 100 END AS day, CASE WHEN w0 <> 0 THEN CAST(w1 - w0 AS DOUBLE) / CAST(w0 AS DOUBLE) * 100 END AS week, CASE WHEN m0 <> 0 THEN CAST(m1 - m0 AS DOUBLE) / CAST(m0 AS DOUBLE) * 100 END AS month, mean, (SELECT usage_date FROM g ORDER BY t DESC, usage_date LIMIT 1) AS best_day FROM x",
 )
 def growth(spark, d):
-    return W.growth(U.named(spark, d).where("user_id % 5 = 0 AND day(event_time) NOT IN (4, 5, 11, 18, 19, 20)"))
+    return W.growth(U.named(spark, d))
 
 
 @query("W04_delta_pct", f"{_KEY2('source')} SELECT key, delta FROM ab")
@@ -355,11 +355,12 @@ def compare_instants(spark, d):
 
 @query(
     "W08_streaks",
-    f", {_SPINE}, v AS (SELECT s.usage_date, coalesce(sum(total_tokens), 0) AS value FROM spine s LEFT JOIN (SELECT * FROM usage WHERE user_id % 5 = 0 AND day(event_time) NOT IN (4, 5, 11, 18, 19)) u ON u.usage_date = s.usage_date GROUP BY 1), i AS (SELECT usage_date, usage_date - CAST(row_number() OVER (ORDER BY usage_date) AS INTEGER) AS island FROM v WHERE value > 0), r AS (SELECT count(*) AS n, max(usage_date) AS last_day FROM i GROUP BY island) "
+    f", {_SPINE}, v AS (SELECT s.usage_date, coalesce(sum(CASE WHEN day(event_time) IN (4, 5, 11, 18, 19) THEN 0 ELSE total_tokens END), 0) AS value FROM spine s LEFT JOIN usage u ON u.usage_date = s.usage_date GROUP BY 1), i AS (SELECT usage_date, usage_date - CAST(row_number() OVER (ORDER BY usage_date) AS INTEGER) AS island FROM v WHERE value > 0), r AS (SELECT count(*) AS n, max(usage_date) AS last_day FROM i GROUP BY island) "
     "SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS active, coalesce(max(n), 0) AS longest, coalesce(max(n) FILTER (last_day = DATE '2024-01-20'), 0) AS current FROM r",
 )
 def streaks(spark, d):
-    rows = U.named(spark, d).where("user_id % 5 = 0 AND day(event_time) NOT IN (4, 5, 11, 18, 19)")
+    """Events of some days count nothing, which makes the gaps."""
+    rows = U.named(spark, d).withColumn("total_tokens", F.when(F.dayofmonth("event_time").isin(4, 5, 11, 18, 19), 0).otherwise(F.col("total_tokens")))
     return W.streaks(W.series(spark, rows, START, END))
 
 
@@ -422,12 +423,10 @@ def latest_runs(spark, d):
     return K.latest_runs(U.usage_raw(spark, d).select(F.col("event_id").alias("id"), "device"))
 
 
-@query("K08_sort_any_column", "SELECT event_key, raw_model, CAST(row_number() OVER (ORDER BY lower(raw_model) DESC, event_key) AS INTEGER) AS place FROM usage_raw WHERE event_id % 50 = 0")
+@query("K08_sort_any_column", "SELECT event_key, raw_model, row_number() OVER (ORDER BY lower(raw_model) DESC, event_key) AS place FROM usage_raw")
 def sort_any_column(spark, d):
-    from pyspark.sql import Window
-
-    rows = U.usage_raw(spark, d).where("event_id % 50 = 0").select("event_key", "raw_model")
-    return K.sort_any_column(rows, "raw_model", True, "event_key").withColumn("place", F.row_number().over(Window.orderBy(F.lower("raw_model").desc(), "event_key")))
+    rows = U.usage_raw(spark, d).select("event_key", "raw_model")
+    return K.numbered(K.sort_any_column(rows, "raw_model", True, "event_key"))
 
 
 @query("K09_latest_sync", "SELECT arg_max(event_time, event_id) AS collected_at FROM usage_raw")
@@ -458,7 +457,19 @@ def growth_project(spark, d):
     return I.insight_growth_project(_period(spark, d), _prior(spark, d))
 
 
-@query("I05_insights", None)
+_FINDINGS = (
+    f", now AS (SELECT * FROM daily WHERE {_IN}), g AS (SELECT usage_date, CAST(sum(total_tokens) AS BIGINT) AS t FROM now GROUP BY 1 HAVING sum(total_tokens) > 0), "
+    "spike AS (SELECT 1 AS ord, 'spike_day' AS kind, CAST(usage_date AS VARCHAR) AS subject, ratio AS value FROM (SELECT usage_date, CAST(t AS DOUBLE) / (CAST((SELECT sum(t) FROM g) AS DOUBLE) / (SELECT count(*) FROM g)) AS ratio FROM g ORDER BY t DESC, usage_date LIMIT 1) WHERE ratio > 2.2), "
+    f"s AS (SELECT source, CAST(sum(total_tokens) AS BIGINT) AS t, {dbl('sum(cost)')} AS c FROM now GROUP BY 1), q AS (SELECT *, c / (CAST(t AS DOUBLE) / CAST(1000000 AS DOUBLE)) AS rate, row_number() OVER (ORDER BY c DESC, source) AS p FROM s WHERE c > 0 AND t > 0), "
+    "gap AS (SELECT 2, 'unit_cost_gap', a.source, a.rate FROM q a, q b WHERE a.p = 1 AND b.p = 2 AND a.rate > CAST(1.6 AS DOUBLE) * b.rate), "
+    f"x AS (SELECT {_L('cache_read_tokens')} AS r1, {_L('total_tokens')} AS t1 FROM now), y AS (SELECT {_L('cache_read_tokens')} AS r0, {_L('total_tokens')} AS t0 FROM daily WHERE {_BEFORE}), "
+    f"shift AS (SELECT 3, 'cache_shift', 'all', {_PCT('r1', 't1')} - {_PCT('r0', 't0')} FROM x, y WHERE t0 > 0 AND abs({_PCT('r1', 't1')} - {_PCT('r0', 't0')}) > 2.0), "
+    f"{_KEY2('project_path').strip().removeprefix(',')}, growth AS (SELECT 4, 'growth_project', key, delta FROM ab WHERE before > 0 AND delta > 50 AND total > 100000 ORDER BY delta DESC, key LIMIT 1) "
+    "SELECT * FROM (SELECT * FROM spike UNION ALL SELECT * FROM gap UNION ALL SELECT * FROM shift UNION ALL SELECT * FROM growth) ORDER BY ord LIMIT 4"
+)
+
+
+@query("I05_insights", _FINDINGS)
 def insights(spark, d):
     return I.insights(_period(spark, d), _prior(spark, d))
 

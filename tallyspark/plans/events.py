@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from tallyspark.operators import merge as M
 from tallyspark.operators import normalize as D
 from tallyspark.operators import pricing as P
 from tallyspark.operators import rollup as R
+from tallyspark.operators.stages import scratch
 from tallyspark.plans import adapter as U
 from tallyspark.plans.adapter import BASE, dbl
 from tallyspark.sources import readers
@@ -41,16 +41,6 @@ def _now():
     return F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for intermediate files: in the shared checkpoint folder if the session names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        import uuid
-
-        return f"{shared}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"{name}-")
-
-
 # --- names, times, keys -------------------------------------------------------------------------------------------------
 
 
@@ -165,7 +155,10 @@ def display_time(spark, d):
     return U.usage_raw(spark, d).select("event_key", S.display_time("event_time", U.ZONE).alias("shown"))
 
 
-@query("X15_compact_number", None)
+_SHOWN = lambda by, sign: f"regexp_replace(printf('%.1f', CASE WHEN x / {by} * 4 % 2 = 1 THEN x / {by} + 0.01 ELSE x / {by} END), '\\.0$', '') || '{sign}'"
+
+
+@query("X15_compact_number", f"SELECT event_key, CASE WHEN x >= 1e9 THEN {_SHOWN('1e9', 'B')} WHEN x >= 1e6 THEN {_SHOWN('1e6', 'M')} WHEN x >= 1e3 THEN {_SHOWN('1e3', 'K')} ELSE printf('%.0f', x) END AS shown FROM (SELECT event_key, CAST(cache_read_tokens AS DOUBLE) AS x FROM usage_raw)")
 def compact_number(spark, d):
     return U.usage_raw(spark, d).select("event_key", S.compact_number("cache_read_tokens").alias("shown"))
 
@@ -173,14 +166,33 @@ def compact_number(spark, d):
 # --- prices -------------------------------------------------------------------------------------------------------------
 
 
-@query("P01_model_candidates", None)
+def _candidates_sql() -> str:
+    """The rules for listed names as list functions: whole and bare name, dotted versions, then shorter and later parts."""
+    bare = lambda x: f"string_split({x}, '/')[-1]"
+    dotted = lambda x: f"regexp_replace({x}, '(^|[^0-9])([0-9])-([0-9])($|[^0-9])', '\\1\\2.\\3\\4', 'g')"
+    parts = lambda x: f"string_split({x}, '-')"
+    long = lambda x: f"list_filter({x}, lambda y: length(y) >= 2)"
+    shorter = lambda x: long(f"list_transform(range(1, least(len({parts(x)}) - 1, 4) + 1), lambda k: array_to_string({parts(x)}[1:len({parts(x)}) - k], '-'))")
+    later = lambda x: long(f"list_transform(range(1, least(len({parts(x)}) - 1, 2) + 1), lambda k: array_to_string({parts(x)}[k + 1:len({parts(x)})], '-'))")
+    tails = lambda x: f"flatten(list_transform({later(x)}, lambda t: list_concat([t], {shorter('t')})))"
+    ids = f"list_concat([m, b, {dotted('m')}, {dotted('b')}], {shorter('m')}, {shorter('b')}, {tails('m')}, {tails('b')})"
+    first = lambda x: f"list_filter({x}, lambda y, i: list_position({x}, y) = i)"
+    named = f"CASE WHEN p IS NULL THEN [c, {bare('c')}] ELSE [p || '/' || {bare('c')}, c, {bare('c')}] END"
+    return (
+        f", base AS (SELECT DISTINCT model AS m, {bare('lower(model)')} AS b, provider AS p FROM named), ids AS (SELECT m, p, {ids} AS l FROM base), one AS (SELECT m, p, {first('l')} AS l FROM ids), "
+        f"forms AS (SELECT m, p, flatten(list_transform(l, lambda c: {named})) AS l FROM one), kept AS (SELECT m, p, list_filter({first('l')}, lambda y: y <> '') AS l FROM forms) "
+        "SELECT m AS model, p AS provider, CAST(unnest(range(len(l))) AS INTEGER) AS rank, unnest(l) AS candidate FROM kept"
+    )
+
+
+@query("P01_model_candidates", _candidates_sql())
 def model_candidates(spark, d):
-    return P.model_candidates(U.named(spark, d).select("model").distinct().withColumn("provider", F.lit(None).cast("string")))
+    return P.model_candidates(U.named(spark, d).select("model", "provider"))
 
 
-@query("P06_resolve_prices", "SELECT DISTINCT n.model, k.model_key FROM named n LEFT JOIN " + U.RATE_KEYS + " ON k.model = n.model")
+@query("P06_resolve_prices", "SELECT DISTINCT n.model, n.provider, k.model_key FROM named n LEFT JOIN " + U.RATE_KEYS + " ON k.model = n.model AND k.provider IS NOT DISTINCT FROM n.provider")
 def resolve_prices(spark, d):
-    return U.resolved(spark, U.named(spark, d)).select("model", F.col("rates.model_key").alias("model_key"))
+    return U.resolved(spark, U.named(spark, d)).select("model", "provider", F.col("rates.model_key").alias("model_key"))
 
 
 @query("P05_price_fuzzy_match", "SELECT DISTINCT model, CASE WHEN model LIKE '%gamma%' THEN 'vendor/m-gamma-1' ELSE 'm-delta' END AS model_key FROM named WHERE model LIKE '%gamma%' OR model = 'm-delta'")
@@ -194,7 +206,7 @@ def event_cost(spark, d):
     return U.usage(spark, d).select("event_key", P.as_double(F.col("cost")).alias("cost_usd"))
 
 
-@query("P09_flat_cost", f"SELECT event_key, {dbl(U.cost_sql(tiered=False))} AS cost_usd FROM named n LEFT JOIN rates r ON r.model = n.model")
+@query("P09_flat_cost", f"SELECT event_key, {dbl(U.cost_sql(tiered=False))} AS cost_usd FROM named n LEFT JOIN rates r ON r.model = n.model AND r.provider IS NOT DISTINCT FROM n.provider")
 def flat_cost(spark, d):
     named = U.named(spark, d)
     return P.join_prices(named, U.resolved(spark, named)).select("event_key", P.as_double(P.cost(tiered=False)).alias("cost_usd"))
@@ -206,7 +218,7 @@ def effective_cost(spark, d):
     return U.usage(spark, d).select("event_key", P.as_double(P.effective_cost(F.col("cost"), rec, "computed-first")).alias("computed_first"), P.as_double(P.effective_cost(F.col("cost"), rec, "recorded-first")).alias("recorded_first"))
 
 
-@query("P11_cache_savings", f"SELECT event_key, {dbl('CASE WHEN cache_read_tokens + cache_creation_tokens > 0 THEN greatest(' + U.cost_sql(i='(input_tokens + cache_read_tokens + cache_creation_tokens)', r='0', w='0') + ' - ' + U.cost_sql() + ', 0) ELSE 0 END')} AS saved_usd FROM named n LEFT JOIN rates r ON r.model = n.model")
+@query("P11_cache_savings", f"SELECT event_key, {dbl('CASE WHEN cache_read_tokens + cache_creation_tokens > 0 THEN greatest(' + U.cost_sql(i='(input_tokens + cache_read_tokens + cache_creation_tokens)', r='0', w='0') + ' - ' + U.cost_sql() + ', 0) ELSE 0 END')} AS saved_usd FROM named n LEFT JOIN rates r ON r.model = n.model AND r.provider IS NOT DISTINCT FROM n.provider")
 def cache_savings(spark, d):
     named = U.named(spark, d)
     return P.join_prices(named, U.resolved(spark, named)).select("event_key", P.as_double(P.cache_savings()).alias("saved_usd"))
@@ -441,14 +453,17 @@ def copy_tables(spark, d):
 
 
 def _round_trip(spark: SparkSession, lines: DataFrame, name: str) -> str:
-    """lines: session_id, ord, value. A file or more for each session, with blank and broken lines among them."""
+    """lines: session_id, ord, value. Files in a folder for each session, with a blank and a broken line in each."""
     path = scratch(spark, name)
     noise = lines.groupBy("session_id").agg(F.min("ord").alias("ord")).select("session_id", (F.col("ord") - 1).alias("ord"), F.explode(F.array(F.lit(""), F.lit("{broken"))).alias("value"))
-    rows = lines.unionByName(noise).repartition(4, "session_id").sortWithinPartitions("session_id", "ord")
+    rows = lines.unionByName(noise).repartition("session_id").sortWithinPartitions("session_id", "ord")
     rows.select("session_id", "value").write.mode("overwrite").partitionBy("session_id").text(path)
     return path
 
 
+LANDED = "part-*.txt"  # what Spark's text writer calls its files
+
+
 _TS = "date_format(event_time, \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\")"
 
 
@@ -456,38 +471,24 @@ _TS = "date_format(event_time, \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\")"
 def read_assistant(spark, d):
     usage = "named_struct('input_tokens', input_tokens, 'output_tokens', output_tokens, 'cache_read_input_tokens', cache_read_tokens, 'cache_creation_input_tokens', cache_creation_tokens, 'reasoning_tokens', reasoning_output_tokens)"
     value = f"to_json(named_struct('type', 'assistant', 'timestamp', {_TS}, 'message', named_struct('id', event_key, 'model', raw_model, 'usage', {usage}))) AS value"
-    lines = U.usage_raw(spark, d).selectExpr("CAST(user_id % 8 AS STRING) AS session_id", "event_id AS ord", value)
-    out = readers.read_assistant_usage(spark, [_text_root(spark, lines, "assistant")])
+    lines = U.usage_raw(spark, d).selectExpr("CAST(user_id AS STRING) AS session_id", "event_id AS ord", value)
+    out = readers.read_assistant_usage(spark, [_round_trip(spark, lines, "assistant")], LANDED)
     return out.select(F.col("message_id").alias("event_key"), *S.COUNTERS)
 
 
-def _text_root(spark: SparkSession, lines: DataFrame, name: str) -> str:
-    """As _round_trip, in files that end in .jsonl."""
-    path = _round_trip(spark, lines, name)
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    for folder in fs.listStatus(root):
-        if folder.isDirectory():
-            for f in fs.listStatus(folder.getPath()):
-                if f.getPath().getName().startswith("part-"):
-                    fs.rename(f.getPath(), hadoop.Path(folder.getPath(), f.getPath().getName().replace(".txt", "") + ".jsonl"))
-    return path
-
-
-@query("S01_scan_session_lines", "SELECT CAST(user_id % 8 AS VARCHAR) AS session_id, CAST(count(*) + 1 AS BIGINT) AS n FROM usage_raw GROUP BY 1")
+@query("S01_scan_session_lines", "SELECT CAST(user_id AS VARCHAR) AS session_id, CAST(count(*) + 1 AS BIGINT) AS n FROM usage_raw GROUP BY 1")
 def scan_lines(spark, d):
-    lines = U.usage_raw(spark, d).selectExpr("CAST(user_id % 8 AS STRING) AS session_id", "event_id AS ord", "event_key AS value")
-    out = readers.scan_session_lines(spark, [_text_root(spark, lines, "lines")])
+    lines = U.usage_raw(spark, d).selectExpr("CAST(user_id AS STRING) AS session_id", "event_id AS ord", "event_key AS value")
+    out = readers.scan_session_lines(spark, [_round_trip(spark, lines, "lines")], LANDED)
     return out.groupBy(F.regexp_extract("file_path", "session_id=([^/]+)", 1).alias("session_id")).agg(F.count("*").alias("n"))
 
 
-@query("S03_read_counter_log", "SELECT CAST(user_id % 8 AS VARCHAR) AS session_id, count(*) AS n, CAST(sum(output_tokens) AS BIGINT) AS output_tokens FROM usage_raw GROUP BY 1")
+@query("S03_read_counter_log", "SELECT CAST(user_id AS VARCHAR) AS session_id, count(*) AS n, CAST(sum(output_tokens) AS BIGINT) AS output_tokens FROM usage_raw GROUP BY 1")
 def read_counter(spark, d):
     use = "named_struct('input_tokens', input_tokens + 1, 'cached_input_tokens', cache_read_tokens, 'output_tokens', output_tokens, 'reasoning_output_tokens', reasoning_output_tokens)"
     value = f"to_json(named_struct('timestamp', {_TS}, 'type', 'event_msg', 'payload', named_struct('type', 'token_count', 'info', named_struct('last_token_usage', {use})))) AS value"
-    lines = U.usage_raw(spark, d).selectExpr("CAST(user_id % 8 AS STRING) AS session_id", "event_id AS ord", value)
-    out = D.counter_increments(readers.read_counter_log(spark, [_text_root(spark, lines, "counter")]))
+    lines = U.usage_raw(spark, d).selectExpr("CAST(user_id AS STRING) AS session_id", "event_id AS ord", value)
+    out = D.counter_increments(readers.read_counter_log(spark, [_round_trip(spark, lines, "counter")], LANDED))
     return out.groupBy(F.regexp_extract("file_path", "session_id=([^/]+)", 1).alias("session_id")).agg(F.count("*").alias("n"), F.sum("output_tokens").alias("output_tokens"))
 
 
@@ -505,7 +506,7 @@ def read_store(spark, d):
 def read_turns(spark, d):
     tokens = "named_struct('input', input_tokens, 'output', output_tokens, 'cached', cache_read_tokens, 'thoughts', reasoning_output_tokens)"
     raw = U.usage_raw(spark, d)
-    turns = raw.selectExpr("CAST(user_id % 8 AS STRING) AS file", "session_id", "event_id AS ord", f"to_json(named_struct('type', 'gemini', 'id', event_key, 'model', raw_model, 'timestamp', {_TS}, 'tokens', {tokens})) AS value")
+    turns = raw.selectExpr("CAST(user_id AS STRING) AS file", "session_id", "event_id AS ord", f"to_json(named_struct('type', 'gemini', 'id', event_key, 'model', raw_model, 'timestamp', {_TS}, 'tokens', {tokens})) AS value")
     order = F.struct("session_id", "ord")
     from pyspark.sql import Window
 
@@ -514,7 +515,7 @@ def read_turns(spark, d):
     turns = turns.withColumn("place", place).withColumn("new", ~F.col("session_id").eqNullSafe(start))
     init = turns.where("new").select("file", (F.col("place") - 1).alias("place"), F.to_json(F.struct(F.lit("init").alias("type"), "session_id")).alias("value"))
     lines = turns.select("file", "place", "value").unionByName(init).select(F.col("file").alias("session_id"), F.col("place").cast("long").alias("ord"), "value")
-    out = readers.read_turn_stream(spark, [_text_root(spark, lines, "turns")])
+    out = readers.read_turn_stream(spark, [_round_trip(spark, lines, "turns")], LANDED)
     return out.groupBy("session_id").agg(F.count("*").alias("n"), F.sum("cache_read_tokens").alias("cache_read_tokens"))
 
 
@@ -572,23 +573,45 @@ def stream_daily(spark, d):
     return _drain(spark, jobs.stream_daily_usage(jobs.stream_log_lines(spark, path, rows.schema)), "update", "daily")
 
 
-@query("T06_stream_merge_daily", f"SELECT device, source, usage_date, model, total_tokens, {dbl('cost')} AS cost_usd, usage_date < DATE '2024-01-20' AS locked FROM daily")
+def _three_batches(spark: SparkSession, rows: list[DataFrame], name: str) -> DataFrame:
+    """A stream of a landing folder that gets a file for each of the frames, one batch each, in order."""
+    path = scratch(spark, name)
+    for i, r in enumerate(rows):
+        r.coalesce(1).write.mode("append").parquet(f"{path}/batch={i}")
+    return jobs.stream_log_lines(spark, path, spark.read.parquet(path).drop("batch").schema, files_per_batch=1)
+
+
+@query("T06_stream_merge_daily", f"SELECT device, source, usage_date, model, total_tokens, {dbl('CASE WHEN usage_date < DATE ' + chr(39) + '2024-01-20' + chr(39) + ' THEN cost + 1 ELSE cost END')} AS cost_usd, usage_date < DATE '2024-01-20' AS locked FROM daily")
 def stream_merge_daily(spark, d):
-    path, root = scratch(spark, "daily-landing"), scratch(spark, "daily-merged")
+    """Three batches: early counts at a cost that locks past days, the same again, then all counts at the final cost."""
+    root = scratch(spark, "daily-merged")
     rows = U.daily(spark, d).select(*M.DAILY_KEYS, "total_tokens", F.col("cost").cast("decimal(38,12)").alias("cost"))
-    rows.write.mode("overwrite").parquet(path)
-    stream = jobs.stream_log_lines(spark, path, rows.schema)
+    early = rows.withColumn("total_tokens", F.lit(1).cast("long")).withColumn("cost", (F.col("cost").cast("decimal(36,12)") + 1).cast("decimal(38,12)"))
+    stream = _three_batches(spark, [early, early, rows], "daily-landing")
     jobs.run_available(jobs.stream_merge_daily(spark, stream, root, TODAY, F.lit("2024-01-31 00:00:00").cast("timestamp")), scratch(spark, "daily-mark"))
-    out = spark.read.parquet(f"{root}/v=0")
+    out = jobs.newest_version(spark, root)
     return out.select(*M.DAILY_KEYS, "total_tokens", P.as_double(F.col("cost")).alias("cost_usd"), F.col("pricing_locked_at").isNotNull().alias("locked"))
 
 
 @query("T07_stream_ingest_events", "SELECT event_key, total_tokens FROM usage")
 def stream_ingest(spark, d):
-    path, rows = _landed(spark, d)
+    """Three batches: a part with stale totals, the other part, then the first part again as it ends up."""
     root = scratch(spark, "events-merged")
-    jobs.run_available(jobs.stream_merge_events(spark, jobs.stream_log_lines(spark, path, rows.schema), root), scratch(spark, "events-mark"))
-    return spark.read.parquet(f"{root}/v=0").select("event_key", "total_tokens")
+    rows = U.named(spark, d).select("device", "source", "event_key", "usage_date", "total_tokens")
+    odd = F.crc32(F.col("event_key").cast("binary")) % 2 == 1
+    stream = _three_batches(spark, [rows.where(odd).withColumn("total_tokens", F.lit(0).cast("long")), rows.where(~odd), rows.where(odd)], "events-landing")
+    jobs.run_available(jobs.stream_merge_events(spark, stream, root), scratch(spark, "events-mark"))
+    return jobs.newest_version(spark, root).select("event_key", "total_tokens")
+
+
+@query("T08_stream_trigger", "SELECT device, source, event_key FROM usage")
+def stream_trigger(spark, d):
+    """Batches at a fixed pace, one file each, none before the one ahead of it ends, until all that has landed is in."""
+    path, rows = _landed(spark, d)
+    out = scratch(spark, "paced-out")
+    writer = jobs.stream_log_lines(spark, path, rows.schema, files_per_batch=1).select("device", "source", "event_key").writeStream.format("parquet").option("path", out)
+    jobs.run_scheduled(writer, scratch(spark, "paced-mark"), every=0.5, least=0.1)
+    return spark.read.parquet(out)
 
 
 @query("T09_late_data_policy", "SELECT event_key FROM usage WHERE event_time > TIMESTAMP '2024-01-18 00:00:00'")

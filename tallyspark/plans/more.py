@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as S
 from tallyspark.operators import joins as J
 from tallyspark.operators import merge as M
 from tallyspark.operators import pricing as P
+from tallyspark.operators import rollup as R
 from tallyspark.operators import series as W
 from tallyspark.plans import adapter as U
 from tallyspark.plans.adapter import BASE, dbl
-from tallyspark.plans.events import _cumulative, _landed, _text_root, scratch
+from tallyspark.plans.events import _TS, LANDED, _cumulative, _landed, _round_trip, scratch
 from tallyspark.sources import readers
 from tallyspark.streaming import jobs
 
@@ -71,24 +72,39 @@ def carry_forward(spark, d):
     return W.carry_forward(rows, ["model"], "user_id", ["event_id"]).select("event_id", "model")
 
 
-@query("S15_read_usage_tables", "SELECT device || ':' || source || ':' || event_key AS row_id, total_tokens FROM usage")
+@query("S15_read_usage_tables", "SELECT 'daily' AS name, count(*) AS n, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, min(device || ':' || source || ':' || CAST(usage_date AS VARCHAR) || ':' || model) AS first_id FROM daily UNION ALL SELECT 'time', count(*), CAST(sum(total_tokens) AS BIGINT), min(device || ':' || source || ':' || event_key) FROM usage UNION ALL SELECT 'sessions', count(*), CAST(sum(t) AS BIGINT), min(id) FROM (SELECT device || ':' || source || ':' || session_id AS id, sum(total_tokens) AS t FROM usage GROUP BY 1)")
 def usage_tables(spark, d):
-    return U.named(spark, d).select(S.row_id("device", "source", "event_key").alias("row_id"), "total_tokens")
+    """The three fact tables written as a store, read back with the ids that its rows go by."""
+    root, facts = scratch(spark, "store"), U.usage(spark, d)
+    tables = {"daily": U.daily(spark, d), "time": facts.drop("usage_date"), "sessions": R.rollup_sessions(facts)}
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{root}/{name}")
+    read = readers.read_usage_tables(spark, root)
+    return readers.union_sources([t.agg(F.count("*").alias("n"), F.sum("total_tokens").alias("total_tokens"), F.min("row_id").alias("first_id")).select(F.lit(name).alias("name"), "*") for name, t in read.items()])
 
 
-@query("S05_read_message_json", "SELECT CAST(user_id AS VARCHAR) AS event_key, input_tokens FROM usage_raw QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1")
+@query("S05_read_message_json", "SELECT event_key, input_tokens FROM usage_raw")
 def message_json(spark, d):
-    first = U.usage_raw(spark, d).withColumn("p", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).where("p = 1")
-    rows = first.selectExpr("CAST(user_id AS STRING) AS id", "to_json(named_struct('id', CAST(user_id AS STRING), 'role', 'assistant', 'modelID', raw_model, 'tokens', named_struct('input', input_tokens, 'output', output_tokens))) AS value")
+    """A file for each user, an array of the user's messages in it."""
+    one = "named_struct('id', event_key, 'role', 'assistant', 'modelID', raw_model, 'tokens', named_struct('input', input_tokens, 'output', output_tokens)) AS m"
+    rows = U.usage_raw(spark, d).selectExpr("user_id", one).groupBy("user_id").agg(F.to_json(F.collect_list("m")).alias("value"))
     root = scratch(spark, "messages")
-    rows.repartition(int(rows.count()), "id").write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("id").text(root)
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    fs = hadoop.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    for folder in fs.listStatus(hadoop.Path(root)):
-        if folder.isDirectory():
-            for f in fs.listStatus(folder.getPath()):
-                fs.rename(f.getPath(), hadoop.Path(folder.getPath(), "m.json"))
-    return readers.read_message_json(spark, [root]).select("event_key", "input_tokens")
+    rows.repartition("user_id").write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("user_id").text(root)
+    return readers.read_message_json(spark, [root], LANDED).select("event_key", "input_tokens")
+
+
+@query("S06_read_session_document", "SELECT session_id, model, count(*) AS n, CAST(sum(greatest(input_tokens - least(cache_read_tokens, input_tokens), 0)) AS BIGINT) AS input_tokens, CAST(sum(cache_read_tokens) AS BIGINT) AS cache_read_tokens, CAST(sum(reasoning_output_tokens) AS BIGINT) AS reasoning_output_tokens FROM named GROUP BY 1, 2")
+def session_document(spark, d):
+    """A document for each session of a user; its turns are an array in it, among turns of others."""
+    tokens = "named_struct('input', input_tokens, 'output', output_tokens, 'cached', cache_read_tokens, 'thoughts', reasoning_output_tokens)"
+    raw = U.usage_raw(spark, d).selectExpr("user_id", "session_id", f"named_struct('type', 'gemini', 'timestamp', {_TS}, 'model', raw_model, 'tokens', {tokens}) AS m")
+    other = F.struct(F.lit("user").alias("type"), F.lit(None).cast("string").alias("timestamp"), F.lit("m").alias("model"), F.lit(None).cast(raw.schema["m"].dataType["tokens"].dataType).alias("tokens"))
+    docs = raw.groupBy("user_id", "session_id").agg(F.concat(F.array(other), F.collect_list("m")).alias("messages"))
+    docs = docs.select("user_id", F.to_json(F.struct(F.col("session_id").alias("sessionId"), "messages")).alias("value"))
+    root = scratch(spark, "documents")
+    docs.repartition("user_id").write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("user_id").text(root)
+    out = readers.read_session_document(spark, [root], LANDED)
+    return out.groupBy("session_id", "model").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("input_tokens", "cache_read_tokens", "reasoning_output_tokens")))
 
 
 @query("S07_read_stats_document", "SELECT model, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens FROM named WHERE input_tokens + output_tokens > 0 GROUP BY 1")
@@ -103,9 +119,9 @@ def stats_document(spark, d):
 def agent_transcript(spark, d):
     raw = U.usage_raw(spark, d)
     use = "named_struct('input', input_tokens, 'output', output_tokens, 'cacheRead', cache_read_tokens, 'cacheWrite', cache_creation_tokens)"
-    change = raw.selectExpr("CAST(user_id % 8 AS STRING) AS session_id", "event_id * 2 AS ord", "to_json(named_struct('type', 'model_change', 'modelId', raw_model, 'provider', 'p')) AS value")
-    turn = raw.selectExpr("CAST(user_id % 8 AS STRING) AS session_id", "event_id * 2 + 1 AS ord", f"to_json(named_struct('type', 'message', 'message', named_struct('role', 'assistant', 'usage', {use}))) AS value")
-    out = readers.read_agent_transcript(spark, [_text_root(spark, change.unionByName(turn), "agent")])
+    change = raw.selectExpr("CAST(user_id AS STRING) AS session_id", "event_id * 2 AS ord", "to_json(named_struct('type', 'model_change', 'modelId', raw_model, 'provider', 'p')) AS value")
+    turn = raw.selectExpr("CAST(user_id AS STRING) AS session_id", "event_id * 2 + 1 AS ord", f"to_json(named_struct('type', 'message', 'message', named_struct('role', 'assistant', 'usage', {use}))) AS value")
+    out = readers.read_agent_transcript(spark, [_round_trip(spark, change.unionByName(turn), "agent")], LANDED)
     return out.groupBy("model").agg(F.count("*").alias("n"), F.sum("output_tokens").alias("output_tokens"))
 
 
@@ -140,30 +156,29 @@ def quota(spark, d):
     return readers.normalise_quota_snapshots(rows).select("tool", "window", "tone")
 
 
-@query("P02_price_exact_match", "SELECT DISTINCT n.model, k.model_key FROM named n JOIN (VALUES ('m-alpha-4-5', 'm-alpha-4.5'), ('m-beta-2', 'openai/m-beta-2'), ('vendor/m-gamma-1', 'm-gamma-1'), ('m-gamma-1-preview', 'm-gamma-1'), ('m-delta', 'm-delta')) AS k(model, model_key) ON k.model = n.model")
+@query("P02_price_exact_match", "SELECT DISTINCT n.model, n.provider, k.model_key FROM named n JOIN (VALUES ('m-alpha-4-5', NULL, 'm-alpha-4.5'), ('m-beta-2', NULL, 'openai/m-beta-2'), ('m-beta-2', 'resold', 'resold/m-beta-2'), ('vendor/m-gamma-1', NULL, 'm-gamma-1'), ('m-gamma-1-preview', NULL, 'm-gamma-1'), ('m-delta', NULL, 'm-delta')) AS k(model, provider, model_key) ON k.model = n.model AND k.provider IS NOT DISTINCT FROM n.provider")
 def exact_match(spark, d):
-    models = U.named(spark, d).select("model").distinct().withColumn("provider", F.lit(None).cast("string"))
     dim = P.read_price_dim(U.price_dim(spark)).where("dataset = 'd1'")
-    return P._hits(P.model_candidates(models), dim, bare=False).select("model", F.col("rates.model_key").alias("model_key"))
+    return P._hits(P.model_candidates(U.named(spark, d).select("model", "provider")), dim, bare=False).select("model", "provider", F.col("rates.model_key").alias("model_key"))
 
 
 @query("P03_price_choose_dataset", "SELECT DISTINCT model, CASE WHEN model LIKE '%gamma%' THEN 'd2' ELSE 'd1' END AS dataset FROM named WHERE model <> 'm-unpriced'")
 def choose_dataset(spark, d):
     out = U.resolved(spark, U.named(spark, d)).where("rates IS NOT NULL").select("model", F.col("rates.model_key").alias("model_key"))
-    return out.join(U.price_dim(spark).select("dataset", "model_key"), "model_key").select("model", "dataset")
+    return out.join(U.price_dim(spark).select("dataset", "model_key"), "model_key").select("model", "dataset").distinct()
 
 
 @query("P04_price_overrides", "SELECT DISTINCT n.model, CASE n.model WHEN 'm-delta' THEN CAST(7 AS DOUBLE) WHEN 'm-unpriced' THEN CAST(5 AS DOUBLE) ELSE NULL END AS override FROM named n")
 def overrides(spark, d):
     models = U.named(spark, d).select("model").distinct().withColumn("provider", F.lit(None).cast("string"))
-    first = U.usage_raw(spark, d).limit(1).select(F.lit("o").alias("dataset"), F.lit("m-delta").alias("model_key"), F.lit(7).alias("input"), F.lit(7).alias("output"))
-    late = first.withColumn("model_key", F.explode(F.array(F.lit("m-unpriced"), F.lit("m-beta-2")))).withColumn("input", F.lit(5))
+    given = "SELECT 'o' AS dataset, m AS model_key, i AS input, 7 AS output FROM VALUES {} AS t(m, i)"
+    first, late = spark.sql(given.format("('m-delta', 7)")), spark.sql(given.format("('m-unpriced', 5), ('m-beta-2', 5)"))
     out = P.resolve_prices(models, P.read_price_dim(U.price_dim(spark)), first=first, late=late)
     i = F.col("rates.input").cast("double")
     return out.select("model", F.when(i >= 5, i).alias("override"))
 
 
-@query("P07_tiered_cost", f"SELECT event_key, {dbl(U._tiered('input_tokens * 4', 'r.input', 128_000, 'r.input_above_128k'))} AS input_usd FROM named n JOIN rates r ON r.model = n.model")
+@query("P07_tiered_cost", f"SELECT event_key, {dbl(U._tiered('input_tokens * 4', 'r.input', 128_000, 'r.input_above_128k'))} AS input_usd FROM named n JOIN rates r ON r.model = n.model AND r.provider IS NOT DISTINCT FROM n.provider")
 def tiered(spark, d):
     named = U.named(spark, d)
     rows = P.join_prices(named, U.resolved(spark, named)).where("rates IS NOT NULL")
@@ -174,9 +189,9 @@ def tiered(spark, d):
 def registry(spark, d):
     """The registered assistant reader on files derived from the events."""
     use = "named_struct('input_tokens', input_tokens, 'output_tokens', output_tokens)"
-    lines = U.usage_raw(spark, d).selectExpr("CAST(user_id % 4 AS STRING) AS session_id", "event_id AS ord", f"to_json(named_struct('type', 'assistant', 'message', named_struct('id', event_key, 'model', raw_model, 'usage', {use}))) AS value")
+    lines = U.usage_raw(spark, d).selectExpr("CAST(user_id AS STRING) AS session_id", "event_id AS ord", f"to_json(named_struct('type', 'assistant', 'message', named_struct('id', event_key, 'model', raw_model, 'usage', {use}))) AS value")
     source = readers.REGISTRY["assistant"]
-    return source.read(spark, [_text_root(spark, lines, "registry")]).select(F.col("message_id").alias("event_key"), "input_tokens")
+    return source.read(spark, [_round_trip(spark, lines, "registry")], LANDED).select(F.col("message_id").alias("event_key"), "input_tokens")
 
 
 @query("T01_stream_log_lines", "SELECT event_key FROM usage")

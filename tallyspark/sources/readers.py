@@ -8,19 +8,25 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as S
+from tallyspark.operators.pricing import TIERS
 from tallyspark.operators.series import carry_forward
 
 _N = "bigint"
 ASSISTANT = f"type string, timestamp string, requestId string, costUSD double, model string, message struct<id:string,model:string,usage:struct<input_tokens:{_N},output_tokens:{_N},cache_read_input_tokens:{_N},cache_creation_input_tokens:{_N},reasoning_tokens:{_N},thinking_tokens:{_N}>>"
 _USE = f"struct<input_tokens:{_N},cached_input_tokens:{_N},cache_read_input_tokens:{_N},output_tokens:{_N},reasoning_output_tokens:{_N}>"
 COUNTER = f"timestamp string, type string, payload struct<id:string,cwd:string,forked_from_id:string,thread_source:string,source:struct<subagent:struct<thread_spawn:string>>,type:string,model:string,model_name:string,model_info:struct<slug:string>,info:struct<model:string,last_token_usage:{_USE},total_token_usage:{_USE}>>"
-MESSAGE = f"id string, sessionID string, role string, modelID string, providerID string, cost double, agent string, path struct<root:string>, time struct<created:{_N},completed:{_N}>, tokens struct<input:{_N},output:{_N},reasoning:{_N},cache:struct<read:{_N},write:{_N}>>"
+MESSAGE_FIELDS = f"id:string,sessionID:string,role:string,modelID:string,providerID:string,cost:double,agent:string,path:struct<root:string>,time:struct<created:{_N},completed:{_N}>,tokens:struct<input:{_N},output:{_N},reasoning:{_N},cache:struct<read:{_N},write:{_N}>>"
+MESSAGE = f"struct<{MESSAGE_FIELDS}>"
+
 TURN_TOKENS = f"struct<input:{_N},output:{_N},cached:{_N},thoughts:{_N},tool:{_N},total:{_N}>"
 DOCUMENT = f"sessionId string, messages array<struct<id:string,type:string,timestamp:string,model:string,tokens:{TURN_TOKENS}>>"
 STATS = f"model string, timestamp string, session_id string, stats struct<models:map<string,struct<tokens:struct<prompt:{_N},input:{_N},candidates:{_N},output:{_N},cached:{_N},thoughts:{_N}>>>,input_tokens:{_N},output_tokens:{_N},cached_tokens:{_N}>"
 TURN = f"type string, id string, model string, session_id string, timestamp string, tokens {TURN_TOKENS}"
 AGENT = f"type string, customType string, modelId string, provider string, timestamp string, data struct<modelId:string,provider:string>, message struct<role:string,model:string,provider:string,timestamp:{_N},usage:struct<input:{_N},output:{_N},cacheRead:{_N},cacheWrite:{_N},cost:struct<total:double>>>"
-RATES = "struct<" + ",".join(f"{k}:decimal(18,12)" for k in ("input_cost_per_token", "output_cost_per_token", "cache_read_input_token_cost", "cache_creation_input_token_cost", "input_cost_per_token_above_128k_tokens", "cache_read_input_token_cost_above_200k_tokens")) + ">"
+#: Our names of the rates, and the price table's.
+RATE_NAMES = {"input": "input_cost_per_token", "output": "output_cost_per_token", "cache_read": "cache_read_input_token_cost", "cache_write": "cache_creation_input_token_cost"}
+RATE_NAMES |= {f"{k}_above_{t}": f"{RATE_NAMES[k]}_above_{t}_tokens" for k, ts in TIERS.items() for t in ts}
+RATES = "struct<" + ",".join(f"{k}:decimal(18,12)" for k in RATE_NAMES.values()) + ">"
 _FACT = f"device string, source string, usage_date date, model string, session_id string, event_key string, event_time timestamp, project_path string, total_tokens {_N}, cost double"
 PUSH = f"device string, mode string, collectedAt timestamp, daily array<struct<{_FACT.replace(' ', ':').replace(',:', ',')}>>, time array<struct<{_FACT.replace(' ', ':').replace(',:', ',')}>>, sessions array<struct<{_FACT.replace(' ', ':').replace(',:', ',')}>>"
 
@@ -31,11 +37,15 @@ def _not_zero(*columns: str) -> Column:
 
 
 def scan_session_lines(spark: SparkSession, roots: list[str], glob: str = "*.jsonl") -> DataFrame:
-    """file_path, line_no and value of the trimmed lines that aren't blank, in file order; files stay splittable."""
+    """file_path, line_no and value of the trimmed lines that aren't blank; files stay splittable and nothing is shuffled.
+
+    line_no grows in the order of the file, with gaps: the byte at which the line's block begins and the line's place in its
+    scan task. A block has more bytes than its task has lines before its end, so a later block's lines come later.
+    """
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(sorted(set(roots)))
-    lines = lines.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"), F.col("_metadata.file_modification_time").alias("modified"), F.trim("value").alias("value"))
-    place = F.row_number().over(Window.partitionBy("file_path").orderBy("_b", "_i"))
-    return lines.withColumn("line_no", place.cast("long")).where("value <> ''").drop("_b", "_i")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    lines = lines.select(F.col("_metadata.file_path").alias("file_path"), (F.col("_metadata.file_block_start") + place).alias("line_no"), F.col("_metadata.file_modification_time").alias("modified"), F.trim("value").alias("value"))
+    return lines.where("value <> ''")
 
 
 def distinct_paths(paths: DataFrame) -> DataFrame:
@@ -46,9 +56,9 @@ def parsed(lines: DataFrame, schema: str) -> DataFrame:
     return lines.withColumn("j", F.from_json("value", schema)).drop("value")
 
 
-def read_assistant_usage(spark: SparkSession, roots: list[str]) -> DataFrame:
+def read_assistant_usage(spark: SparkSession, roots: list[str], glob: str = "*.jsonl") -> DataFrame:
     """Assistant lines with usage."""
-    rows = parsed(scan_session_lines(spark, roots), ASSISTANT).where("j.type = 'assistant' AND j.message.usage IS NOT NULL")
+    rows = parsed(scan_session_lines(spark, roots, glob), ASSISTANT).where("j.type = 'assistant' AND j.message.usage IS NOT NULL")
     u = "j.message.usage."
     return rows.select(
         "file_path", "line_no", F.col("j.message.id").alias("message_id"), F.col("j.requestId").alias("request_id"), S.event_instant("j.timestamp").alias("event_time"),
@@ -58,9 +68,9 @@ def read_assistant_usage(spark: SparkSession, roots: list[str]) -> DataFrame:
     )
 
 
-def read_counter_log(spark: SparkSession, roots: list[str]) -> DataFrame:
+def read_counter_log(spark: SparkSession, roots: list[str], glob: str = "*.jsonl") -> DataFrame:
     """Token-count lines with the session's model, workspace and whether it copies its parent's history."""
-    rows = parsed(scan_session_lines(spark, roots), COUNTER).where("j.type IS NOT NULL").select("file_path", "line_no", "j.*")
+    rows = parsed(scan_session_lines(spark, roots, glob), COUNTER).where("j.type IS NOT NULL").select("file_path", "line_no", "j.*")
     p = lambda c: F.col(f"payload.{c}")
     meta, turn = F.col("type") == "session_meta", F.col("type") == "turn_context"
     replay = p("forked_from_id").isNotNull() | p("source.subagent.thread_spawn").isNotNull() | F.coalesce(p("thread_source") == "subagent", F.lit(False))
@@ -98,17 +108,19 @@ def _messages(rows: DataFrame, ident: Column, session: Column) -> DataFrame:
     )
 
 
-def read_message_json(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """One message document in each file; the file's stem is the fallback id."""
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("wholetext", True).text(sorted(set(roots)))
-    rows = rows.select(F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1).alias("stem"), F.from_json("value", MESSAGE).alias("j"), F.lit(None).cast("string").alias("directory"))
+def _whole_files(spark: SparkSession, roots: list[str], glob: str) -> DataFrame:
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("wholetext", True).text(sorted(set(roots)))
+
+
+def read_message_json(spark: SparkSession, roots: list[str], glob: str = "*.json") -> DataFrame:
+    """A message document, or an array of them, in each file; the file's stem is the fallback id."""
+    rows = _whole_files(spark, roots, glob).select(F.regexp_extract("_metadata.file_name", r"^(.*)\.[^.]*$", 1).alias("stem"), F.explode(F.from_json("value", f"array<struct<{MESSAGE_FIELDS}>>")).alias("j"), F.lit(None).cast("string").alias("directory"))
     return _messages(rows, F.col("stem"), F.col("j.sessionID"))
 
 
-def read_session_document(spark: SparkSession, roots: list[str]) -> DataFrame:
+def read_session_document(spark: SparkSession, roots: list[str], glob: str = "*.json") -> DataFrame:
     """Turns of whole-session documents; the file's time stands in for a missing one."""
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("wholetext", True).text(sorted(set(roots)))
-    rows = rows.select(F.col("_metadata.file_modification_time").alias("modified"), F.from_json("value", DOCUMENT).alias("j"))
+    rows = _whole_files(spark, roots, glob).select(F.col("_metadata.file_modification_time").alias("modified"), F.from_json("value", DOCUMENT).alias("j"))
     rows = rows.select("modified", F.col("j.sessionId").alias("session_id"), F.explode("j.messages").alias("m")).where("m.type = 'gemini' AND trim(m.model) <> '' AND m.tokens IS NOT NULL")
     return _turns(rows, "m")
 
@@ -131,9 +143,9 @@ def read_stats_document(rows: DataFrame) -> DataFrame:
     return both.select(F.col("j.session_id").alias("session_id"), S.event_instant("j.timestamp").alias("event_time"), S.normalise_model("model").alias("model"), (F.col("i") - F.least("c", "i")).alias("input_tokens"), F.col("o").alias("output_tokens"), z.alias("cache_creation_tokens"), F.col("c").alias("cache_read_tokens"), F.col("r").alias("reasoning_output_tokens"))
 
 
-def read_turn_stream(spark: SparkSession, roots: list[str]) -> DataFrame:
+def read_turn_stream(spark: SparkSession, roots: list[str], glob: str = "*.jsonl") -> DataFrame:
     """Turn lines under the session that the last init line set; a repeated turn id keeps its last version."""
-    rows = parsed(scan_session_lines(spark, roots), TURN).where("j.type IS NOT NULL")
+    rows = parsed(scan_session_lines(spark, roots, glob), TURN).where("j.type IS NOT NULL")
     rows = carry_forward(rows.withColumn("session_id", F.col("j.session_id")), ["session_id"], "file_path", ["line_no"])
     rows = rows.where("j.type = 'gemini' AND trim(j.model) <> '' AND j.tokens IS NOT NULL").withColumn("turn", F.col("j.id"))
     place = F.row_number().over(Window.partitionBy("file_path", "turn").orderBy(F.desc("line_no")))
@@ -179,8 +191,7 @@ def read_price_table(rows: DataFrame, dataset: str) -> DataFrame:
     """Price JSON ({"data": {key: rates}}) as rows; entries with neither price are none."""
     data = rows.select(F.explode(F.from_json("value", f"data map<string,{RATES}>")["data"]).alias("model_key", "r"))
     data = data.where("r.input_cost_per_token IS NOT NULL OR r.output_cost_per_token IS NOT NULL")
-    names = {"input": "input_cost_per_token", "output": "output_cost_per_token", "cache_read": "cache_read_input_token_cost", "cache_write": "cache_creation_input_token_cost", "input_above_128k": "input_cost_per_token_above_128k_tokens", "cache_read_above_200k": "cache_read_input_token_cost_above_200k_tokens"}
-    return data.select(F.lit(dataset).alias("dataset"), "model_key", *(F.col(f"r.{v}").alias(k) for k, v in names.items()))
+    return data.select(F.lit(dataset).alias("dataset"), "model_key", *(F.col(f"r.{v}").alias(k) for k, v in RATE_NAMES.items()))
 
 
 def read_push_payload(rows: DataFrame) -> dict[str, DataFrame]:
@@ -191,6 +202,15 @@ def read_push_payload(rows: DataFrame) -> dict[str, DataFrame]:
     return {c: branch(c) for c in ("daily", "time", "sessions")}
 
 
+def read_usage_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The stored daily, time and session facts, each row with the id it goes by; event days follow from their times."""
+    keys = {"daily": ("device", "source", "usage_date", "model"), "time": ("device", "source", "event_key"), "sessions": ("device", "source", "session_id")}
+    tables = {name: spark.read.parquet(f"{root}/{name}").withColumn("row_id", S.row_id(*columns)) for name, columns in keys.items()}
+    if "usage_date" not in tables["time"].columns:
+        tables["time"] = tables["time"].withColumn("usage_date", F.to_date("event_time"))
+    return tables
+
+
 def normalise_quota_snapshots(rows: DataFrame) -> DataFrame:
     """tool, window, utilization (0 to 1), tone from landed JSON: a map of windows, or a list with window_seconds and used_percent."""
     j = rows.select("tool", F.from_json("value", "windows map<string,struct<utilization:double,resets_at:string>>, list array<struct<window_seconds:bigint,used_percent:double,resets_at:string>>").alias("j"))

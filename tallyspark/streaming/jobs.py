@@ -12,7 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from tallyspark.operators import merge as M
 
 OVERLAP = "48 hours"
-EVERY = "300 seconds"
+EVERY_SECONDS, LEAST_SECONDS = 300.0, 10.0  # between batches; no less than the least
 
 
 def stream_log_lines(spark: SparkSession, folder: str, schema, files_per_batch: int = 1000) -> DataFrame:
@@ -67,8 +67,30 @@ def stream_merge_events(spark: SparkSession, events: DataFrame, root: str, full:
     return events.writeStream.foreachBatch(merge_into_versions(version_reader(spark, root), root, lambda t, b: b if t is None else merge(t, b)))
 
 
+def newest_version(spark: SparkSession, root: str) -> DataFrame:
+    """What the last batch left: the folder with the highest number that was written to its end."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(folder) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    return spark.read.parquet(f"{root}/v={max(int(n.partition('=')[2]) for n in names)}")
+
+
+def pace(every: float = EVERY_SECONDS, least: float = LEAST_SECONDS) -> str:
+    """The trigger's interval: what is asked for, but not below the least."""
+    return f"{round(max(every, least) * 1000)} milliseconds"
+
+
+def run_scheduled(writer: DataStreamWriter, checkpoint: str, every: float = EVERY_SECONDS, least: float = LEAST_SECONDS) -> None:
+    """Batches every so many seconds; Spark starts none while one runs. Returns when all that has landed so far is in."""
+    query = writer.option("checkpointLocation", checkpoint).trigger(processingTime=pace(every, least)).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
 def run_available(writer: DataStreamWriter, checkpoint: str) -> None:
-    """All that has landed, then stop; the scheduled form uses processingTime=EVERY instead."""
+    """All that has landed, then stop; the scheduled form is run_scheduled."""
     writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
