@@ -1,10 +1,10 @@
 """Best-fit packing by patterns: which documents share a sequence follows from the histogram of their lengths alone.
 
 Documents are tokenised once. Their lengths, at most `capacity` different ones, make a histogram of bounded size, on which
-the driver plans: patterns of few lengths (in buckets of capacity / GRID tokens) that fill a sequence are enumerated;
-non-negative least squares fits how often to repeat each so that the patterns together use up the histogram; the repeats
-are rounded down and drawn from the lengths at hand, longest first; what remains is packed by best fit, also into
-the gaps of the patterns' sequences. The plan is a table of runs: documents of length L and ranks r0..r1 go, `each` to a
+the driver plans: patterns of few lengths (up to KINDS buckets of capacity / GRID tokens, each any number of times) that fill a sequence are
+enumerated; non-negative least squares fits how often to repeat each so that the patterns together use up the histogram; the
+repeats are rounded down and drawn from the lengths at hand, longest first, and closed by the longest that fits; what remains
+is packed by best fit, also into the gaps of the patterns' sequences. The plan is a table of runs: documents of length L and ranks r0..r1 go, `each` to a
 sequence, into sequences from s on, at an offset. Its size depends on `capacity`, not on the number of documents, so it
 can be broadcast; the documents find their place by their rank among those of their length.
 
@@ -22,6 +22,7 @@ from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,9 @@ from .common import durable, map_batches, read
 
 CAPACITY = 4096
 END_ID = 1
-GRID = 64  # buckets of length in the patterns
-MOST = 3  # documents in a pattern at most
-SMALL = 3  # documents below capacity / SMALL aren't in patterns: they fill gaps
+GRID = 48  # units that the capacity is cut into; buckets of length end at whole units
+LOOK = 48  # lengths tried for a pattern's last but one document
+KINDS = 3  # different buckets in a pattern at most, each any number of times
 GROUP = 1000
 CACHE_ITEMS = 300_000  # words in a worker's cache
 CACHE_WORD = 64  # characters of a word that is kept
@@ -179,19 +180,23 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
     return x
 
 
-def patterns(grid: int, most: int, least: int) -> list[tuple[int, ...]]:
-    """Falling sequences of 2..most buckets from `least` on that add up to `grid`; also the full bucket alone."""
-    out: list[tuple[int, ...]] = [(grid,)]
+def patterns(grid: int, kinds: int) -> list[tuple[tuple[int, int], ...]]:
+    """All (bucket, times) sets of up to `kinds` different buckets that add up to `grid` units, buckets falling."""
+    out: list[tuple[tuple[int, int], ...]] = []
 
-    def grow(head: tuple[int, ...], rest: int) -> None:
-        if rest == 0 and len(head) > 1:
-            out.append(head)
-        if rest <= 0 or len(head) == most:
-            return
-        for b in range(min(rest, head[-1] if head else grid - least), least - 1, -1):
-            grow((*head, b), rest - b)
+    def grow(head: tuple[tuple[int, int], ...], below: int, rest: int) -> None:
+        for b in range(min(below - 1, rest), 0, -1):
+            if len(head) == kinds - 1:  # the last bucket has to fill what is left
+                if rest % b == 0:
+                    out.append((*head, (b, rest // b)))
+                continue
+            for times in range(1, rest // b + 1):
+                if rest == b * times:
+                    out.append((*head, (b, times)))
+                else:
+                    grow((*head, (b, times)), b, rest - b * times)
 
-    grow((), grid)
+    grow((), grid + 1, grid)
     return out
 
 
@@ -204,6 +209,7 @@ class Plan:
         self.lengths = sorted(self.left)
         self.rank: dict[int, int] = defaultdict(int)
         self.sequences = 0
+        self.fitted = 0  # documents placed by patterns
         self.runs: list[tuple[int, int, int, int, int, int]] = []  # length, first rank, rank after the last, first sequence, each, offset
         self.open: dict[int, list[tuple[int, int]]] = {}  # by what is free: runs of sequences (first, how many)
         self.free: list[int] = []
@@ -223,18 +229,19 @@ class Plan:
                 insort(self.free, free)
             self.open[free].append((first, many))
 
-    def fit_patterns(self, grid: int = GRID, most: int = MOST, small: int = SMALL) -> None:
+    def fit_patterns(self, grid: int = GRID, kinds: int = KINDS) -> None:
         width = -(-self.capacity // grid)
         whole = self.capacity // width
-        bucket = lambda n: min(whole, -(-n // width))
-        found = patterns(whole, most, max(1, whole // small))
+        bucket = lambda n: min(whole, max(1, round(n / width)))
+        found = patterns(whole, kinds)
         have = np.zeros(whole + 1)
         for n, c in self.left.items():
             have[bucket(n)] += c
+        found = [p for p in found if all(have[b] >= t for b, t in p)]
         a = np.zeros((whole + 1, len(found)))
         for j, p in enumerate(found):
-            for b in p:
-                a[b, j] += 1
+            for b, t in p:
+                a[b, j] = t
         scale = 1 / np.sqrt(np.maximum(have, 1))
         repeats = np.floor(nnls(a * scale[:, None], have * scale) + 1e-6).astype(np.int64)
         stock: dict[int, list[int]] = defaultdict(list)
@@ -244,32 +251,55 @@ class Plan:
             if repeats[j] > 0:
                 self._repeat(found[j], int(repeats[j]), stock)
 
-    def _repeat(self, pattern: tuple[int, ...], times: int, stock: dict[int, list[int]]) -> None:
+    def _repeat(self, pattern: tuple[tuple[int, int], ...], times: int, stock: dict[int, list[int]]) -> None:
         """The pattern so many times, or as often as there is stock: runs of sequences with the same lengths."""
         while times:
             need: dict[int, int] = {}
-            lengths = []
-            for k, b in enumerate(pattern):
-                while stock[b] and stock[b][0] not in self.left:
-                    stock[b].pop(0)
-                usable = next((n for n in stock[b] if self.left.get(n, 0) > need.get(n, 0)), None)
-                if usable is None:
+            buckets = [b for b, t in pattern for _ in range(t)]
+            for b in buckets[:-2]:
+                n = self._first(stock[b], need)
+                if n is None:
                     return
-                if k and k == len(pattern) - 1:
-                    usable = self._longest(self.capacity - sum(lengths), need) or usable
-                need[usable] = need.get(usable, 0) + 1
-                lengths.append(usable)
-            if sum(lengths) > self.capacity:
+                need[n] = need.get(n, 0) + 1
+            room = self.capacity - sum(n * t for n, t in need.items())
+            while room < 0:  # lengths above their buckets' middles: the shortest goes
+                n = min(need)
+                need[n] -= 1
+                room += n
+                if not need[n]:
+                    del need[n]
+            for n in self._closing(room, need, stock[buckets[-2]] if len(buckets) > 1 else []):
+                need[n] = need.get(n, 0) + 1
+            if not need:
                 return
-            many = min(times, *(self.left[n] // k for n, k in need.items()))
+            many = min(times, *(self.left[n] // t for n, t in need.items()))
             offset = 0
-            for n in lengths:
-                self.put(n, self.sequences, many, 1, offset)
-                offset += n
+            for n, t in need.items():
+                self.put(n, self.sequences, many, t, offset)
+                offset += n * t
             self.leave(self.capacity - offset, self.sequences, many)
             self.sequences += many
+            self.fitted += many * sum(need.values())
             times -= many
 
+    def _first(self, lengths: list[int], need: dict[int, int]) -> int | None:
+        """The longest length of a bucket with stock beyond `need`."""
+        while lengths and lengths[0] not in self.left:
+            lengths.pop(0)
+        return next((n for n in lengths if self.left.get(n, 0) > need.get(n, 0)), None)
+
+    def _closing(self, room: int, need: dict[int, int], lengths: list[int]) -> list[int]:
+        """The last two documents: of LOOK lengths of the last but one's bucket that which leaves, with the longest behind it, least room."""
+        n = self._longest(room, need)
+        best, least = ([], room) if n is None else ([n], room - n)
+        for n in islice((n for n in lengths if n <= room and self.left.get(n, 0) > need.get(n, 0)), LOOK):
+            if not least:
+                break
+            m = self._longest(room - n, need | {n: need.get(n, 0) + 1})
+            if m is not None and room - n - m < least:
+                best, least = [n, m], room - n - m
+        return best
+
     def _longest(self, room: int, need: dict[int, int]) -> int | None:
         """The longest length with stock beyond `need` that fits into the room: the last document closes the pattern."""
         i = bisect_right(self.lengths, room)

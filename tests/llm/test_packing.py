@@ -55,6 +55,54 @@ def test_plan_is_near_the_bound():
         assert p.sequences <= 1.02 * bound + 2, (p.sequences, bound)
 
 
+def fewest(lengths, capacity):
+    """The least number of sequences, by trying every place for every document."""
+    best = len(lengths)
+
+    def put(i, free):
+        nonlocal best
+        if len(free) >= best:
+            return
+        if i == len(lengths):
+            best = len(free)
+            return
+        for f in {f for f in free if f >= lengths[i]}:
+            put(i + 1, sorted([*free[: free.index(f)], *free[free.index(f) + 1 :], f - lengths[i]]))
+        put(i + 1, [*free, capacity - lengths[i]])
+
+    put(0, [])
+    return best
+
+
+def test_plans_of_few_documents_against_all_packings():
+    rnd = random.Random(8)
+    more = 0
+    for _ in range(150):
+        lengths = sorted((rnd.randint(1, 24) for _ in range(rnd.randint(1, 9))), reverse=True)
+        n, least = K.plan(dict(Counter(lengths)), 24).sequences, fewest(lengths, 24)
+        assert least <= n <= least + 1, lengths
+        more += n - least
+    assert more <= 8
+
+
+def test_patterns_place_most():
+    sizes = np.clip(np.random.default_rng(5).lognormal(5.8, 1.1, 30_000), 1, 4096).astype(int)
+    p = K.Plan(dict(Counter(sizes.tolist())), 4096)
+    p.fit_patterns()
+    assert p.fitted >= 0.8 * len(sizes)
+    assert all(sum(b * t for b, t in x) == 12 and len({b for b, _ in x}) == len(x) <= 3 for x in K.patterns(12, 3))
+    p.best_fit()
+    assert p.sequences <= 1.001 * (sizes.sum() / 4096) + 1
+
+
+def test_long_text(spark):
+    text = "".join(f"word{i % 991} and {i}, " for i in range(150_000))
+    rows = K.pieces(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), TOKENIZER).collect()
+    ids = Tokenizer.from_file(TOKENIZER).encode(text, add_special_tokens=False).ids + [1]
+    got = sorted((r.start, r.length, r.ids_crc32) for r in rows if r.doc_id == 1)
+    assert got == [(a, len(ids[a : a + 4096]), zlib.crc32(np.array(ids[a : a + 4096], "<u4").tobytes())) for a in range(0, len(ids), 4096)]
+
+
 def test_hot_length_and_small_groups(spark):
     rnd = random.Random(4)
     rows = [(i, 0, 0, 10 if i % 3 == 0 else rnd.randint(1, 64), i) for i in range(3000)]
