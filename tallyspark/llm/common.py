@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+HOT = 1000
 BATCH_BYTES = 4 << 20  # of an Arrow batch on its way to Python; one row more at most
 
 
@@ -59,6 +60,30 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(task, schema)
 
 
+def spare(columns: list[str], *names: str) -> list[str]:
+    """Names for helper columns that no column has yet, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], many: str, how: str = "inner") -> DataFrame:
+    """rows joined with groups (a row for each key; `many`: how many rows it has), where one key may have a third of all rows.
+
+    Groups with more than one row in HOT are fewer than HOT, so they are broadcast; only the others' rows are shuffled. Both
+    frames are read twice, so they should be checkpointed. Keys aren't null.
+    """
+    total = groups.agg(F.sum(many)).first()[0] or 0
+    hot = F.col(many) * HOT > total
+    large = F.broadcast(groups.where(hot))
+    rest = rows.join(F.broadcast(groups.where(hot).select(*keys)), keys, "left_anti")
+    return rows.join(large, keys).unionByName(rest.join(groups.where(~hot), keys, how))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else; plain lower() where every character is one byte."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, durable, read
+from .common import ascii_lower, durable, join_groups, read, spare
 
 BLOCK = 4096
 BUCKETS = 1 << 16
@@ -77,7 +77,7 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     ids = identities(docs, block)
     ids = durable(ids)
     several = ids.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("mult").alias("group_size")).where("group_size > 1")
-    rows = ids.join(durable(several), ["level", "name"], "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mult"))))
+    rows = join_groups(ids, durable(several), ["level", "name"], "group_size", "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mult"))))
     rows = rows.withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))).withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
     return rows.select(
         "doc_id",
@@ -89,13 +89,14 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents without exact copies, all columns as they were. One shuffle of the texts."""
-    id_of = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    keep = exact_dedup(docs).where("kept").select(id_of.alias("_copy_id"), F.col("text_sha256").alias("_copy_sha"))
-    sha = F.sha2(ascii_lower(F.coalesce("text", F.lit(""))).cast("binary"), 256)
-    mine = docs.withColumns({"_copy_id": id_of, "_copy_sha": sha}).join(durable(keep), ["_copy_id", "_copy_sha"], "left_semi")
-    place = F.row_number().over(Window.partitionBy("_copy_id", "_copy_sha").orderBy("text"))  # rows that repeat an id and a text
-    return mine.withColumn("_copy", place).where("_copy = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The documents without exact copies, all columns as they were, whatever their names. One shuffle of the texts."""
+    null, ident, sha, place = by = spare(docs.columns, "copy_null", "copy_id", "copy_sha", "copy_place")
+    id_of = F.col("doc_id").cast("long")
+    same = {null: id_of.isNull(), ident: F.coalesce(id_of, F.lit(0))}
+    keep = exact_dedup(docs).where("kept").select(*(c.alias(n) for n, c in same.items()), F.col("text_sha256").alias(sha))
+    mine = docs.withColumns(same | {sha: F.sha2(ascii_lower(F.coalesce("text", F.lit(""))).cast("binary"), 256)}).join(durable(keep), by[:3], "left_semi")
+    first = F.row_number().over(Window.partitionBy(*by[:3]).orderBy("text"))  # rows that repeat an id and a text
+    return mine.withColumn(place, first).where(F.col(place) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

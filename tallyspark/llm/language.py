@@ -6,7 +6,7 @@ everywhere; every chunk is compressed with every dictionary, and the sums decide
 margin below REJECT are rejected: `lang` is then `und`, while `best` still names the smallest.
 
 The training sample is bounded: about SAMPLE documents of each language, chosen by a hash of the id, and of each at most
-PIECE characters from a place that the hash chooses.
+PIECE characters from a place that the hash chooses. Every language that is there is learned.
 
 Defined cases: null text and text without a letter is `und` with score 0; ties go to the language with more training
 documents, then by name; rows without a language aren't learned from; with nothing to learn from all is `und`; rows that
@@ -29,10 +29,7 @@ from .common import map_batches, read, remainder
 SAMPLE = 400
 PIECE = 600
 DICTIONARY = 110 << 10
-LANGUAGES = 200  # more languages than this aren't learned: the most frequent ones are
-CHUNK, LEVEL = 2048, 6
-SHORT = 3000  # texts below so many bytes are parsed more finely, as single bytes decide there
-SHORT_CHUNK, SHORT_LEVEL = 1024, 12
+CHUNK, LEVEL = 768, 8
 REJECT = 0.02
 SHARPNESS = 0.45  # of the score, for each byte of difference
 
@@ -55,7 +52,7 @@ def _hash(doc_id: str = "doc_id") -> Column:
 def fit(train: DataFrame, sample: int = SAMPLE) -> list[tuple[str, bytes]]:
     """Languages, most frequent first, with their dictionaries. train: doc_id, text, lang."""
     train = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
-    found = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    found = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not found:
         return []
     share = F.create_map(*(F.lit(x) for r in found for x in (r["lang"], min(_PLACES, math.ceil(1.2 * sample / r["count"] * _PLACES)))))
@@ -72,13 +69,12 @@ def fit(train: DataFrame, sample: int = SAMPLE) -> list[tuple[str, bytes]]:
 class Judge:
     def __init__(self, model: list[tuple[str, bytes]]) -> None:
         self.names = [name for name, _ in model]
-        make = lambda level: [zstandard.ZstdCompressor(level=level, dict_data=self._dictionary(d, level), write_content_size=False) for _, d in model]
-        self.usual, self.fine = make(LEVEL), make(SHORT_LEVEL)
+        self.coders = [zstandard.ZstdCompressor(level=LEVEL, dict_data=self._dictionary(d), write_content_size=False) for _, d in model]
 
     @staticmethod
-    def _dictionary(raw: bytes, level: int) -> zstandard.ZstdCompressionDict:
+    def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict:
         d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=level)
+        d.precompute_compress(level=LEVEL)
         return d
 
     def __call__(self, text: str | None) -> tuple[str, str, float, float]:
@@ -86,8 +82,7 @@ class Judge:
         if not text or not self.names or not any(map(str.isalpha, text)):
             return UNKNOWN, UNKNOWN, 0.0, 0.0
         raw = memoryview(plain(text))
-        coders, chunk = (self.fine, SHORT_CHUNK) if len(raw) < SHORT else (self.usual, CHUNK)
-        sizes = [sum(len(c.compress(raw[i : i + chunk])) for i in range(0, len(raw), chunk)) for c in coders]
+        sizes = [sum(len(c.compress(raw[i : i + CHUNK])) for i in range(0, len(raw), CHUNK)) for c in self.coders]
         order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
         least = sizes[order[0]]
         score = 1 / sum(math.exp(max(-700.0, (least - s) * SHARPNESS)) for s in sizes)

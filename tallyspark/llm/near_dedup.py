@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .common import durable, map_batches, read
+from .common import durable, map_batches, read, spare
 from .components import components
 
 SAMPLES = 128
@@ -296,12 +296,12 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "sha")).alias("x")
     keep = rows.where(F.col("root").isNotNull()).groupBy("root").agg(least).select("x.doc_id", "x.sha")
     keep = keep.unionByName(rows.where(F.col("root").isNull()).select("doc_id", "sha").distinct())
-    keep = durable(keep.select(F.col("doc_id").isNull().alias("_copy_null"), F.coalesce("doc_id", F.lit(0)).alias("_copy_id"), F.col("sha").alias("_copy_sha")))
-    by = ["_copy_null", "_copy_id", "_copy_sha"]
+    null, ident, sha, place = by = spare(docs.columns, "copy_null", "copy_id", "copy_sha", "copy_place")
+    keep = durable(keep.select(F.col("doc_id").isNull().alias(null), F.coalesce("doc_id", F.lit(0)).alias(ident), F.col("sha").alias(sha)))
     id_of = F.col("doc_id").cast("long")
-    mine = docs.withColumns({"_copy_null": id_of.isNull(), "_copy_id": F.coalesce(id_of, F.lit(0)), "_copy_sha": _sha(F.col("text"))}).join(keep, by, "left_semi")
-    place = F.row_number().over(Window.partitionBy(*by).orderBy("text"))  # rows that repeat an id and a text
-    return mine.withColumn("_copy", place).where("_copy = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    mine = docs.withColumns({null: id_of.isNull(), ident: F.coalesce(id_of, F.lit(0)), sha: _sha(F.col("text"))}).join(keep, by[:3], "left_semi")
+    first = F.row_number().over(Window.partitionBy(*by[:3]).orderBy("text"))  # rows that repeat an id and a text
+    return mine.withColumn(place, first).where(F.col(place) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import durable, read
 
-KEY = "change-me"  # the default of the secret key; a deployment passes its own
+KEY = "change-me"  # the default of the secret key, for tests; a deployment passes its own or names it in KEY_SETTING
+KEY_SETTING = "spark.tallyspark.surrogate.key"
 ROUNDS = 40
+MORE = 4  # digits that a phone number gets when all of its length are taken
 
 EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}](?:[\p{L}\p{N}._%+\-]{0,62}[\p{L}\p{N}_%+\-])?@[\p{L}\p{N}](?:[\p{L}\p{N}\-]{0,62})?(?:\.[\p{L}\p{N}\-]{1,63}){0,6}\.\p{L}{2,24}"
 IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"
@@ -158,8 +160,10 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     body = F.concat(F.substring(canon, 1, 1), F.substring(F.concat(digits(n[0], F.lit(10)), digits(n[1], F.lit(10))), F.lit(1), size - 2))
     check = ((10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")
     card = F.concat(body, F.when(_luhn_sum(canon) % 10 == 0, check).otherwise(digits(n[2], F.lit(1))))
-    north = F.concat(F.lit("1"), (200 + n[0] % 800).cast("string"), F.when(F.substring(canon, 5, 3) == "555", "555").otherwise((200 + n[1] % 800).cast("string")), digits(n[2], F.lit(4)))
-    abroad = F.concat(F.substring(canon, 1, 3), F.substring(F.concat(digits(n[0], F.lit(10)), digits(n[1], F.lit(10))), F.lit(1), size - 3))
+    north = F.concat(F.lit("1"), (200 + n[0] % 800).cast("string"), F.when((F.substring(canon, 5, 3) == "555") & (attempt < 8), "555").otherwise((200 + n[1] % 800).cast("string")), digits(n[2], F.lit(4)))
+    # short numbers have few free digits: later attempts free the country code too, the last ones add MORE digits
+    keep = F.when(attempt < 8, 3).when(attempt < 16, 1).otherwise(0)
+    abroad = F.concat(F.substring(canon, F.lit(1), keep), F.substring(F.concat(digits(n[0], F.lit(10)), digits(n[1], F.lit(10))), F.lit(1), size - keep), F.when(attempt >= 24, digits(n[2], F.lit(MORE))).otherwise(""))
     out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "ssn", ssn).when(kind == "card", card)
     out = out.when(kind == "phone", F.when((size == 11) & canon.startswith("1"), north).otherwise(abroad))
     for script in SYLLABLES:
@@ -173,7 +177,8 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
 def _render(kind: Column, raw: Column, to: Column) -> Column:
     """The surrogate in the format and case of the mention."""
     have = F.char_length(_digits(raw))
-    tail = F.substring(to, F.char_length(to) - have + 1, F.lit(1000))
+    more = F.when(F.char_length(to) >= have + MORE, F.right(to, F.lit(MORE))).otherwise("")
+    tail = F.substring(to, F.char_length(to) - F.char_length(more) - have + 1, have)
     chars = F.split(raw, "")
     filled = F.aggregate(
         chars,
@@ -183,7 +188,7 @@ def _render(kind: Column, raw: Column, to: Column) -> Column:
     )
     is_name = kind.startswith("given") | kind.startswith("surname")
     cased = F.when((F.upper(raw) == raw) & (F.char_length(raw) > 1), F.upper(to)).when(is_name, F.initcap(to)).otherwise(to)
-    return F.when(kind.isin("card", "phone"), filled).otherwise(cased)
+    return F.when(kind == "phone", F.concat(filled, more)).when(kind == "card", filled).otherwise(cased)
 
 
 def dictionary(entities: DataFrame, key: str) -> DataFrame:
@@ -205,8 +210,9 @@ def dictionary(entities: DataFrame, key: str) -> DataFrame:
     raise RuntimeError("some entities found no free surrogate")
 
 
-def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """The documents with every entity replaced, all columns as they were."""
+def replace(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """The documents with every entity replaced, all columns as they were. Without a key it is the session's."""
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, KEY)
     columns = docs.columns
     mine = ["_row_id", "_row_hash", "_pieces", "_done"]
     split = with_mentions(docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col("doc_id").alias("_row_id"), F.col("text").cast("string").alias("text")))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .common import durable, map_batches, read
+from .common import durable, join_groups, map_batches, read
 
 LENGTH = 400
 WORDS = 50  # passages of so many words are told too
@@ -418,7 +418,7 @@ def passages_removed(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame,
     changed = found.where("copies = 1").select("tid", "sha", "text").join(durable(spans), "tid").select("sha", "text", "s", "e")
     changed = map_batches(changed, _cut(length), "sha binary, n_removed long, n_spans long, kept binary")
     shared = F.when(F.col("copies") > 1, F.greatest("n_strings", "n_shared")).otherwise(F.col("n_shared")).cast("long").alias("n_shared")
-    each = seen.select("doc_id", "sha", "n_bytes", F.size("strings").alias("n_strings")).join(texts.select("sha", "copies", "n_shared"), "sha")
+    each = join_groups(seen.select("doc_id", "sha", "n_bytes", F.size("strings").alias("n_strings")), texts.select("sha", "copies", "n_shared"), ["sha"], "copies")
     return each.select("doc_id", "sha", "n_bytes", "copies", shared), changed
 
 

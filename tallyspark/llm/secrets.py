@@ -86,6 +86,24 @@ def dictionary(docs: DataFrame) -> list[str]:
     return [r["w"] for r in top]
 
 
+def any_word(words: list[str]) -> str:
+    """A pattern of all the words that tries each letter once: the longest word at a place matches. Words are letters only."""
+    root: dict = {}
+    for w in words:
+        node = root
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def write(node: dict) -> str:
+        more = [c + write(n) for c, n in sorted(node.items()) if c]
+        if not more:
+            return ""
+        return f"(?:{'|'.join(more)})" + ("?" if "" in node else "")
+
+    return write(root)
+
+
 def _share(value: Column, pattern: str) -> Column:
     return F.char_length(F.regexp_replace(value, pattern, "")) / F.char_length(value)
 
@@ -95,8 +113,7 @@ def features(found: DataFrame, words: list[str]) -> DataFrame:
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[a-z]", "l"), "[A-Z]", "u"), "[0-9]", "d"), "[^lud]", "s")
     runs = F.regexp_replace(classes, r"(.)\1+", "$1")
     runs_of_letters = F.regexp_extract_all(F.lower(v), F.lit(r"\p{L}{4,}"), F.lit(0))
-    known = F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
-    cover = F.aggregate(known, F.lower(v), lambda s, w: F.replace(s, w, F.lit(""))) if words else F.lower(v)
+    cover = F.regexp_replace(F.lower(v), any_word(words), "") if words else F.lower(v)
     out = found.withColumns(
         {
             "size": F.log1p(F.char_length(v)),

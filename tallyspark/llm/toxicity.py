@@ -195,7 +195,8 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     labels = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
     n = labels.count()
     if n > sample:
-        labels = labels.where(F.pmod(F.xxhash64("label_id", F.lit(23)), F.lit(_PLACES)) < math.ceil(sample / n * _PLACES)).limit(2 * sample)
+        by_hash = F.xxhash64("label_id", F.lit(23))
+        labels = labels.where(F.pmod(by_hash, F.lit(_PLACES)) < math.ceil(sample / n * _PLACES)).orderBy(by_hash, "label_id", "toxic").limit(2 * sample)
     labels = labels.groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     mine = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return mine.join(F.broadcast(labels), mine["doc_id"] == labels["label_id"]).select("doc_id", "text", "toxic")

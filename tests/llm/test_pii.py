@@ -63,3 +63,21 @@ def test_many_entities_stay_distinct(spark):
 def test_query_and_empty(spark, odd, empty, tables):
     assert pii.op5_pii_surrogates(spark, tables(odd)).count() == odd.count()
     assert pii.replace(empty).count() == 0
+
+
+def test_short_numbers_that_use_up_their_form(spark):
+    """More numbers of five digits than there are surrogates with the same country code: still one each, none a real one."""
+    numbers = [f"+1 {i // 100:02d} {i % 100:02d}" for i in range(130)]
+    docs = spark.createDataFrame([(i, f"call {n} now") for i, n in enumerate(numbers)], "doc_id long, text string")
+    out = [r.text for r in pii.replace(docs, "k").collect()]
+    assert len(set(out)) == 130 and not set(out) & {f"call {n} now" for n in numbers}
+
+
+def test_key_of_the_session(spark):
+    docs = spark.createDataFrame([(1, "mail jo.doe@host.example")], "doc_id long, text string")
+    plain = pii.replace(docs).first().text
+    spark.conf.set(pii.KEY_SETTING, "another")
+    try:
+        assert pii.replace(docs).first().text == pii.replace(docs, "another").first().text != plain
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)

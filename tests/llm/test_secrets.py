@@ -1,5 +1,7 @@
 import hashlib
+import math
 import random
+import re
 
 from tallyspark.llm import secrets as S
 
@@ -92,5 +94,85 @@ def test_long_values_are_whole(spark):
 
 
 def test_odd_and_empty(odd, empty):
-    assert S.scan(odd).count() >= 0
+    texts = {r.doc_id: r.text for r in odd.collect()}
+    out = S.scan(odd).collect()
+    assert {r.rule for r in out} == {"long"} and {texts[r.doc_id] for r in out} == {"x" * 9000} and not any(r.kept for r in out)
     assert S.scan(empty).count() == 0
+
+
+def brute_features(value, before, after, rule, words):
+    kind = "".join("l" if c in "abcdefghijklmnopqrstuvwxyz" else "u" if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else "d" if c in "0123456789" else "s" for c in value)
+    n, low, covered, i = len(value), value.lower(), 0, 0
+    while i < n:  # the longest word at each place
+        w = max((len(w) for w in words if low.startswith(w, i)), default=0)
+        covered += w
+        i += w or 1
+    letters = [len(x) for x in re.findall(r"[^\W\d_]{4,}", low)]
+    around = f"{before} {value} {after}"
+    return {
+        "size": math.log1p(n),
+        "upper": kind.count("u") / n,
+        "lower": kind.count("l") / n,
+        "digit": kind.count("d") / n,
+        "sign": kind.count("s") / n,
+        "turns": (1 + sum(a != b for a, b in zip(kind, kind[1:]))) / n,
+        "distinct": len(set(value)) / min(n, 64),
+        "hex": float(set(value) <= set("0123456789abcdefABCDEF")),
+        "words": covered / n,
+        "longest": max(letters, default=0) / n,
+        "named": float(rule == "assigned"),
+        "quoted": float(before[-1:] in ("'", '"', "`") and before != ""),
+        "format": float(rule in ("format", "private_key")),
+        "in_path": float(bool(re.search(r"(?:https?:|[/\\.@])\S*$", before) or re.search("/.*/", value))),
+        "near_secret": float(bool(re.search(S.NAMES, f"{before} {after}", re.I))),
+        "near_example": float(bool(re.search(S.EXAMPLES, around, re.I))),
+    }
+
+
+def test_features_against_plain_python(spark):
+    docs, _ = corpus(spark)
+    words = S.dictionary(docs) + ["chang", "change", "changelog"]
+    extra = [(950, "key = changelogchangechangxyz and more/of/thisChangeLogPath1 too"), (951, 'secret: "Zebra-9f8e7d6c5b4a/x1y2z3/changing"')]
+    found = S.candidates(docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string")))
+    rows = S.features(found, words).collect()
+    assert len(rows) > 180 and {950, 951} <= {r.doc_id for r in rows}
+    for r in rows:
+        want = brute_features(r.value, r.before, r.after, r.rule, words)
+        assert {c: round(r[c], 9) for c in S.FEATURES} == {c: round(x, 9) for c, x in want.items()}, r.value
+
+
+def labelled_corpus(spark, seed):
+    """Findings with labels: keys of several makes, and hard negatives that look like them."""
+    rnd = random.Random(seed)
+    draw = lambda signs, n: "".join(rnd.choice(signs) for _ in range(n))
+    hexa, b64 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    name = lambda: "".join(rnd.choice(["an", "er", "ti", "on", "re", "st", "ou", "in"]) for _ in range(rnd.randint(2, 4)))
+    yes = [
+        lambda: f'api_key = "{draw(b64, 40)}"',
+        lambda: f"password: {draw(b64, rnd.randint(12, 20))}",
+        lambda: f"AKIA{draw('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 16)}",
+        lambda: f"ghp_{draw(b64[:62], 36)}",
+        lambda: f"auth_token={draw(hexa, 40)}",
+    ]
+    no = [
+        lambda: f"https://files.host.example/{draw(hexa, 32)}/{draw(hexa, 8)}",
+        lambda: f"token = your_{name()}_token_here_{name()}",
+        lambda: f"password: {name()}{name()}{name()}",
+        lambda: f"{draw(hexa, 8)}-{draw(hexa, 4)}-{draw(hexa, 4)}-{draw(hexa, 4)}-{draw(hexa, 12)}",
+        lambda: f"order {draw('0123456789', 24)} shipped",
+        lambda: f"secret = {draw('x', 16)}",
+    ]
+    rows = []
+    for i in range(900):
+        good = i % 2
+        rows.append((i, f"{name()} {name()} {rnd.choice(yes if good else no)()} {name()} {name()}", good))
+    return spark.createDataFrame(rows, "doc_id long, text string, truth int")
+
+
+def test_precision_and_recall_on_held_out_findings(spark):
+    docs = labelled_corpus(spark, 21)
+    labelled = S.candidates(docs).join(docs.select("doc_id", "truth").withColumnRenamed("truth", "label"), "doc_id").where("doc_id < 450")
+    out = S.scan(docs, labelled).where("doc_id >= 450").groupBy("doc_id").agg({"kept": "max"}).withColumnRenamed("max(kept)", "kept")
+    both = docs.where("doc_id >= 450").join(out, "doc_id", "left").collect()
+    hit = sum(bool(r.kept) and r.truth == 1 for r in both)
+    assert hit / sum(r.truth for r in both) >= 0.95 and hit / sum(bool(r.kept) for r in both) >= 0.95
