@@ -589,7 +589,7 @@ def stream_merge_daily(spark, d):
     early = rows.withColumn("total_tokens", F.lit(1).cast("long")).withColumn("cost", (F.col("cost").cast("decimal(36,12)") + 1).cast("decimal(38,12)"))
     stream = _three_batches(spark, [early, early, rows], "daily-landing")
     jobs.run_available(jobs.stream_merge_daily(spark, stream, root, TODAY, F.lit("2024-01-31 00:00:00").cast("timestamp")), scratch(spark, "daily-mark"))
-    out = jobs.newest_version(spark, root)
+    out = jobs.stored_days(spark, root)
     return out.select(*M.DAILY_KEYS, "total_tokens", P.as_double(F.col("cost")).alias("cost_usd"), F.col("pricing_locked_at").isNotNull().alias("locked"))
 
 
@@ -601,7 +601,7 @@ def stream_ingest(spark, d):
     odd = F.crc32(F.col("event_key").cast("binary")) % 2 == 1
     stream = _three_batches(spark, [rows.where(odd).withColumn("total_tokens", F.lit(0).cast("long")), rows.where(~odd), rows.where(odd)], "events-landing")
     jobs.run_available(jobs.stream_merge_events(spark, stream, root), scratch(spark, "events-mark"))
-    return jobs.newest_version(spark, root).select("event_key", "total_tokens")
+    return jobs.stored_days(spark, root).select("event_key", "total_tokens")
 
 
 @query("T08_stream_trigger", "SELECT device, source, event_key FROM usage")

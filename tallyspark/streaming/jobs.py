@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tallyspark.operators import merge as M
+from tallyspark.operators.stages import checkpointed
 
 OVERLAP = "48 hours"
 EVERY_SECONDS, LEAST_SECONDS = 300.0, 10.0  # between batches; no less than the least
@@ -50,21 +51,50 @@ def version_reader(spark: SparkSession, root: str) -> Callable[[int], DataFrame
     return lambda number: spark.read.parquet(f"{root}/v={number}") if number >= 0 else None
 
 
+def merge_into_days(spark: SparkSession, root: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch body: merges a batch into facts that are stored by day, and rewrites the batch's days only.
+
+    The merged days are checkpointed first, as the files that they are read from are the ones that are replaced. A batch that
+    comes again after a failure merges to the same rows, so it also mends days that were replaced in part. Facts of one key
+    keep their day.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        stored = stored_days(spark, root, batch)
+        days = F.broadcast(batch.select("usage_date").distinct())  # a calendar's days at most
+        merged = checkpointed(merge(stored.join(days, "usage_date", "left_semi"), batch))
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("usage_date").parquet(root)
+
+    return run
+
+
+def stored_days(spark: SparkSession, root: str, like: DataFrame | None = None) -> DataFrame:
+    """The facts stored by day; before the first batch an empty table like the batch."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if like is not None and not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return like.limit(0)
+    return spark.read.parquet(root).withColumn("usage_date", F.col("usage_date").cast("date"))
+
+
 def stream_merge_daily(spark: SparkSession, daily: DataFrame, root: str, today: date, now) -> DataStreamWriter:
-    """Daily rows merged with price locks; the checkpoint makes batch numbers stable."""
+    """Daily rows merged with price locks."""
 
-    def merge(target: DataFrame | None, batch: DataFrame) -> DataFrame:
-        if target is None:
-            return M.lock_past_prices(batch.withColumn("pricing_locked_at", F.lit(None).cast("timestamp")), today, now)
-        return M.merge_daily_price_locked(target, batch, today, now)
+    def merge(stored: DataFrame, batch: DataFrame) -> DataFrame:
+        if "pricing_locked_at" not in stored.columns:
+            stored = stored.withColumn("pricing_locked_at", F.lit(None).cast("timestamp"))
+        return M.merge_daily_price_locked(stored, batch, today, now)
 
-    return daily.writeStream.foreachBatch(merge_into_versions(version_reader(spark, root), root, merge))
+    return daily.writeStream.foreachBatch(merge_into_days(spark, root, merge))
 
 
 def stream_merge_events(spark: SparkSession, events: DataFrame, root: str, full: bool = False) -> DataStreamWriter:
-    """Events upserted by key; with `full` a batch replaces its devices and sources. Late events beyond the overlap need `full`."""
-    merge = M.replace_sources if full else M.merge_events
-    return events.writeStream.foreachBatch(merge_into_versions(version_reader(spark, root), root, lambda t, b: b if t is None else merge(t, b)))
+    """Events (with usage_date) upserted by key into their days; with `full` a batch replaces all of its devices and sources.
+
+    Late events beyond the overlap need `full`, which may empty days and therefore writes whole versions.
+    """
+    if full:
+        return events.writeStream.foreachBatch(merge_into_versions(version_reader(spark, root), root, lambda t, b: b if t is None else M.replace_sources(t, b)))
+    return events.writeStream.foreachBatch(merge_into_days(spark, root, M.merge_events))
 
 
 def newest_version(spark: SparkSession, root: str) -> DataFrame:
