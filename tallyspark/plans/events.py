@@ -54,16 +54,31 @@ def normalise_model(spark, d):
     return U.named(spark, d).select("raw_model", "model").distinct()
 
 
-@query("X02_canonical_provider", "SELECT event_key, CASE event_id % 5 WHEN 0 THEN 'xai' WHEN 1 THEN 'anthropic' WHEN 2 THEN NULL WHEN 3 THEN 'google' ELSE 'vendor' END AS provider FROM usage_raw")
+def _named(parts: list[list[str]]) -> str:
+    """SQL for a name put together from the event's number: one of each list, in any combination."""
+    factors = (1, 31, 17, 7)
+    pick = lambda words, k: "CASE (event_id * {}) % {} {} END".format(factors[k], len(words), " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(words)))
+    return " || ".join(pick(words, k) for k, words in enumerate(parts))
+
+
+_PROVIDER = _named([["x-ai", "Vertex_AI", "unknown", " Gemini ", "m1", "Vendor", ""], ["/", "."], ["some-1", "openai", "Mistral", " x ", "unknown"]])
+_MODEL = _named([["my-", "X/", "", "pro", "v2-"], ["claude-5", "Opus", "gpt-4", "o3", "Gemini-2", "grok", "deepseek", "mimo", "mixtral", "llama", "meta", "qwen", "glm-4", "other"], ["", "-model", "x", " beta"]])
+
+
+def _provider_sql() -> str:
+    known = "CASE p " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.ALIASES.items()) + " WHEN '' THEN NULL WHEN 'unknown' THEN NULL ELSE CASE WHEN NOT regexp_matches(p, '[0-9]') THEN p END END"
+    parts = "list_transform(string_split_regex(replace(trim(raw), '-', '_'), '[/.]'), lambda p: lower(trim(p)))"
+    return f"SELECT event_key, list_filter(list_transform({parts}, lambda p: {known}), lambda p: p IS NOT NULL)[1] AS provider FROM (SELECT event_key, {_PROVIDER} AS raw FROM usage_raw)"
+
+
+@query("X02_canonical_provider", _provider_sql())
 def canonical_provider(spark, d):
-    raw = F.when(F.col("event_id") % 5 == 0, "x-ai").when(F.col("event_id") % 5 == 1, "vertex_ai/some-1").when(F.col("event_id") % 5 == 2, "unknown").when(F.col("event_id") % 5 == 3, " Gemini ").otherwise("m1/vendor")
-    return U.usage_raw(spark, d).select("event_key", S.canonical_provider(raw).alias("provider"))
+    return U.usage_raw(spark, d).select("event_key", S.canonical_provider(F.expr(_PROVIDER)).alias("provider"))
 
 
-@query("X03_infer_provider", "SELECT event_key, CASE event_id % 4 WHEN 0 THEN 'google' WHEN 1 THEN 'xai' WHEN 2 THEN 'openai' ELSE NULL END AS provider FROM usage_raw")
+@query("X03_infer_provider", f"SELECT event_key, CASE {' '.join(f'WHEN regexp_matches(lower(raw), {chr(39)}{p}{chr(39)}) THEN {chr(39)}{v}{chr(39)}' for p, v in S.FAMILIES)} END AS provider FROM (SELECT event_key, {_MODEL} AS raw FROM usage_raw)")
 def infer_provider(spark, d):
-    raw = F.when(F.col("event_id") % 4 == 0, "Gemini-2.0-flash").when(F.col("event_id") % 4 == 1, "grok-2").when(F.col("event_id") % 4 == 2, "my-o3-model").otherwise("totally-unknown")
-    return U.usage_raw(spark, d).select("event_key", S.infer_provider(raw).alias("provider"))
+    return U.usage_raw(spark, d).select("event_key", S.infer_provider(F.expr(_MODEL)).alias("provider"))
 
 
 @query("X04_source_label", "SELECT DISTINCT source, CASE source WHEN 'click' THEN 'Click tool' WHEN 'view' THEN 'Viewer' ELSE source END AS label FROM usage_raw")
