@@ -8,8 +8,9 @@ below the threshold, and the rest are confirmed on the full sets.
 
 No bucket is expanded into all its pairs. First every node of a bucket meets the bucket's least node only; confirmed
 links join nodes to components. Then only buckets that still hold nodes of different components are looked at again:
-their nodes are cut into blocks of about BLOCK, and each pair of blocks is a task's group of bounded size: pairs of
-different components whose sketches agree are confirmed there on their full sets, and only links come out. Pairs within
+their nodes are cut into blocks of about BLOCK, and each pair of blocks is a task's group of bounded size: the blocks meet
+with sizes and sketches alone, and only nodes that have a candidate of another component there bring their full sets,
+on which pairs are confirmed; only links come out. Pairs within
 a component need no test, as they can't change the result. So every candidate pair that could matter is tested, none is
 emitted, and nothing is capped.
 
@@ -187,30 +188,58 @@ def _apart(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
+class _Pair:
+    """The nodes of a pair of blocks: which of them may be linked, by component, size and sketch, in the first band they share."""
+
+    def __init__(self, group: pd.DataFrame, most: int, percent: int) -> None:
+        side, self.n = group["side"].to_numpy(), group["n"].to_numpy()
+        self.left, self.right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+        self.bits = np.stack(group["sketch"].to_numpy()).astype(np.int64).view(np.uint64)
+        self.bands = np.stack(group["bands"].to_numpy()).astype(np.int64)
+        self.here = int(np.flatnonzero(self.bands[0] == group["band"].iloc[0])[0])
+        self.code = pd.factorize(pd.Series([bytes(x) for x in group["root"]]))[0]
+        self.most, self.percent = most, percent
+
+    def candidates(self, rows: int = 32) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Numbers of the nodes on the left and on the right of candidate pairs, some rows of the left at a time."""
+        right, n, code = self.right, self.n, self.code
+        for k in range(0, len(self.left), rows):
+            i = self.left[k : k + rows, None]
+            may = (code[i] != code[right]) & (100 * np.minimum(n[i], n[right]) >= self.percent * np.maximum(n[i], n[right]))
+            a, b = np.nonzero(may)
+            a, b = self.left[k + a], right[b]
+            near = np.bitwise_count(self.bits[a] ^ self.bits[b]).sum(1) <= self.most
+            a, b = a[near], b[near]
+            first = ~(self.bands[a, : self.here] == self.bands[b, : self.here]).any(1)
+            yield a[first], b[first]
+
+
+def _blocks_narrowed(most: int, percent: int):
+    """The rows of a pair of blocks that have a candidate in it; the others' sets needn't come."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        on = np.zeros(len(group), bool)
+        for a, b in _Pair(group, most, percent).candidates():
+            on[a] = on[b] = True
+        return group[on]
+
+    return run
+
+
 def _blocks_compared(most: int, percent: int):
     """Confirmed links between nodes of different components in one pair of blocks.
 
-    Sizes and sketches come first, full sets last; a pair is looked at in the first band it shares only, and what a link has
-    joined needs no second one. So few links come out, however many pairs are alike.
+    Candidates by size and sketch come first, full sets last; what a link has joined needs no second one. So few links come
+    out, however many pairs are alike.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        key, side, n = group["key"].to_numpy(), group["side"].to_numpy(), group["n"].to_numpy()
-        bits = np.stack(group["sketch"].to_numpy()).astype(np.int64).view(np.uint64)
-        bands = np.stack(group["bands"].to_numpy()).astype(np.int64)
-        here = int(np.flatnonzero(bands[0] == group["band"].iloc[0])[0])
-        code = pd.factorize(pd.Series([bytes(x) for x in group["root"]]))[0]
+        pair, key = _Pair(group, most, percent), group["key"].to_numpy()
         members = [np.frombuffer(x, np.uint64) for x in group["members"]]
-        left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+        n, code = pair.n, pair.code
         us, vs = [], []
-        for i in left.tolist():
-            other = right[(code[right] != code[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-            if not len(other):
-                continue
-            other = other[np.bitwise_count(bits[other] ^ bits[i]).sum(1) <= most]
-            if here and len(other):
-                other = other[~(bands[other, :here] == bands[i, :here]).any(1)]
-            for j in other.tolist():
+        for a, b in pair.candidates():
+            for i, j in zip(a.tolist(), b.tolist(), strict=True):
                 if code[i] != code[j] and 100 * (both := _common(members[i], members[j])) >= percent * (n[i] + n[j] - both):
                     u, v = sorted((bytes(key[i]), bytes(key[j])))
                     us.append(u)
@@ -256,7 +285,7 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80, with_sha: bool = F
     member = durable(inside.select("key", "band").join(rooted.select("key", "root"), "key"))
     mixed = member.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("many")).where("r0 <> r1")
     mixed = durable(mixed.select("band", F.ceil(F.col("many") / BLOCK).cast("int").alias("parts")))
-    todo = member.select("key", "band").join(mixed, "band").join(rooted, "key").join(sets.select("key", "members"), "key")
+    todo = member.select("key", "band").join(mixed, "band").join(rooted, "key")
     todo = todo.withColumn("part", F.pmod(F.xxhash64("key", "band"), F.col("parts")).cast("int"))
     todo = todo.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     todo = todo.select(
@@ -265,13 +294,15 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80, with_sha: bool = F
         "n",
         "sketch",
         "bands",
-        "members",
         "band",
         F.least("part", "other").alias("p"),
         F.greatest("part", "other").alias("q"),
         F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2).alias("side"),
     )
-    more = durable(todo.groupBy("band", "p", "q").applyInPandas(_blocks_compared(most, percent), "u binary, v binary"))
+    # the blocks meet without their sets; only nodes that have a candidate there bring them
+    some = durable(todo.groupBy("band", "p", "q").applyInPandas(_blocks_narrowed(most, percent), todo.schema))
+    some = some.join(sets.select("key", "members"), "key").groupBy("band", "p", "q")
+    more = durable(some.applyInPandas(_blocks_compared(most, percent), "u binary, v binary"))
     if not more.isEmpty():
         found = durable(components(more.unionByName(found.select(F.col("node").alias("u"), F.col("root").alias("v")))))
     return signed.select("doc_id", "n_shingles", "key", *(["sha"] if with_sha else [])).join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
