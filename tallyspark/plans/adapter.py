@@ -29,18 +29,34 @@ SELECT 'dev-' || CAST(user_id % 4 AS STRING) AS device, event_type AS source, CA
   (event_id * 15485863) % 1500 AS reasoning_output_tokens
 FROM events"""
 
-PRICE_DIM = """
+#: Prices above a tier, by listed key; all tiers occur, some with others left out between.
+TIERED = {
+    "m-delta": {"input_above_128k": "0.00000087", "input_above_256k": "0.0000011", "cache_read_above_200k": "0.00000000725", "output_above_128k": "0.0000017", "output_above_256k": "0.000002"},
+    "m-alpha-4.5": {"cache_read_above_200k": "0.0000006", "cache_read_above_272k": "0.0000009", "cache_write_above_200k": "0.0000075", "input_above_200k": "0.000006", "input_above_272k": "0.000009"},
+    "openai/m-beta-2": {"output_above_200k": "0.000021", "output_above_272k": "0.000028", "cache_read_above_272k": "0.00000035"},
+}
+
+
+def _tier_columns() -> str:
+    out = []
+    for c in (f"{k}_above_{t}" for k, ts in P.TIERS.items() for t in ts):
+        listed = " ".join(f"WHEN '{key}' THEN '{prices[c]}'" for key, prices in TIERED.items() if c in prices)
+        out.append(f"CAST({f'CASE model_key {listed} END' if listed else 'NULL'} AS DECIMAL(18,12)) AS {c}")
+    return ", ".join(out)
+
+
+PRICE_DIM = f"""
 SELECT dataset, model_key, CAST(i AS DECIMAL(18,12)) AS input, CAST(o AS DECIMAL(18,12)) AS output, CAST(cr AS DECIMAL(18,12)) AS cache_read,
-  CAST(cw AS DECIMAL(18,12)) AS cache_write, CAST(i128 AS DECIMAL(18,12)) AS input_above_128k, CAST(cr200 AS DECIMAL(18,12)) AS cache_read_above_200k
+  CAST(cw AS DECIMAL(18,12)) AS cache_write, {_tier_columns()}
 FROM (VALUES
-  ('d1', 'm-alpha-4.5', '0.000003', '0.000015', '0.0000003', '0.00000375', NULL, '0.0000006'),
-  ('d1', 'openai/m-beta-2', '0.00000175', '0.000014', '0.000000175', '0', NULL, NULL),
-  ('d1', 'resold/m-beta-2', '0.000002', '0.000016', '0.0000002', '0.0000025', NULL, NULL),
-  ('d1', 'm-gamma-1', '0.00000125', '0.00001', '0', '0', NULL, NULL),
-  ('d2', 'vendor/m-gamma-1', '0.0000012', '0.0000096', '0.00000012', '0.0000015', NULL, NULL),
-  ('d1', 'm-delta', '0.000000435', '0.00000087', '0.000000003625', '0', '0.00000087', '0.00000000725'),
-  ('d1', 'github_copilot/m-unpriced', '0', '0', '0', '0', NULL, NULL)
-) AS t(dataset, model_key, i, o, cr, cw, i128, cr200)"""
+  ('d1', 'm-alpha-4.5', '0.000003', '0.000015', '0.0000003', '0.00000375'),
+  ('d1', 'openai/m-beta-2', '0.00000175', '0.000014', '0.000000175', '0'),
+  ('d1', 'resold/m-beta-2', '0.000002', '0.000016', '0.0000002', '0.0000025'),
+  ('d1', 'm-gamma-1', '0.00000125', '0.00001', '0', '0'),
+  ('d2', 'vendor/m-gamma-1', '0.0000012', '0.0000096', '0.00000012', '0.0000015'),
+  ('d1', 'm-delta', '0.000000435', '0.00000087', '0.000000003625', '0'),
+  ('d1', 'github_copilot/m-unpriced', '0', '0', '0', '0')
+) AS t(dataset, model_key, i, o, cr, cw)"""
 
 MODEL_SQL = r"""regexp_replace(regexp_replace(lower(trim(raw_model)), '\((minimal|low|medium|high|xhigh|none|auto)\)$', ''), '-[0-9]{8}$', '')"""
 TOTAL_SQL = "input_tokens + output_tokens + cache_creation_tokens + cache_read_tokens + CASE WHEN source = 'error' THEN 0 ELSE reasoning_output_tokens END"
@@ -50,16 +66,24 @@ RATE_KEYS = "(VALUES ('m-alpha-4-5', NULL, 'd1', 'm-alpha-4.5'), ('m-beta-2', NU
 SAME = "r.model = n.model AND r.provider IS NOT DISTINCT FROM n.provider"
 
 
-def _tiered(n: str, price: str, size: int, above: str) -> str:
+def tiered_sql(n: str, kind: str) -> str:
+    """What n tokens of a kind cost: each part between two tiers at the last price listed at or below it."""
     d = lambda x: f"CAST({x} AS DECIMAL(19,0))"
-    return f"CASE WHEN {above} IS NULL THEN {d(n)} * {price} ELSE {d(f'least({n}, {size})')} * {price} + {d(f'greatest({n} - {size}, 0)')} * {above} END"
+    prices, parts, low = [f"r.{kind}"], [], 0
+    for name in (*P.TIERS[kind], None):
+        high = P.TIER_SIZES.get(name)
+        part = f"greatest(least({n}, {high}) - {low}, 0)" if high else f"greatest({n} - {low}, 0)"
+        parts.append(f"CAST({d(part)} * coalesce({', '.join(prices)}) AS DECIMAL(31,12))")
+        if name:
+            prices.insert(0, f"r.{kind}_above_{name}")
+            low = high
+    return f"({' + '.join(parts)})"
 
 
 def cost_sql(i: str = "input_tokens", o: str = "(output_tokens + reasoning_output_tokens)", r: str = "cache_read_tokens", w: str = "cache_creation_tokens", tiered: bool = True) -> str:
-    flat = lambda n, p: f"CAST({n} AS DECIMAL(19,0)) * {p}"
-    a = _tiered(i, "r.input", 128_000, "r.input_above_128k") if tiered else flat(i, "r.input")
-    b = _tiered(r, "r.cache_read", 200_000, "r.cache_read_above_200k") if tiered else flat(r, "r.cache_read")
-    return f"coalesce({a} + {flat(o, 'r.output')} + {b} + {flat(w, 'r.cache_write')}, 0)"
+    flat = lambda n, kind: f"CAST({n} AS DECIMAL(19,0)) * r.{kind}"
+    one = tiered_sql if tiered else flat
+    return f"coalesce({one(i, 'input')} + {one(o, 'output')} + {one(r, 'cache_read')} + {one(w, 'cache_write')}, 0)"
 
 
 #: Start of every comparison query: usage_raw, price_dim, rates, usage (with model, total_tokens, cost), daily, session.

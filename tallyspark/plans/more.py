@@ -178,11 +178,15 @@ def overrides(spark, d):
     return out.select("model", F.when(i >= 5, i).alias("override"))
 
 
-@query("P07_tiered_cost", f"SELECT event_key, {dbl(U._tiered('input_tokens * 4', 'r.input', 128_000, 'r.input_above_128k'))} AS input_usd FROM named n JOIN rates r ON r.model = n.model AND r.provider IS NOT DISTINCT FROM n.provider")
+_MANY = {"input": "input_tokens * 8", "output": "output_tokens * 100", "cache_read": "cache_read_tokens * 2", "cache_write": "cache_creation_tokens * 20"}
+
+
+@query("P07_tiered_cost", "SELECT event_key, " + ", ".join(f"{dbl(U.tiered_sql(f'({n})', k))} AS {k}_usd" for k, n in _MANY.items()) + f" FROM named n JOIN rates r ON {U.SAME}")
 def tiered(spark, d):
+    """Counts high enough to pass every tier."""
     named = U.named(spark, d)
     rows = P.join_prices(named, U.resolved(spark, named)).where("rates IS NOT NULL")
-    return rows.select("event_key", P.as_double(P._part(F.col("input_tokens") * 4, "rates", "input", True)).alias("input_usd"))
+    return rows.select("event_key", *(P.as_double(P._part(F.expr(n), "rates", k, True)).alias(f"{k}_usd") for k, n in _MANY.items()))
 
 
 @query("E01_source_registry", "SELECT event_key, input_tokens FROM usage_raw")

@@ -37,6 +37,12 @@ def stream_daily_usage(events: DataFrame, offset: str = "0 hours") -> DataFrame:
     return events.withWatermark("event_time", OVERLAP).groupBy(w, "device", "source", "model").agg(F.sum("total_tokens").alias("total_tokens")).select(F.to_date("window.start").alias("usage_date"), "device", "source", "model", "total_tokens")
 
 
+def daily_of_hours(hours: DataFrame, zone: str) -> DataFrame:
+    """Hourly usage (hour_start in UTC) as days of a zone, whose offset may change: such a day has 23 or 25 hours."""
+    day = F.to_date(F.from_utc_timestamp("hour_start", zone)).alias("usage_date")
+    return hours.groupBy(day, "device", "source", "model").agg(F.sum("calls").alias("calls"), F.sum("total_tokens").alias("total_tokens"))
+
+
 def merge_into_versions(read: Callable[[int], DataFrame | None], root: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch body: merges a batch into the version before it. A repeated batch writes the same version again."""
 

@@ -69,3 +69,10 @@ def test_lines_keep_their_order_without_a_shuffle(spark, tmp_path):
     for name, n in (("a", 5000), ("b", 17), ("c", 2500)):
         mine = sorted((r.line_no, int(r.value)) for r in rows if r.file_path.endswith(f"/{name}.jsonl"))
         assert [v for _, v in mine] == list(range(n)) and len({p for p, _ in mine}) == n
+
+
+def test_days_of_a_zone_that_changes_its_offset(spark):
+    """The last Sunday of March in Berlin has 23 hours, that of October 25."""
+    hours = spark.sql("SELECT explode(sequence(TIMESTAMP '2024-03-29 00:00:00', TIMESTAMP '2024-11-01 00:00:00', INTERVAL 1 HOUR)) AS hour_start").selectExpr("hour_start", "'d' AS device", "'s' AS source", "'m' AS model", "1L AS calls", "2L AS total_tokens")
+    got = {str(r.usage_date): (r.calls, r.total_tokens) for r in jobs.daily_of_hours(hours, "Europe/Berlin").collect()}
+    assert (got["2024-03-30"], got["2024-03-31"], got["2024-10-27"], got["2024-10-28"]) == ((24, 48), (23, 46), (25, 50), (24, 48))
