@@ -44,3 +44,20 @@ def test_narrow_margins_are_rejected(spark):
     model = [("x", b"abc abd abe " * 50), ("y", b"abc abd abe " * 50)]
     r = L.identify(spark.createDataFrame([(1, "abc abd abe " * 9)], "doc_id long, text string"), model).first()
     assert (r.best, r.lang) == ("x", "und")
+
+
+def test_against_one_call_for_each_language(spark):
+    """The verdicts, worked out anew from the sizes of single compressions."""
+    import zstandard
+
+    docs, _ = corpus(spark, 60)
+    model = L.fit(docs.where("doc_id % 4 <> 2"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in L.identify(docs, model).collect():
+        raw, sizes = L.plain(texts[r.doc_id]), []
+        for _, words in model:
+            held = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            held.precompute_compress(level=L.LEVEL)
+            sizes.append(sum(len(zstandard.ZstdCompressor(level=L.LEVEL, dict_data=held, write_content_size=False).compress(raw[i : i + L.CHUNK])) for i in range(0, len(raw), L.CHUNK)))
+        first, second = sorted(sizes)[:2]
+        assert r.best == model[sizes.index(first)][0] and r.lang == (r.best if (second - first) / first >= L.REJECT else "und")

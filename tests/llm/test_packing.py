@@ -40,6 +40,20 @@ def test_pieces_and_places(odd, spark, tables):
     assert n <= -(-sum(r.length for r in rows) // 4096) + 1
 
 
+def test_quick_way_is_this_tokenizers_only(tmp_path):
+    """It is used for the vocabulary that it was written for, and switched off for one that treats words otherwise."""
+    import json
+
+    assert K.Words(TOKENIZER).quick
+    other = json.loads(open(TOKENIZER, encoding="utf-8").read())
+    other["normalizer"] = None  # upper case stays
+    (tmp_path / "other.json").write_text(json.dumps(other), encoding="utf-8")
+    words = K.Words(str(tmp_path / "other.json"))
+    assert not words.quick
+    text = "Upper and LOWER (élan), Straße"
+    assert words.encode(text) == np.array(Tokenizer.from_file(str(tmp_path / "other.json")).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_plan_is_near_the_bound():
     rnd = np.random.default_rng(2)
     for sizes in (np.clip(rnd.lognormal(6.5, 1.0, 40_000), 1, 4096), rnd.integers(1, 4097, 20_000), np.full(1000, 1365), np.r_[np.full(900, 2049), np.full(30, 2047)]):

@@ -1,6 +1,8 @@
+import random
 import re
 
 import pytest
+import regex
 
 from tallyspark.llm import pii
 
@@ -81,3 +83,16 @@ def test_key_of_the_session(spark):
         assert pii.replace(docs).first().text == pii.replace(docs, "another").first().text != plain
     finally:
         spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_mentions_against_plain_patterns(spark, odd):
+    """What is found, held against another regex engine on texts put together from parts of entities."""
+    rnd = random.Random(12)
+    parts = "jo.doe @ host.example .com +1 383 555 8961 (383) - . 10.20 255 .30 4670 3498 9218 0623 123-45-6789 Mr. Dr Frau Müller Smith Господин Петров , ; x é".split() + [" ", " ", ""]
+    rows = [(i, "".join(rnd.choice(parts) + rnd.choice(["", " ", "-", "."]) for _ in range(rnd.randint(1, 25)))) for i in range(800)] + [(900 + i, t) for i, t in enumerate(TEXTS)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    java = lambda p: regex.compile(p.replace(r"\p{IsCyrillic}", r"\p{Cyrillic}").replace(r"\d", "[0-9]").replace(r"\D", "[^0-9]").replace("[[0-9]", "[0-9").replace("[0-9]\\-", "0-9\\-"), regex.V0)
+    both = {True: java(pii.ANY), False: java(pii.NO_EMAIL)}
+    for r in pii.with_mentions(df.where("text IS NOT NULL")).collect():
+        want = [m.group() for m in both["@" in r.text].finditer(r.text)]
+        assert (r.mentions or []) == want, r.text
