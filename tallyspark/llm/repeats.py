@@ -40,7 +40,8 @@ from .common import durable, join_groups, map_batches, read
 LENGTH = 400
 WORDS = 50  # passages of so many words are told too
 SEGMENT = 1 << 20
-BUCKET_ROWS = 1 << 20  # suffixes in a bucket, about
+BUCKET_ROWS = 1 << 20  # suffixes in a bucket, about; 28 bytes of memory each, and 24 for each bucket's splitter
+PARTITIONS = 20_000  # at most; more buckets share them
 SAMPLE_ROWS, SAMPLE_TEXTS = 200_000, 400  # suffixes, or texts at the least, that splitters are taken from; one suffix in SAMPLE_EACH
 SAMPLE_EACH = 8
 
@@ -295,12 +296,8 @@ def _suffix_rows(length: int, gram: int, splitters: Splitters | None):
 def _sorted_buckets(splitters: Splitters):
     """Of a bucket's suffixes those that were asked for and have an equal: a neighbour, or the splitter below the bucket."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
+    def one(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held).combine_chunks()
-        held.clear()
         bucket, lead, h, tid, p = (table.column(c).to_numpy() for c in SUFFIX)
         lead, h = lead.view(np.uint64), h.view(np.uint64)
         order = multikey_order([lead, h])
@@ -313,6 +310,20 @@ def _sorted_buckets(splitters: Splitters):
             part = found[i : i + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(tid[part]), pa.array(p[part])], ["tid", "p"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of one bucket; a partition's buckets come one after the other
+        for batch in batches:
+            number = batch.column("bucket").to_numpy()
+            cuts = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(number)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and held[0].column("bucket")[0].as_py() != number[i]:
+                    yield from one(held)
+                    held = []
+                if j > i:
+                    held.append(batch.slice(i, j - i))
+        if held:
+            yield from one(held)
+
     return run
 
 
@@ -379,7 +390,11 @@ def _suffixes_met(found: DataFrame, contents: DataFrame, length: int, gram: int)
     sample = map_batches(some, _suffix_rows(length, gram, None), kinds).select("lead", "h", "tid").collect()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size["rows"] or 0) // BUCKET_ROWS))
     splitters = Splitters(np.array([tuple(r) for r in sample], np.int64), buckets)
-    dealt = map_batches(asked, _suffix_rows(length, gram, splitters), kinds).repartitionById(buckets, "bucket")
+    dealt = map_batches(asked, _suffix_rows(length, gram, splitters), kinds)
+    if buckets <= PARTITIONS:
+        dealt = dealt.repartitionById(buckets, "bucket")
+    else:  # several buckets to a partition, one after the other
+        dealt = dealt.repartitionById(PARTITIONS, F.expr(f"CAST(CAST(bucket AS BIGINT) * {PARTITIONS} DIV {buckets} AS INT)")).sortWithinPartitions("bucket")
     return map_batches(dealt, _sorted_buckets(splitters), "tid long, p int")
 
 

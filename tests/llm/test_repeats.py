@@ -81,10 +81,11 @@ def test_query(odd, spark, tables):
     assert got == brute(odd.collect(), 400)
 
 
-@pytest.mark.parametrize("bucket_rows", [50, 1000])
-def test_many_buckets(spark, monkeypatch, bucket_rows):
+@pytest.mark.parametrize("bucket_rows,partitions", [(50, 20_000), (1000, 20_000), (50, 3)])
+def test_many_buckets(spark, monkeypatch, bucket_rows, partitions):
     """A passage in most texts: its equal suffixes fill many buckets, and every boundary cuts through some."""
     monkeypatch.setattr(R, "BUCKET_ROWS", bucket_rows)
+    monkeypatch.setattr(R, "PARTITIONS", partitions)
     rnd = random.Random(9)
     hot = "".join(rnd.choice("abcd") for _ in range(90))
     rows = [(i, "".join(rnd.choice("xyz") for _ in range(rnd.randint(0, 30))) + hot[rnd.randint(0, 9) :] + str(i) * 3) for i in range(60)]
