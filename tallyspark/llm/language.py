@@ -6,7 +6,8 @@ everywhere; every chunk is compressed with every dictionary, and the sums decide
 margin below REJECT are rejected: `lang` is then `und`, while `best` still names the smallest.
 
 The training sample is bounded: about SAMPLE documents of each language, chosen by a hash of the id, and of each at most
-PIECE characters from a place that the hash chooses. Every language that is there is learned.
+PIECE characters from a place that the hash chooses. Every language that is there is learned; with
+more than LANGUAGES different values fit() raises an error rather than leave some out.
 
 Defined cases: null text and text without a letter is `und` with score 0; ties go to the language with more training
 documents, then by name; rows without a language aren't learned from; with nothing to learn from all is `und`; rows that
@@ -29,6 +30,7 @@ from .common import map_batches, read, remainder
 SAMPLE = 400
 PIECE = 600
 DICTIONARY = 110 << 10
+LANGUAGES = 1_000  # the model goes to every task, so a column with more values is refused; all are learned otherwise
 CHUNK, LEVEL = 768, 8
 REJECT = 0.02
 SHARPNESS = 0.45  # of the score, for each byte of difference
@@ -52,7 +54,9 @@ def _hash(doc_id: str = "doc_id") -> Column:
 def fit(train: DataFrame, sample: int = SAMPLE) -> list[tuple[str, bytes]]:
     """Languages, most frequent first, with their dictionaries. train: doc_id, text, lang."""
     train = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
-    found = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    found = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()
+    if len(found) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages: none is left out, so the column can't be learned from")
     if not found:
         return []
     share = F.create_map(*(F.lit(x) for r in found for x in (r["lang"], min(_PLACES, math.ceil(1.2 * sample / r["count"] * _PLACES)))))

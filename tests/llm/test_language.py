@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from tallyspark.llm import language as L
 
 SYLL = {"aa": "an er ti on re st ou in of hea wh ble ly nd".split(), "bb": "éau oui ré tre ment eux ç la que des".split(), "cc": "ung keit sch ein ver ß ach der tz ö".split()}
@@ -61,3 +63,11 @@ def test_against_one_call_for_each_language(spark):
             sizes.append(sum(len(zstandard.ZstdCompressor(level=L.LEVEL, dict_data=held, write_content_size=False).compress(raw[i : i + L.CHUNK])) for i in range(0, len(raw), L.CHUNK)))
         first, second = sorted(sizes)[:2]
         assert r.best == model[sizes.index(first)][0] and r.lang == (r.best if (second - first) / first >= L.REJECT else "und")
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(L, "LANGUAGES", 3)
+    rows = spark.range(8).selectExpr("id AS doc_id", "concat('text ', id) AS text", "CAST(id % 4 AS STRING) AS lang")
+    with pytest.raises(ValueError):
+        L.fit(rows)
+    assert {name for name, _ in L.fit(rows.where("lang < '3'"))} == {"0", "1", "2"}
