@@ -17,6 +17,11 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """Tells one set of edges from another: how many, and the XOR of their hashes."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges: u, v of any one ordered type. Returns node, root: the least node that can be reached.
 
@@ -24,18 +29,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     its least one, so long chains shorten geometrically. No group is gathered: only minima and joins are used.
     """
     now = durable(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    mark = _mark(now)
     for _ in range(rounds):
-        if now.isEmpty():
+        if not mark[0]:
             break
         both = _both(now)
-        large = both.join(_least(both), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(_least(both), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         # every edge goes from the larger node (u) to a smaller one (v)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        after = durable(small.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        same = after.count() == now.count() and after.exceptAll(now).isEmpty()
-        now = after
-        if same:
+        now = durable(small.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        before, mark = mark, _mark(now)
+        if mark == before:
             break
     else:
         raise RuntimeError("the components didn't settle")
