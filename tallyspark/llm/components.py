@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
+ROWS = 200_000  # edges in a partition, where there are so many
+
 
 def _least(edges: DataFrame) -> DataFrame:
     """For each node the least of itself and its neighbours."""
@@ -17,9 +19,10 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Tells one set of edges from another: how many, and the XOR of their hashes."""
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _marked(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """Edges in partitions of ROWS or more, and what tells one set of them from another: how many, and the XOR of their hashes."""
+    mark = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+    return edges.coalesce(max(1, -(-mark[0] // ROWS))), mark
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -28,8 +31,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Nodes without edges aren't in the result. Each round makes every node's larger (then smaller) neighbours neighbours of
     its least one, so long chains shorten geometrically. No group is gathered: only minima and joins are used.
     """
-    now = durable(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = _mark(now)
+    now, mark = _marked(durable(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()))
     for _ in range(rounds):
         if not mark[0]:
             break
@@ -39,7 +41,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = durable(small.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        before, mark = mark, _mark(now)
+        before, (now, mark) = mark, _marked(now)
         if mark == before:
             break
     else:
