@@ -115,7 +115,7 @@ def compression(raw: memoryview, compressor: zstandard.ZstdCompressor) -> tuple[
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     compressor = zstandard.ZstdCompressor(level=LEVEL)
     for batch in batches:
-        for first, data, at in T.texts(batch.column(1)):
+        for first, data, at in T.texts(batch.column(1), T.BLOCK):
             c = base_counts(data, at)
             raw = memoryview(data)
             both = np.array([compression(raw[a:b], compressor) for a, b in zip(at[:-1], at[1:], strict=True)]).reshape(-1, 2)
@@ -141,7 +141,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     def keep(batches):
         compressor = zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
-            for first, data, at in T.texts(batch.column(text_at)):
+            for first, data, at in T.texts(batch.column(text_at), T.BLOCK):
                 c = base_counts(data, at)
                 raw = memoryview(data)
                 failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEATED * c["n_words"])
