@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that gives the same rows, where SQL can."""
 
-from . import byte_bpe, exact_dedup, language, near_dedup, packing, pii, quality, repeats, secrets, toxicity
+from . import byte_bpe, exact_dedup, language, near_dedup, packing, periods, pii, quality, repeats, secrets, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op13_periodic_runs": periods.op13_periodic_runs,
 }
 ORACLE_SQL = {"op2_exact_dedup": exact_dedup.SQL}

@@ -106,6 +106,23 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix(out)
 
 
+def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of each span as one binary array. Spans are in order and don't overlap."""
+    on = np.zeros(len(data) + 1, np.int8)
+    np.add.at(on, starts, 1)
+    np.add.at(on, ends, -1)
+    at = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=at[1:])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(data[np.cumsum(on[:-1]).astype(bool)])])
+
+
+def numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each span, equal exactly where the bytes are, within this call."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    return spans(data, starts, ends).dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
 def windows(words: np.ndarray, of: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the windows of `size` words within one text, and where each begins. of: each word's text, ascending."""
     n = len(words) - size + 1
