@@ -103,7 +103,8 @@ def _near(order: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if not len(keep):
         return keep, keep
     # what two that stay share is the least of what stood between them
-    return order[keep], np.append(0, np.minimum.reduceat(shared, keep[:-1] + 1)[: len(keep) - 1] if len(keep) > 1 else []).astype(np.int64)
+    least = np.minimum.reduceat(shared[: keep[-1] + 1], keep[:-1] + 1) if len(keep) > 1 else keep[:0]
+    return order[keep], np.append(0, least)
 
 
 class _Node:
