@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -31,6 +32,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage with a table of compressed columns beside the checkpoints, for what is large and read more than once."""
+    spark = df.sparkSession
+    durable(spark.range(0))  # names the folder where there is none
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches are cut by bytes too: by rows alone, ten thousand long texts would travel at once."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -15,8 +15,8 @@ differ. That gives an exact join, nothing is missed:
 
 Bands overlap so that both sets of any similar pair are in one of them; a set is in one or two. Equal sets are one node.
 Every node first meets the least node of each slice it shares; then, in slices that still hold different components, nodes
-meet in pairs of blocks with their sketches alone, and full sets follow for those with a candidate. Blocks are bounded by
-rows and by bytes of their sets. Only links come out, and nothing is capped.
+of different ones meet in pairs of blocks, with their sketches alone; blocks are bounded by rows and bytes. Full sets follow
+for pairs that the sketches allow, as a stream, one pair in memory at a time. Nothing is capped.
 
 Defined cases: a null text has no words; a text without words has an empty set and is linked with nothing, its component is
 its own id; with fewer than `size` words the whole sequence is one shingle; rows that repeat share a set; null ids are
@@ -28,19 +28,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .common import durable, join_groups, map_batches, read
+from .common import durable, join_groups, map_batches, read, written
 from .components import components
 from .near_dedup import _common, full_sets, set_keys, shingles
 
 WIDTH = 1 << 16  # bits of a slice
 ROWS = 512  # nodes of a block, about
-BYTES = 8 << 20  # of a block's sets, about
+BYTES = 8 << 20  # of a block's sketches, about
+WORK = 1 << 24  # comparisons of small blocks at once, about
+LEAST_BITS = 512  # of a folded sketch
 SPARE = 16  # one slice in so many more than the pigeonhole needs, so that weak ones can be left out
 
 
@@ -68,7 +69,7 @@ def _reach(size: int, high: int, percent: int) -> int:
 
 def fold_bits(size: int, percent: int) -> int:
     """Bits of the folded sketch: a power of two, eight for each member that may differ, so that few fall together."""
-    return 1 << max(9, (8 * _differ(size, size, percent)).bit_length())
+    return 1 << max(LEAST_BITS.bit_length() - 1, (8 * _differ(size, size, percent)).bit_length())
 
 
 def slice_keys(members: np.ndarray, of: np.ndarray, many: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,24 +107,24 @@ def folded(members: np.ndarray, bits: int) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def distances(one: bytes, others: list[bytes]) -> np.ndarray:
-    """Bits that differ between a sketch and others. The longer ones are folded: bits a power of two apart are added modulo two."""
-    out = np.empty(len(others), np.int64)
-    by_size: dict[int, list[int]] = {}
-    for i, x in enumerate(others):
-        by_size.setdefault(len(x), []).append(i)
-    for size, at in by_size.items():
-        a = np.frombuffer(one, np.uint64)
-        b = np.frombuffer(b"".join([others[i] for i in at]), np.uint64).reshape(len(at), -1)
-        least = min(size, len(one)) // 8
-        a = np.bitwise_xor.reduce(a.reshape(-1, least), 0)
-        b = np.bitwise_xor.reduce(b.reshape(len(at), -1, least), 1)
-        out[at] = np.bitwise_count(a ^ b).sum(1)
+def distance(one: bytes, two: bytes) -> int:
+    """Bits that differ between two sketches. The longer one is folded: bits a power of two apart are added modulo two."""
+    a, b = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+    least = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(x.reshape(-1, least), 0) for x in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def short(sketches: list[bytes]) -> np.ndarray:
+    """The sketches folded to LEAST_BITS, a row each."""
+    out = np.empty((len(sketches), LEAST_BITS // 64), np.uint64)
+    for i, x in enumerate(sketches):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, LEAST_BITS // 64), 0)
     return out
 
 
-def sketched(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n (members), and, null for empty sets, key (of the set), slices (hashes) and sketch."""
+def _batches_of_sets(docs: DataFrame, size: int, percent: int, kind: str) -> DataFrame:
+    """One row for each text: its set's key and size (kind "key"), or key, sketch and slices of texts with a set (kind "slices")."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,123 +134,145 @@ def sketched(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 many = T.counts(of, n)
                 begin = np.append(0, np.cumsum(many))
                 full = np.flatnonzero(many)
-                key: list = [None] * n
-                sketch: list = [None] * n
-                if len(full):
-                    for i, k in zip(full.tolist(), set_keys(members, begin[full], many[full]), strict=True):
-                        key[i], sketch[i] = k, folded(members[begin[i] : begin[i + 1]], fold_bits(int(many[i]), percent))
+                keys = set_keys(members, begin[full], many[full]) if len(full) else []
+                if kind == "key":
+                    key: list = [None] * n
+                    for i, k in zip(full.tolist(), keys, strict=True):
+                        key[i] = k
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), pa.array(many), pa.array(key, pa.binary())], ["doc_id", "n", "key"])
+                    continue
                 slices, whose = slice_keys(members, of, many, percent)
-                order = np.argsort(whose, kind="stable")
-                each = np.append(0, np.cumsum(T.counts(whose, n)))
-                lists = pa.ListArray.from_arrays(pa.array(each, pa.int32()), pa.array(slices[order].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), pa.array(many), pa.array(key, pa.binary()), lists, pa.array(sketch, pa.binary())], ["doc_id", "n", "key", "slices", "sketch"])
+                each = np.append(0, np.cumsum(T.counts(whose, n)[full]))
+                lists = pa.ListArray.from_arrays(pa.array(each, pa.int32()), pa.array(slices[np.argsort(whose, kind="stable")].view(np.int64)))
+                sketch = [folded(members[begin[i] : begin[i + 1]], fold_bits(int(many[i]), percent)) for i in full.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sketch, pa.binary()), lists], ["key", "sketch", "slices"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n long, key binary, slices array<long>, sketch binary")
+    schema = "doc_id long, n long, key binary" if kind == "key" else "key binary, sketch binary, slices array<long>"
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)
 
 
-def _candidates(group: pd.DataFrame, percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of a block (side 0: all; else side 1 with side 2) of different components that sizes and sketches allow."""
-    n, side, root = (group[c].to_numpy() for c in ("n", "side", "root"))
-    sketch = group["sketch"].tolist()
-    left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-    for i in left.tolist():
-        other = right[(root[right] != root[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-        if len(other):
-            near = distances(sketch[i], [sketch[j] for j in other.tolist()])
-            for j in other[near <= (n[other] + n[i]) * (100 - percent) // (100 + percent)].tolist():
-                yield i, j
+def _met(percent: int):
+    """Pairs of nodes of different components that a block's sizes and sketches allow. Rows come block by block.
 
+    Rows are (block, node, side, root, n, sketch); in a block of side 0 all nodes meet, else those of side 1 those of side 2.
+    Small blocks are compared many at once: each row with the one a step behind it, for every step.
+    """
 
-def _hopeful(percent: int):
-    """Of a block those nodes that have a candidate in it."""
+    def compared(block, node, side, root, n, sketch) -> pa.RecordBatch:
+        block, node, side, root, n = (np.array(x) for x in (block, node, side, root, n))
+        bits = short(sketch)
+        edge = np.flatnonzero(block[1:] != block[:-1]) + 1
+        longest = int(np.diff(np.concatenate([[0], edge, [len(block)]])).max(initial=0))
+        found = []
+        for step in range(1, longest):
+            i = np.flatnonzero((block[step:] == block[:-step]) & (root[step:] != root[:-step]))
+            j = i + step
+            most = (n[i] + n[j]) * (100 - percent) // (100 + percent)
+            ok = ((side[i] == 0) | (side[i] != side[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            i, j, most = i[ok], j[ok], most[ok]
+            ok = np.bitwise_count(bits[i] ^ bits[j]).sum(1) <= most
+            found += [(i, j) for i, j, m in zip(i[ok].tolist(), j[ok].tolist(), most[ok].tolist(), strict=True) if distance(sketch[i], sketch[j]) <= m]
+        pairs = np.unique(np.sort(node[np.array(found, np.int64).reshape(-1, 2)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        some = np.zeros(len(group), bool)
-        for i, j in _candidates(group, percent):
-            some[i] = some[j] = True
-        return group.loc[some, ["block", "node", "side", "root"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, begin, longest = [[] for _ in range(6)], 0, 0  # begin: of the last block in rows
+        for batch in batches:
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows[0] and values[0] != rows[0][-1]:
+                    longest, begin = max(longest, len(rows[0]) - begin), len(rows[0])
+                    if longest * begin > WORK:
+                        yield compared(*rows)
+                        rows, begin, longest = [[] for _ in range(6)], 0, 0
+                for column, value in zip(rows, values, strict=True):
+                    column.append(value)
+        if rows[0]:
+            yield compared(*rows)
 
     return run
 
 
 def _confirmed(percent: int):
-    """Links of a block, on full sets. What a link has joined needs no second one."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.reset_index(drop=True)
-        node, n = group["node"].tolist(), group["n"].tolist()
-        sets = [np.frombuffer(x, np.uint64) for x in group["members"]]
-        root = group["root"].tolist()
-        parent = {x: x for x in root}
+    """Of pairs those whose full sets are similar enough. Rows (u, part, node, n, members) come hub by hub, the hub's own set first."""
 
-        def find(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        found = []
-        for i, j in _candidates(group, percent):
-            a, b = find(root[i]), find(root[j])
-            if a != b and 100 * (both := _common(sets[i], sets[j])) >= percent * (n[i] + n[j] - both):
-                parent[a] = b
-                found.append((node[i], node[j]))
-        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, size, mine = None, 0, None
+        for batch in batches:
+            us, vs = [], []
+            for u, part, node, n, members in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+                this = np.frombuffer(members.as_buffer(), np.uint64)
+                if (u, part) != hub:
+                    hub, size, mine = (u, part), n, this.copy()
+                elif 100 * (both := _common(mine, this)) >= percent * (size + n - both):
+                    us.append(u)
+                    vs.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     return run
 
 
-def _links(blocks: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (u, v) in blocks (block, node, side, root): sketches first, full sets for what is left."""
-    narrow = blocks.join(nodes.select("node", "n", "sketch"), "node")
-    some = narrow.groupBy("block").applyInPandas(_hopeful(percent), blocks.select("block", "node", "side", "root").schema)
-    whole = durable(some).join(nodes.select("node", "key", "n", "sketch"), "node").join(sets.select("key", "members"), "key")
-    return whole.groupBy("block").applyInPandas(_confirmed(percent), "u long, v long").distinct()
+def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of distinct pairs (u, v) those that are similar. A hub's set goes once to each part of ROWS of its pairs, the others' once for each pair."""
+    pairs = durable(pairs)
+    size_of = durable(pairs.groupBy("u").agg(F.count("*").alias("many")).withColumn("parts", F.ceil(F.col("many") / ROWS).cast("long")))
+    dealt = durable(join_groups(pairs, size_of, ["u"], "many").select("u", F.pmod(F.xxhash64("v"), "parts").alias("part"), "v"))
+    rows = dealt.select("u", "part", F.col("v").alias("node"), F.lit(1).alias("side")).unionByName(dealt.select("u", "part", F.col("u").alias("node"), F.lit(0).alias("side")).distinct())
+    whole = rows.join(nodes.select("node", "key", "n"), "node").join(sets.select("key", "members"), "key")
+    whole = whole.repartition("u", "part").sortWithinPartitions("u", "part", "side").select("u", "part", "node", "n", "members")
+    return map_batches(whole, _confirmed(percent), "u long, v long")
 
 
 def linked(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n and root of each document (root null for empty sets): documents with one root are one component."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = durable(sketched(docs, size, percent))
-    nodes = signed.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("slices").alias("slices"), F.first("sketch").alias("sketch"))
+    signed = durable(_batches_of_sets(docs, size, percent, "key"))
+    nodes = signed.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"))
     nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()))
-    held = nodes.select("node", "n", F.explode("slices").alias("slice"))
-    shared = durable(held.groupBy("slice").agg(F.min("node").alias("u"), F.count("*").alias("many"), F.sum("n").alias("total")).where("many > 1"))
-    inside = durable(join_groups(held.select("slice", "node"), shared, ["slice"], "many").select("slice", "node", "u"))
-    wanted = durable(nodes.drop("slices").join(inside.select("node").distinct(), "node", "left_semi"))
-    ids = wanted.select("id").distinct()
-    sets = full_sets(docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi"), size)
-    sets = durable(sets.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]))
-
-    # every node with the least node of its slices, a block for about ROWS of them
-    stars = inside.where(F.col("node") > F.col("u")).select("u", F.col("node").alias("v")).distinct()
-    stars = durable(stars.join(wanted.select(F.col("node").alias("v"), "n"), "v"))
-    size_of = durable(stars.groupBy("u").agg(_parts(F.count("*"), F.sum("n")).alias("parts"), F.count("*").alias("many")))
-    dealt = join_groups(stars, size_of, ["u"], "many").select("u", "v", F.struct("u", F.pmod(F.xxhash64("v"), "parts").alias("p"), F.lit(-1).cast("long").alias("q")).alias("block"))
-    dealt = durable(dealt)
-    spokes = dealt.select("block", F.col("v").alias("node"), F.lit(2).alias("side"), F.col("v").alias("root"))
-    hubs = dealt.select("block", F.col("u").alias("node"), F.lit(1).alias("side"), F.col("u").alias("root")).distinct()
-    links = durable(_links(spokes.unionByName(hubs), wanted, sets, percent))
-    found = durable(components(links))
+    one_each = lambda of: docs.join(of.select("id").distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    cut = _batches_of_sets(one_each(nodes), size, percent, "slices").join(nodes.select("key", "node", "n"), "key")
+    cut = written(cut.select("node", "key", "n", "sketch", "slices"), "slices")
+    held = cut.select("node", F.explode("slices").alias("slice"))
+    shared = durable(held.groupBy("slice").agg(F.count("*").alias("many")).where("many > 1"))
+    inside = written(join_groups(held, shared, ["slice"], "many").select("slice", "node"), "shared-slices")
+    wanted = durable(cut.drop("slices").join(inside.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    sets = full_sets(one_each(nodes.join(wanted.select("node"), "node", "left_semi")), size)
+    sets = written(sets.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
+
+    # every node with the least node of its slices
+    groups = durable(inside.groupBy("slice").agg(F.min("node").alias("u"), F.count("*").alias("many")))
+    stars = join_groups(inside, groups, ["slice"], "many").where(F.col("node") > F.col("u")).select("u", F.col("node").alias("v")).distinct()
+    spoke, hub = (wanted.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "vu")
+    near = stars.join(spoke, "v").join(hub, "u").where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
+    near = map_batches(near.select("u", "v", "nu", "nv", "su", "sv"), _allowed(percent), "u long, v long")
+    found = durable(components(durable(confirmed(near, wanted, sets, percent))))
 
     # slices that still hold different components
-    rooted = durable(wanted.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
-    member = durable(inside.select("slice", "node").join(rooted, "node"))
-    mixed = member.groupBy("slice").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("slice")
-    mixed = durable(mixed.join(shared, "slice").select("slice", "many", _parts(F.col("many"), F.col("total")).alias("parts")))
-    todo = join_groups(member, mixed, ["slice"], "many").withColumn("part", F.pmod(F.xxhash64("node", "slice"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    rooted = durable(wanted.select("node", "n", "sketch").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    member = inside.join(rooted.select("node", "root", "n"), "node")
+    mixed = member.groupBy("slice").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("many"), F.max("n").alias("most")).where("r0 <> r1")
+    bytes_of = F.col("many") * F.col("most") / 4  # a sketch has at most so many for each member
+    mixed = durable(mixed.select("slice", "many", F.greatest(F.lit(1), F.ceil(F.col("many") / ROWS), F.ceil(bytes_of / BYTES)).cast("long").alias("parts")))
+    todo = join_groups(inside, mixed, ["slice"], "many").withColumn("part", F.pmod(F.xxhash64("node", "slice"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2)
-    todo = todo.select(F.struct(F.col("slice").alias("u"), F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")).alias("block"), "node", side.alias("side"), "root")
-    more = durable(_links(todo, wanted, sets, percent))
+    block = F.concat_ws(",", F.col("slice").cast("string"), F.least("part", "other").cast("string"), F.greatest("part", "other").cast("string"))
+    todo = todo.select(block.alias("block"), "node", side.alias("side")).join(rooted, "node").select("block", "node", "side", "root", "n", "sketch")
+    met = map_batches(todo.repartition("block").sortWithinPartitions("block"), _met(percent), "u long, v long").distinct()
+    more = durable(confirmed(met, wanted, sets, percent))
     if not more.isEmpty():
         found = durable(components(more.unionByName(found.select(F.col("node").alias("u"), F.col("root").alias("v")))))
     roots = nodes.select("key", "node").join(found, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
-    return signed.select("doc_id", "n", "key").join(roots, "key", "left").select("doc_id", "n", "root")
+    return signed.join(roots, "key", "left").select("doc_id", "n", "root")
 
 
-def _parts(rows, members):
-    """How many parts a bucket of so many nodes is cut into, by rows and by the bytes of their sets."""
-    return F.greatest(F.lit(1), F.ceil(rows / ROWS), F.ceil(members * 8 / BYTES)).cast("long")
+def _allowed(percent: int):
+    """Of pairs (u, v, sizes, sketches) those whose sketches don't differ in more bits than similar sets may in members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True)
+            yield batch.select([0, 1]).filter(pa.array([distance(a, b) <= _differ(n, m, percent) for n, m, a, b in sizes], pa.bool_()))
+
+    return run
 
 
 def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:

@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that gives the same rows, where SQL can."""
 
-from . import byte_bpe, exact_dedup, language, near_dedup, ngram_join, packing, periods, pii, quality, repeats, secrets, toxicity
+from . import byte_bpe, dialogue, exact_dedup, language, near_dedup, ngram_join, packing, periods, pii, quality, repeats, secrets, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_dialogue_repair": dialogue.op11_dialogue_repair,
     "op12_ngram_join": ngram_join.op12_ngram_join,
     "op13_periodic_runs": periods.op13_periodic_runs,
 }
