@@ -8,10 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as S
-
-PARTS = ("input", "cached", "output", "reasoning")
-FOLD = 256  # lines of a session that are folded at once
-
+from tallyspark.operators.counters import counter_increments as counter_increments
 
 def collapse_snapshots_max(rows: DataFrame, scope: str = "file_path") -> DataFrame:
     """Lines of one message in a scope become one: largest counters and cost, first time, first known model.
@@ -99,69 +96,3 @@ def needs_rebuild(batch: DataFrame, watermarks: DataFrame) -> DataFrame:
     """For each device and source of a batch whether it takes the full path: no watermark, or no events at all."""
     seen = batch.groupBy("device", "source").agg(F.count("event_time").alias("events"))
     return seen.join(watermarks, ["device", "source"], "left").select("device", "source", (F.col("watermark").isNull() | (F.col("events") == 0)).alias("full"))
-
-
-def _usage(x: Column) -> Column:
-    return F.struct(*(x[p].cast("long").alias(p) for p in PARTS))
-
-
-def _sum(x: Column) -> Column:
-    return x["input"] + x["cached"] + x["output"] + x["reasoning"]
-
-
-def _lower(a: Column, b: Column) -> Column:
-    out = a[PARTS[0]] < b[PARTS[0]]
-    for p in PARTS[1:]:
-        out = out | (a[p] < b[p])
-    return out
-
-
-def _equal(a: Column, b: Column) -> Column:
-    out = a[PARTS[0]] == b[PARTS[0]]
-    for p in PARTS[1:]:
-        out = out & (a[p] == b[p])
-    return out
-
-
-def counter_increments(lines: DataFrame) -> DataFrame:
-    """Increments from cumulative counters, in order for each session.
-
-    lines: file_path, line_no, ts (text), model, replay (the session copies its parent's history), last and total (structs of
-    input, cached, output, reasoning; null if absent). Returns file_path, line_no, ts, model and the increment.
-    The leading lines of a copied session that share its first second only set the baseline. Unchanged totals are skipped; a
-    total a little below the previous is stale and skipped without moving the baseline; otherwise the reported increment
-    counts, or the difference of totals, or after a reset nothing but a new baseline.
-    """
-    usage_type = "struct<input:bigint,cached:bigint,output:bigint,reasoning:bigint>"
-    event = F.struct("line_no", "ts", "model", "replay", F.when(F.col("last").isNotNull(), _usage(F.col("last"))).alias("last"), F.when(F.col("total").isNotNull(), _usage(F.col("total"))).alias("total"))
-    out_type = f"array<struct<line_no:bigint,ts:string,model:string,use:{usage_type}>>"
-
-    def fold(a: Column, e: Column) -> Column:
-        sec = F.coalesce(a["sec"], F.substring(e["ts"], 1, 19))
-        copied = e["replay"] & a["leading"] & (F.substring(e["ts"], 1, 19) == sec)
-        last, total, prev = e["last"], e["total"], a["prev"]
-        both = total.isNotNull() & prev.isNotNull()
-        unchanged = both & _equal(total, prev)
-        lower = both & _lower(total, prev)
-        near = (_sum(total) * 100 >= _sum(prev) * 98) | (_sum(total) + 2 * _sum(last) >= _sum(prev))
-        stale = lower & last.isNotNull() & (_sum(total) > 0) & (_sum(prev) > 0) & (_sum(last) > 0) & near
-        delta = F.struct(*((total[p] - prev[p]).alias(p) for p in PARTS))
-        use = F.when(last.isNotNull(), last).when(both & ~lower, delta).when(total.isNotNull() & prev.isNull(), total)
-        use = F.when(copied | unchanged | stale, F.lit(None).cast(usage_type)).otherwise(use)
-        keep = use.isNotNull() & (_sum(use) > 0)
-        row = F.struct(e["line_no"].cast("long").alias("line_no"), e["ts"].alias("ts"), e["model"].alias("model"), use.alias("use"))
-        base = F.when(unchanged & ~copied | stale & ~copied, prev).otherwise(F.coalesce(total, prev))
-        return F.struct(base.alias("prev"), (a["leading"] & copied).alias("leading"), F.when(e["replay"], sec).otherwise(a["sec"]).alias("sec"), F.when(keep, F.concat(a["out"], F.array(row))).otherwise(a["out"]).alias("out"))
-
-    # in chunks, so that an array that grows is never longer than a chunk, or than the number of chunks
-    chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size("events") / FOLD).cast("int") - 1), lambda k: F.slice("events", k * FOLD + 1, F.lit(FOLD)))
-    carry = F.struct(F.lit(None).cast(usage_type).alias("prev"), F.lit(True).alias("leading"), F.lit(None).cast("string").alias("sec"), F.array().cast(f"array<{out_type}>").alias("outs"))
-
-    def chunk(a: Column, events: Column) -> Column:
-        begin = F.struct(a["prev"].alias("prev"), a["leading"].alias("leading"), a["sec"].alias("sec"), F.array().cast(out_type).alias("out"))
-        return F.aggregate(events, begin, fold, lambda s: F.struct(s["prev"].alias("prev"), s["leading"].alias("leading"), s["sec"].alias("sec"), F.concat(a["outs"], F.array(s["out"])).alias("outs")))
-
-    folded = lines.groupBy("file_path").agg(F.array_sort(F.collect_list(event)).alias("events"))
-    rows = folded.select("file_path", F.explode(F.aggregate(chunks, carry, chunk, lambda a: F.flatten(a["outs"]))).alias("r"))
-    i, read = S.split_cached(F.col("r.use.input"), F.col("r.use.cached"))
-    return rows.select("file_path", "r.line_no", "r.ts", "r.model", i.alias("input_tokens"), F.col("r.use.output").alias("output_tokens"), F.lit(0).cast("long").alias("cache_creation_tokens"), read.alias("cache_read_tokens"), F.col("r.use.reasoning").alias("reasoning_output_tokens"))

@@ -13,9 +13,8 @@ from tallyspark.operators import rollup as R
 from tallyspark.operators import series as W
 from tallyspark.plans import adapter as U
 from tallyspark.plans.adapter import BASE, dbl
-from tallyspark.plans.events import _TS, LANDED, _cumulative, _landed, _round_trip, scratch
+from tallyspark.plans.events import _TS, LANDED, _round_trip, scratch
 from tallyspark.sources import readers
-from tallyspark.streaming import jobs
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -198,34 +197,6 @@ def registry(spark, d):
     return source.read(spark, [_round_trip(spark, lines, "registry")], LANDED).select(F.col("message_id").alias("event_key"), "input_tokens")
 
 
-@query("T01_stream_log_lines", "SELECT event_key FROM usage")
-def stream_lines(spark, d):
-    path, rows = _landed(spark, d)
-    out, mark = scratch(spark, "lines-out"), scratch(spark, "lines-mark")
-    stream = jobs.stream_log_lines(spark, path, rows.schema, files_per_batch=1).select("event_key")
-    for _ in range(2):  # a second run finds nothing new
-        jobs.run_available(stream.writeStream.format("parquet").option("path", out), mark)
-    return spark.read.parquet(out)
-
-
-@query("T05_stream_counter_increments", "SELECT CAST(user_id AS VARCHAR) AS file_path, event_id * 2 AS line_no, output_tokens FROM usage_raw")
-def stream_counters(spark, d):
-    path, out, mark = scratch(spark, "counter-landing"), scratch(spark, "counter-out"), scratch(spark, "counter-mark")
-    lines = _cumulative(spark, d)
-    lines.repartition(2, "file_path").write.mode("overwrite").parquet(path)
-    stream = jobs.stream_counter_increments(jobs.stream_log_lines(spark, path, lines.schema))
-    jobs.run_available(stream.writeStream.outputMode("append").format("parquet").option("path", out), mark)
-    return spark.read.parquet(out).select("file_path", "line_no", "output_tokens")
-
-
-@query("T10_stream_run_log", "SELECT device, source, 'ok' AS status FROM usage GROUP BY 1, 2")
-def stream_run_log(spark, d):
-    path, rows = _landed(spark, d)
-    out, mark = scratch(spark, "runs-out"), scratch(spark, "runs-mark")
-    jobs.run_available(jobs.stream_run_log(jobs.stream_log_lines(spark, path, rows.schema), out), mark)
-    return spark.read.parquet(out).select("device", "source", "status").distinct()
-
-
 @query("M01_merge_events_versions", "SELECT event_key, total_tokens FROM usage")
 def merge_versions(spark, d):
     """Two batches written as two versions; the reader takes the second."""

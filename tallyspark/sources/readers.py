@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,8 +28,24 @@ AGENT = f"type string, customType string, modelId string, provider string, times
 RATE_NAMES = {"input": "input_cost_per_token", "output": "output_cost_per_token", "cache_read": "cache_read_input_token_cost", "cache_write": "cache_creation_input_token_cost"}
 RATE_NAMES |= {f"{k}_above_{t}": f"{RATE_NAMES[k]}_above_{t}_tokens" for k, ts in TIERS.items() for t in ts}
 RATES = "struct<" + ",".join(f"{k}:decimal(18,12)" for k in RATE_NAMES.values()) + ">"
-_FACT = f"device string, source string, usage_date date, model string, session_id string, event_key string, event_time timestamp, project_path string, total_tokens {_N}, cost double"
-PUSH = f"device string, mode string, collectedAt timestamp, daily array<struct<{_FACT.replace(' ', ':').replace(',:', ',')}>>, time array<struct<{_FACT.replace(' ', ':').replace(',:', ',')}>>, sessions array<struct<{_FACT.replace(' ', ':').replace(',:', ',')}>>"
+#: A payload's field names, and ours.
+PUSHED = {"device": "string", "source": "string", "usageDate": "date", "model": "string", "sessionId": "string", "eventKey": "string", "eventTime": "string", "lastActivity": "string", "projectPath": "string"}
+PUSHED_COUNTS = ["inputTokens", "outputTokens", "cacheCreationTokens", "cacheReadTokens", "reasoningOutputTokens", "totalTokens"]
+PUSHED_FIELDS = {
+    "daily": ["device", "source", "usageDate", "model"],
+    "time": ["device", "source", "eventKey", "eventTime", "usageDate", "model", "projectPath", "sessionId"],
+    "sessions": ["device", "source", "sessionId", "lastActivity", "projectPath"],
+}
+_RUN = "struct<device:string,source:string,status:string,message:string,collectedAt:string,command:string>"
+
+
+def _push_schema() -> str:
+    counts = ",".join(f"{c}:{_N}" for c in PUSHED_COUNTS)
+    arrays = [f"{name} array<struct<{','.join(f'{c}:{PUSHED[c]}' for c in fields)},{counts},costUSD:decimal(38,12)>>" for name, fields in PUSHED_FIELDS.items()]
+    return f"device string, mode string, collectedAt string, {', '.join(arrays)}, runs array<{_RUN}>"
+
+
+PUSH = _push_schema()
 
 
 def _not_zero(*columns: str) -> Column:
@@ -36,6 +53,11 @@ def _not_zero(*columns: str) -> Column:
     return F.coalesce(*(F.nullif(F.col(c), F.lit(0)) for c in columns), F.lit(0)).cast("long")
 
 
+def line_in_task() -> Column:
+    """The place of a line among those of its scan task."""
+    return F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+
+
 def scan_session_lines(spark: SparkSession, roots: list[str], glob: str = "*.jsonl") -> DataFrame:
     """file_path, line_no and value of the trimmed lines that aren't blank; files stay splittable and nothing is shuffled.
 
@@ -43,8 +65,7 @@ def scan_session_lines(spark: SparkSession, roots: list[str], glob: str = "*.jso
     scan task. A block has more bytes than its task has lines before its end, so a later block's lines come later.
     """
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(sorted(set(roots)))
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    lines = lines.select(F.col("_metadata.file_path").alias("file_path"), (F.col("_metadata.file_block_start") + place).alias("line_no"), F.col("_metadata.file_modification_time").alias("modified"), F.trim("value").alias("value"))
+    lines = lines.select(F.col("_metadata.file_path").alias("file_path"), (F.col("_metadata.file_block_start") + line_in_task()).alias("line_no"), F.col("_metadata.file_modification_time").alias("modified"), F.trim("value").alias("value"))
     return lines.where("value <> ''")
 
 
@@ -194,12 +215,34 @@ def read_price_table(rows: DataFrame, dataset: str) -> DataFrame:
     return data.select(F.lit(dataset).alias("dataset"), "model_key", *(F.col(f"r.{v}").alias(k) for k, v in RATE_NAMES.items()))
 
 
+def snake(name: str) -> str:
+    """The name of a payload's field among our columns."""
+    return "cost" if name == "costUSD" else re.sub("(?<=[a-z])([A-Z])", r"_\1", name).lower()
+
+
 def read_push_payload(rows: DataFrame) -> dict[str, DataFrame]:
-    """Payload JSON as daily, time and session rows with the payload's device and mode; an unknown mode is a full one."""
-    j = rows.select(F.from_json("value", PUSH).alias("j")).where("j.device IS NOT NULL")
-    mode = F.when(F.col("j.mode") == "incremental", "incremental").otherwise("full").alias("mode")
-    branch = lambda c: j.select(F.col("j.device").alias("from_device"), mode, F.explode(f"j.{c}").alias("r")).select("from_device", "mode", "r.*")
-    return {c: branch(c) for c in ("daily", "time", "sessions")}
+    """Payload JSON (value, one each row) as daily, time, session and run rows.
+
+    Every row has from_device and mode (all but `incremental` is a full one) of its payload, `at`, by which payloads are
+    ordered (time of collection, then `place` where rows have one), and pos, its place among the payload's rows. A missing
+    array has no rows, a broken line none at all; counters and costs that are missing are 0.
+    """
+    place = F.col("place") if "place" in rows.columns else F.lit(None).cast("struct<file_path:string,line_no:bigint>")
+    j = rows.select(F.from_json("value", PUSH).alias("j"), place.alias("place")).where("j IS NOT NULL")
+    mode = F.when(F.col("j.mode") == "incremental", "incremental").otherwise("full")
+    j = j.withColumns({"from_device": F.col("j.device"), "mode": mode, "at": F.struct(S.event_instant("j.collectedAt").alias("collected_at"), "place")})
+
+    def branch(name: str) -> DataFrame:
+        return j.select("from_device", "mode", "at", F.posexplode(f"j.{name}").alias("pos", "r"))
+
+    out = {}
+    for name, fields in PUSHED_FIELDS.items():
+        columns = [(S.event_instant(f"r.{c}") if c in ("eventTime", "lastActivity") else F.col(f"r.{c}")).alias(snake(c)) for c in fields]
+        counts = [F.coalesce(f"r.{c}", F.lit(0).cast("long")).alias(snake(c)) for c in PUSHED_COUNTS]
+        out[name] = branch(name).select("from_device", "mode", "at", "pos", *columns, *counts, F.coalesce("r.costUSD", F.lit(0).cast("decimal(38,12)")).alias("cost"))
+    collected = F.coalesce(S.event_instant("r.collectedAt"), F.col("at.collected_at")).alias("collected_at")
+    out["runs"] = branch("runs").select("from_device", "mode", "at", "pos", "r.device", "r.source", "r.status", "r.message", collected, "r.command")
+    return out
 
 
 def read_usage_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
-from datetime import date
+from datetime import date, timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupStateTimeout
 
+from tallyspark.operators import counters
 from tallyspark.operators import merge as M
 from tallyspark.operators.stages import checkpointed
+from tallyspark.sources.readers import line_in_task
 
 OVERLAP = "48 hours"
 EVERY_SECONDS, LEAST_SECONDS = 300.0, 10.0  # between batches; no less than the least
@@ -21,6 +26,18 @@ def stream_log_lines(spark: SparkSession, folder: str, schema, files_per_batch:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
+def stream_text_lines(spark: SparkSession, folder: str, files_per_batch: int = 1000, glob: str = "*") -> DataFrame:
+    """Lines of landed text segments: value, file_path, modified, and block, the byte at which the line's block begins."""
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(folder)
+    meta = {"file_path": "file_path", "modified": "file_modification_time", "block": "file_block_start"}
+    return lines.select(F.trim("value").alias("value"), *(F.col(f"_metadata.{v}").alias(k) for k, v in meta.items())).where("value <> ''")
+
+
+def placed(batch: DataFrame) -> DataFrame:
+    """A micro-batch of stream_text_lines with line_no, which grows along each file. Within foreachBatch, before any shuffle."""
+    return batch.withColumn("line_no", F.col("block") + line_in_task()).drop("block")
+
+
 def stream_dedupe_events(events: DataFrame) -> DataFrame:
     """The first copy of each event key; copies later than the overlap are new again. Where a later copy may correct an earlier one, merge instead."""
     return events.withWatermark("event_time", OVERLAP).dropDuplicatesWithinWatermark(["device", "source", "event_key"])
@@ -130,50 +147,49 @@ def run_available(writer: DataStreamWriter, checkpoint: str) -> None:
     writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-COUNTER_OUT = "file_path string, line_no long, ts string, model string, input_tokens long, output_tokens long, cache_creation_tokens long, cache_read_tokens long, reasoning_output_tokens long"
-COUNTER_STATE = "prev array<bigint>, leading boolean, sec string"
-_PARTS = ("input", "cached", "output", "reasoning")
-
+COUNTER_STATE = "base array<bigint>, leading boolean, second string, due int, held array<string>"
 
-def counter_step(prev: list[int] | None, last: list[int] | None, total: list[int] | None) -> tuple[list[int] | None, list[int] | None]:
-    """The increment of one counter line, or None, and the new baseline: the rules of normalize.counter_increments."""
-    lower = prev is not None and total is not None and any(t < p for t, p in zip(total, prev, strict=True))
-    if prev is not None and total == prev:
-        return None, prev
-    if lower and last is not None and min(sum(total), sum(prev), sum(last)) > 0 and (sum(total) * 100 >= sum(prev) * 98 or sum(total) + 2 * sum(last) >= sum(prev)):
-        return None, prev
-    use = last
-    if use is None and total is not None and not lower:
-        use = [t - p for t, p in zip(total, prev, strict=True)] if prev is not None else total
-    return (use if use and sum(use) else None), (total if total is not None else prev)
 
+def stream_counter_increments(lines: DataFrame, late: str = "1 hour", keep: timedelta = timedelta(days=7)) -> DataFrame:
+    """Counter increments across micro-batches, with the baseline of each session as state.
 
-def stream_counter_increments(lines: DataFrame) -> DataFrame:
-    """Counter increments across micro-batches, with the baseline of each session as state. Segments have to come in order."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
+    lines: those of counter_increments with `segment`, the number of the session's segment that a line is from, and `landed`,
+    when it came. A segment that comes before its turn is held back until those ahead of it came, more of one that
+    was folded already is folded at once. A session that nothing came
+    for in `keep` ends: what was held back is folded as it is, and its state goes.
+    """
+    names = [c.split()[0] for c in counters.OUT.split(", ")]
 
-    names = [c.split()[0] for c in COUNTER_OUT.split(", ")]
+    def unpacked(held: list[str]) -> dict[int, list]:
+        return {number: rows for number, rows in map(json.loads, held)}
 
     def run(key, frames, state):
-        prev, leading, sec = state.get if state.exists else (None, True, None)
-        rows = []
-        for r in pd.concat(list(frames)).sort_values("line_no").itertuples():
-            last, total = ([int(x[p]) for p in _PARTS] if x is not None else None for x in (r.last, r.total))
-            if r.replay and leading:
-                sec = sec or r.ts[:19]
-                if r.ts[:19] == sec:
-                    prev = total if total is not None else prev
-                    continue
-            leading = False
-            use, prev = counter_step(prev, last, total)
-            if use:
-                read = min(use[1], use[0])
-                rows.append((key[0], r.line_no, r.ts, r.model, use[0] - read, use[2], 0, read, use[3]))
-        state.update((prev, leading, sec))
-        yield pd.DataFrame(rows, columns=names)
-
-    return lines.groupBy("file_path").applyInPandasWithState(run, COUNTER_OUT, COUNTER_STATE, "append", GroupStateTimeout.NoTimeout)
+        base, leading, second, due, held = state.get if state.exists else (None, True, None, 0, [])
+        now: counters.State = (None if base is None else tuple(base), leading, second)
+        waiting, newest, out = unpacked(held), 0, []
+        if not state.hasTimedOut:
+            for frame in frames:
+                newest = max(newest, int(frame["landed"].max().timestamp() * 1000))
+                four = lambda x: None if x is None else [int(x[p]) for p in counters.PARTS]
+                columns = [frame[c].tolist() for c in ("segment", "line_no", "ts", "model", "replay")]
+                for number, *line, last, total in zip(*columns, map(four, frame["last"]), map(four, frame["total"]), strict=True):
+                    waiting.setdefault(number, []).append([*line, last, total])
+        while waiting and (min(waiting) <= due or state.hasTimedOut):
+            number = min(waiting)
+            for no, ts, model, replay, last, total in sorted(waiting.pop(number), key=lambda r: r[0]):
+                use, now = counters.step(now, ts, replay, last and tuple(last), total and tuple(total))
+                if use:
+                    out.append(counters.row((key[0], no, ts, model), use))
+            due = max(due, number + 1)
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            state.update((None if now[0] is None else list(now[0]), now[1], now[2], due, [json.dumps(x) for x in waiting.items()]))
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + round(keep.total_seconds() * 1000) + 1)
+        yield pd.DataFrame(out, columns=names)
+
+    timed = lines.withWatermark("landed", late)
+    return timed.groupBy("file_path").applyInPandasWithState(run, counters.OUT, COUNTER_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_run_log(events: DataFrame, out: str) -> DataStreamWriter:
