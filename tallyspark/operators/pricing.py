@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.functions import scalars as S
+
 RATE, MONEY = "decimal(18,12)", "decimal(31,12)"
 TIER_SIZES = {"128k": 128_000, "200k": 200_000, "256k": 256_000, "272k": 272_000}
 #: Which counters have which tiers.
@@ -39,13 +41,33 @@ def _bare(x: Column) -> Column:
     return F.element_at(F.split(x, "/"), -1)
 
 
-def model_candidates(models: DataFrame) -> DataFrame:
-    """model, provider -> model, provider, rank, candidate: names under which a price may be listed, best first."""
-    models = models.select("model", "provider").distinct().withColumn("base", _bare(F.lower("model")))
-    m, b = F.col("model"), F.col("base")
+#: How lists write a provider before a model's name, where not as we do; the second list writes one more in its own way.
+PREFIXES = {"meta_llama": "meta-llama", "xai": "x-ai"}
+PREFIXES_2 = PREFIXES | {"zai": "z-ai"}
+
+
+def model_ids(models: DataFrame) -> DataFrame:
+    """model, provider -> model, provider, hint (the provider, else the one that the name tells), rank, id: names of the model without a provider, best first."""
+    models = models.select("model", "provider").distinct().withColumn("low", F.lower(F.trim("model"))).where("low <> ''")
+    models = models.withColumn("base", _bare(F.col("low"))).withColumn("hint", F.coalesce(S.canonical_provider("provider"), S.infer_provider("low")))
+    m, b = F.col("low"), F.col("base")
     ids = F.array_distinct(F.concat(F.array(m, b, _dotted(m), _dotted(b)), _shorter(m), _shorter(b), _tails(m), _tails(b)))
-    forms = F.flatten(F.transform(ids, lambda c: F.concat(F.when(F.col("provider").isNotNull(), F.array(F.concat_ws("/", "provider", _bare(c)))).otherwise(F.array().cast("array<string>")), F.array(c, _bare(c)))))
-    return models.select("model", "provider", F.posexplode(F.filter(F.array_distinct(forms), lambda c: c != "")).alias("rank", "candidate"))
+    return models.select("model", "provider", "hint", F.posexplode(F.filter(ids, lambda c: c != "")).alias("rank", "id"))
+
+
+def model_candidates(models: DataFrame) -> DataFrame:
+    """model, provider -> dataset, model, provider, rank, candidate: names under which each of the two lists may have a price, best first."""
+    ids = model_ids(models).groupBy("model", "provider", "hint").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("ids"))
+
+    def forms(prefixes: dict[str, str]) -> Column:
+        known = F.create_map(*(F.lit(v) for kv in prefixes.items() for v in kv))
+        prefix = F.coalesce(known[F.col("hint")], F.col("hint"))
+        each = F.transform("ids", lambda c: F.concat(F.when(prefix.isNotNull(), F.array(F.concat_ws("/", prefix, _bare(c)))).otherwise(F.array().cast("array<string>")), F.array(c, _bare(c))))
+        return F.filter(F.array_distinct(F.flatten(each)), lambda c: c != "")
+
+    both = F.array(F.struct(F.lit("d1").alias("dataset"), forms(PREFIXES).alias("names")), F.struct(F.lit("d2").alias("dataset"), forms(PREFIXES_2).alias("names")))
+    lists = ids.select("model", "provider", F.explode(both).alias("x"))
+    return lists.select("x.dataset", "model", "provider", F.posexplode("x.names").alias("rank", "candidate"))
 
 
 def read_price_dim(prices: DataFrame) -> DataFrame:
@@ -56,56 +78,87 @@ def read_price_dim(prices: DataFrame) -> DataFrame:
     return out.select("dataset", "model_key", *(x.alias(c) for c, x in rate.items()))
 
 
-def _hits(names: DataFrame, dim: DataFrame, bare: bool) -> DataFrame:
-    """Per model the rates of its first candidate that a dataset lists: same key, with openai/ before it, or (bare) same last part."""
-    keys = dim.where(~F.lower("model_key").rlike(EXCLUDED)).withColumn("rates", F.struct("model_key", *RATES))
-    low = F.lower("model_key")
-    kinds = [(low, 0), (F.when(low.startswith("openai/"), F.substring(low, 8, 200)), 1)] + [(_bare(low), 2)] * bare
-    listed = keys.select(F.explode(F.array(*(F.struct(k.alias("candidate"), F.lit(i).alias("kind")) for k, i in kinds))).alias("x"), "rates").select("x.*", "rates").where("candidate IS NOT NULL")
-    found = names.join(F.broadcast(listed), "candidate")
-    return found.groupBy("model", "provider").agg(F.min_by("rates", F.struct("rank", "kind", "rates.model_key")).alias("rates"))
+def _priced(dim: DataFrame) -> DataFrame:
+    return dim.where(~F.lower("model_key").rlike(EXCLUDED)).select("dataset", F.lower("model_key").alias("low"), F.struct("model_key", *RATES).alias("rates"))
+
 
+def exact_match(candidates: DataFrame, dim: DataFrame) -> DataFrame:
+    """dataset, model, provider, rates: of each list the first candidate's price, by the same key, with openai/ before it, or, in the second list, by the same last part."""
+    low = F.col("low")
+    kinds = F.array(F.struct(low.alias("candidate"), F.lit(0).alias("kind")), F.struct(F.when(low.startswith("openai/"), F.substring(low, 8, 200)).alias("candidate"), F.lit(1).alias("kind")), F.struct(F.when(F.col("dataset") == "d2", _bare(low)).alias("candidate"), F.lit(2).alias("kind")))
+    listed = _priced(dim).select("dataset", "rates", F.explode(kinds).alias("x")).select("dataset", "rates", "x.*").where("candidate IS NOT NULL")
+    found = candidates.join(listed, ["dataset", "candidate"])
+    return found.groupBy("dataset", "model", "provider").agg(F.min_by("rates", F.struct("rank", "kind", "rates.model_key")).alias("rates"))
 
-def fuzzy_match(models: DataFrame, dim: DataFrame) -> DataFrame:
-    """model, rates for models related to a key by a hyphen-bounded prefix. For unmatched distinct models only."""
-    keys = dim.where(~F.lower("model_key").rlike(EXCLUDED)).select(F.struct("model_key", *RATES).alias("rates"), F.lower("model_key").alias("low"))
-    keys = keys.withColumn("known", _dotted(_bare(F.col("low")))).where(F.char_length("known") >= FUZZY_LEAST)
-    asked = models.select("model").distinct().withColumn("base", _bare(F.lower("model"))).withColumn("wanted", _dotted(F.col("base"))).where(F.char_length("base") >= FUZZY_LEAST)
-    related = (F.col("known") == F.col("wanted")) | F.col("known").startswith(F.concat("wanted", F.lit("-"))) | F.col("wanted").startswith(F.concat("known", F.lit("-")))
-    score = F.char_length("low") + F.when(F.col("low").startswith(F.concat(F.regexp_extract("base", "^[^-.]*", 0), F.lit("/"))), 10_000).otherwise(0) + F.when(F.col("low").contains("/"), 100).otherwise(0)
+
+def _prefixes(x: Column) -> Column:
+    """The name and what is left of it without its last part, last two, ... at hyphens."""
+    parts = F.split(x, "-")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "-"))
+
+
+def fuzzy_match(candidates: DataFrame, dim: DataFrame) -> DataFrame:
+    """model, provider, rates by related names: equal, or one the other's beginning up to a hyphen, both of FUZZY_LEAST characters at least.
+
+    The first list comes before the second, then the better candidate, then the key with the higher score. Related names
+    meet by the beginnings of one of them, so there are two plain joins and no comparison of every pair.
+    """
+    keys = _priced(dim).withColumn("known", _dotted(_bare(F.col("low")))).where(F.char_length("known") >= FUZZY_LEAST)
+    asked = candidates.withColumn("wanted", _dotted(F.col("candidate"))).where(F.char_length("candidate") >= FUZZY_LEAST)
+    longer = asked.join(keys.withColumn("wanted", F.explode(_prefixes(F.col("known")))), ["dataset", "wanted"])
+    shorter = asked.withColumn("known", F.explode(_prefixes(F.col("wanted")))).where("known <> wanted").join(keys, ["dataset", "known"])
+    found = longer.unionByName(shorter)
+    own = F.regexp_extract("candidate", "^[^-.]*", 0)
+    score = F.char_length("low") + F.when((own != "") & F.col("low").startswith(F.concat(own, F.lit("/"))), 10_000).otherwise(0) + F.when(F.col("low").contains("/"), 100).otherwise(0)
     for prefix, points in RESELLERS:
         score = score + F.when(F.col("low").startswith(prefix), points).otherwise(0)
-    found = asked.join(F.broadcast(keys), related)
-    return found.groupBy("model").agg(F.max_by("rates", F.struct(score, "low")).alias("rates"))
+    best = found.groupBy("model", "provider", "dataset", "rank").agg(F.max_by("rates", F.struct(score, "low")).alias("rates"))
+    return best.groupBy("model", "provider").agg(F.min_by("rates", F.struct("dataset", "rank")).alias("rates"))
+
+
+def _given(ids: DataFrame, table: DataFrame, bare: bool) -> DataFrame:
+    """model, provider, rates of an override table: by the model's best name that it has."""
+    keys = read_price_dim(table).select(F.lower("model_key").alias("name"), F.struct("model_key", *RATES).alias("rates"))
+    found = ids.withColumn("name", _bare(F.col("id")) if bare else F.col("id")).join(keys, "name")
+    return found.groupBy("model", "provider").agg(F.min_by("rates", F.struct("rank", "rates.model_key")).alias("rates"))
 
 
 def resolve_prices(models: DataFrame, dim: DataFrame, first: DataFrame | None = None, late: DataFrame | None = None) -> DataFrame:
-    """model, provider -> rates for distinct models. The tables are small: price lists and the models in use.
+    """model, provider -> rates for distinct models.
 
-    Order: `first` overrides; exact hits in d1, or in d2 where d1 has no cache price and d2 does, or where only d2 lists
-    the model; `late` overrides; related names; else no rates.
+    Order: `first` overrides by any of the model's names; exact hits in d1, or in d2 where d1 has no cache price and d2 does,
+    or where only d2 lists the model; `late` overrides; related names; else no rates.
     """
     models = models.select("model", "provider").distinct()
-    names = model_candidates(models)
-    on = ["model", "provider"]
-    one = _hits(names, dim.where("dataset = 'd1'"), bare=False).withColumnRenamed("rates", "one")
-    two = _hits(names, dim.where("dataset = 'd2'"), bare=True).withColumnRenamed("rates", "two")
+    ids, names = model_ids(models), model_candidates(models)
+    hits = exact_match(names, dim)
     cache = lambda r: (F.col(f"{r}.cache_read") > 0) | (F.col(f"{r}.cache_write") > 0)
-
-    def null_safe(left: DataFrame, right: DataFrame) -> DataFrame:
-        right = right.withColumnsRenamed({"model": "_m", "provider": "_p"})
-        return left.join(right, F.col("model").eqNullSafe(F.col("_m")) & F.col("provider").eqNullSafe(F.col("_p")), "left").drop("_m", "_p")
-
-    both = null_safe(null_safe(models, one), two)
-    chosen = F.when(F.col("one").isNull() | (~cache("one") & F.col("two").isNotNull() & cache("two")), F.col("two")).otherwise(F.col("one"))
-    out = both.select(*on, chosen.alias("rates"))
-    related = fuzzy_match(out.where("rates IS NULL"), dim).withColumnRenamed("rates", "related")
-    out = out.join(related, "model", "left").select(*on, F.coalesce("rates", "related").alias("rates"), F.col("rates").isNull().alias("missed"))
-    for table, when in ((first, F.lit(True)), (late, F.col("missed"))):
-        if table is not None:
-            given = read_price_dim(table).select(F.col("model_key").alias("_key"), F.struct("model_key", *RATES).alias("given"))
-            out = out.join(F.broadcast(given), F.lower("model") == F.lower("_key"), "left").withColumn("rates", F.when(when & F.col("given").isNotNull(), F.col("given")).otherwise(F.col("rates"))).drop("_key", "given")
-    return out.select(*on, "rates")
+    both = hits.groupBy("model", "provider").agg(*(F.max(F.when(F.col("dataset") == d, F.col("rates"))).alias(n) for d, n in (("d1", "one"), ("d2", "two"))))
+    exact = both.select("model", "provider", F.when(F.col("one").isNull() | (~cache("one") & F.col("two").isNotNull() & cache("two")), F.col("two")).otherwise(F.col("one")).alias("rates"))
+    steps = [exact, fuzzy_match(names, dim)]
+    if late is not None:
+        steps.insert(1, _given(ids, late, bare=False))
+    if first is not None:
+        steps.insert(0, _given(ids, first, bare=True))
+    found = None
+    for i, step in enumerate(steps):
+        step = step.withColumn("turn", F.lit(i))
+        found = step if found is None else found.unionByName(step)
+    best = found.groupBy("model", "provider").agg(F.min_by("rates", "turn").alias("rates")).withColumnsRenamed({"model": "_m", "provider": "_p"})
+    return models.join(best, (F.col("model") == F.col("_m")) & F.col("provider").eqNullSafe(F.col("_p")), "left").select("model", "provider", "rates")
+
+
+MOST_PRICES = 100_000
+
+
+def price_table(resolved: DataFrame, most: int = MOST_PRICES) -> DataFrame:
+    """Resolved prices worked out once: as a constant table where there are `most` rows or fewer, else as they are."""
+    spark = resolved.sparkSession
+    text = resolved.limit(most + 1).agg(F.count("*").alias("n"), F.to_json(F.collect_list(F.struct("model", "provider", "rates"))).alias("rows")).first()
+    if text.n > most:
+        return resolved
+    kind = f"array<{resolved.select(F.struct('model', 'provider', 'rates').alias('x')).schema['x'].dataType.simpleString()}>"
+    return F.broadcast(spark.range(1).select(F.inline(F.from_json(F.lit(text.rows), kind))))
 
 
 def _exact(n: Column, price: Column) -> Column:
@@ -147,11 +200,11 @@ def cost(rates: str = "rates", tiered: bool = True, counters: dict[str, Column]
 
 
 def join_prices(facts: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Facts (with model and provider; without one it is null) with `rates`. The resolved table has a row for each pair in use, so it is broadcast."""
+    """Facts (with model and provider; without one it is null) with `rates`. Broadcast where price_table found the prices to be few."""
     if "provider" not in facts.columns:
         facts = facts.withColumn("provider", F.lit(None).cast("string"))
-    small = F.broadcast(resolved.select(F.col("model").alias("_m"), F.col("provider").alias("_p"), "rates"))
-    return facts.join(small, (F.col("model") == F.col("_m")) & F.col("provider").eqNullSafe(F.col("_p")), "left").drop("_m", "_p")
+    prices = resolved.withColumnsRenamed({"model": "_m", "provider": "_p"})
+    return facts.join(prices, (F.col("model") == F.col("_m")) & F.col("provider").eqNullSafe(F.col("_p")), "left").drop("_m", "_p")
 
 
 def cache_savings(rates: str = "rates") -> Column:

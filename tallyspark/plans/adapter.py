@@ -58,6 +58,24 @@ FROM (VALUES
   ('d1', 'github_copilot/m-unpriced', '0', '0', '0', '0')
 ) AS t(dataset, model_key, i, o, cr, cw)"""
 
+#: Models that prices are asked for beside those in use: families that a provider is inferred for, aliases, related names.
+ASKED = """
+SELECT DISTINCT CASE event_id % 24 WHEN 1 THEN 'glm-4-5-air' WHEN 5 THEN 'GLM-4.5' WHEN 7 THEN 'grok-code-1' WHEN 9 THEN 'reseller/gpt-five-mini-2026' WHEN 11 THEN 'ultra-gpt-five' WHEN 13 THEN 'mixtral-tiny-next'
+    WHEN 17 THEN 'm-gamma-11' WHEN 19 THEN 'fast-m-delta' WHEN 21 THEN 'm-odd' WHEN 23 THEN 'llama-x-9-chat' ELSE model END AS model,
+  CASE event_id % 48 WHEN 13 THEN 'z.ai' WHEN 9 THEN 'together' ELSE provider END AS provider
+FROM named"""
+
+ASKED_DIM = """
+SELECT dataset, model_key, CAST(i AS DECIMAL(18,12)) AS input, CAST(o AS DECIMAL(18,12)) AS output, CAST(cr AS DECIMAL(18,12)) AS cache_read, CAST(cw AS DECIMAL(18,12)) AS cache_write
+FROM (VALUES
+  ('d1', 'm-alpha-4.5', '0.000003', '0.000015', '0.0000003', '0.00000375'), ('d1', 'openai/m-beta-2', '0.00000175', '0.000014', '0.000000175', '0'), ('d1', 'm-gamma-1', '0.00000125', '0.00001', '0', '0'),
+  ('d2', 'vendor/m-gamma-1', '0.0000012', '0.0000096', '0.00000012', '0.0000015'), ('d1', 'm-delta-large', '0.000001', '0.000002', '0', '0'), ('d2', 'm-delta', '0.000003', '0.000004', '0.000001', '0'),
+  ('d1', 'zai/glm-4.5', '0.000006', '0.000007', '0', '0'), ('d2', 'z-ai/glm-4.5', '0.000006', '0.000008', '0.000001', '0'), ('d2', 'z-ai/glm-4.5-air', '0.000005', '0.000008', '0', '0'), ('d1', 'github_copilot/grok-code-1', '0', '0', '0', '0'),
+  ('d2', 'x-ai/grok-code', '0.0000002', '0.0000015', '0.00000002', '0'), ('d1', 'gpt-five', '0.00000125', '0.00001', '0.000000125', '0'), ('d1', 'openrouter/gpt-five-mini', '0.0000003', '0.000002', '0', '0'),
+  ('d1', 'together_ai/gpt-five-mini', '0.00000025', '0.000002', '0', '0'), ('d2', 'mistral/mixtral-tiny', '0.0000001', '0.0000003', '0', '0'), ('d1', 'bedrock/llama-x-9-chat-v2', '0.0000004', '0.0000006', '0', '0'),
+  ('d1', 'meta/llama-x-9-chat-v1', '0.0000005', '0.0000006', '0', '0'), ('d1', 'm-odd', NULL, NULL, '0.1', '0.1')
+) AS t(dataset, model_key, i, o, cr, cw)"""
+
 MODEL_SQL = r"""regexp_replace(regexp_replace(lower(trim(raw_model)), '\((minimal|low|medium|high|xhigh|none|auto)\)$', ''), '-[0-9]{8}$', '')"""
 TOTAL_SQL = "input_tokens + output_tokens + cache_creation_tokens + cache_read_tokens + CASE WHEN source = 'error' THEN 0 ELSE reasoning_output_tokens END"
 #: The listed price that each grouped model resolves to; worked out by hand from the rules.
@@ -127,17 +145,53 @@ def named(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage_raw(spark, sf_dir).withColumn("model", S.normalise_model("raw_model")).withColumn("total_tokens", S.token_total(is_counter_log()))
 
 
-def resolved(spark: SparkSession, facts: DataFrame) -> DataFrame:
-    return P.resolve_prices(facts.select("model", "provider").distinct(), P.read_price_dim(price_dim(spark)))
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(ASKED.replace("FROM named", "FROM {named}"), named=named(spark, sf_dir))
+
+
+def asked_dim(spark: SparkSession) -> DataFrame:
+    return P.read_price_dim(spark.sql(ASKED_DIM))
+
+
+_PRICES: dict[tuple, DataFrame] = {}
+
+
+def _stamp(spark: SparkSession, path: str) -> tuple:
+    """What tells one state of a file or folder from another."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getContentSummary(at).getLength(), fs.getFileStatus(at).getModificationTime()
+
+
+def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prices of all models in use, by provider and without one; worked out once for a session and a state of the events."""
+    path = f"{sf_dir}/events.parquet"
+    key = (spark.sparkContext.applicationId, path, *_stamp(spark, path))
+    if key not in _PRICES:
+        _PRICES.clear()
+        models = named(spark, sf_dir).select("model", F.explode(F.array("provider", F.lit(None).cast("string"))).alias("provider")).distinct()
+        _PRICES[key] = P.price_table(P.resolve_prices(models, P.read_price_dim(price_dim(spark))))
+    return _PRICES[key]
 
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usage events with model, total and exact cost."""
-    facts = named(spark, sf_dir)
-    return P.join_prices(facts, resolved(spark, facts)).withColumn("cost", P.cost()).drop("rates")
+    return P.join_prices(named(spark, sf_dir), resolved(spark, sf_dir)).withColumn("cost", P.cost()).drop("rates")
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyspark.operators.rollup import rollup_daily
 
     return rollup_daily(usage(spark, sf_dir))
+
+
+def daily_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily rows with `saved`: what caching saved on the day's sums, at the model's price with tiers."""
+    days = daily(spark, sf_dir)
+    return P.join_prices(days, resolved(spark, sf_dir)).withColumn("saved", P.cache_savings()).drop("rates", "provider")
+
+
+_SAVED_ROWS = cost_sql(i="(n.input_tokens + n.cache_read_tokens + n.cache_creation_tokens)", o="(n.output_tokens + n.reasoning_output_tokens)", r="0", w="0")
+_PAID_ROWS = cost_sql("n.input_tokens", "(n.output_tokens + n.reasoning_output_tokens)", "n.cache_read_tokens", "n.cache_creation_tokens")
+#: Continues BASE with the table daily_saved.
+SAVED = f", daily_saved AS (SELECT n.*, CASE WHEN n.cache_read_tokens + n.cache_creation_tokens > 0 THEN greatest({_SAVED_ROWS} - {_PAID_ROWS}, 0) ELSE 0 END AS saved FROM daily n LEFT JOIN rates r ON r.model = n.model AND r.provider IS NULL)"

@@ -59,14 +59,17 @@ _TOTALS = f"""{_L('total_tokens')} AS total, {_L('input_tokens')} AS input, {_L(
  {_L('cache_read_tokens')} + {_L('cache_creation_tokens')} AS cache, {_L('reasoning_output_tokens')} AS reasoning, {dbl('coalesce(sum(cost), 0)')} AS cost_usd, {_PCT(_L('cache_read_tokens'), _L('total_tokens'))} AS hit_rate"""
 
 
-@query("A06_totals_by_source", f"SELECT source, {_TOTALS} FROM daily GROUP BY source")
+_SAVED = f"{dbl('coalesce(sum(saved), 0)')} AS saved_usd"
+
+
+@query("A06_totals_by_source", f"{U.SAVED} SELECT source, {_TOTALS}, {_SAVED} FROM daily_saved GROUP BY source")
 def totals_by_source(spark, d):
-    return A.totals(U.daily(spark, d), ["source"])
+    return A.totals(U.daily_saved(spark, d), ["source"])
 
 
-@query("A06_totals", f"SELECT {_TOTALS} FROM daily WHERE {_IN}")
+@query("A06_totals", f"{U.SAVED} SELECT {_TOTALS}, {_SAVED} FROM daily_saved WHERE {_IN}")
 def totals(spark, d):
-    return A.totals(_period(spark, d))
+    return A.totals(FI.filter_period(U.daily_saved(spark, d), START, END))
 
 
 @query("A07_sum_field", f"SELECT {_L('cache_read_tokens')} AS value FROM daily")
@@ -188,7 +191,7 @@ def rollup_workspace_model(spark, d):
 @query("A03_rollup_flat_repriced", f", g AS (SELECT device, source, usage_date, model, provider, {_SUMS} FROM usage GROUP BY 1, 2, 3, 4, 5), p AS (SELECT g.*, {U.cost_sql(tiered=False)} AS cost FROM g LEFT JOIN rates r ON r.model = g.model AND r.provider IS NOT DISTINCT FROM g.provider) SELECT device, source, usage_date, model, {_SUMS}, {dbl('sum(cost)')} AS cost_usd FROM p GROUP BY 1, 2, 3, 4")
 def rollup_flat(spark, d):
     named = U.named(spark, d)
-    return _publish(R.rollup_flat_repriced(named, U.resolved(spark, named)))
+    return _publish(R.rollup_flat_repriced(named, U.resolved(spark, d)))
 
 
 @query("A04_hourly_cube", f"SELECT device, source, usage_date, {_HOUR} AS hour, model, count(*) AS calls, {_L('total_tokens')} AS total_tokens, {dbl('sum(cost)')} AS cost_usd FROM usage GROUP BY 1, 2, 3, 4, 5")

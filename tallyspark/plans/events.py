@@ -180,39 +180,73 @@ def compact_number(spark, d):
 # --- prices -------------------------------------------------------------------------------------------------------------
 
 
+_BARE = lambda x: f"string_split({x}, '/')[-1]"
+_DOTTED = lambda x: f"regexp_replace({x}, '(^|[^0-9])([0-9])-([0-9])($|[^0-9])', '\\1\\2.\\3\\4', 'g')"
+#: The provider that a name tells, for the names that are asked for.
+_HINT = "coalesce(CASE provider WHEN 'z.ai' THEN 'z' WHEN 'together' THEN 'together_ai' ELSE provider END, CASE WHEN m LIKE '%gpt%' THEN 'openai' WHEN m LIKE '%grok%' THEN 'xai' WHEN m LIKE '%mixtral%' THEN 'mistral' WHEN m LIKE '%llama%' THEN 'meta' WHEN m LIKE '%glm%' THEN 'zai' END)"
+
+
 def _candidates_sql() -> str:
-    """The rules for listed names as list functions: whole and bare name, dotted versions, then shorter and later parts."""
-    bare = lambda x: f"string_split({x}, '/')[-1]"
-    dotted = lambda x: f"regexp_replace({x}, '(^|[^0-9])([0-9])-([0-9])($|[^0-9])', '\\1\\2.\\3\\4', 'g')"
+    """The rules for listed names as list functions: whole and bare name, dotted versions, then shorter and later parts; each with its provider, as it is, and bare."""
     parts = lambda x: f"string_split({x}, '-')"
     long = lambda x: f"list_filter({x}, lambda y: length(y) >= 2)"
     shorter = lambda x: long(f"list_transform(range(1, least(len({parts(x)}) - 1, 4) + 1), lambda k: array_to_string({parts(x)}[1:len({parts(x)}) - k], '-'))")
     later = lambda x: long(f"list_transform(range(1, least(len({parts(x)}) - 1, 2) + 1), lambda k: array_to_string({parts(x)}[k + 1:len({parts(x)})], '-'))")
     tails = lambda x: f"flatten(list_transform({later(x)}, lambda t: list_concat([t], {shorter('t')})))"
-    ids = f"list_concat([m, b, {dotted('m')}, {dotted('b')}], {shorter('m')}, {shorter('b')}, {tails('m')}, {tails('b')})"
+    names = f"list_concat([m, b, {_DOTTED('m')}, {_DOTTED('b')}], {shorter('m')}, {shorter('b')}, {tails('m')}, {tails('b')})"
     first = lambda x: f"list_filter({x}, lambda y, i: list_position({x}, y) = i)"
-    named = f"CASE WHEN p IS NULL THEN [c, {bare('c')}] ELSE [p || '/' || {bare('c')}, c, {bare('c')}] END"
+    named = f"CASE WHEN prefix IS NULL THEN [c, {_BARE('c')}] ELSE [prefix || '/' || {_BARE('c')}, c, {_BARE('c')}] END"
     return (
-        f", base AS (SELECT DISTINCT model AS m, {bare('lower(model)')} AS b, provider AS p FROM named), ids AS (SELECT m, p, {ids} AS l FROM base), one AS (SELECT m, p, {first('l')} AS l FROM ids), "
-        f"forms AS (SELECT m, p, flatten(list_transform(l, lambda c: {named})) AS l FROM one), kept AS (SELECT m, p, list_filter({first('l')}, lambda y: y <> '') AS l FROM forms) "
-        "SELECT m AS model, p AS provider, CAST(unnest(range(len(l))) AS INTEGER) AS rank, unnest(l) AS candidate FROM kept"
+        f", asked AS ({U.ASKED}), low AS (SELECT model, provider, lower(model) AS m FROM asked), hinted AS (SELECT *, {_BARE('m')} AS b, {_HINT} AS hint FROM low), all_ids AS (SELECT *, {names} AS l FROM hinted), ids AS (SELECT model, provider, hint, {first('l')} AS l FROM all_ids), "
+        "prefixed AS (SELECT i.*, dataset, CASE WHEN hint = 'xai' THEN 'x-ai' WHEN hint = 'zai' AND dataset = 'd2' THEN 'z-ai' ELSE hint END AS prefix FROM ids i, (VALUES ('d1'), ('d2')) AS t(dataset)), "
+        f"forms AS (SELECT dataset, model, provider, flatten(list_transform(l, lambda c: {named})) AS l FROM prefixed), kept AS (SELECT dataset, model, provider, list_filter({first('l')}, lambda y: y <> '') AS l FROM forms), "
+        "cands AS (SELECT dataset, model, provider, CAST(unnest(range(len(l))) AS INTEGER) AS rank, unnest(l) AS candidate FROM kept) "
     )
 
 
-@query("P01_model_candidates", _candidates_sql())
+@query("P01_model_candidates", f"{_candidates_sql()} SELECT * FROM cands")
 def model_candidates(spark, d):
-    return P.model_candidates(U.named(spark, d).select("model", "provider"))
+    return P.model_candidates(U.asked(spark, d))
 
 
-@query("P06_resolve_prices", "SELECT DISTINCT n.model, n.provider, k.model_key FROM named n LEFT JOIN " + U.RATE_KEYS + " ON k.model = n.model AND k.provider IS NOT DISTINCT FROM n.provider")
-def resolve_prices(spark, d):
-    return U.resolved(spark, U.named(spark, d)).select("model", "provider", F.col("rates.model_key").alias("model_key"))
+_KEYS = f", dim AS ({U.ASKED_DIM}), keys AS (SELECT *, lower(model_key) AS low, {_DOTTED(_BARE('lower(model_key)'))} AS known FROM dim WHERE model_key NOT LIKE 'github_copilot/%' AND (input IS NOT NULL OR output IS NOT NULL))"
+_SCORE = "length(low) + CASE WHEN regexp_extract(candidate, '^[^-.]*') <> '' AND starts_with(low, regexp_extract(candidate, '^[^-.]*') || '/') THEN 10000 ELSE 0 END + CASE WHEN low LIKE '%/%' THEN 100 ELSE 0 END - CASE WHEN low LIKE 'openrouter/%' THEN 5000 WHEN low LIKE 'vertex_ai/%' OR low LIKE 'bedrock/%' THEN 2000 ELSE 0 END"
+_RELATED = (
+    f", wanted AS (SELECT *, {_DOTTED('candidate')} AS w FROM cands WHERE length(candidate) >= 5), related AS (SELECT c.model, c.provider, c.dataset, c.rank, k.model_key, k.low, {_SCORE} AS score FROM wanted c JOIN keys k ON k.dataset = c.dataset AND length(known) >= 5 "
+    "AND (known = w OR starts_with(known, w || '-') OR starts_with(w, known || '-'))), fuzzy AS (SELECT * FROM related QUALIFY row_number() OVER (PARTITION BY model, provider ORDER BY dataset, rank, score DESC, low DESC) = 1) "
+)
 
 
-@query("P05_price_fuzzy_match", "SELECT DISTINCT model, CASE WHEN model LIKE '%gamma%' THEN 'vendor/m-gamma-1' ELSE 'm-delta' END AS model_key FROM named WHERE model LIKE '%gamma%' OR model = 'm-delta'")
+@query("P05_price_fuzzy_match", f"{_candidates_sql()}{_KEYS}{_RELATED} SELECT model, provider, model_key FROM fuzzy")
 def fuzzy(spark, d):
-    models = U.named(spark, d).where("model LIKE '%gamma%' OR model = 'm-delta'").select("model").distinct()
-    return P.fuzzy_match(models, P.read_price_dim(U.price_dim(spark)).where("model_key <> 'm-gamma-1'")).select("model", F.col("rates.model_key").alias("model_key"))
+    """All models that prices are asked for, those with exact hits too."""
+    return P.fuzzy_match(P.model_candidates(U.asked(spark, d)), U.asked_dim(spark)).select("model", "provider", F.col("rates.model_key").alias("model_key"))
+
+
+_FIRST = "SELECT 'o' AS dataset, k AS model_key, 7 AS input, 7 AS output FROM (VALUES ('m-alpha-4.5')) AS t(k)"
+_LATER = "SELECT 'o' AS dataset, k AS model_key, 5 AS input, 5 AS output FROM (VALUES ('m-unpriced'), ('m-beta'), ('tiny-next')) AS t(k)"
+
+
+@query(
+    "P06_resolve_prices_by_rule",
+    f"{_candidates_sql()}{_KEYS}{_RELATED}, hits AS (SELECT c.model, c.provider, c.dataset, k.model_key, k.cache_read > 0 OR k.cache_write > 0 AS cached FROM cands c JOIN (SELECT *, low AS name, 0 AS kind FROM keys UNION ALL SELECT *, low[8:], 1 FROM keys WHERE low LIKE 'openai/%' UNION ALL SELECT *, {_BARE('low')}, 2 FROM keys WHERE dataset = 'd2') k ON k.dataset = c.dataset AND k.name = c.candidate "
+    "QUALIFY row_number() OVER (PARTITION BY c.model, c.provider, c.dataset ORDER BY rank, kind, k.model_key) = 1), "
+    "given AS (SELECT model, provider, unnest(l) AS id FROM ids), over AS (SELECT DISTINCT model, provider, 'm-alpha-4.5' AS model_key FROM given WHERE string_split(id, '/')[-1] = 'm-alpha-4.5'), "
+    "late AS (SELECT model, provider, id AS model_key FROM (SELECT model, provider, unnest(l) AS id, unnest(range(len(l))) AS r FROM ids) WHERE id IN ('m-unpriced', 'm-beta', 'tiny-next') QUALIFY row_number() OVER (PARTITION BY model, provider ORDER BY r) = 1) "
+    "SELECT a.model, a.provider, coalesce(o.model_key, CASE WHEN h1.model_key IS NULL OR (NOT h1.cached AND h2.cached) THEN h2.model_key ELSE h1.model_key END, l.model_key, f.model_key) AS model_key, CASE WHEN o.model_key IS NOT NULL THEN 'first' WHEN coalesce(h1.model_key, h2.model_key) IS NOT NULL THEN 'listed' WHEN l.model_key IS NOT NULL THEN 'late' WHEN f.model_key IS NOT NULL THEN 'listed' END AS kind "
+    + "FROM asked a "
+    + " ".join(f"LEFT JOIN {t} {n} ON {n}.model = a.model AND {n}.provider IS NOT DISTINCT FROM a.provider{x}" for t, n, x in (("over", "o", ""), ("hits", "h1", " AND h1.dataset = 'd1'"), ("hits", "h2", " AND h2.dataset = 'd2'"), ("late", "l", ""), ("fuzzy", "f", ""))),
+)
+def resolve_by_rule(spark, d):
+    """The whole chain on all models that are asked for: overrides by any name, exact hits of both lists, late overrides, related names."""
+    out = P.resolve_prices(U.asked(spark, d), U.asked_dim(spark), first=spark.sql(_FIRST), late=spark.sql(_LATER))
+    kind = F.when(F.col("rates.input") == 7, "first").when(F.col("rates.input") == 5, "late").when(F.col("rates").isNotNull(), "listed")
+    return out.select("model", "provider", F.col("rates.model_key").alias("model_key"), kind.alias("kind"))
+
+
+@query("P06_resolve_prices", "SELECT DISTINCT n.model, n.provider, k.model_key FROM named n LEFT JOIN " + U.RATE_KEYS + " ON k.model = n.model AND k.provider IS NOT DISTINCT FROM n.provider")
+def resolve_prices(spark, d):
+    return U.resolved(spark, d).select("model", "provider", F.col("rates.model_key").alias("model_key"))
 
 
 @query("P08_event_cost", f"SELECT event_key, {dbl('cost')} AS cost_usd FROM usage")
@@ -223,7 +257,7 @@ def event_cost(spark, d):
 @query("P09_flat_cost", f"SELECT event_key, {dbl(U.cost_sql(tiered=False))} AS cost_usd FROM named n LEFT JOIN rates r ON r.model = n.model AND r.provider IS NOT DISTINCT FROM n.provider")
 def flat_cost(spark, d):
     named = U.named(spark, d)
-    return P.join_prices(named, U.resolved(spark, named)).select("event_key", P.as_double(P.cost(tiered=False)).alias("cost_usd"))
+    return P.join_prices(named, U.resolved(spark, d)).select("event_key", P.as_double(P.cost(tiered=False)).alias("cost_usd"))
 
 
 @query("P10_effective_cost", f"SELECT event_key, {dbl('CASE WHEN event_id % 3 = 0 THEN cost WHEN cost > 0 THEN cost ELSE 0.5 END')} AS computed_first, {dbl('CASE WHEN event_id % 3 = 0 THEN cost ELSE 0.5 END')} AS recorded_first FROM usage")
@@ -232,10 +266,16 @@ def effective_cost(spark, d):
     return U.usage(spark, d).select("event_key", P.as_double(P.effective_cost(F.col("cost"), rec, "computed-first")).alias("computed_first"), P.as_double(P.effective_cost(F.col("cost"), rec, "recorded-first")).alias("recorded_first"))
 
 
+@query("P11_daily_cache_savings", f"{U.SAVED} SELECT device, source, usage_date, model, {dbl('saved')} AS saved_usd FROM daily_saved")
+def daily_cache_savings(spark, d):
+    """As it is served: on the day's sums of a model, with tiers."""
+    return U.daily_saved(spark, d).select(*M.DAILY_KEYS, P.as_double(F.col("saved")).alias("saved_usd"))
+
+
 @query("P11_cache_savings", f"SELECT event_key, {dbl('CASE WHEN cache_read_tokens + cache_creation_tokens > 0 THEN greatest(' + U.cost_sql(i='(input_tokens + cache_read_tokens + cache_creation_tokens)', r='0', w='0') + ' - ' + U.cost_sql() + ', 0) ELSE 0 END')} AS saved_usd FROM named n LEFT JOIN rates r ON r.model = n.model AND r.provider IS NOT DISTINCT FROM n.provider")
 def cache_savings(spark, d):
     named = U.named(spark, d)
-    return P.join_prices(named, U.resolved(spark, named)).select("event_key", P.as_double(P.cache_savings()).alias("saved_usd"))
+    return P.join_prices(named, U.resolved(spark, d)).select("event_key", P.as_double(P.cache_savings()).alias("saved_usd"))
 
 
 # --- de-duplication and incremental filters -----------------------------------------------------------------------------

@@ -158,12 +158,12 @@ def quota(spark, d):
 @query("P02_price_exact_match", "SELECT DISTINCT n.model, n.provider, k.model_key FROM named n JOIN (VALUES ('m-alpha-4-5', NULL, 'm-alpha-4.5'), ('m-beta-2', NULL, 'openai/m-beta-2'), ('m-beta-2', 'resold', 'resold/m-beta-2'), ('vendor/m-gamma-1', NULL, 'm-gamma-1'), ('m-gamma-1-preview', NULL, 'm-gamma-1'), ('m-delta', NULL, 'm-delta')) AS k(model, provider, model_key) ON k.model = n.model AND k.provider IS NOT DISTINCT FROM n.provider")
 def exact_match(spark, d):
     dim = P.read_price_dim(U.price_dim(spark)).where("dataset = 'd1'")
-    return P._hits(P.model_candidates(U.named(spark, d).select("model", "provider")), dim, bare=False).select("model", "provider", F.col("rates.model_key").alias("model_key"))
+    return P.exact_match(P.model_candidates(U.named(spark, d).select("model", "provider")), dim).select("model", "provider", F.col("rates.model_key").alias("model_key"))
 
 
 @query("P03_price_choose_dataset", "SELECT DISTINCT model, CASE WHEN model LIKE '%gamma%' THEN 'd2' ELSE 'd1' END AS dataset FROM named WHERE model <> 'm-unpriced'")
 def choose_dataset(spark, d):
-    out = U.resolved(spark, U.named(spark, d)).where("rates IS NOT NULL").select("model", F.col("rates.model_key").alias("model_key"))
+    out = U.resolved(spark, d).where("rates IS NOT NULL").select("model", F.col("rates.model_key").alias("model_key"))
     return out.join(U.price_dim(spark).select("dataset", "model_key"), "model_key").select("model", "dataset").distinct()
 
 
@@ -184,7 +184,7 @@ _MANY = {"input": "input_tokens * 8", "output": "output_tokens * 100", "cache_re
 def tiered(spark, d):
     """Counts high enough to pass every tier."""
     named = U.named(spark, d)
-    rows = P.join_prices(named, U.resolved(spark, named)).where("rates IS NOT NULL")
+    rows = P.join_prices(named, U.resolved(spark, d)).where("rates IS NOT NULL")
     return rows.select("event_key", *(P.as_double(P._part(F.expr(n), "rates", k, True)).alias(f"{k}_usd") for k, n in _MANY.items()))
 
 
