@@ -16,7 +16,8 @@ differ. That gives an exact join, nothing is missed:
 Bands overlap so that both sets of any similar pair are in one of them; a set is in one or two. Equal sets are one node.
 Every node first meets the least node of each slice it shares; then, in slices that still hold different components, nodes
 of different ones meet in pairs of blocks, with their sketches alone; blocks are bounded by rows and bytes. Full sets follow
-for pairs that the sketches allow, as a stream, one pair in memory at a time. Nothing is capped.
+for pairs that the sketches allow, as a stream, one pair in memory at a time. A block where very many are allowed doesn't put
+out pairs: its nodes get their sets, and only links come out. Nothing is capped.
 
 Defined cases: a null text has no words; a text without words has an empty set and is linked with nothing, its component is
 its own id; with fewer than `size` words the whole sequence is one shingle; rows that repeat share a set; null ids are
@@ -39,8 +40,8 @@ from .near_dedup import _common, full_sets, set_keys, shingles
 
 WIDTH = 1 << 16  # bits of a slice
 ROWS = 512  # nodes of a block, about
-BYTES = 8 << 20  # of a block's sketches, about
-WORK = 1 << 24  # comparisons of small blocks at once, about
+BYTES = 8 << 20  # of a block's sets, about
+DENSE = 4  # pairs for each row of a block up to which they are put out
 LEAST_BITS = 512  # of a folded sketch
 SPARE = 16  # one slice in so many more than the pigeonhole needs, so that weak ones can be left out
 
@@ -151,47 +152,91 @@ def _batches_of_sets(docs: DataFrame, size: int, percent: int, kind: str) -> Dat
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int, work: int) -> Iterator[tuple[list, ...]]:
+    """Columns of whole blocks (column 0, in order), several small ones at once: up to about so many rows, or comparisons."""
+    held: list[list] = []
+    begin = longest = 0  # begin: of the last block in held
+    for batch in batches:
+        held = held or [[] for _ in batch.columns]
+        for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held[0] and values[0] != held[0][-1]:
+                longest, begin = max(longest, len(held[0]) - begin), len(held[0])
+                if begin >= rows or longest * begin > work:
+                    yield tuple(held)
+                    held, begin, longest = [[] for _ in values], 0, 0
+            for column, value in zip(held, values, strict=True):
+                column.append(value)
+    if held and held[0]:
+        yield tuple(held)
+
+
 def _met(percent: int):
-    """Pairs of nodes of different components that a block's sizes and sketches allow. Rows come block by block.
+    """What a block's sizes and sketches allow among nodes of different components. Rows are (block, node, side, root, n, sketch).
 
-    Rows are (block, node, side, root, n, sketch); in a block of side 0 all nodes meet, else those of side 1 those of side 2.
-    Small blocks are compared many at once: each row with the one a step behind it, for every step.
+    In a block of side 0 all nodes meet, else those of side 1 those of side 2. A block with few such pairs puts out the pairs
+    (u, v), one where most nodes are alike puts out its nodes that have any (block, u), and never the pairs. Small blocks are
+    compared many at once: each row with the one a step behind it, for every step.
     """
 
     def compared(block, node, side, root, n, sketch) -> pa.RecordBatch:
-        block, node, side, root, n = (np.array(x) for x in (block, node, side, root, n))
-        bits = short(sketch)
-        edge = np.flatnonzero(block[1:] != block[:-1]) + 1
-        longest = int(np.diff(np.concatenate([[0], edge, [len(block)]])).max(initial=0))
-        found = []
+        number = np.unique(np.array(block), return_inverse=True)[1]
+        name, node, side, root, n = block, np.array(node), np.array(side), np.array(root), np.array(n)
+        bits, of = short(sketch), np.bincount(number)
+        longest, dense = int(of.max()), np.zeros(len(of), bool)
+        pairs, some, held = np.zeros(len(of), np.int64), np.zeros(len(node), bool), []
         for step in range(1, longest):
-            i = np.flatnonzero((block[step:] == block[:-step]) & (root[step:] != root[:-step]))
+            i = np.flatnonzero((number[step:] == number[:-step]) & (root[step:] != root[:-step]))
             j = i + step
             most = (n[i] + n[j]) * (100 - percent) // (100 + percent)
             ok = ((side[i] == 0) | (side[i] != side[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
             i, j, most = i[ok], j[ok], most[ok]
             ok = np.bitwise_count(bits[i] ^ bits[j]).sum(1) <= most
-            found += [(i, j) for i, j, m in zip(i[ok].tolist(), j[ok].tolist(), most[ok].tolist(), strict=True) if distance(sketch[i], sketch[j]) <= m]
-        pairs = np.unique(np.sort(node[np.array(found, np.int64).reshape(-1, 2)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+            i, j, most = i[ok], j[ok], most[ok]
+            some[i] = some[j] = True
+            pairs += np.bincount(number[i], minlength=len(of))
+            dense = pairs > DENSE * of
+            few = ~dense[number[i]]
+            held.append(np.stack([i[few], j[few], most[few]]))
+        i, j, most = np.concatenate(held, 1) if held else np.zeros((3, 0), np.int64)
+        few = [(a, b) for a, b, m in zip(i.tolist(), j.tolist(), most.tolist(), strict=True) if not dense[number[a]] and distance(sketch[a], sketch[b]) <= m]
+        two = np.unique(np.sort(node[np.array(few, np.int64).reshape(-1, 2)], axis=1), axis=0)
+        many = np.flatnonzero(some & dense[number]).tolist()
+        columns = [[None] * len(two) + [name[k] for k in many], two[:, 0].tolist() + node[many].tolist(), two[:, 1].tolist() + [None] * len(many)]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["block", "u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, begin, longest = [[] for _ in range(6)], 0, 0  # begin: of the last block in rows
-        for batch in batches:
-            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if rows[0] and values[0] != rows[0][-1]:
-                    longest, begin = max(longest, len(rows[0]) - begin), len(rows[0])
-                    if longest * begin > WORK:
-                        yield compared(*rows)
-                        rows, begin, longest = [[] for _ in range(6)], 0, 0
-                for column, value in zip(rows, values, strict=True):
-                    column.append(value)
-        if rows[0]:
+        for rows in _blocks(batches, 1 << 13, 1 << 22):
             yield compared(*rows)
 
     return run
 
 
+def _linked_in_blocks(percent: int):
+    """Links within blocks where most nodes are alike, on full sets. Rows are (block, node, side, root, n, sketch, members).
+
+    What a link has joined needs no second one, so few sets are compared and few links come out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, node, side, root, n, sketch, members in _blocks(batches, 1, 1):
+            bits, sets = short(sketch), [np.frombuffer(x, np.uint64) for x in members]
+            side, n, found = np.array(side), np.array(n), []
+            code = np.unique(np.array(root), return_inverse=True)[1]
+            right = np.flatnonzero(side != 1)
+            for i in np.flatnonzero(side != 2).tolist():
+                j = right[(code[right] != code[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+                most = (n[i] + n[j]) * (100 - percent) // (100 + percent)
+                ok = np.bitwise_count(bits[i] ^ bits[j]).sum(1) <= most
+                for k, m in zip(j[ok].tolist(), most[ok].tolist(), strict=True):
+                    if code[i] != code[k] and distance(sketch[i], sketch[k]) <= m and 100 * (both := _common(sets[i], sets[k])) >= percent * (n[i] + n[k] - both):
+                        found.append((node[i], node[k]))
+                        code[code == code[k]] = code[i]
+            columns = list(zip(*found, strict=True)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["u", "v"])
+
+    return run
+
+
 def _confirmed(percent: int):
     """Of pairs those whose full sets are similar enough. Rows (u, part, node, n, members) come hub by hub, the hub's own set first."""
 
@@ -250,14 +295,19 @@ def linked(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     rooted = durable(wanted.select("node", "n", "sketch").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")))
     member = inside.join(rooted.select("node", "root", "n"), "node")
     mixed = member.groupBy("slice").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("many"), F.max("n").alias("most")).where("r0 <> r1")
-    bytes_of = F.col("many") * F.col("most") / 4  # a sketch has at most so many for each member
-    mixed = durable(mixed.select("slice", "many", F.greatest(F.lit(1), F.ceil(F.col("many") / ROWS), F.ceil(bytes_of / BYTES)).cast("long").alias("parts")))
+    mixed = durable(mixed.select("slice", "many", F.greatest(F.lit(1), F.ceil(F.col("many") / ROWS), F.ceil(F.col("many") * F.col("most") * 8 / BYTES)).cast("long").alias("parts")))
     todo = join_groups(inside, mixed, ["slice"], "many").withColumn("part", F.pmod(F.xxhash64("node", "slice"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2)
     block = F.concat_ws(",", F.col("slice").cast("string"), F.least("part", "other").cast("string"), F.greatest("part", "other").cast("string"))
     todo = todo.select(block.alias("block"), "node", side.alias("side")).join(rooted, "node").select("block", "node", "side", "root", "n", "sketch")
-    met = map_batches(todo.repartition("block").sortWithinPartitions("block"), _met(percent), "u long, v long").distinct()
-    more = durable(confirmed(met, wanted, sets, percent))
+    met = durable(map_batches(todo.repartition("block").sortWithinPartitions("block"), _met(percent), "block string, u long, v long"))
+    more = confirmed(met.where("block IS NULL").select("u", "v").distinct(), wanted, sets, percent)
+    alike = met.where("block IS NOT NULL").select("block", F.col("u").alias("node"))
+    if not alike.isEmpty():
+        alike = todo.join(alike, ["block", "node"]).join(wanted.select("node", "key"), "node").join(sets.select("key", "members"), "key")
+        alike = alike.select("block", "node", "side", "root", "n", "sketch", "members").repartition("block").sortWithinPartitions("block")
+        more = more.unionByName(map_batches(alike, _linked_in_blocks(percent), "u long, v long"))
+    more = durable(more)
     if not more.isEmpty():
         found = durable(components(more.unionByName(found.select(F.col("node").alias("u"), F.col("root").alias("v")))))
     roots = nodes.select("key", "node").join(found, "node", "left").select("key", F.coalesce("root", "node").alias("root"))

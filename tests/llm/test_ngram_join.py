@@ -36,6 +36,23 @@ def test_a_hub_and_a_common_passage(spark, monkeypatch):
     assert Counter(tuple(r) for r in J.ngram_join(df).collect()) == want(df.collect(), 4, 85)
 
 
+@pytest.mark.parametrize("dense", [0, 1])
+def test_blocks_of_alike_nodes(spark, monkeypatch, dense):
+    """Very many near copies about the threshold: pairs are not put out, or for some blocks only."""
+    monkeypatch.setattr(J, "ROWS", 24)
+    monkeypatch.setattr(J, "DENSE", dense)
+    rnd = random.Random(6)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(70)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for _ in range(rnd.randint(0, 2)):
+            words[rnd.randrange(70)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(tuple(r) for r in J.ngram_join(df).collect()) == want(df.collect(), 4, 85)
+
+
 def test_odd_rows(odd):
     assert Counter(tuple(r) for r in J.ngram_join(odd).collect()) == want(odd.collect(), 4, 85)
 
