@@ -556,18 +556,22 @@ def read_store(spark, d):
     return readers.read_message_store(messages, sessions).select("event_key", "project_path", "input_tokens")
 
 
-@query("S08_read_turn_stream", "SELECT session_id, count(*) AS n, CAST(sum(cache_read_tokens) AS BIGINT) AS cache_read_tokens FROM usage_raw GROUP BY 1")
+_NET = "CAST(sum(greatest(input_tokens - least(cache_read_tokens, input_tokens), 0)) AS BIGINT)"
+
+
+@query("S08_read_turn_stream", f"SELECT session_id, model, count(*) AS n, {_NET} AS input_tokens, CAST(sum(cache_read_tokens) AS BIGINT) AS cache_read_tokens, CAST(sum(reasoning_output_tokens) AS BIGINT) AS reasoning_output_tokens FROM named GROUP BY 1, 2")
 def read_turns(spark, d):
-    tokens = "named_struct('input', input_tokens, 'output', output_tokens, 'cached', cache_read_tokens, 'thoughts', reasoning_output_tokens)"
-    raw = U.usage_raw(spark, d)
-    turns = raw.selectExpr("CAST(user_id AS STRING) AS file", "session_id", "event_id AS ord", f"to_json(named_struct('type', 'gemini', 'id', event_key, 'model', raw_model, 'timestamp', {_TS}, 'tokens', {tokens})) AS value")
-    order = F.struct("session_id", "ord")
+    """A file for each user: turns, and for every fifth event statistics, by model or flat, under either spelling of the session."""
     from pyspark.sql import Window
 
-    place = F.row_number().over(Window.partitionBy("file").orderBy(order)) * 2
-    start = F.lag("session_id").over(Window.partitionBy("file").orderBy(order))
-    turns = turns.withColumn("place", place).withColumn("new", ~F.col("session_id").eqNullSafe(start))
-    init = turns.where("new").select("file", (F.col("place") - 1).alias("place"), F.to_json(F.struct(F.lit("init").alias("type"), "session_id")).alias("value"))
-    lines = turns.select("file", "place", "value").unionByName(init).select(F.col("file").alias("session_id"), F.col("place").cast("long").alias("ord"), "value")
-    out = readers.read_turn_stream(spark, [_round_trip(spark, lines, "turns")], LANDED)
-    return out.groupBy("session_id").agg(F.count("*").alias("n"), F.sum("cache_read_tokens").alias("cache_read_tokens"))
+    raw = U.usage_raw(spark, d).withColumn("file", F.col("user_id").cast("string")).withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy("session_id", "event_id")))
+    raw = raw.withColumn("new", ~F.col("session_id").eqNullSafe(F.lag("session_id").over(Window.partitionBy("user_id").orderBy("session_id", "event_id"))))
+    turn = "named_struct('type', 'gemini', 'id', event_key, 'model', raw_model, 'timestamp', {ts}, 'tokens', named_struct('input', input_tokens, 'output', output_tokens, 'cached', cache_read_tokens, 'thoughts', reasoning_output_tokens))".format(ts=_TS)
+    flat = "named_struct('prompt_tokens', input_tokens, 'output_tokens', output_tokens, 'cached_tokens', cache_read_tokens, 'thoughts_tokens', reasoning_output_tokens)"
+    each = "named_struct('models', map(raw_model, named_struct('tokens', named_struct('input', input_tokens, 'candidates', output_tokens, 'cached', cache_read_tokens, 'reasoning', reasoning_output_tokens)), 'idle', NULL))"
+    value = f"CASE WHEN event_id % 5 > 0 THEN to_json({turn}) WHEN event_id % 10 = 0 THEN to_json(named_struct('type', 'result', 'result', named_struct('stats', {each}))) ELSE to_json(named_struct('stats', {flat})) END"
+    lines = raw.selectExpr("file AS session_id", "place * 2 AS ord", f"{value} AS value")
+    begin = "CASE WHEN user_id % 2 = 0 THEN to_json(named_struct('type', 'init', 'session_id', CASE WHEN new THEN session_id END, 'model', raw_model)) ELSE to_json(named_struct('type', 'init', 'sessionId', CASE WHEN new THEN session_id END, 'model', raw_model)) END"
+    init = raw.where("new OR event_id % 5 = 0").selectExpr("file AS session_id", "place * 2 - 1 AS ord", f"{begin} AS value")
+    out = readers.read_turn_stream(spark, [_round_trip(spark, lines.unionByName(init), "turns")], LANDED)
+    return out.groupBy("session_id", "model").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("input_tokens", "cache_read_tokens", "reasoning_output_tokens")))

@@ -21,8 +21,10 @@ MESSAGE = f"struct<{MESSAGE_FIELDS}>"
 
 TURN_TOKENS = f"struct<input:{_N},output:{_N},cached:{_N},thoughts:{_N},tool:{_N},total:{_N}>"
 DOCUMENT = f"sessionId string, messages array<struct<id:string,type:string,timestamp:string,model:string,tokens:{TURN_TOKENS}>>"
-STATS = f"model string, timestamp string, session_id string, stats struct<models:map<string,struct<tokens:struct<prompt:{_N},input:{_N},candidates:{_N},output:{_N},cached:{_N},thoughts:{_N}>>>,input_tokens:{_N},output_tokens:{_N},cached_tokens:{_N}>"
-TURN = f"type string, id string, model string, session_id string, timestamp string, tokens {TURN_TOKENS}"
+_STAT = f"struct<prompt:{_N},input:{_N},input_tokens:{_N},candidates:{_N},output:{_N},output_tokens:{_N},cached:{_N},cached_tokens:{_N},thoughts:{_N},reasoning:{_N}>"
+STATS_FIELDS = f"struct<models:map<string,struct<tokens:{_STAT}>>,input_tokens:{_N},prompt_tokens:{_N},output_tokens:{_N},candidates_tokens:{_N},cached_tokens:{_N},thoughts_tokens:{_N},reasoning_tokens:{_N}>"
+STATS = f"model string, timestamp string, session_id string, sessionId string, stats {STATS_FIELDS}"
+TURN = f"type string, id string, model string, session_id string, sessionId string, timestamp string, tokens {TURN_TOKENS}, stats {STATS_FIELDS}, result struct<stats:{STATS_FIELDS}>"
 AGENT = f"type string, customType string, modelId string, provider string, timestamp string, data struct<modelId:string,provider:string>, message struct<role:string,model:string,provider:string,timestamp:{_N},usage:struct<input:{_N},output:{_N},cacheRead:{_N},cacheWrite:{_N},cost:struct<total:double>>>"
 #: Our names of the rates, and the price table's.
 RATE_NAMES = {"input": "input_cost_per_token", "output": "output_cost_per_token", "cache_read": "cache_read_input_token_cost", "cache_write": "cache_creation_input_token_cost"}
@@ -152,26 +154,49 @@ def _turns(rows: DataFrame, m: str) -> DataFrame:
     return rows.select("session_id", F.coalesce(S.event_instant(f"{m}.timestamp"), "modified").alias("event_time"), S.normalise_model(f"{m}.model").alias("model"), (i + t("tool")).alias("input_tokens"), t("output").alias("output_tokens"), F.lit(0).cast("long").alias("cache_creation_tokens"), read.alias("cache_read_tokens"), t("thoughts").alias("reasoning_output_tokens"))
 
 
+def _statistics(rows: DataFrame) -> DataFrame:
+    """Usage of statistics (session_id, event_time, model as a hint, stats): by model; only where no model has tokens, the flat counters."""
+    some = lambda v, *names: S.positive_int(F.coalesce(*(v[n] for n in names)))
+    tokens = lambda v: {"i": some(v, "prompt", "input", "input_tokens"), "o": some(v, "candidates", "output", "output_tokens"), "c": some(v, "cached", "cached_tokens"), "r": some(v, "thoughts", "reasoning")}
+    counted = F.transform(F.map_entries("stats.models"), lambda e: F.struct(e["key"].alias("model"), *(x.alias(k) for k, x in tokens(e["value"]["tokens"]).items())))
+    live = F.coalesce(F.filter(counted, lambda x: x["i"] + x["o"] + x["c"] + x["r"] > 0), F.array().cast("array<struct<model:string,i:bigint,o:bigint,c:bigint,r:bigint>>"))
+    stats = F.col("stats")
+    flat = {"i": some(stats, "input_tokens", "prompt_tokens"), "o": some(stats, "output_tokens", "candidates_tokens"), "c": some(stats, "cached_tokens"), "r": some(stats, "thoughts_tokens", "reasoning_tokens")}
+    alone = F.struct(F.coalesce("model", F.lit("unknown")).alias("model"), *(x.alias(k) for k, x in flat.items()))
+    rows = rows.withColumn("live", live)
+    found = rows.withColumn("x", F.explode(F.when(F.size("live") > 0, F.col("live")).otherwise(F.array(alone)))).where("x.i + x.o + x.c + x.r > 0")
+    return found.select("session_id", "event_time", S.normalise_model("x.model").alias("model"), (F.col("x.i") - F.least("x.c", "x.i")).alias("input_tokens"), F.col("x.o").alias("output_tokens"), F.lit(0).cast("long").alias("cache_creation_tokens"), F.col("x.c").alias("cache_read_tokens"), F.col("x.r").alias("reasoning_output_tokens"))
+
+
 def read_stats_document(rows: DataFrame) -> DataFrame:
     """Per-model statistics (value: JSON text); only where no model has tokens, the flat counters with the model hint."""
     rows = rows.select(F.from_json("value", STATS).alias("j")).where("j.stats IS NOT NULL")
-    live = F.map_filter(F.coalesce("j.stats.models", F.create_map().cast("map<string,struct<tokens:struct<prompt:bigint,input:bigint,candidates:bigint,output:bigint,cached:bigint,thoughts:bigint>>>")), lambda k, v: F.coalesce(v["tokens"]["prompt"], v["tokens"]["input"], F.lit(0)) + F.coalesce(v["tokens"]["candidates"], v["tokens"]["output"], F.lit(0)) + F.coalesce(v["tokens"]["cached"], F.lit(0)) + F.coalesce(v["tokens"]["thoughts"], F.lit(0)) > 0)
-    rows = rows.withColumn("live", live)
-    z = F.lit(0).cast("long")
-    each = rows.select("j", F.explode("live").alias("model", "v")).select("j", "model", F.coalesce("v.tokens.prompt", "v.tokens.input", z).alias("i"), F.coalesce("v.tokens.candidates", "v.tokens.output", z).alias("o"), F.coalesce("v.tokens.cached", z).alias("c"), F.coalesce("v.tokens.thoughts", z).alias("r"))
-    flat = rows.where("size(live) = 0").select("j", F.coalesce("j.model", F.lit("unknown")).alias("model"), F.coalesce("j.stats.input_tokens", z).alias("i"), F.coalesce("j.stats.output_tokens", z).alias("o"), F.coalesce("j.stats.cached_tokens", z).alias("c"), z.alias("r")).where("i + o + c > 0")
-    both = each.unionByName(flat)
-    return both.select(F.col("j.session_id").alias("session_id"), S.event_instant("j.timestamp").alias("event_time"), S.normalise_model("model").alias("model"), (F.col("i") - F.least("c", "i")).alias("input_tokens"), F.col("o").alias("output_tokens"), z.alias("cache_creation_tokens"), F.col("c").alias("cache_read_tokens"), F.col("r").alias("reasoning_output_tokens"))
+    return _statistics(rows.select(F.coalesce("j.session_id", "j.sessionId").alias("session_id"), S.event_instant("j.timestamp").alias("event_time"), F.col("j.model").alias("model"), F.col("j.stats").alias("stats")))
+
+
+def read_stats_files(spark: SparkSession, roots: list[str], glob: str = "*.json") -> DataFrame:
+    """Documents of statistics, one each file."""
+    return read_stats_document(_whole_files(spark, roots, glob).select("value"))
 
 
 def read_turn_stream(spark: SparkSession, roots: list[str], glob: str = "*.jsonl") -> DataFrame:
-    """Turn lines under the session that the last init line set; a repeated turn id keeps its last version."""
-    rows = parsed(scan_session_lines(spark, roots, glob), TURN).where("j.type IS NOT NULL")
-    rows = carry_forward(rows.withColumn("session_id", F.col("j.session_id")), ["session_id"], "file_path", ["line_no"])
-    rows = rows.where("j.type = 'gemini' AND trim(j.model) <> '' AND j.tokens IS NOT NULL").withColumn("turn", F.col("j.id"))
+    """Turns and statistics of files that mix them.
+
+    A line belongs to the session that it or the last line before it names, else to the file's stem; a repeated turn id keeps
+    its last version. Statistics (`stats` or `result.stats`) without models are those of the last model that was named.
+    """
+    rows = parsed(scan_session_lines(spark, roots, glob), TURN).where("j IS NOT NULL")
+    named = F.col("j.type").isin("init", "gemini")
+    rows = rows.withColumn("session_id", F.coalesce("j.session_id", "j.sessionId")).withColumn("hint", F.when(named, F.col("j.model")))
+    rows = carry_forward(rows, ["session_id", "hint"], "file_path", ["line_no"])
+    stem = F.regexp_replace(F.element_at(F.split("file_path", "/"), -1), r"(?<=.)\.[^.]*$", "")
+    rows = rows.withColumn("session_id", F.coalesce("session_id", F.url_decode(stem)))
+    turns = rows.where("j.type = 'gemini' AND trim(j.model) <> '' AND j.tokens IS NOT NULL").withColumn("turn", F.col("j.id"))
     place = F.row_number().over(Window.partitionBy("file_path", "turn").orderBy(F.desc("line_no")))
-    rows = rows.withColumn("p", F.when(F.col("turn").isNull(), 1).otherwise(place)).where("p = 1")
-    return _turns(rows, "j")
+    turns = turns.withColumn("p", F.when(F.col("turn").isNull(), 1).otherwise(place)).where("p = 1")
+    stats = rows.where("j.type IS NULL OR j.type NOT IN ('init', 'gemini')").withColumn("stats", F.coalesce("j.stats", "j.result.stats")).where("stats IS NOT NULL")
+    stats = stats.select("session_id", F.coalesce(S.event_instant("j.timestamp"), "modified").alias("event_time"), F.col("hint").alias("model"), "stats")
+    return _turns(turns, "j").unionByName(_statistics(stats))
 
 
 def read_agent_transcript(spark: SparkSession, roots: list[str], glob: str = "*.jsonl*") -> DataFrame:
