@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EVENT_KEYS = ["device", "source", "event_key"]
@@ -52,11 +52,24 @@ def lock_past_prices(daily: DataFrame, today: date, now: Column) -> DataFrame:
     return daily.withColumn("pricing_locked_at", F.when(F.col("usage_date") < F.lit(today), F.coalesce("pricing_locked_at", now)).otherwise(F.col("pricing_locked_at")))
 
 
-def run_log(batch: DataFrame, ident: Column, now: Column) -> DataFrame:
-    """One status row for each device and source of a batch: ok with its counts, or empty."""
+def run_log(batch: DataFrame, ident: Column, now: Column, sources: DataFrame | None = None, error: str | None = None) -> DataFrame:
+    """One status row for each device and source: ok with its counts, empty where the batch has none of its rows, or error with the message.
+
+    sources: every device and source that is collected; without it those of the batch, and none can be empty.
+    """
     counts = batch.groupBy("device", "source").agg(F.count("*").alias("n"), F.count_distinct("usage_date").alias("days"))
+    if sources is not None:
+        counts = sources.select("device", "source").distinct().join(counts, ["device", "source"], "left").fillna(0, ["n", "days"])
     message = F.concat(F.col("n").cast("string"), F.lit(" events, "), F.col("days").cast("string"), F.lit(" days"))
-    return counts.select(ident.alias("id"), "device", "source", F.when(F.col("n") > 0, "ok").otherwise("empty").alias("status"), message.alias("message"), now.alias("collected_at"))
+    status = F.when(F.col("n") > 0, "ok").otherwise("empty")
+    if error is not None:
+        status, message = F.lit("error"), F.lit(error)
+    return counts.select(ident.alias("id"), "device", "source", status.alias("status"), message.alias("message"), now.alias("collected_at"))
+
+
+def append_runs(runs: DataFrame, path: str) -> None:
+    """Run rows of one collection, one of each source, added to the log."""
+    runs.coalesce(1).write.mode("append").parquet(path)
 
 
 def retain_newest(runs: DataFrame, n: int = 500, by: str | None = None) -> DataFrame:
@@ -68,12 +81,12 @@ def retain_newest(runs: DataFrame, n: int = 500, by: str | None = None) -> DataF
 
 
 def backfill_daily_cost(daily: DataFrame, event_sums: DataFrame, flat: Column) -> DataFrame:
-    """Cost for daily rows that have tokens and none: the events' cost where their tokens agree, else the flat price."""
-    both = daily.join(event_sums, DAILY_KEYS, "left")
+    """Cost for daily rows that have tokens and none: the events' cost where their tokens agree, else the flat price (of any columns of daily)."""
+    both = daily.join(event_sums, DAILY_KEYS, "left").withColumn("_flat", flat)
     agree = (F.col("event_tokens") == F.col("total_tokens")) & (F.col("event_cost") > 0)
-    found = F.when(agree, F.col("event_cost")).otherwise(flat)
+    found = F.when(agree, F.col("event_cost")).otherwise(F.col("_flat"))
     missing = (F.col("total_tokens") > 0) & (F.col("cost") == 0)
-    return both.withColumn("cost", F.when(missing & (found > 0), found).otherwise(F.col("cost"))).drop("n", "event_tokens", "event_cost")
+    return both.withColumn("cost", F.when(missing & (found > 0), found).otherwise(F.col("cost"))).select(*daily.columns)
 
 
 def audit(tables: dict[str, DataFrame]) -> DataFrame:
@@ -87,11 +100,51 @@ def audit(tables: dict[str, DataFrame]) -> DataFrame:
 
 def reconcile(source: dict[str, DataFrame], target: dict[str, DataFrame]) -> DataFrame:
     """Row counts of a copy against its source; ok where none are missing."""
-    out = None
-    for name in source:
-        row = source[name].agg(F.count("*").alias("source_rows")).crossJoin(target[name].agg(F.count("*").alias("target_rows"))).withColumn("name", F.lit(name))
-        out = row if out is None else out.unionByName(row)
-    return out.withColumn("ok", F.col("target_rows") >= F.col("source_rows"))
+    counts = lambda tables, side: [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), F.lit(side).alias("side"), "n") for name, t in tables.items()]
+    rows = None
+    for one in [*counts(source, "source"), *counts({n: target[n] for n in source}, "target")]:
+        rows = one if rows is None else rows.unionByName(one)
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("n"))).alias(f"{side}_rows")
+    return rows.groupBy("name").agg(of("source"), of("target")).withColumn("ok", F.col("target_rows") >= F.col("source_rows"))
+
+
+FACT_TABLES = {"daily": DAILY_KEYS, "time": EVENT_KEYS, "sessions": SESSION_KEYS}
+
+
+def verified_copy(spark: SparkSession, source: str, target: str, keep_runs: int = 500) -> DataFrame:
+    """Copies stored tables (one folder each: daily, time, sessions, runs) into a store: facts are upserted, the run log goes into an empty one only.
+
+    A table that comes out with fewer rows than its source fails the job, before the new version becomes the store. Returns the
+    counts and what was done with the run log. Each copy is a new version; readers take the newest one that has its mark.
+    """
+    versions = stored_versions(spark, target)
+    number, before = (versions[-1] + 1 if versions else 0), (f"{target}/v={versions[-1]}" if versions else None)
+    root, merged = f"{target}/v={number}", {}
+    rows = {name: spark.read.parquet(f"{source}/{name}") for name in FACT_TABLES}
+    for name, keys in FACT_TABLES.items():
+        new = rows[name] if before is None else merge_replace(spark.read.parquet(f"{before}/{name}"), rows[name], keys)
+        new.write.mode("overwrite").parquet(f"{root}/{name}")
+        merged[name] = spark.read.parquet(f"{root}/{name}")
+    counts = reconcile(rows, merged)
+    short = counts.where("NOT ok").collect()  # a row for each of three tables
+    if short:
+        raise ValueError("rows are missing: " + ", ".join(f"{r.name} {r.target_rows} of {r.source_rows}" for r in sorted(short, key=lambda r: r["name"])))
+    had = None if before is None else spark.read.parquet(f"{before}/runs")
+    copied = had is None or had.isEmpty()
+    runs = retain_newest(spark.read.parquet(f"{source}/runs"), keep_runs) if copied else had
+    runs.write.mode("overwrite").parquet(f"{root}/runs")
+    spark.range(1).select(F.lit(number).alias("version")).coalesce(1).write.mode("overwrite").parquet(f"{root}/_done")
+    return counts.withColumn("runs", F.lit("copied" if copied else "kept"))
+
+
+def stored_versions(spark: SparkSession, root: str) -> list[int]:
+    """The numbers of the versions of a store that were written to their end."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path(root)):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(path(root))]
+    return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(path(f"{root}/{n}/_done/_SUCCESS")))
 
 
 def export_csv(rows: DataFrame, path: str) -> None:

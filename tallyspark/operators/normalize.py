@@ -92,7 +92,13 @@ def filter_new_days(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:
     return rows.join(cutoffs, ["device", "source"], "left").where("cutoff IS NULL OR usage_date >= CAST(cutoff AS DATE)").drop("cutoff")
 
 
-def needs_rebuild(batch: DataFrame, watermarks: DataFrame) -> DataFrame:
-    """For each device and source of a batch whether it takes the full path: no watermark, or no events at all."""
+def needs_rebuild(batch: DataFrame, watermarks: DataFrame, full: bool = False, sources: DataFrame | None = None) -> DataFrame:
+    """For each device and source whether it takes the full path: by the flag, without a watermark, or without any events.
+
+    sources: every device and source that is collected; those that are not in the batch have no events. Without it, those of the batch.
+    """
     seen = batch.groupBy("device", "source").agg(F.count("event_time").alias("events"))
-    return seen.join(watermarks, ["device", "source"], "left").select("device", "source", (F.col("watermark").isNull() | (F.col("events") == 0)).alias("full"))
+    if sources is not None:
+        seen = sources.select("device", "source").distinct().join(seen, ["device", "source"], "left")
+    whole = F.col("watermark").isNull() | (F.coalesce("events", F.lit(0)) == 0) | F.lit(full)
+    return seen.join(watermarks, ["device", "source"], "left").select("device", "source", whole.alias("full"))

@@ -319,25 +319,41 @@ def skip_replayed(spark, d):
     return D.counter_increments(_cumulative(spark, d).withColumn("replay", F.lit(True))).select("file_path", "line_no")
 
 
-def _doubled(spark: SparkSession, d: str) -> DataFrame:
-    named = U.named(spark, d)
-    return named.unionByName(named.where("event_id % 10 = 0").withColumn("session_id", F.concat(F.lit("zz-"), "session_id")))
+def _calls(spark: SparkSession, d: str) -> DataFrame:
+    """Coarse times and few counters, so that different events share them; every tenth event is copied to another file; a third have no time."""
+    rows = U.named(spark, d).withColumns({"event_time": F.when(F.col("event_id") % 3 != 0, F.date_trunc("day", "event_time")), "output_tokens": F.col("output_tokens") % 2, "file": F.col("user_id") % 5, "line": F.col("event_id")})
+    return rows.unionByName(rows.where("event_id % 10 = 0").withColumn("file", F.col("file") + 5))
+
 
+_CALL_ROWS = ", calls AS (SELECT event_key, event_id, model, user_id, project_path, CASE WHEN event_id % 3 <> 0 THEN date_trunc('day', event_time) END AS t, output_tokens % 2 AS o, user_id % 5 AS file FROM named), twice AS (SELECT * FROM calls UNION ALL SELECT * REPLACE (file + 5 AS file) FROM calls WHERE event_id % 10 = 0)"
 
-@query("D05_dedupe_events_global", "SELECT event_key, session_id FROM usage")
+
+@query("D05_dedupe_events_global", f"{_CALL_ROWS} SELECT event_key, file FROM twice WHERE t IS NULL UNION ALL SELECT * FROM (SELECT event_key, file FROM twice WHERE t IS NOT NULL QUALIFY row_number() OVER (PARTITION BY t, model, o ORDER BY file, event_id) = 1)")
 def dedupe_global(spark, d):
-    return D.dedupe_events_global(_doubled(spark, d), ["event_time", "model", "event_id", *S.COUNTERS], ["session_id", "event_id"]).select("event_key", "session_id")
+    """Different events share a day, model and counter, so most of them are dropped; events without a time all stay, copies too."""
+    return D.dedupe_events_global(_calls(spark, d), ["event_time", "model", "output_tokens"], ["file", "line"]).select("event_key", "file")
 
 
-@query("D06_dedupe_fingerprint_merge", "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN NULL ELSE session_id END AS session_id FROM usage_raw")
+@query(
+    "D06_dedupe_fingerprint_merge",
+    f"{_CALL_ROWS} SELECT t AS event_time, model, o AS output_tokens, user_id % 50 AS agent, arg_min(event_key, event_id) AS event_key, CASE WHEN count(DISTINCT CASE WHEN event_id % 4 > 0 THEN project_path END) = 1 THEN max(CASE WHEN event_id % 4 > 0 THEN project_path END) END AS project_path FROM twice GROUP BY 1, 2, 3, 4",
+)
 def dedupe_fingerprint(spark, d):
-    return D.dedupe_fingerprint_merge(_doubled(spark, d), ["event_id"], "event_time", "session_id").select("event_id", "session_id")
+    """Rows with one day, model, counter and agent merge: workspaces that are missing, agree or differ."""
+    rows = _calls(spark, d).withColumns({"agent": F.col("user_id") % 50, "project_path": F.when(F.col("event_id") % 4 > 0, F.col("project_path"))})
+    return D.dedupe_fingerprint_merge(rows, ["event_time", "model", "output_tokens", "agent"], "event_id", "project_path").select("event_time", "model", "output_tokens", "agent", "event_key", "project_path")
 
 
-@query("D07_dedupe_cross_store", "SELECT event_key, session_id FROM usage_raw")
+@query(
+    "D07_dedupe_cross_store",
+    f"{_CALL_ROWS}, keyed AS (SELECT *, CASE WHEN event_id % 7 > 1 THEN 'id ' || CAST(event_id % 400 AS VARCHAR) ELSE 'print ' || coalesce(CAST(t AS VARCHAR), '') || model || CAST(o AS VARCHAR) END AS k, CASE WHEN file >= 5 THEN 0 ELSE 1 END AS store FROM twice) SELECT event_key, store FROM keyed QUALIFY row_number() OVER (PARTITION BY k ORDER BY store, event_id) = 1",
+)
 def dedupe_cross_store(spark, d):
-    rows = _doubled(spark, d).withColumn("store", F.when(F.col("session_id").startswith("zz"), 1).otherwise(0))
-    return D.dedupe_cross_store(rows, F.coalesce("event_key", "session_id"), "store", "event_id").select("event_key", "session_id")
+    """Messages of two stores by their id, which several share, or by a fingerprint where they have none; the database comes before the files."""
+    rows = _calls(spark, d).withColumn("store", F.when(F.col("file") >= 5, 0).otherwise(1))
+    message = F.when(F.col("event_id") % 7 > 1, F.concat(F.lit("id "), (F.col("event_id") % 400).cast("string")))
+    print_ = F.concat(F.lit("print "), F.coalesce(F.date_format("event_time", "yyyy-MM-dd HH:mm:ss"), F.lit("")), "model", F.col("output_tokens").cast("string"))
+    return D.dedupe_cross_store(rows, F.coalesce(message, print_), "store", "event_id").select("event_key", "store")
 
 
 @query("D08_occurrence_suffix_keys", "SELECT event_id, CAST(user_id AS VARCHAR) || CASE WHEN row_number() OVER w > 1 THEN '#' || CAST(row_number() OVER w - 1 AS VARCHAR) ELSE '' END AS event_key FROM usage_raw WINDOW w AS (PARTITION BY device, source, user_id ORDER BY event_id)")
@@ -410,10 +426,20 @@ def new_days(spark, d):
     return D.filter_new_days(U.daily(spark, d), _cutoffs(spark, d)).select("device", "source", "usage_date", "model")
 
 
-@query("D19_incremental_or_full_plan", "SELECT DISTINCT device, source, source = 'view' AS \"full\" FROM usage")
+@query(
+    "D19_incremental_or_full_plan",
+    "SELECT DISTINCT flag, device, source, flag OR source IN ('view', 'purchase') AS \"full\" FROM usage, (VALUES (true), (false)) AS t(flag) WHERE source <> 'signup' "
+    "UNION ALL SELECT DISTINCT flag, device, source || '-idle', true FROM usage, (VALUES (true), (false)) AS t(flag) WHERE source = 'signup'",
+)
 def rebuild_plan(spark, d):
-    marks = D.source_watermark(U.usage_raw(spark, d).where("source <> 'view'"))
-    return D.needs_rebuild(U.usage_raw(spark, d), marks)
+    """With and without the flag: sources without a mark (view), with rows but no events (purchase), and not in the batch at all (signup)."""
+    rows = U.usage_raw(spark, d)
+    named = F.when(F.col("source") == "signup", F.lit("signup-idle")).otherwise(F.col("source"))
+    sources = rows.select("device", named.alias("source"))
+    marks = D.source_watermark(rows.where("source <> 'view'"))
+    batch = rows.where("source <> 'signup'").withColumn("event_time", F.when(F.col("source") != "purchase", F.col("event_time")))
+    out = [D.needs_rebuild(batch, marks, flag, sources).withColumn("flag", F.lit(flag)) for flag in (True, False)]
+    return out[0].unionByName(out[1])
 
 
 # --- merges -------------------------------------------------------------------------------------------------------------
@@ -478,11 +504,19 @@ def export_csv(spark, d):
     return spark.read.option("header", True).option("escape", '"').schema("event_key string, label string, total_tokens long").csv(path)
 
 
-@query("M09_backfill_daily_cost", f"SELECT device, source, usage_date, model, {dbl('cost')} AS cost_usd FROM daily")
+_PAID_FLAT = U.cost_sql("d.input_tokens", "(d.output_tokens + d.reasoning_output_tokens)", "d.cache_read_tokens", "d.cache_creation_tokens", tiered=False)
+
+
+@query(
+    "M09_backfill_daily_cost",
+    f"SELECT d.device, d.source, usage_date, d.model, {dbl('CASE WHEN d.source = ' + chr(39) + 'click' + chr(39) + ' THEN ' + _PAID_FLAT + ' ELSE cost END')} AS cost_usd FROM daily d LEFT JOIN rates r ON r.model = d.model AND r.provider IS NULL",
+)
 def backfill(spark, d):
+    """Two sources lost their cost: one gets its events' cost back, the other, whose events are not complete, the flat price."""
     u = U.usage(spark, d)
-    daily = R.rollup_daily(u).withColumn("cost", F.when(F.col("source") == "view", F.lit(0).cast("decimal(38,12)")).otherwise(F.col("cost")))
-    out = M.backfill_daily_cost(daily, R.event_sums_by_day(u), F.lit(0).cast("decimal(38,12)"))
+    daily = R.rollup_daily(u).withColumn("cost", F.when(F.col("source").isin("view", "click"), F.lit(0).cast("decimal(38,12)")).otherwise(F.col("cost")))
+    sums = R.event_sums_by_day(u).withColumn("event_tokens", F.when(F.col("source") == "click", F.col("event_tokens") - 1).otherwise(F.col("event_tokens")))
+    out = M.backfill_daily_cost(P.join_prices(daily, U.resolved(spark, d)), sums, P.cost(tiered=False))
     return out.select(*M.DAILY_KEYS, P.as_double(F.col("cost")).alias("cost_usd"))
 
 
@@ -492,6 +526,38 @@ def reconcile(spark, d):
     return M.reconcile({"events": e, "daily": x}, {"events": e, "daily": x.where("source <> 'view'")})
 
 
+_RUNS = "SELECT row_number() OVER (ORDER BY device, source) AS id, device, source FROM (SELECT DISTINCT device, source FROM usage)"
+
+
+def store(spark: SparkSession, d: str, root: str) -> None:
+    """The facts and a run log as a store: a folder for each table."""
+    u = U.usage(spark, d)
+    runs = u.groupBy("device", "source").agg(F.count("*").alias("n")).orderBy("device", "source").select(F.lit("ok").alias("status"), "device", "source", F.concat(F.lit("time="), F.col("n").cast("string"), F.lit("\nend")).alias("message"))
+    tables = {"daily": R.rollup_daily(u), "time": u.drop("usage_date"), "sessions": R.rollup_sessions(u), "runs": runs.withColumn("id", F.row_number().over(_by_source()))}
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{root}/{name}")
+
+
+def _by_source():
+    from pyspark.sql import Window
+
+    return Window.orderBy("device", "source")  # a row for each device and source
+
+
+@query(
+    "M10_verified_copy",
+    "SELECT step, name, n AS source_rows, n AS target_rows, true AS ok, CASE step WHEN 1 THEN 'copied' ELSE 'kept' END AS runs FROM (VALUES (1), (2)) AS t(step), (SELECT 'daily' AS name, count(*) AS n FROM daily UNION ALL SELECT 'time', count(*) FROM usage UNION ALL SELECT 'sessions', count(*) FROM (SELECT DISTINCT device, source, session_id FROM usage)) UNION ALL SELECT 3, 'runs in the store', least(count(*), 10), least(count(*), 10), true, 'kept' FROM (SELECT DISTINCT device, source FROM usage)",
+)
+def verified(spark, d):
+    """A store copied into an empty one, then once more: the facts again, the run log not."""
+    source, target = scratch(spark, "source"), scratch(spark, "target")
+    store(spark, d, source)
+    one = M.verified_copy(spark, source, target, keep_runs=10).withColumn("step", F.lit(1))
+    two = M.verified_copy(spark, source, target, keep_runs=99).withColumn("step", F.lit(2))
+    runs = spark.read.parquet(f"{target}/v=1/runs").agg(F.count("*").alias("source_rows"), F.count("*").alias("target_rows")).select(F.lit(3).alias("step"), F.lit("runs in the store").alias("name"), "*", F.lit(True).alias("ok"), F.lit("kept").alias("runs"))
+    return one.unionByName(two).unionByName(runs)
+
+
 @query("M11_audit_tables", f"SELECT 'time_usage' AS name, count(*) AS n, {_L('total_tokens')} AS total, {dbl('sum(cost)')} AS cost_usd FROM usage UNION ALL SELECT 'daily_usage', count(*), {_L('total_tokens')}, {dbl('sum(cost)')} FROM daily")
 def audit(spark, d):
     return M.audit({"time_usage": U.usage(spark, d), "daily_usage": U.daily(spark, d)})

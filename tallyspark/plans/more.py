@@ -13,8 +13,8 @@ from tallyspark.operators import rollup as R
 from tallyspark.operators import series as W
 from tallyspark.plans import adapter as U
 from tallyspark.plans.adapter import BASE, dbl
-from tallyspark.plans.events import _TS, LANDED, _round_trip, scratch
-from tallyspark.sources import readers
+from tallyspark.plans.events import _TS, LANDED, _round_trip, scratch, store
+from tallyspark.sources import collect, readers
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -71,15 +71,15 @@ def carry_forward(spark, d):
     return W.carry_forward(rows, ["model"], "user_id", ["event_id"]).select("event_id", "model")
 
 
-@query("S15_read_usage_tables", "SELECT 'daily' AS name, count(*) AS n, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, min(device || ':' || source || ':' || CAST(usage_date AS VARCHAR) || ':' || model) AS first_id FROM daily UNION ALL SELECT 'time', count(*), CAST(sum(total_tokens) AS BIGINT), min(device || ':' || source || ':' || event_key) FROM usage UNION ALL SELECT 'sessions', count(*), CAST(sum(t) AS BIGINT), min(id) FROM (SELECT device || ':' || source || ':' || session_id AS id, sum(total_tokens) AS t FROM usage GROUP BY 1)")
+@query("S15_read_usage_tables", "SELECT 'daily' AS name, count(*) AS n, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, min(device || ':' || source || ':' || CAST(usage_date AS VARCHAR) || ':' || model) AS first_id FROM daily UNION ALL SELECT 'time', count(*), CAST(sum(total_tokens) AS BIGINT), min(device || ':' || source || ':' || event_key) FROM usage UNION ALL SELECT 'sessions', count(*), CAST(sum(t) AS BIGINT), min(id) FROM (SELECT device || ':' || source || ':' || session_id AS id, sum(total_tokens) AS t FROM usage GROUP BY 1) UNION ALL SELECT 'runs', least(n, 7), NULL, min(m) FROM (SELECT count(*) OVER () AS n, 'time=' || CAST(count(*) AS VARCHAR) || ' end' AS m FROM usage GROUP BY device, source ORDER BY device DESC, source DESC LIMIT 7) GROUP BY n")
 def usage_tables(spark, d):
-    """The three fact tables written as a store, read back with the ids that its rows go by."""
-    root, facts = scratch(spark, "store"), U.usage(spark, d)
-    tables = {"daily": U.daily(spark, d), "time": facts.drop("usage_date"), "sessions": R.rollup_sessions(facts)}
-    for name, table in tables.items():
-        table.write.mode("overwrite").parquet(f"{root}/{name}")
-    read = readers.read_usage_tables(spark, root)
-    return readers.union_sources([t.agg(F.count("*").alias("n"), F.sum("total_tokens").alias("total_tokens"), F.min("row_id").alias("first_id")).select(F.lit(name).alias("name"), "*") for name, t in read.items()])
+    """The four tables of a store read back with the ids that their rows go by, of the run log the newest rows."""
+    root = scratch(spark, "store")
+    store(spark, d, root)
+    read = readers.read_usage_tables(spark, root, runs=7)
+    facts = [t.agg(F.count("*").alias("n"), F.sum("total_tokens").alias("total_tokens"), F.min("row_id").alias("first_id")).select(F.lit(name).alias("name"), "*") for name, t in read.items() if name != "runs"]
+    runs = read["runs"].agg(F.count("*").alias("n"), F.lit(None).cast("long").alias("total_tokens"), F.min("message").alias("first_id")).select(F.lit("runs").alias("name"), "*")
+    return readers.union_sources([*facts, runs])
 
 
 @query("S05_read_message_json", "SELECT event_key, input_tokens FROM usage_raw")
@@ -193,8 +193,8 @@ def registry(spark, d):
     """The registered assistant reader on files derived from the events."""
     use = "named_struct('input_tokens', input_tokens, 'output_tokens', output_tokens)"
     lines = U.usage_raw(spark, d).selectExpr("CAST(user_id AS STRING) AS session_id", "event_id AS ord", f"to_json(named_struct('type', 'assistant', 'message', named_struct('id', event_key, 'model', raw_model, 'usage', {use}))) AS value")
-    source = readers.REGISTRY["assistant"]
-    return source.read(spark, [_round_trip(spark, lines, "registry")], LANDED).select(F.col("message_id").alias("event_key"), "input_tokens")
+    out = collect.REGISTRY["assistant"].read(spark, [_round_trip(spark, lines, "registry")], LANDED)
+    return out.select(F.regexp_replace("event_key", "^message:", "").alias("event_key"), "input_tokens")
 
 
 @query("M01_merge_events_versions", "SELECT event_key, total_tokens FROM usage")

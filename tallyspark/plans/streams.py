@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import timedelta
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -314,8 +315,30 @@ def late_data(spark, d):
     return merged.unionByName(late).join(after, "event_key", "full_outer").select("event_key", "outcome", (F.coalesce("there_after_repair", F.lit(False)) & F.lit(left == 0)).alias("there_after_repair"))
 
 
-@query("T10_stream_run_log", "SELECT device, source, 'ok' AS status FROM usage GROUP BY 1, 2")
+@query(
+    "T10_stream_run_log",
+    f", registered AS (SELECT DISTINCT device, source FROM usage UNION SELECT DISTINCT device, 'idle' FROM usage), landed AS (SELECT device, source, {WAVE} AS wave, count(*) AS n, count(DISTINCT usage_date) AS days FROM usage GROUP BY 1, 2, 3) "
+    "SELECT t.wave AS batch, r.device, r.source, CASE WHEN n > 0 THEN 'ok' ELSE 'empty' END AS status, CAST(coalesce(n, 0) AS VARCHAR) || ' events, ' || CAST(coalesce(days, 0) AS VARCHAR) || ' days' AS message FROM registered r CROSS JOIN (VALUES (0), (1), (2)) AS t(wave) LEFT JOIN landed l ON l.device = r.device AND l.source = r.source AND l.wave = t.wave "
+    "UNION ALL SELECT 1, device, source, 'error', 'the store is away' FROM registered",
+)
 def stream_run_log(spark, d):
-    waves, out = _waves(_events(spark, d)), scratch(spark, "runs-out")
-    in_turn(waves, "runs", lambda path: jobs.stream_run_log(jobs.stream_log_lines(spark, path, waves[0].schema), out))
-    return spark.read.parquet(out).select("device", "source", "status").distinct()
+    """Three batches over all registered sources, one of which never has events; the second batch fails at first."""
+    rows = _events(spark, d)
+    waves, out, failures = _waves(rows), scratch(spark, "runs-out"), []
+    sources = checkpointed(rows.select("device", "source").distinct())
+    sources = sources.unionByName(sources.select("device", F.lit("idle").alias("source")).distinct())
+
+    def work(batch: DataFrame, number: int) -> None:
+        if number == 1 and not failures:
+            failures.append(number)
+            raise ValueError("the store is away")
+
+    path, mark = scratch(spark, "runs-landing"), scratch(spark, "runs-mark")
+    for wave in waves:
+        wave.write.mode("append").parquet(path)
+        start = lambda: jobs.run_available(jobs.stream_run_log(jobs.stream_log_lines(spark, path, rows.schema), out, sources, work), mark)
+        try:
+            start()
+        except StreamingQueryException:
+            start()
+    return spark.read.parquet(out).select(F.col("batch").cast("int").alias("batch"), "device", "source", "status", "message")

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -270,13 +268,14 @@ def read_push_payload(rows: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
-def read_usage_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The stored daily, time and session facts, each row with the id it goes by; event days follow from their times."""
+def read_usage_tables(spark: SparkSession, root: str, runs: int = 500) -> dict[str, DataFrame]:
+    """The stored daily, time and session facts and the newest runs, each row with the id it goes by; event days follow from their times."""
     keys = {"daily": ("device", "source", "usage_date", "model"), "time": ("device", "source", "event_key"), "sessions": ("device", "source", "session_id")}
     tables = {name: spark.read.parquet(f"{root}/{name}").withColumn("row_id", S.row_id(*columns)) for name, columns in keys.items()}
     if "usage_date" not in tables["time"].columns:
         tables["time"] = tables["time"].withColumn("usage_date", F.to_date("event_time"))
-    return tables
+    log = spark.read.parquet(f"{root}/runs").select(F.col("id").cast("string").alias("row_id"), "*").orderBy(F.desc("id")).limit(runs)
+    return tables | {"runs": log.withColumn("message", F.regexp_replace("message", r"[\r\n]+", " "))}
 
 
 def normalise_quota_snapshots(rows: DataFrame) -> DataFrame:
@@ -290,23 +289,6 @@ def normalise_quota_snapshots(rows: DataFrame) -> DataFrame:
     return a.unionByName(b).withColumn("tone", F.when(F.col("utilization") >= 0.9, "bad").when(F.col("utilization") >= 0.7, "warn").otherwise("ok"))
 
 
-class Source:
-    """A reader with its cost policy and whether its daily cost is the flat price of summed tokens."""
-
-    def __init__(self, read: Callable[[SparkSession, list[str]], DataFrame], policy: str = "computed-only", flat: bool = False, counter_log: bool = False) -> None:
-        self.read, self.policy, self.flat, self.counter_log = read, policy, flat, counter_log
-
-
-REGISTRY: dict[str, Source] = {
-    "assistant": Source(read_assistant_usage, "computed-first"),
-    "counter": Source(read_counter_log, flat=True, counter_log=True),
-    "message_json": Source(read_message_json, "recorded-first"),
-    "session_document": Source(read_session_document, flat=True),
-    "turn_stream": Source(read_turn_stream, flat=True),
-    "agent": Source(read_agent_transcript, "computed-first"),
-}
-
-
 def union_sources(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

@@ -192,6 +192,20 @@ def stream_counter_increments(lines: DataFrame, late: str = "1 hour", keep: time
     return timed.groupBy("file_path").applyInPandasWithState(run, counters.OUT, COUNTER_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_run_log(events: DataFrame, out: str) -> DataStreamWriter:
-    """One run row for each device and source of each batch."""
-    return events.writeStream.foreachBatch(lambda b, n: M.run_log(b, F.lit(n), F.current_timestamp()).write.mode("overwrite").parquet(f"{out}/batch={n}"))
+def stream_run_log(events: DataFrame, out: str, sources: DataFrame, work: Callable[[DataFrame, int], None] | None = None) -> DataStreamWriter:
+    """A run row for each registered device and source and batch, after `work` took the batch: ok, empty, or error.
+
+    A batch that fails leaves its error rows, and the failure ends the query; when it comes again its good rows stand beside them.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        log = lambda kind, error=None: M.run_log(batch, F.lit(number), F.current_timestamp(), sources, error).write.mode("overwrite").parquet(f"{out}/batch={number}/try={kind}")
+        try:
+            if work:
+                work(batch, number)
+        except Exception as error:
+            log("failed", str(error).split("\n")[0][:500])
+            raise
+        log("done")
+
+    return events.writeStream.foreachBatch(run)

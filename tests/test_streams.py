@@ -6,10 +6,13 @@ import random
 from collections import Counter
 from datetime import date, datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.operators import counters as C
+from tallyspark.operators import merge as M
 from tallyspark.plans.streams import in_turn
+from tallyspark.sources import readers
 from tallyspark.streaming import facts, jobs
 
 TODAY = date(2024, 1, 20)
@@ -173,3 +176,50 @@ def test_batches_come_in_turn(spark, tmp_path):
     frames = [spark.range(3).repartition(2), spark.range(4)]
     in_turn(frames, "turns", lambda path: jobs.stream_log_lines(spark, path, frames[0].schema).writeStream.foreachBatch(lambda b, n: seen.append((n, b.count()))))
     assert seen == [(0, 3), (1, 4)]
+
+
+def test_a_copy_that_checks_itself(spark, tmp_path):
+    source, target = str(tmp_path / "source"), str(tmp_path / "target")
+    facts_ = spark.createDataFrame([("d", "s", date(2024, 1, 1), "m", "k1", "x", 1), ("d", "s", date(2024, 1, 2), "m", "k2", "y", 2)], "device string, source string, usage_date date, model string, event_key string, session_id string, total_tokens long")
+    runs = spark.range(5).withColumn("status", F.lit("ok"))
+    for name in M.FACT_TABLES:
+        facts_.write.parquet(f"{source}/{name}")
+    runs.write.parquet(f"{source}/runs")
+    assert {(r.source_rows, r.target_rows, r.ok, r.runs) for r in M.verified_copy(spark, source, target, keep_runs=3).collect()} == {(2, 2, True, "copied")}
+    # two rows with one key cannot both be there
+    facts_.unionByName(facts_).write.mode("overwrite").parquet(f"{source}/twice")
+    (tmp_path / "source" / "time").rename(tmp_path / "source" / "was")
+    (tmp_path / "source" / "twice").rename(tmp_path / "source" / "time")
+    assert {r.runs for r in M.verified_copy(spark, source, target).collect()} == {"kept"}
+    assert M.stored_versions(spark, target) == [0, 1] and spark.read.parquet(f"{target}/v=1/runs").count() == 3
+    short = {"time": facts_.limit(1)}
+    assert [r.ok for r in M.reconcile({"time": facts_}, short).collect()] == [False]
+
+
+def test_a_short_copy_fails_and_is_no_version(spark, tmp_path, monkeypatch):
+    source, target = str(tmp_path / "source"), str(tmp_path / "target")
+    rows = spark.createDataFrame([("d", "s", date(2024, 1, 1), "m", "k", "x", 1)], "device string, source string, usage_date date, model string, event_key string, session_id string, total_tokens long")
+    for name in M.FACT_TABLES:
+        rows.write.parquet(f"{source}/{name}")
+    spark.range(1).write.parquet(f"{source}/runs")
+    M.verified_copy(spark, source, target)
+    monkeypatch.setattr(M, "merge_replace", lambda old, new, keys: old.limit(0))
+    with pytest.raises(ValueError, match="daily 0 of 1"):
+        M.verified_copy(spark, source, target)
+    assert M.stored_versions(spark, target) == [0]
+
+
+def test_mixed_turn_files(spark, tmp_path):
+    lines_ = [
+        {"type": "gemini", "model": "g-1", "id": "a", "timestamp": "2024-01-01T00:00:00Z", "tokens": {"input": 10, "output": 1}},
+        {"stats": {"prompt_tokens": 7, "candidates_tokens": 2, "cached_tokens": 3}},  # the last model named, the file's stem
+        {"type": "init", "sessionId": "s1", "model": "g-2"},
+        {"type": "gemini", "model": "g-2", "id": "a", "tokens": {"input": 20, "output": 1}},  # a later version of a
+        {"type": "result", "result": {"stats": {"models": {"g-3": {"tokens": {"prompt": 5, "candidates": 1}}, "g-4": {"tokens": {}}}, "input_tokens": 99}}},
+        {"session_id": "s2", "stats": {"models": {}, "input_tokens": 4, "output_tokens": 4}},
+        {"type": "gemini", "tokens": {"input": 1}},  # no model, no turn
+        {"type": "user", "stats": {"input_tokens": 0}},
+    ]
+    (tmp_path / "stem.of.file.jsonl").write_text("\n".join(["{broken", *map(json.dumps, lines_)]))
+    got = sorted((r.session_id, r.model, r.input_tokens, r.output_tokens, r.cache_read_tokens) for r in readers.read_turn_stream(spark, [str(tmp_path)]).collect())
+    assert got == [("s1", "g-2", 20, 1, 0), ("s1", "g-3", 5, 1, 0), ("s2", "g-2", 4, 4, 0), ("stem.of.file", "g-1", 4, 2, 3)]
