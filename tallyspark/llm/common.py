@@ -41,6 +41,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def drop_written(df: DataFrame) -> None:
+    """Remove a table of written() that nothing is made from any more: what was made of it stands in tables and checkpoints of its own."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches are cut by bytes too: by rows alone, ten thousand long texts would travel at once."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -34,14 +34,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .common import durable, join_groups, map_batches, read, written
+from .common import drop_written, durable, join_groups, map_batches, read, written
 from .components import components
 from .near_dedup import _common, full_sets, set_keys, shingles
 
 WIDTH = 1 << 16  # bits of a slice
 ROWS = 512  # nodes of a block, about
 BYTES = 8 << 20  # of a block's sets, about
-DENSE = 4  # pairs for each row of a block up to which they are put out
+DENSE = 16  # pairs for each row of a block up to which they are put out
 LEAST_BITS = 512  # of a folded sketch
 SPARE = 16  # one slice in so many more than the pigeonhole needs, so that weak ones can be left out
 
@@ -280,6 +280,7 @@ def linked(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     shared = durable(held.groupBy("slice").agg(F.count("*").alias("many")).where("many > 1"))
     inside = written(join_groups(held, shared, ["slice"], "many").select("slice", "node"), "shared-slices")
     wanted = durable(cut.drop("slices").join(inside.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    drop_written(cut)
     sets = full_sets(one_each(nodes.join(wanted.select("node"), "node", "left_semi")), size)
     sets = written(sets.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
 

@@ -36,7 +36,7 @@ def test_a_hub_and_a_common_passage(spark, monkeypatch):
     assert Counter(tuple(r) for r in J.ngram_join(df).collect()) == want(df.collect(), 4, 85)
 
 
-@pytest.mark.parametrize("dense", [0, 1])
+@pytest.mark.parametrize("dense", [0, 16])
 def test_blocks_of_alike_nodes(spark, monkeypatch, dense):
     """Very many near copies about the threshold: pairs are not put out, or for some blocks only."""
     monkeypatch.setattr(J, "ROWS", 24)
