@@ -1,6 +1,6 @@
 """Quality rules: counts over words and lines, and compression bands.
 
-Base counts come from vectorised scans of the bytes. The method's own verdict: zstandard's ratio (compressed size by raw
+Base counts come from vectorised scans of the bytes; words, lines and windows are compared as they are, not by hashes. The method's own verdict: zstandard's ratio (compressed size by raw
 size) of the whole text and of each fixed chunk has to lie in a band that depends on the length compressed. A ratio
 below the band is repetitive text, one above is text without the redundancy of language. A text goes when the whole is
 outside its band, or when more than BAD_SHARE of its bytes are in chunks outside theirs.
@@ -33,7 +33,7 @@ BAD_SHARE = 0.5
 #: Bytes from which a band holds, its lowest and highest ratio. Longer text compresses better.
 BANDS = ((200, 0.48, 0.92), (500, 0.44, 0.85), (1000, 0.41, 0.78), (2000, 0.39, 0.72), (4096, 0.37, 0.68), (16384, 0.33, 0.64), (65536, 0.30, 0.62))
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, ratio double, bad_share double, base_failed boolean, kept boolean"
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, bad_share double"
 
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[[ord(c) for c in SYMBOLS]] = True
@@ -55,16 +55,27 @@ def _repeats(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _own(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Keys that differ between texts."""
-    return keys ^ T.mix((of + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers for pairs of numbers, equal exactly where both are."""
+    return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
+
+
+def _windows(words: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the windows of WINDOW words within one text, equal exactly where text and words are, and where each begins."""
+    if len(words) < WINDOW:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    wide, key = 1, words
+    while wide < WINDOW:  # WINDOW is a power of two
+        key, wide = _pairs(key[:-wide], key[wide:]), 2 * wide
+    begin = np.flatnonzero(of[: len(key)] == of[WINDOW - 1 :])
+    return _pairs(of[begin], key[begin]), begin
 
 
 def base_counts(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     n = len(at) - 1
     starts, ends = T.runs(data, at, T.IS_SPACE)
     of = T.owner(at, starts)
-    words = T.hashes(data, starts, ends)
+    words = T.numbers(data, starts, ends)
     out = {"n_words": T.counts(of, n), "word_chars": T.sums(~T.IS_SPACE[data] & ((data & 0xC0) != 0x80), at), "n_symbols": T.sums(_IS_SYMBOL[data], at)}
 
     ls, le = T.runs(data, at, _NOT_LINE)
@@ -72,12 +83,12 @@ def base_counts(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     has_word = (first < len(starts)) & (starts[np.minimum(first, len(starts) - 1)] < le) if len(starts) else np.zeros(len(ls), bool)
     ls, le = ls[has_word], le[has_word]
     line_of = T.owner(at, ls)
-    lines = _own(T.hashes(data, ls, le), line_of)
+    lines = _pairs(line_of, T.numbers(data, ls, le))
     _, one = np.unique(lines, return_index=True)
     out["n_dup_lines"] = T.counts(line_of, n) - T.counts(line_of[one], n)
 
-    keys, begin = T.windows(words, of, WINDOW)
-    twice = begin[_repeats(_own(keys, of[begin]))]
+    keys, begin = _windows(words, of)
+    twice = begin[_repeats(keys)]
     cover = np.zeros(len(words) + 1, np.int64)
     np.add.at(cover, twice, 1)
     np.add.at(cover, twice + WINDOW, -1)
@@ -124,8 +135,8 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(at) - 1
             names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, n), *(pa.array(c[k], pa.int64()) for k in names), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(failed), pa.array(kept)],
-                ["doc_id", *names, "ratio", "bad_share", "base_failed", "kept"],
+                [batch.column(0).slice(first, n), *(pa.array(c[k], pa.int64()) for k in names), pa.array(failed), pa.array(kept), pa.array(both[:, 0]), pa.array(both[:, 1])],
+                ["doc_id", *names, "base_failed", "kept", "ratio", "bad_share"],
             )
 
 

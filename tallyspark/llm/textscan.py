@@ -1,8 +1,8 @@
 """Vectorised scans of UTF-8 text with numpy, for use inside Arrow batches.
 
-Words are runs of bytes other than space and 0x09-0x0D. A word's hash is a polynomial over a random table of its bytes,
-modulo 2^64, mixed at the end; sequences of words hash as polynomials over the word hashes. Everything works on blocks of
-about BLOCK bytes cut at white space, so the memory beyond the text itself is bounded by the longest text's words.
+Words are runs of bytes other than space and 0x09-0x0D. Spans of bytes are numbered exactly within a slice, or hashed with
+XXH3; sequences of words hash as polynomials over the word hashes, which are random numbers to each other. A slice has about
+BLOCK bytes, or one text, so the memory beyond the text itself is bounded by the longest text's words.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK = 1 << 20
 
@@ -19,6 +20,7 @@ _TABLE = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 _STEP = 0xD6E8FEB86659FD93
+SEED = 20240607
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, *range(9, 14)]] = True
@@ -88,24 +90,6 @@ def runs(data: np.ndarray, at: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray,
     return np.flatnonzero(on & before), np.flatnonzero(on & after) + 1
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span. Spans are in order and don't overlap."""
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        base = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(starts, base + BLOCK)))
-        j = max(i + 1, int(np.searchsorted(ends[:j], max(base + 2 * BLOCK, int(ends[i])), "right")))
-        part = data[base : int(ends[j - 1])]
-        sums = np.empty(len(part) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(_TABLE[part] * powers(_BASE, len(part)), out=sums[1:])
-        s, e = starts[i:j] - base, ends[i:j] - base
-        out[i:j] = (sums[e] - sums[s]) * powers(_BACK, len(part) + 1)[s] + (e - s).astype(np.uint64)
-        i = j
-    return mix(out)
-
-
 def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     """The bytes of each span as one binary array. Spans are in order and don't overlap."""
     on = np.zeros(len(data) + 1, np.int8)
@@ -123,6 +107,15 @@ def numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return spans(data, starts, ends).dictionary_encode().indices.to_numpy().astype(np.int64)
 
 
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span, the same in every call. Equal spans are told by their bytes; each distinct one is hashed once."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    found = spans(data, starts, ends).dictionary_encode()
+    each = np.fromiter((xxhash.xxh3_64_intdigest(x, SEED) for x in found.dictionary.to_pylist()), np.uint64, len(found.dictionary))
+    return mix(each)[found.indices.to_numpy()]
+
+
 def windows(words: np.ndarray, of: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the windows of `size` words within one text, and where each begins. of: each word's text, ascending."""
     n = len(words) - size + 1

@@ -2,8 +2,10 @@ import random
 import re
 from collections import Counter
 
+import zstandard
+
 from tallyspark.llm import textscan as T
-from tallyspark.llm.quality import keep_good, quality_rules
+from tallyspark.llm.quality import BANDS, keep_good, quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -35,15 +37,56 @@ def test_counts_on_random_words(spark):
     assert got == {i: base(t) for i, t in enumerate(texts)}
 
 
-def test_small_blocks_give_the_same(monkeypatch):
+def thue_morse(n, swap=False):
+    """Words that polynomial hashes modulo a power of two can't tell from their complement."""
+    return "".join("ab"[(i.bit_count() + swap) % 2] for i in range(n))
+
+
+def test_lines_and_words_made_to_collide(spark):
     import numpy as np
 
-    data = np.frombuffer(("some words of many lengths and a" + "n" * 300 + " end ").encode() * 20, np.uint8)
-    at = np.array([0, len(data)])
-    s, e = T.runs(data, at, T.IS_SPACE)
-    want = T.hashes(data, s, e)
-    monkeypatch.setattr(T, "BLOCK", 64)
-    assert (T.hashes(data, s, e) == want).all()
+    lines = f"{thue_morse(1024)} x\n{thue_morse(1024, True)} x"
+    df = spark.createDataFrame([(0, lines)], "doc_id long, text string")
+    assert quality_rules(df).first().n_dup_lines == 0
+    data = np.frombuffer(lines.encode(), np.uint8)
+    s, e = T.runs(data, np.array([0, len(data)]), T.IS_SPACE)
+    h = T.hashes(data, s, e)
+    assert h[0] != h[2] and h[1] == h[3] and T.numbers(data, s, e).tolist() == [0, 1, 2, 1]
+    again = T.hashes(data[1030:], *(x[2:] - 1030 for x in (s, e))) if s[2] >= 1030 else T.hashes(data[s[2] :], s[2:] - s[2], e[2:] - s[2])
+    assert (again == h[2:]).all()
+
+
+def test_contract_columns_come_first(odd):
+    assert quality_rules(odd).columns == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "bad_share"]
+
+
+def plain_verdict(text):
+    raw = (text or "").encode()
+    size = lambda x: len(zstandard.ZstdCompressor(level=3).compress(x))
+
+    def inside(x):
+        lo, hi = [(0.0, float("inf")), *((a, b) for least, a, b in BANDS if len(x) >= least)][-1]
+        return lo <= size(x) / len(x) <= hi
+
+    if not raw:
+        return True
+    if not inside(raw):
+        return False
+    chunks = [raw[i : i + 4096] for i in range(0, len(raw), 4096)]
+    return len(chunks) == 1 or sum(len(c) for c in chunks if not inside(c)) <= 0.5 * len(raw)
+
+
+def test_bands_against_a_plain_version(spark):
+    rnd = random.Random(7)
+    vocab = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(1, 9))) for _ in range(800)]
+    texts = []
+    for _ in range(160):
+        pick = rnd.choice([vocab, vocab[:6], [chr(rnd.randint(0x4E00, 0x9FFF)) for _ in range(500)]])
+        text = " ".join(rnd.choice(pick) for _ in range(rnd.choice([5, 30, 90, 300, 1200, 3000])))
+        texts.append(text + " ".join(rnd.choice(vocab) for _ in range(rnd.choice([0, 0, 900]))))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    got = {r.doc_id: r.kept for r in quality_rules(df).collect()}
+    assert got == {i: not base(t)[5] and plain_verdict(t) for i, t in enumerate(texts)} and len(set(got.values())) == 2
 
 
 def test_verdict(spark):
