@@ -42,8 +42,8 @@ WORDS = 50  # passages of so many words are told too
 SEGMENT = 1 << 20
 BUCKET_ROWS = 1 << 20  # suffixes in a bucket, about; 28 bytes of memory each, and 24 for each bucket's splitter
 PARTITIONS = 20_000  # at most; more buckets share them
-SAMPLE_ROWS, SAMPLE_TEXTS = 200_000, 400  # suffixes, or texts at the least, that splitters are taken from; one suffix in SAMPLE_EACH
-SAMPLE_EACH = 8
+SAMPLE_ROWS, SAMPLE_TEXTS = 50_000, 400  # suffixes, and texts, at the least that splitters are taken from
+SAMPLE_EACH = 16  # suffixes sampled for each bucket, where there are many
 
 
 def _prefix(data: np.ndarray) -> np.ndarray:
@@ -253,10 +253,10 @@ class Splitters:
 SUFFIX = ["bucket", "lead", "h", "tid", "p"]
 
 
-def _suffix_rows(length: int, gram: int, splitters: Splitters | None):
+def _suffix_rows(length: int, gram: int, splitters: Splitters | None, each: int = 1):
     """A row for each suffix of the chunks asked for; p is -1 in those that are only there to be met by others.
 
-    Without splitters it is their sample. With them, a suffix that has the string of the splitter below its bucket is
+    Without splitters it is a sample, of one in `each`. With them, a suffix that has the string of the splitter below its bucket is
     sent to that splitter's bucket too, once in a task, to be met there.
     """
 
@@ -272,7 +272,7 @@ def _suffix_rows(length: int, gram: int, splitters: Splitters | None):
                     p, lead, h = c.suffixes(mine)
                     tid = np.full(len(p), tids[row], np.uint64)
                     if splitters is None:
-                        some = T.mix(tid * np.uint64(0x9FB21C651E98DF25) ^ (p + a).astype(np.uint64)) % np.uint64(SAMPLE_EACH) == 0
+                        some = T.mix(tid * np.uint64(0x9FB21C651E98DF25) ^ (p + a).astype(np.uint64)) % np.uint64(each) == 0
                         rows.append(tuple(x[some].view(np.int64) for x in (np.zeros_like(lead), lead, h, tid, np.zeros_like(lead))))
                     else:
                         bucket = splitters.bucket(lead, h, tid)
@@ -369,6 +369,19 @@ def _cut(length: int):
     return run
 
 
+def _every(step: int):
+    """One row in so many of each sorted partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = step // 2
+        for batch in batches:
+            at = np.flatnonzero((np.arange(batch.num_rows) + seen) % step == 0)
+            seen += batch.num_rows
+            yield batch.take(pa.array(at))
+
+    return run
+
+
 def _half(sha: str, part: int):
     """64 bits of a digest as a number; two parts stand for a text in narrow rows."""
     return F.expr(f"cast(conv(hex(substring({sha}, {8 * part - 7}, 8)), 16, -10) as long)")
@@ -385,11 +398,17 @@ def _suffixes_met(found: DataFrame, contents: DataFrame, length: int, gram: int)
     size = per_text.agg(F.sum("many").alias("rows"), F.count("*").alias("texts")).first()
     asked = found.select("tid", "text").join(per_text, "tid").select("tid", "text", "asked", "met")
     kinds = "bucket int, lead long, h long, tid long, p int"
-    share = min(1.0, max(SAMPLE_ROWS / max(1, size["rows"] or 0), SAMPLE_TEXTS / max(1, size["texts"])))
+    rows = size["rows"] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
+    # texts enough, then suffixes of them: as many as it takes, but no more, however long the texts are
+    want = max(SAMPLE_ROWS, SAMPLE_EACH * buckets)
+    share = min(1.0, max(SAMPLE_EACH * want / max(1, rows), SAMPLE_TEXTS / max(1, size["texts"])))
     some = asked.where(F.pmod(F.xxhash64("tid"), F.lit(1 << 20)) < share * (1 << 20))
-    sample = map_batches(some, _suffix_rows(length, gram, None), kinds).select("lead", "h", "tid").collect()
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size["rows"] or 0) // BUCKET_ROWS))
-    splitters = Splitters(np.array([tuple(r) for r in sample], np.int64), buckets)
+    sample = map_batches(some, _suffix_rows(length, gram, None, max(1, int(share * rows / want))), kinds)
+    order = [F.col(c).bitwiseXOR(F.lit(-(1 << 63))) for c in ("lead", "h", "tid")]  # as numbers without a sign
+    spread = sample.select("lead", "h", "tid").repartitionByRange(*order).sortWithinPartitions(*order)
+    quantiles = map_batches(spread, _every(max(1, want // (4 * buckets))), "lead long, h long, tid long").collect()  # some for each bucket
+    splitters = Splitters(np.array([tuple(r) for r in quantiles], np.int64), buckets)
     dealt = map_batches(asked, _suffix_rows(length, gram, splitters), kinds)
     if buckets <= PARTITIONS:
         dealt = dealt.repartitionById(buckets, "bucket")
@@ -413,9 +432,9 @@ def passages_removed(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame,
     # in two texts, or at two places of one; copies of a text are one text. The sum stands for both: digests are random
     place = F.try_add("t1", F.col("j").cast("long"))
     place = F.coalesce(place, F.col("t1"))
-    twice = durable(spots.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("key"))
+    twice = durable(spots.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("many")).where("a <> b").select("key", "many"))
     gram_at, string = F.when(F.col("j") >= 0, F.col("j")), F.when(F.col("j") < 0, F.col("key"))
-    held = durable(spots.join(twice, "key", "left_semi").groupBy("t1").agg(F.collect_set(gram_at).alias("js"), F.size(F.collect_set(string)).alias("n_shared")))
+    held = durable(join_groups(spots, twice, ["key"], "many").groupBy("t1").agg(F.collect_set(gram_at).alias("js"), F.size(F.collect_set(string)).alias("n_shared")))
     texts = durable(texts.withColumn("t1", _half("sha", 1)).join(held, "t1", "left").select("sha", "rep", "copies", "js", F.coalesce("n_shared", F.lit(0)).alias("n_shared")))
 
     mine = docs.withColumn("sha0", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
@@ -444,9 +463,9 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_gone = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     return rows.select(
         "doc_id",
+        "n_bytes",
         F.when(all_gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(all_gone, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", F.lit(0))).alias("n_spans"),
-        "n_shared",
-        "n_bytes",
         F.when(all_gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha")))).alias("kept_sha256"),
+        "n_shared",
     )

@@ -77,6 +77,7 @@ def test_segments_give_the_same(spark, monkeypatch):
 
 def test_query(odd, spark, tables):
     columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert R.op3_suffix_dedup(spark, tables(odd)).columns[:5] == columns
     got = Counter(tuple(r) for r in R.op3_suffix_dedup(spark, tables(odd)).select(*columns).collect())
     assert got == brute(odd.collect(), 400)
 
@@ -146,3 +147,18 @@ def test_long_text(spark):
 def test_empty(empty):
     docs, changed = R.passages_removed(empty)
     assert docs.count() == changed.count() == 0
+
+
+def test_splitters_grow_with_the_buckets(spark, monkeypatch):
+    """Many buckets and few long texts: a sample of their suffixes, however long they are, and the same result."""
+    rnd = random.Random(31)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(900))
+    rows = [(i, "".join(rnd.choice("abcdefgh ") for _ in range(3000)) + passage[rnd.randrange(300) :] * 2) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter(tuple(r) for r in R.passages_removed(df)[1].select("sha", "n_removed", "n_spans", "kept").collect())
+    monkeypatch.setattr(R, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(R, "SAMPLE_ROWS", 100)
+    assert Counter(tuple(r) for r in R.passages_removed(df)[1].select("sha", "n_removed", "n_spans", "kept").collect()) == want
+    every = R._every(3)
+    batches = [pa.RecordBatch.from_pydict({"x": list(range(a, b))}) for a, b in ((0, 4), (4, 5), (5, 12))]
+    assert [x for b in every(batches) for x in b.column(0).to_pylist()] == [2, 5, 8, 11]
