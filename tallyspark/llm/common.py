@@ -23,12 +23,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the folder that the cluster names in spark.checkpoint.dir.
 
-    Only where the session names none (tests) a temporary folder is set.
+    Only on a local master that names none (tests) a temporary folder is set; on a cluster executors wouldn't see it.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 

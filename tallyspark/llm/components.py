@@ -29,7 +29,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges: u, v of any one ordered type. Returns node, root: the least node that can be reached.
 
     Nodes without edges aren't in the result. Each round makes every node's larger (then smaller) neighbours neighbours of
-    its least one, so long chains shorten geometrically. No group is gathered: only minima and joins are used.
+    its least one, so long chains shorten geometrically, and `rounds` (an error beyond) is never near. No group is gathered:
+    only minima and joins are used.
     """
     now, mark = _marked(durable(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()))
     for _ in range(rounds):

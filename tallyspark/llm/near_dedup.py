@@ -8,7 +8,7 @@ below the threshold, and the rest are confirmed on the full sets.
 
 No bucket is expanded into all its pairs. First every node of a bucket meets the bucket's least node only; confirmed
 links join nodes to components. Then only buckets that still hold nodes of different components are looked at again:
-their nodes are cut into blocks of about BLOCK, and each pair of blocks is a task's group of bounded size: pairs of
+their nodes are cut into blocks of about BLOCK nodes or BYTES of sets, and each pair of blocks is a task's group of bounded size: pairs of
 different components whose sketches agree are confirmed there on their full sets, and only links come out. Pairs within
 a component need no test, as they can't change the result. So every candidate pair that could matter is tested, none is
 emitted, and nothing is capped.
@@ -35,7 +35,8 @@ from .components import components
 
 SAMPLES = 128
 BITS = 512  # of the parity bitmap
-BLOCK = 512
+BLOCK = 512  # nodes of a block, about
+BYTES = 32 << 20  # of a block's sets, about
 MISS = 1e-6  # chance at most that a pair at the threshold has no band in common
 
 _seed = np.random.default_rng(41)
@@ -253,9 +254,10 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80, with_sha: bool = F
 
     # buckets that still hold different components
     rooted = durable(wanted.join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "sketch", "bands", F.coalesce("root", "key").alias("root")))
-    member = durable(inside.select("key", "band").join(rooted.select("key", "root"), "key"))
-    mixed = member.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("many")).where("r0 <> r1")
-    mixed = durable(mixed.select("band", F.ceil(F.col("many") / BLOCK).cast("int").alias("parts")))
+    member = durable(inside.select("key", "band").join(rooted.select("key", "root", "n"), "key"))
+    mixed = member.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("many"), F.sum("n").alias("members")).where("r0 <> r1")
+    parts = F.least("many", F.greatest(F.ceil(F.col("many") / BLOCK), F.ceil(F.col("members") * 8 / BYTES)))
+    mixed = durable(mixed.select("band", parts.cast("int").alias("parts")))
     todo = member.select("key", "band").join(mixed, "band").join(rooted, "key").join(sets.select("key", "members"), "key")
     todo = todo.withColumn("part", F.pmod(F.xxhash64("key", "band"), F.col("parts")).cast("int"))
     todo = todo.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
