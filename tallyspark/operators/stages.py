@@ -9,16 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str | None:
-    """The folder that the cluster names for checkpoints, by its setting or by its context."""
+    """The folder that the cluster names for checkpoints, by its setting or by its context. Only a local master may name none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     of_context = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return of_context.get() if of_context.isDefined() else None
+    if of_context.isDefined():
+        return of_context.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return None
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for intermediate files: in the shared folder, or a temporary one where the session names none (tests)."""
+    """A new folder for intermediate files: in the shared folder, or a temporary one where a local session names none (tests)."""
     shared = shared_folder(spark)
     return f"{shared}/{name}-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix=f"{name}-")
 
