@@ -14,7 +14,7 @@ differ. That gives an exact join, nothing is missed:
 * verify: what is left is confirmed on the full sets.
 
 Bands overlap so that both sets of any similar pair are in one of them; a set is in one or two. Equal sets are one node.
-Every node first meets the least node of each slice it shares; then, in slices that still hold different components, nodes
+In STARS rounds every node meets one node of each slice it shares; then, in slices that still hold different components, nodes
 of different ones meet in pairs of blocks, with their sketches alone; blocks are bounded by rows and bytes. Full sets follow
 for pairs that the sketches allow, as a stream, one pair in memory at a time. A block where very many are allowed doesn't put
 out pairs: its nodes get their sets, and only links come out. Nothing is capped.
@@ -41,7 +41,8 @@ from .near_dedup import _common, full_sets, set_keys, shingles
 WIDTH = 1 << 16  # bits of a slice
 ROWS = 512  # nodes of a block, about
 BYTES = 8 << 20  # of a block's sets, about
-DENSE = 16  # pairs for each row of a block up to which they are put out
+DENSE = 4  # pairs for each row of a block up to which they are put out
+STARS = 3  # rounds in which nodes meet one node of each slice
 LEAST_BITS = 512  # of a folded sketch
 SPARE = 16  # one slice in so many more than the pigeonhole needs, so that weak ones can be left out
 
@@ -267,6 +268,24 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int)
     return map_batches(whole, _confirmed(percent), "u long, v long")
 
 
+def _mixed(rows: DataFrame, rooted: DataFrame, turn: int) -> DataFrame:
+    """slice, many, most (members of its largest set) of slices that hold several components, and for this turn one node of it: u, of the component ru."""
+    member = rows.join(rooted.select("node", "root", "n"), "node")
+    one = F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("one")
+    found = member.groupBy("slice").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("many"), F.max("n").alias("most"), one)
+    return durable(found.where("r0 <> r1").select("slice", "many", "most", F.col("one.node").alias("u"), F.col("one.root").alias("ru")))
+
+
+def _joined(rooted: DataFrame, links: DataFrame) -> DataFrame:
+    """rooted with the components that these links of nodes join."""
+    if links.isEmpty():
+        return rooted
+    root = rooted.select("node", "root")
+    edges = links.join(root.toDF("u", "ru"), "u").join(root.toDF("v", "rv"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
+    found = durable(components(edges.distinct())).toDF("root", "whole")
+    return durable(rooted.join(found, "root", "left").withColumn("root", F.coalesce("whole", "root")).select(*rooted.columns))
+
+
 def linked(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n and root of each document (root null for empty sets): documents with one root are one component."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -284,20 +303,22 @@ def linked(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     sets = full_sets(one_each(nodes.join(wanted.select("node"), "node", "left_semi")), size)
     sets = written(sets.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
 
-    # every node with the least node of its slices
-    groups = durable(inside.groupBy("slice").agg(F.min("node").alias("u"), F.count("*").alias("many")))
-    stars = join_groups(inside, groups, ["slice"], "many").where(F.col("node") > F.col("u")).select("u", F.col("node").alias("v")).distinct()
-    spoke, hub = (wanted.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "vu")
-    near = stars.join(spoke, "v").join(hub, "u").where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
-    near = map_batches(near.select("u", "v", "nu", "nv", "su", "sv"), _allowed(percent), "u long, v long")
-    found = durable(components(durable(confirmed(near, wanted, sets, percent))))
-
-    # slices that still hold different components
-    rooted = durable(wanted.select("node", "n", "sketch").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    member = inside.join(rooted.select("node", "root", "n"), "node")
-    mixed = member.groupBy("slice").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("many"), F.max("n").alias("most")).where("r0 <> r1")
+    # every node with one node of each slice that holds several components, another one in each round
+    rooted, rows = durable(wanted.select("node", "n", "sketch", F.col("node").alias("root"))), inside
+    for turn in range(STARS):
+        mixed = _mixed(rows, rooted, turn)
+        rows = written(join_groups(rows, mixed, ["slice"], "many").select("slice", "node", "u", "ru"), "mixed-slices")
+        spoke = rooted.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"), F.col("root").alias("rv"))
+        stars = rows.select("u", "ru", F.col("node").alias("v")).distinct().join(spoke, "v").where("ru <> rv")
+        near = stars.join(wanted.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su")), "u").where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
+        near = map_batches(near.select("u", "v", "nu", "nv", "su", "sv"), _allowed(percent), "u long, v long")
+        rooted = _joined(rooted, durable(confirmed(near, wanted, sets, percent)))
+        rows = rows.select("slice", "node")
+
+    # all nodes of slices that still hold different components
+    mixed = _mixed(rows, rooted, STARS)
     mixed = durable(mixed.select("slice", "many", F.greatest(F.lit(1), F.ceil(F.col("many") / ROWS), F.ceil(F.col("many") * F.col("most") * 8 / BYTES)).cast("long").alias("parts")))
-    todo = join_groups(inside, mixed, ["slice"], "many").withColumn("part", F.pmod(F.xxhash64("node", "slice"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    todo = join_groups(rows, mixed, ["slice"], "many").withColumn("part", F.pmod(F.xxhash64("node", "slice"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2)
     block = F.concat_ws(",", F.col("slice").cast("string"), F.least("part", "other").cast("string"), F.greatest("part", "other").cast("string"))
     todo = todo.select(block.alias("block"), "node", side.alias("side")).join(rooted, "node").select("block", "node", "side", "root", "n", "sketch")
@@ -308,9 +329,7 @@ def linked(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
         alike = todo.join(alike, ["block", "node"]).join(wanted.select("node", "key"), "node").join(sets.select("key", "members"), "key")
         alike = alike.select("block", "node", "side", "root", "n", "sketch", "members").repartition("block").sortWithinPartitions("block")
         more = more.unionByName(map_batches(alike, _linked_in_blocks(percent), "u long, v long"))
-    more = durable(more)
-    if not more.isEmpty():
-        found = durable(components(more.unionByName(found.select(F.col("node").alias("u"), F.col("root").alias("v")))))
+    found = _joined(rooted, durable(more)).select("node", "root")
     roots = nodes.select("key", "node").join(found, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
     return signed.join(roots, "key", "left").select("doc_id", "n", "root")
 
