@@ -2,32 +2,33 @@
 
 Texts are cut into pieces: plain text and entities (e-mail addresses, phone numbers, IPv4 addresses, payment cards, US social
 security numbers, names after a form of address). Every distinct entity gets one surrogate, drawn with a secret key from
-SHA-2, of the same type: e-mail local parts keep their pattern of letters, digits and signs and domains map label by label;
+SHA-2, of the same type: e-mail local parts keep their pattern of letters, digits and signs; domains are entities of their
+own, which get other labels of the same pattern, and none that the corpus has;
 phone numbers keep country code, punctuation and the exchange 555 if they had it; cards keep their first digit and length
 and, where it held, a valid check digit; addresses lie in the reserved block 240.0.0.0/4; given names keep gender and
 script, surnames the script. Mentions are rendered in the format and case they had, so variants of one
-entity stay variants of one surrogate.
+entity stay variants of one surrogate. Names that are used up are made of syllables, with the ending of the gender.
 
 A surrogate is accepted only if no other entity has it and it isn't itself an entity of the corpus; the losers draw again,
-round by round, until none is left. Only entities and the texts that hold some are shuffled.
+round by round, until none is left; where a type's form is used up, later rounds draw longer ones. Only entities and the texts that hold some are shuffled.
 
 Defined cases: null and empty texts come back as they are; texts without entities are unchanged; rows that repeat are
-changed alike; a hot entity is one row of the dictionary and a skewed join of its mentions; an empty table gives no rows; other
+changed alike; a hot entity is one row of the dictionary, broadcast to its mentions; an empty table gives no rows; other
 columns are kept by replace() and ignored by the query.
 """
 
 from __future__ import annotations
 
+import secrets
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, read
+from .common import durable, join_groups, read
 
-KEY = "change-me"  # the default of the secret key, for tests; a deployment passes its own or names it in KEY_SETTING
-KEY_SETTING = "spark.tallyspark.surrogate.key"
-ROUNDS = 40
+KEY_SETTING = "spark.tallyspark.surrogate.key"  # the secret key; without it each session draws one of its own
+ROUNDS = 64  # of drawing; from the 24th on every type has room without end, so this is never near
 MORE = 4  # digits that a phone number gets when all of its length are taken
 
 EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}](?:[\p{L}\p{N}._%+\-]{0,62}[\p{L}\p{N}_%+\-])?@[\p{L}\p{N}](?:[\p{L}\p{N}\-]{0,62})?(?:\.[\p{L}\p{N}\-]{1,63}){0,6}\.\p{L}{2,24}"
@@ -39,7 +40,7 @@ PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .\-]?)(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?
 MALE = "Mr|Mister|Sir|Herr|Monsieur|Señor|Sr|Господин"
 FEMALE = "Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Srta|Госпожа"
 OPEN = "Dr|Prof|Professor|Доктор"
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE}|{OPEN})\.?[ ]\p{{Lu}}\p{{L}}{{1,30}}(?:[ \-]\p{{Lu}}\p{{L}}{{1,30}}){{0,2}}"
+NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE}|{OPEN})\.?[ ]\p{{Lu}}\p{{L}}+(?:[ \-]\p{{Lu}}\p{{L}}+){{0,15}}"
 #: Each part starts with a look at one character, so that most places in a text are left at once.
 NUMBERS = rf"(?=[\d+(])(?:{IPV4}|{SSN}|{CARD}|{PHONE})"
 TITLED = rf"(?=[MSHFDPГД]){NAME}"
@@ -84,7 +85,7 @@ def _entity(m: Column) -> Column:
     none = F.lit(None).cast("string")
     title = F.regexp_extract(m, rf"^(?:{MALE}|{FEMALE}|{OPEN})\.?[ ]", 0)
     gender = F.when(title.rlike(rf"^(?:{MALE})\.?[ ]$"), "m").when(title.rlike(rf"^(?:{FEMALE})\.?[ ]$"), "f").otherwise("x")
-    rest = F.split(F.substring(m, F.char_length(title) + 1, 1000), "(?<=[ \\-])|(?=[ \\-])")
+    rest = F.split(F.substring(m, F.char_length(title) + 1, F.char_length(m)), "(?<=[ \\-])|(?=[ \\-])")
     words = F.transform(
         rest,
         lambda w, i: F.when(w.isin(" ", "-"), _piece(None, none, w)).otherwise(
@@ -139,23 +140,35 @@ def _like(word: Column, stream: Column) -> Column:
     return F.array_join(F.transform(F.split(word, ""), each), "")
 
 
+def _syllables(script: str, s: Column, many: Column) -> Column:
+    """A name of so many syllables, up to nine."""
+    names = [_pick(SYLLABLES[script], _number(s, i)) for i in range(9)]
+    return F.array_join(F.slice(F.array(*names), F.lit(1), F.least(many, F.lit(9)).cast("int")), "")
+
+
 def _surname(script: str, s: Column, attempt: Column) -> Column:
-    parts = [_pick(SYLLABLES[script], _number(s, i)) for i in range(3)]
-    return F.concat(*parts, F.when(attempt > 3, _pick(SYLLABLES[script], _number(s, 3))).otherwise(""), F.when(attempt > 8, _pick(SYLLABLES[script], _number(s, 4))).otherwise(""))
+    return _syllables(script, s, 3 + F.floor(attempt / 4))
+
 
+#: Endings of given names that are made up, by script and gender.
+ENDINGS = {("latin", "m"): "o", ("latin", "f"): "a", ("latin", "x"): "i", ("cyrillic", "m"): "ан", ("cyrillic", "f"): "а", ("cyrillic", "x"): "и"}
 
-def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
-    """The canonical surrogate that an entity draws at an attempt."""
+
+def surrogate(kind: Column, canon: Column, host: Column, attempt: Column, key: str) -> Column:
+    """The canonical surrogate that an entity draws at an attempt. host: the surrogate of an address' domain."""
     s = _stream(key, attempt, kind, canon)
     n = [_number(s, i) for i in range(8)]
-    local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
-    labels = F.split(F.regexp_replace(domain, r"\.[^.]+$", ""), r"\.")
-    host = F.array_join(F.transform(labels, lambda w: _like(w, _stream(key, F.lit(0), F.lit("domain"), w))), ".")
-    more = F.when(attempt > 2, _like(F.lit("aaaaaa"), F.reverse(s))).otherwise("")
-    email = F.concat(_like(local, s), more, F.lit("@"), host, F.lit("."), F.substring_index(domain, ".", -1))
+    letters = lambda k: F.when(attempt > 2, _like(F.lit("a" * k), F.reverse(s))).otherwise("")
+    email = F.concat(_like(F.substring_index(canon, "@", 1), s), letters(6), F.lit("@"), host)
+    # a label stands for the same label in every domain, unless that gives a domain that is taken
+    labels = F.split(F.regexp_replace(canon, r"\.[^.]+$", ""), r"\.")
+    domain = F.concat(F.array_join(F.transform(labels, lambda w: _like(w, _stream(key, attempt, F.lit("domain"), w))), "."), letters(6), F.lit("."), F.substring_index(canon, ".", -1))
     digits = lambda x, size: F.lpad((x % F.pow(F.lit(10), size).cast("long")).cast("string"), size, "0")
-    ip = F.concat_ws(".", n[0] % 15 + 240, n[1] % 256, n[2] % 256, n[3] % 256)
-    ssn = F.concat_ws("-", 900 + n[0] % 100, F.lpad((n[1] % 99 + 1).cast("string"), 2, "0"), F.lpad((n[2] % 9999 + 1).cast("string"), 4, "0"))
+    # reserved blocks first, then all of the form, then with digits behind it
+    beyond = F.when(attempt < 24, "").otherwise(F.concat(F.lit("-"), digits(n[5], F.lit(12))))
+    ip = F.concat(F.concat_ws(".", F.when(attempt < 12, n[0] % 15 + 240).otherwise(n[0] % 255 + 1), n[1] % 256, n[2] % 256, n[3] % 256), beyond)
+    area = F.when(attempt < 12, 900 + n[0] % 100).otherwise(n[0] % 999 + 1)
+    ssn = F.concat(F.concat_ws("-", F.lpad(area.cast("string"), 3, "0"), F.lpad((n[1] % 99 + 1).cast("string"), 2, "0"), F.lpad((n[2] % 9999 + 1).cast("string"), 4, "0")), beyond)
     size = F.char_length(canon)
     body = F.concat(F.substring(canon, 1, 1), F.substring(F.concat(digits(n[0], F.lit(10)), digits(n[1], F.lit(10))), F.lit(1), size - 2))
     check = ((10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")
@@ -164,13 +177,13 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     # short numbers have few free digits: later attempts free the country code too, the last ones add MORE digits
     keep = F.when(attempt < 8, 3).when(attempt < 16, 1).otherwise(0)
     abroad = F.concat(F.substring(canon, F.lit(1), keep), F.substring(F.concat(digits(n[0], F.lit(10)), digits(n[1], F.lit(10))), F.lit(1), size - keep), F.when(attempt >= 24, digits(n[2], F.lit(MORE))).otherwise(""))
-    out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "ssn", ssn).when(kind == "card", card)
+    out = F.when(kind == "email", email).when(kind == "domain", domain).when(kind == "ip", ip).when(kind == "ssn", ssn).when(kind == "card", card)
     out = out.when(kind == "phone", F.when((size == 11) & canon.startswith("1"), north).otherwise(abroad))
     for script in SYLLABLES:
         out = out.when(kind == f"surname:{script}", _surname(script, s, attempt))
         for g in "mfx":
-            tail = F.when(attempt > 4, F.concat(F.lit(" "), _surname(script, s, attempt))).otherwise("")
-            out = out.when(kind == f"given:{script}:{g}", F.concat(F.lower(_pick(GIVEN[script, g], n[0])), tail))
+            made = F.concat(_syllables(script, s, 1 + F.floor(attempt / 4)), F.lit(ENDINGS[script, g]))
+            out = out.when(kind == f"given:{script}:{g}", F.when(attempt < 5, F.lower(_pick(GIVEN[script, g], n[0]))).otherwise(made))
     return out
 
 
@@ -191,37 +204,58 @@ def _render(kind: Column, raw: Column, to: Column) -> Column:
     return F.when(kind == "phone", F.concat(filled, more)).when(kind == "card", filled).otherwise(cased)
 
 
-def dictionary(entities: DataFrame, key: str) -> DataFrame:
-    """kind, canon, surrogate for distinct entities (kind, canon); no surrogate is shared or a real entity of its type."""
+def _drawn(entities: DataFrame, key: str) -> DataFrame:
+    """kind, canon, surrogate for distinct entities (kind, canon, host); no surrogate is shared or a real entity of its type."""
     family = F.substring_index("kind", ":", 1)
-    real = entities.select(family.alias("family"), F.col("canon").alias("taken")).distinct()
-    real, pending, done = durable(real), durable(entities), []
-    for attempt in range(ROUNDS):
-        drawn = pending.withColumn("surrogate", surrogate(F.col("kind"), F.col("canon"), F.lit(attempt), key)).withColumn("family", family)
+    entities = durable(entities.withColumn("attempt", F.lit(0)))  # a column, so that every round runs the same compiled code
+    real, pending, done = entities.select(family.alias("family"), F.col("canon").alias("taken")).distinct(), entities, []
+    for _ in range(ROUNDS):
+        drawn = pending.withColumn("surrogate", surrogate(F.col("kind"), F.col("canon"), F.col("host"), F.col("attempt"), key)).withColumn("family", family)
         mine = F.row_number().over(Window.partitionBy("family", "surrogate").orderBy("kind", "canon"))
         clash = real.select("family", F.col("taken").alias("surrogate"), F.lit(True).alias("clash"))
         drawn = drawn.withColumn("mine", mine).join(clash, ["family", "surrogate"], "left")
-        drawn = durable(drawn.select("kind", "canon", "surrogate", "family", ((F.col("mine") == 1) & F.col("clash").isNull()).alias("good")))
+        drawn = durable(drawn.select("kind", "canon", "host", "attempt", "surrogate", "family", ((F.col("mine") == 1) & F.col("clash").isNull()).alias("good")))
         done.append(drawn.where("good").select("kind", "canon", "surrogate"))
-        pending = drawn.where("NOT good").select("kind", "canon")
+        pending = drawn.where("NOT good").select("kind", "canon", "host", (F.col("attempt") + 1).alias("attempt"))
         if pending.isEmpty():
             return reduce(DataFrame.unionByName, done)
         real = durable(real.unionByName(drawn.where("good").select("family", F.col("surrogate").alias("taken"))))
     raise RuntimeError("some entities found no free surrogate")
 
 
+def dictionary(entities: DataFrame, key: str) -> DataFrame:
+    """kind, canon, surrogate for distinct entities (kind, canon). Domains come first: they are entities too, which addresses share."""
+    none = F.lit(None).cast("string").alias("host")
+    domain = F.substring_index("canon", "@", -1)
+    mails = durable(entities.where("kind = 'email'").select("kind", "canon", domain.alias("domain")))
+    domains = durable(mails.groupBy("domain").agg(F.count("*").alias("many")))
+    hosts = _drawn(domains.select(F.lit("domain").alias("kind"), F.col("domain").alias("canon"), none), key)
+    hosts = durable(domains.join(hosts.select(F.col("canon").alias("domain"), F.col("surrogate").alias("host")), "domain"))
+    return _drawn(entities.where("kind <> 'email'").select("kind", "canon", none).unionByName(join_groups(mails, hosts, ["domain"], "many").select("kind", "canon", "host")), key)
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that the session names; where it names none, one is drawn and kept for the session, so that no known key is ever used."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
 def replace(docs: DataFrame, key: str | None = None) -> DataFrame:
     """The documents with every entity replaced, all columns as they were. Without a key it is the session's."""
-    key = key or docs.sparkSession.conf.get(KEY_SETTING, KEY)
+    key = key or session_key(docs.sparkSession)
     columns = docs.columns
     mine = ["_row_id", "_row_hash", "_pieces", "_done"]
     split = with_mentions(docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col("doc_id").alias("_row_id"), F.col("text").cast("string").alias("text")))
     plain = split.where(F.col("mentions").isNull()).select("row.*")
-    holds = split.where(F.col("mentions").isNotNull()).select("row", "_row_id", F.xxhash64("text").alias("_row_hash"), pieces().alias("_pieces"))
+    holds = split.where(F.col("mentions").isNotNull()).select("row", "_row_id", F.unhex(F.sha2("text", 256)).alias("_row_hash"), pieces().alias("_pieces"))
     holds = durable(holds)
     mention = holds.select(*mine[:2], F.posexplode("_pieces").alias("i", "p")).where("p.kind IS NOT NULL").select(*mine[:2], "i", "p.kind", "p.canon", "p.raw")
-    names = durable(dictionary(mention.select("kind", "canon").distinct(), key))
-    told = mention.join(names, ["kind", "canon"]).select(*mine[:2], F.struct("i", _render(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("s")).alias("e"))
+    counted = durable(mention.groupBy("kind", "canon").agg(F.count("*").alias("many")))
+    names = durable(dictionary(counted.select("kind", "canon"), key).join(counted, ["kind", "canon"]))
+    told = join_groups(mention, names, ["kind", "canon"], "many").select(*mine[:2], F.struct("i", _render(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("s")).alias("e"))
     told = told.groupBy(*mine[:2]).agg(F.map_from_entries(F.collect_set("e")).alias("_done"))
     rebuilt = F.array_join(F.transform("_pieces", lambda p, i: F.coalesce(F.element_at("_done", i), p["raw"])), "")
     on = holds["_row_id"].eqNullSafe(told["_row_id"]) & (holds["_row_hash"] == told["_row_hash"])

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -96,3 +97,107 @@ def test_mentions_against_plain_patterns(spark, odd):
     for r in pii.with_mentions(df.where("text IS NOT NULL")).collect():
         want = [m.group() for m in both["@" in r.text].finditer(r.text)]
         assert (r.mentions or []) == want, r.text
+
+
+def test_names_of_any_length(spark):
+    long = "B" + "a" * 80
+    docs = spark.createDataFrame([(1, f"Mr. John {long} met Mrs. Ana Maria Garcia Lopez Perez Ruiz today")], "doc_id long, text string")
+    out = pii.replace(docs, "k").first().text
+    assert re.fullmatch(r"Mr\. (\w+) (\w+) met Mrs\. \w+( \w+){5} today", out)
+    assert not set(out.split()) & {"John", "Ana", "Maria", "Garcia", "Lopez", "Perez", "Ruiz"} and "aaaa" not in out
+
+
+def test_more_given_names_than_the_lists_hold(spark):
+    """Still one word each, all distinct, none a real one, and women's names end as such."""
+    names = [f"{chr(65 + i % 26)}{chr(97 + i // 26)}nn{chr(97 + i % 7)}" for i in range(400)]
+    docs = spark.createDataFrame([(i, f"Mrs. {n} Miller came.") for i, n in enumerate(names)], "doc_id long, text string")
+    out = [re.fullmatch(r"Mrs\. (\w+) (\w+) came\.", r.text).groups() for r in pii.replace(docs, "k").collect()]
+    given = {g for g, _ in out}
+    assert len(given) == len(set(names)) and len({s for _, s in out}) == 1 and not given & set(names)
+    assert all(g in pii.GIVEN["latin", "f"] or g.endswith("a") for g in given)
+
+
+def test_domains_stay_distinct_and_are_not_real(spark):
+    """More domains of one letter than there are letters."""
+    hosts = [f"{chr(97 + i)}.org" for i in range(26)] + [f"{chr(97 + i)}{chr(97 + j)}.org" for i in range(6) for j in range(6)]
+    docs = spark.createDataFrame([(i, f"to me@{h} and you@{h}") for i, h in enumerate(hosts)], "doc_id long, text string")
+    out = [re.fullmatch(r"to (\w+)@(\S+) and (\w+)@(\S+)", r.text).groups() for r in pii.replace(docs, "k").collect()]
+    assert all(a == b for _, a, _, b in out) and all(a.endswith(".org") for _, a, _, _ in out)
+    assert len({a for _, a, _, _ in out}) == len(hosts) and not {a for _, a, _, _ in out} & set(hosts)
+
+
+def test_a_session_without_a_key_draws_its_own(spark):
+    docs = spark.createDataFrame([(1, "mail jo.doe@host.example")], "doc_id long, text string")
+    had = spark.conf.get(pii.KEY_SETTING, None)
+    spark.conf.unset(pii.KEY_SETTING)
+    try:
+        first = pii.replace(docs).first().text
+        assert pii.replace(docs).first().text == first and len(pii.session_key(spark)) == 64
+    finally:
+        spark.conf.set(pii.KEY_SETTING, had) if had else spark.conf.unset(pii.KEY_SETTING)
+
+
+def plain_stream(key, attempt, *parts):
+    return hashlib.sha512("\u0001".join([key, *parts, str(attempt)]).encode()).hexdigest()
+
+
+def plain_like(word, stream):
+    out = []
+    for i, c in enumerate(word):
+        at = int(stream[i % 64 * 2 : i % 64 * 2 + 2], 16)
+        out.append("0123456789"[at % 10] if c.isdigit() else pii.LOWER[at % 26] if c.isalpha() else c)
+    return "".join(out)
+
+
+def plain_surrogates(found, key):
+    """Drawing and collisions of addresses, domains, IPv4 and security numbers, by plain loops."""
+
+    def draw(entities, make):
+        taken, out, pending, attempt = {c for c, _ in entities}, {}, sorted(entities), 0
+        while pending:
+            drawn, left, new = set(), [], {}
+            for canon, host in pending:
+                s = make(canon, host, attempt)
+                if s in taken or s in drawn:
+                    left.append((canon, host))
+                else:
+                    new[canon] = s
+                drawn.add(s)
+            out |= new
+            taken |= set(new.values())
+            pending, attempt = left, attempt + 1
+        return out
+
+    more = lambda s, attempt: plain_like("a" * 6, s[::-1]) if attempt > 2 else ""
+    n = lambda s, i: int(s[12 * i : 12 * i + 12], 16)
+
+    def domain(canon, _, attempt):
+        *labels, top = canon.split(".")
+        return ".".join(plain_like(w, plain_stream(key, attempt, "domain", w)) for w in labels) + more(plain_stream(key, attempt, "domain", canon), attempt) + "." + top
+
+    def email(canon, host, attempt):
+        s = plain_stream(key, attempt, "email", canon)
+        return plain_like(canon.split("@")[0], s) + more(s, attempt) + "@" + host
+
+    def ip(canon, _, attempt):
+        s = plain_stream(key, attempt, "ip", canon)
+        return f"{n(s, 0) % 15 + 240}.{n(s, 1) % 256}.{n(s, 2) % 256}.{n(s, 3) % 256}"
+
+    def ssn(canon, _, attempt):
+        s = plain_stream(key, attempt, "ssn", canon)
+        return f"{900 + n(s, 0) % 100}-{n(s, 1) % 99 + 1:02d}-{n(s, 2) % 9999 + 1:04d}"
+
+    hosts = draw({(c.split("@")[1], None) for k, c in found if k == "email"}, domain)
+    out = {("email", c): s for c, s in draw({(c, hosts[c.split("@")[1]]) for k, c in found if k == "email"}, email).items()}
+    for kind, make in (("ip", ip), ("ssn", ssn)):
+        out |= {(kind, c): s for c, s in draw({(c, None) for k, c in found if k == kind}, make).items()}
+    return out
+
+
+def test_drawing_against_plain_loops(spark):
+    rnd = random.Random(9)
+    rows = [(i, f"{rnd.choice('ab')}{rnd.choice(['', '.x', '9'])}@{rnd.choice('abcdefghijklmnopqrstuvw')}{rnd.choice(['', '.b'])}.net or 10.0.{rnd.randrange(3)}.{i % 256} and {rnd.randint(1, 5) + 100}-{rnd.randint(10, 20)}-{rnd.randint(1000, 1040)}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.entities(df).select("kind", "canon").distinct()
+    got = {(r.kind, r.canon): r.surrogate for r in pii.dictionary(found, "k").collect()}
+    assert got == plain_surrogates({(r.kind, r.canon) for r in found.collect()}, "k")
