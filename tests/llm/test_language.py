@@ -1,7 +1,5 @@
 import random
 
-import pytest
-
 from tallyspark.llm import language as L
 
 SYLL = {"aa": "an er ti on re st ou in of hea wh ble ly nd".split(), "bb": "éau oui ré tre ment eux ç la que des".split(), "cc": "ung keit sch ein ver ß ach der tz ö".split()}
@@ -65,9 +63,19 @@ def test_against_one_call_for_each_language(spark):
         assert r.best == model[sizes.index(first)][0] and r.lang == (r.best if (second - first) / first >= L.REJECT else "und")
 
 
-def test_too_many_languages(spark, monkeypatch):
-    monkeypatch.setattr(L, "LANGUAGES", 3)
-    rows = spark.range(8).selectExpr("id AS doc_id", "concat('text ', id) AS text", "CAST(id % 4 AS STRING) AS lang")
-    with pytest.raises(ValueError):
-        L.fit(rows)
-    assert {name for name, _ in L.fit(rows.where("lang < '3'"))} == {"0", "1", "2"}
+def test_very_many_languages(spark, monkeypatch):
+    """None is left out: dictionaries get smaller, and coders made group by group give the same verdicts."""
+    monkeypatch.setattr(L, "GROUP", 4)
+    rnd = random.Random(2)
+    rows = []
+    for lang in range(14):
+        words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(25)]
+        rows += [(len(rows) + i, " ".join(rnd.choice(words) for _ in range(60)), f"l{lang}") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(df)
+    assert {name for name, _ in model} == {f"l{i}" for i in range(14)}
+    judge = L.Judge(model)
+    assert len(judge.groups) == 4 and [best for best, *_ in judge([r[1] for r in rows])] == [r[2] for r in rows]
+    monkeypatch.setattr(L, "MODEL_BYTES", 14 * 300)
+    small = L.fit(df)
+    assert {name for name, _ in small} == {name for name, _ in model} and all(0 < len(d) <= 300 for _, d in small)

@@ -21,7 +21,7 @@ def test_language(spark, long):
     model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     # most of the text, and all but its first part, is in the second language
     mixed = long[:100_000].replace("a", "я").replace("s", "ш") + long[100_000:]
-    best, _, score, margin = language.Judge(model)(mixed)
+    ((best, _, score, margin),) = language.Judge(model)([mixed])
     assert best == "b" and score > 0.99 and margin > 0
 
 
