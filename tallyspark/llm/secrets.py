@@ -30,6 +30,7 @@ SAMPLE = 20_000
 WORDS = 2_000
 WORD_SHARE = 0.001  # of the documents that hold a word of the dictionary
 WORD_DOCS = 5  # in fewer documents a word isn't common, however small the table
+FOLD = 256  # candidates of a text that are placed at once
 AROUND = 60  # characters of context on either side
 TREES, DEPTH = 25, 7
 KEEP = 0.5
@@ -39,11 +40,11 @@ _PLACES = 1 << 20
 FORMATS = r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_\-]{35}|sk_live_[0-9A-Za-z]{16,}|glpat-[A-Za-z0-9_\-]{20}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{4,}"
 BLOCK = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}?-----END [A-Z ]{0,20}PRIVATE KEY-----"
 NAMES = "token|secret|passw(?:or)?d|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|credential|bearer"
-ASSIGNED = rf"(?i:(?<![a-z])(?:[a-z0-9_\-]{{0,30}})(?:{NAMES})(?:[a-z0-9_\-]{{0,20}})[\"']?\s{{0,3}}(?:=|:=|:|=>)\s{{0,3}}[\"']?)([A-Za-z0-9+/=_\-.!@#$%^&*]{{8,}})"
+ASSIGNED = rf"(?i:(?<![a-z])(?:[a-z0-9_\-]{{0,200}})(?:{NAMES})(?:[a-z0-9_\-]{{0,200}}+)[\"']?\s{{0,3}}(?:=|:=|:|=>)\s{{0,3}}[\"']?)([A-Za-z0-9+/=_\-.!@#$%^&*]{{8,}})"
 LONG = r"(?<![A-Za-z0-9+/=_\-])[A-Za-z0-9+/=_\-]{20,}(?![A-Za-z0-9+/=_\-])"
 ANY = f"{BLOCK}|{FORMATS}|{ASSIGNED}|{LONG}"
 #: Found in every text that holds a match of ANY: a cheap test before it.
-MAYBE = rf"[A-Za-z0-9+/=_\-]{{20}}|PRIVATE KEY|xox[abprs]-|eyJ|(?i:(?:{NAMES})[a-z0-9_\-]{{0,20}})[\"']?\s{{0,3}}[=:]"
+MAYBE = rf"[A-Za-z0-9+/=_\-]{{20}}|PRIVATE KEY|xox[abprs]-|eyJ|(?i:(?:{NAMES})[a-z0-9_\-]{{0,200}}+)[\"']?\s{{0,3}}[=:]"
 EXAMPLES = "example|sample|placeholder|dummy|changeme|your[_-]|xxxx|test|fake|todo|redacted"
 
 FEATURES = ["size", "upper", "lower", "digit", "sign", "turns", "distinct", "hex", "words", "longest", "named", "quoted", "format", "in_path", "near_secret", "near_example"]
@@ -55,12 +56,19 @@ def candidates(docs: DataFrame) -> DataFrame:
     text = text.withColumn("found", F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).where(F.size("found") > 0)
     gaps = F.split("text", ANY, -1)
     sizes = F.zip_with(F.slice(gaps, 1, F.size("found")), "found", lambda g, m: F.struct(F.char_length(g).alias("g"), F.char_length(m).alias("m")))
-    placed = F.aggregate(
-        sizes,
-        F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda a, x: F.struct((a["at"] + x["g"] + x["m"]).alias("at"), F.concat(a["all"], F.array(a["at"] + x["g"])).alias("all")),
-        lambda a: a["all"],
-    )
+    # running sums chunk by chunk: no array that grows is longer than FOLD, or than the number of chunks
+    chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size("found") / FOLD).cast("int") - 1), lambda k: F.slice(sizes, k * FOLD + 1, F.lit(FOLD)))
+    none = F.array().cast("array<int>")
+
+    def step(a: Column, x: Column) -> Column:
+        return F.struct((a["at"] + x["g"] + x["m"]).alias("at"), F.concat(a["all"], F.array(a["at"] + x["g"])).alias("all"))
+
+    def chunk(a: Column, c: Column) -> Column:
+        begin = F.struct(a["at"].alias("at"), none.alias("all"))
+        return F.aggregate(c, begin, step, lambda s: F.struct(s["at"].alias("at"), F.concat(a["all"], F.array(s["all"])).alias("all")))
+
+    begin = F.struct(F.lit(1).alias("at"), F.array().cast("array<array<int>>").alias("all"))
+    placed = F.aggregate(chunks, begin, chunk, lambda a: F.flatten(a["all"]))
     both = F.arrays_zip(placed.alias("at"), F.col("found").alias("m"), F.slice(gaps, 1, F.size("found")).alias("l"), F.slice(gaps, 2, F.size("found")).alias("r"))
     rows = text.select("doc_id", F.explode(both).alias("x")).select("doc_id", F.col("x.at").alias("at"), F.col("x.m").alias("match"), F.col("x.l").alias("l"), F.col("x.r").alias("r"))
     inner = F.regexp_extract("match", f"^{ASSIGNED}$", 1)

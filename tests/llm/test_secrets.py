@@ -176,3 +176,12 @@ def test_precision_and_recall_on_held_out_findings(spark):
     both = docs.where("doc_id >= 450").join(out, "doc_id", "left").collect()
     hit = sum(bool(r.kept) and r.truth == 1 for r in both)
     assert hit / sum(r.truth for r in both) >= 0.95 and hit / sum(bool(r.kept) for r in both) >= 0.95
+
+
+def test_many_candidates_and_long_names(spark):
+    """Places of thousands of candidates in one text, and values of names with much before or behind the secret's word."""
+    parts = [f"{'a' * (i % 9)} key_{i:05d}_password_of_the_reporting_service_of_the_company = v{i:06d}xyz!" for i in range(1500)]
+    text = " ".join(parts) + " " + "very_long_name_" * 6 + "token: abc123def456"
+    rows = S.candidates(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert len(rows) == 1501 and all(text[r.place - 1 :].startswith(r.value) for r in rows)
+    assert {r.value for r in rows} == {f"v{i:06d}xyz!" for i in range(1500)} | {"abc123def456"}
