@@ -1,7 +1,7 @@
 """Vectorised scans of UTF-8 text with numpy, for use inside Arrow batches.
 
-Words are runs of bytes other than space and 0x09-0x0D. Spans of bytes are numbered exactly within a slice, or hashed with
-XXH3; sequences of words hash as polynomials over the word hashes, which are random numbers to each other. A slice has about
+Words are runs of bytes other than space and 0x09-0x0D. Spans of bytes are numbered exactly within a slice, or hashed by
+mixing their bytes in; sequences of words hash as polynomials over the word hashes, which are random numbers to each other. A slice has about
 BLOCK bytes, or one text, so the memory beyond the text itself is bounded by the longest text's words.
 """
 
@@ -21,6 +21,7 @@ _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 _STEP = 0xD6E8FEB86659FD93
 SEED = 20240607
+LONG = 256  # bytes of a span
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, *range(9, 14)]] = True
@@ -108,12 +109,25 @@ def numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span, the same in every call. Equal spans are told by their bytes; each distinct one is hashed once."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    found = spans(data, starts, ends).dictionary_encode()
-    each = np.fromiter((xxhash.xxh3_64_intdigest(x, SEED) for x in found.dictionary.to_pylist()), np.uint64, len(found.dictionary))
-    return mix(each)[found.indices.to_numpy()]
+    """A 64-bit hash of each span, the same in every call: eight bytes after the other are mixed in; long spans go through XXH3."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * np.uint64(_STEP) + np.uint64(SEED))
+    if not len(size):
+        return out
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(data) + 1,), (1,))  # the eight bytes from each place on
+    todo = np.flatnonzero(size <= LONG)
+    for k in range(0, LONG, 8):
+        todo = todo[size[todo] > k]
+        if not len(todo):
+            break
+        unused = np.maximum(8 - (size[todo] - k), 0).astype(np.uint64) * np.uint64(8)
+        lane = eight[starts[todo] + k] << unused  # a little-endian machine has the bytes behind the span on top
+        out[todo] = mix(out[todo] * np.uint64(_STEP) ^ mix(lane + np.uint64(k + 1)))
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), SEED)
+    return mix(out)
 
 
 def windows(words: np.ndarray, of: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
