@@ -31,6 +31,7 @@ SAMPLE = 400
 PIECE = 600
 DICTIONARY = 110 << 10
 MODEL_BYTES = 64 << 20  # of all dictionaries, which go to every task: with more languages each one's is smaller, and none is left out
+FEW = 100_000  # languages up to which their table is broadcast
 GROUP = 64  # coders that a task holds at once
 CHUNK, LEVEL = 768, 8
 REJECT = 0.02
@@ -61,7 +62,8 @@ def fit(train: DataFrame, sample: int = SAMPLE) -> list[tuple[str, bytes]]:
     room = max(64, min(DICTIONARY, MODEL_BYTES // len(found)))
     sample = min(sample, max(1, 4 * room // PIECE))
     counts = train.sparkSession.createDataFrame([(r["lang"], min(_PLACES, math.ceil(1.2 * sample / r["count"] * _PLACES))) for r in found], "lang string, share long")
-    picked = train.join(F.broadcast(counts), "lang").where(F.pmod(_hash(), F.lit(_PLACES)) < F.col("share"))
+    counts = F.broadcast(counts) if len(found) <= FEW else counts
+    picked = train.join(counts, "lang").where(F.pmod(_hash(), F.lit(_PLACES)) < F.col("share"))
     size = min(PIECE, room)
     start = F.pmod(_hash(), F.greatest(F.lit(1), F.char_length("text") - size)) + 1
     piece = F.substring("text", start, F.lit(size))
