@@ -41,8 +41,8 @@ from .near_dedup import _common, full_sets, set_keys, shingles
 WIDTH = 1 << 16  # bits of a slice
 ROWS = 512  # nodes of a block, about
 BYTES = 8 << 20  # of a block's sets, about
-DENSE = 4  # pairs for each row of a block up to which they are put out
-STARS = 3  # rounds in which nodes meet one node of each slice
+DENSE = 16  # pairs for each row of a block up to which they are put out
+STARS = 2  # rounds in which nodes meet one node of each slice
 LEAST_BITS = 512  # of a folded sketch
 SPARE = 16  # one slice in so many more than the pigeonhole needs, so that weak ones can be left out
 
