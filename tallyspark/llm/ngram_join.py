@@ -15,9 +15,12 @@ differ. That gives an exact join, nothing is missed:
 
 Bands overlap so that both sets of any similar pair are in one of them; a set is in one or two. Equal sets are one node.
 In STARS rounds every node meets one node of each slice it shares; then, in slices that still hold different components, nodes
-of different ones meet in pairs of blocks, with their sketches alone; blocks are bounded by rows and bytes. Full sets follow
-for pairs that the sketches allow, as a stream, one pair in memory at a time. A block where very many are allowed doesn't put
-out pairs: its nodes get their sets, and only links come out. Nothing is capped.
+of different ones meet in pairs of blocks, with their sketches alone; blocks are bounded by rows and bytes. That is done twice:
+first each node puts out the nearest one that its sketch allows, a pair a row at most, then, in slices that hold different
+components even so, all that are allowed. A pair that meets in several slices is put out in one: each node knows the
+first FIRSTS slices it meets others in, and a later slice leaves out pairs that share one of them. Full sets follow for pairs
+put out, as a stream, one pair in memory at a time. A block where very many are allowed doesn't put out pairs: its nodes get
+their sets, and only links come out. Nothing is capped.
 
 Defined cases: a null text has no words; a text without words has an empty set and is linked with nothing, its component is
 its own id; with fewer than `size` words the whole sequence is one shingle; rows that repeat share a set; null ids are
@@ -42,7 +45,8 @@ WIDTH = 1 << 16  # bits of a slice
 ROWS = 512  # nodes of a block, about
 BYTES = 8 << 20  # of a block's sets, about
 DENSE = 16  # pairs for each row of a block up to which they are put out
-STARS = 2  # rounds in which nodes meet one node of each slice
+STARS = 1  # rounds in which nodes meet one node of each slice
+FIRSTS = 16  # slices of a node by which a pair is known to have met before
 LEAST_BITS = 512  # of a folded sketch
 SPARE = 16  # one slice in so many more than the pigeonhole needs, so that weak ones can be left out
 
@@ -171,33 +175,54 @@ def _blocks(batches: Iterator[pa.RecordBatch], rows: int, work: int) -> Iterator
         yield tuple(held)
 
 
-def _met(percent: int):
-    """What a block's sizes and sketches allow among nodes of different components. Rows are (block, node, side, root, n, sketch).
+def met_before(slices: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Whether the first slices of both nodes of each pair, a row each, have one in common that is less than the pair's slice."""
+    return ((one[:, :, None] == two[:, None, :]) & (one < slices[:, None])[:, :, None]).any((1, 2))
+
+
+def _met(percent: int, nearest: bool):
+    """What a block's sizes and sketches allow among nodes of different components. Rows are (block, node, side, root, n, sketch, slice, firsts).
 
     In a block of side 0 all nodes meet, else those of side 1 those of side 2. A block with few such pairs puts out the pairs
-    (u, v), one where most nodes are alike puts out its nodes that have any (block, u), and never the pairs. Small blocks are
-    compared many at once: each row with the one a step behind it, for every step.
+    (u, v), one where most nodes are alike puts out its nodes that have any (block, u), and never the pairs. With `nearest`
+    each node puts out one pair at most. Small blocks are compared many at once: each row with the one a step behind it, for every step.
     """
 
-    def compared(block, node, side, root, n, sketch) -> pa.RecordBatch:
+    def compared(block, node, side, root, n, sketch, slices, firsts) -> pa.RecordBatch:
         number = np.unique(np.array(block), return_inverse=True)[1]
         name, node, side, root, n = block, np.array(node), np.array(side), np.array(root), np.array(n)
         bits, of = short(sketch), np.bincount(number)
         longest, dense = int(of.max()), np.zeros(len(of), bool)
         pairs, some, held = np.zeros(len(of), np.int64), np.zeros(len(node), bool), []
+        slices, first = np.array(slices), np.full((len(node), FIRSTS), np.iinfo(np.int64).max)
+        for k, x in enumerate(firsts):
+            first[k, : len(x)] = x
+        least, mate = np.full(len(node), LEAST_BITS + 1), np.full(len(node), -1)
         for step in range(1, longest):
             i = np.flatnonzero((number[step:] == number[:-step]) & (root[step:] != root[:-step]))
             j = i + step
             most = (n[i] + n[j]) * (100 - percent) // (100 + percent)
             ok = ((side[i] == 0) | (side[i] != side[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
             i, j, most = i[ok], j[ok], most[ok]
-            ok = np.bitwise_count(bits[i] ^ bits[j]).sum(1) <= most
-            i, j, most = i[ok], j[ok], most[ok]
+            away = np.bitwise_count(bits[i] ^ bits[j]).sum(1)
+            ok = away <= most
+            i, j, most, away = i[ok], j[ok], most[ok], away[ok]
+            ok = ~met_before(slices[i], first[i], first[j])
+            i, j, most, away = i[ok], j[ok], most[ok], away[ok]
+            if nearest:
+                for a, b in ((i, j), (j, i)):
+                    closer = away < least[a]
+                    least[a[closer]], mate[a[closer]] = away[closer], b[closer]
+                continue
             some[i] = some[j] = True
             pairs += np.bincount(number[i], minlength=len(of))
             dense = pairs > DENSE * of
             few = ~dense[number[i]]
             held.append(np.stack([i[few], j[few], most[few]]))
+        if nearest:
+            i = np.flatnonzero(mate >= 0)
+            j = mate[i]
+            held = [np.stack([i, j, (n[i] + n[j]) * (100 - percent) // (100 + percent)])]
         i, j, most = np.concatenate(held, 1) if held else np.zeros((3, 0), np.int64)
         few = [(a, b) for a, b, m in zip(i.tolist(), j.tolist(), most.tolist(), strict=True) if not dense[number[a]] and distance(sketch[a], sketch[b]) <= m]
         two = np.unique(np.sort(node[np.array(few, np.int64).reshape(-1, 2)], axis=1), axis=0)
@@ -276,6 +301,23 @@ def _mixed(rows: DataFrame, rooted: DataFrame, turn: int) -> DataFrame:
     return durable(found.where("r0 <> r1").select("slice", "many", "most", F.col("one.node").alias("u"), F.col("one.root").alias("ru")))
 
 
+def _in_blocks(rows: DataFrame, rooted: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """slice, node of slices that hold several components, and the rows of their blocks, as _met takes them."""
+    mixed = _mixed(rows, rooted, turn)
+    mixed = durable(mixed.select("slice", "many", F.greatest(F.lit(1), F.ceil(F.col("many") / ROWS), F.ceil(F.col("many") * F.col("most") * 8 / BYTES)).cast("long").alias("parts")))
+    rows = written(join_groups(rows, mixed, ["slice"], "many").select("slice", "node", "parts"), "mixed-slices")
+    first = rows.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("slice")), 1, FIRSTS).alias("firsts"))
+    todo = rows.withColumn("part", F.pmod(F.xxhash64("node", "slice"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2)
+    block = F.concat_ws(",", F.col("slice").cast("string"), F.least("part", "other").cast("string"), F.greatest("part", "other").cast("string"))
+    todo = todo.select(block.alias("block"), "node", side.alias("side"), "slice").join(rooted.join(first, "node"), "node")
+    return rows.select("slice", "node"), todo.select("block", "node", "side", "root", "n", "sketch", "slice", "firsts")
+
+
+def _pairs_met(todo: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    return durable(map_batches(todo.repartition("block").sortWithinPartitions("block"), _met(percent, nearest), "block string, u long, v long"))
+
+
 def _joined(rooted: DataFrame, links: DataFrame) -> DataFrame:
     """rooted with the components that these links of nodes join."""
     if links.isEmpty():
@@ -315,18 +357,16 @@ def linked(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
         rooted = _joined(rooted, durable(confirmed(near, wanted, sets, percent)))
         rows = rows.select("slice", "node")
 
-    # all nodes of slices that still hold different components
-    mixed = _mixed(rows, rooted, STARS)
-    mixed = durable(mixed.select("slice", "many", F.greatest(F.lit(1), F.ceil(F.col("many") / ROWS), F.ceil(F.col("many") * F.col("most") * 8 / BYTES)).cast("long").alias("parts")))
-    todo = join_groups(rows, mixed, ["slice"], "many").withColumn("part", F.pmod(F.xxhash64("node", "slice"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2)
-    block = F.concat_ws(",", F.col("slice").cast("string"), F.least("part", "other").cast("string"), F.greatest("part", "other").cast("string"))
-    todo = todo.select(block.alias("block"), "node", side.alias("side")).join(rooted, "node").select("block", "node", "side", "root", "n", "sketch")
-    met = durable(map_batches(todo.repartition("block").sortWithinPartitions("block"), _met(percent), "block string, u long, v long"))
+    # all nodes of slices that still hold different components: the nearest of each node, then, where components still differ, all
+    rows, todo = _in_blocks(rows, rooted, STARS)
+    met = _pairs_met(todo, percent, nearest=True)
+    rooted = _joined(rooted, durable(confirmed(met.select("u", "v").distinct(), wanted, sets, percent)))
+    todo = _in_blocks(rows, rooted, STARS + 1)[1]
+    met = _pairs_met(todo, percent, nearest=False)
     more = confirmed(met.where("block IS NULL").select("u", "v").distinct(), wanted, sets, percent)
     alike = met.where("block IS NOT NULL").select("block", F.col("u").alias("node"))
     if not alike.isEmpty():
-        alike = todo.join(alike, ["block", "node"]).join(wanted.select("node", "key"), "node").join(sets.select("key", "members"), "key")
+        alike = todo.drop("slice", "firsts").join(alike, ["block", "node"]).join(wanted.select("node", "key"), "node").join(sets.select("key", "members"), "key")
         alike = alike.select("block", "node", "side", "root", "n", "sketch", "members").repartition("block").sortWithinPartitions("block")
         more = more.unionByName(map_batches(alike, _linked_in_blocks(percent), "u long, v long"))
     found = _joined(rooted, durable(more)).select("node", "root")

@@ -53,6 +53,37 @@ def test_blocks_of_alike_nodes(spark, monkeypatch):
     assert Counter(tuple(r) for r in J.ngram_join(df).collect()) == want(df.collect(), 4, 85)
 
 
+def test_pairs_put_out_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    """A large group of copies that drift about the threshold: a pair comes from one slice, and most nodes are joined by their nearest."""
+    made, kept = [], J.map_batches
+
+    def counted(df, run, schema):
+        out = kept(df, run, schema)
+        if schema == "block string, u long, v long":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "map_batches", counted)
+    monkeypatch.setattr(J, "STARS", 0)
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    base, other, rows = [word() for _ in range(300)], [word() for _ in range(60)], []
+    for i in range(300):  # those with two changes in common, or more, are linked: about one pair in twenty
+        words = list(base)
+        for k in rnd.sample(range(60), 5):
+            words[5 * k] = other[k]
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert Counter(tuple(r) for r in J.ngram_join(df).collect()) == want(df.collect(), 4, 85)
+    assert made and sum(made) <= 6 * len(rows), made
+
+
+def test_a_pair_has_met_before_where_an_earlier_slice_holds_both():
+    none = np.iinfo(np.int64).max
+    one, two = np.array([[1, 5, none], [1, 5, none], [-3, 5, none]]), np.array([[4, 5, none], [1, 5, none], [-3, none, none]])
+    assert J.met_before(np.array([5, 5, -3]), one, two).tolist() == [False, True, False]
+
+
 def test_odd_rows(odd):
     assert Counter(tuple(r) for r in J.ngram_join(odd).collect()) == want(odd.collect(), 4, 85)
 
