@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .common import durable, join_groups, map_batches, read
+from .common import durable, join_groups, map_batches, read, written
 
 LENGTH = 400
 WORDS = 50  # passages of so many words are told too
@@ -437,13 +437,15 @@ def passages_removed(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame,
     held = durable(join_groups(spots, twice, ["key"], "many").groupBy("t1").agg(F.collect_set(gram_at).alias("js"), F.size(F.collect_set(string)).alias("n_shared")))
     texts = durable(texts.withColumn("t1", _half("sha", 1)).join(held, "t1", "left").select("sha", "rep", "copies", "js", F.coalesce("n_shared", F.lit(0)).alias("n_shared")))
 
-    mine = docs.withColumn("sha0", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    todo = texts.where(F.size("js") > 0).select("sha", "rep", "copies", "js")
-    found = mine.join(todo, mine["doc_id"].eqNullSafe(todo["rep"]) & (mine["sha0"] == todo["sha"])).dropDuplicates(["sha"])
-    found = durable(found.select(F.monotonically_increasing_id().alias("tid"), "sha", "text", "js", "copies"))
+    # joined and made distinct by the same keys, so that whole texts are moved once; a null id is taken as 0, rows of one sha have one text
+    rep = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias("rep")
+    mine = docs.select(rep("doc_id"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"), "text")
+    todo = texts.where(F.size("js") > 0).select("sha", rep("rep"), "copies", "js")
+    found = mine.join(todo, ["rep", "sha"]).dropDuplicates(["rep", "sha"])
+    found = written(found.select(F.monotonically_increasing_id().alias("tid"), "sha", "text", "js", "copies"), "texts")
     chunks = map_batches(found.select("tid", "text", "js"), _chunk_rows(length, gram), "tid long, j long, key long, content long, p0 long, p1 long")
     one = F.min(F.struct("tid", "j", (F.col("p1") - F.col("p0") + 1).alias("many"))).alias("one")
-    contents = durable(chunks.groupBy("key", "content").agg(F.count("*").alias("n"), one))
+    contents = written(chunks.groupBy("key", "content").agg(F.count("*").alias("n"), one), "contents")
     full = chunks.join(contents.where("n > 1").select("key", "content"), ["key", "content"], "left_semi").select("tid", F.col("p0").alias("s"), (F.col("p1") + length).alias("e"))
     parts = _suffixes_met(found, contents, length, gram).select("tid", F.col("p").alias("s"), (F.col("p") + length).alias("e"))
 

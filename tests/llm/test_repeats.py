@@ -162,3 +162,13 @@ def test_splitters_grow_with_the_buckets(spark, monkeypatch):
     every = R._every(3)
     batches = [pa.RecordBatch.from_pydict({"x": list(range(a, b))}) for a, b in ((0, 4), (4, 5), (5, 12))]
     assert [x for b in every(batches) for x in b.column(0).to_pylist()] == [2, 5, 8, 11]
+
+
+def test_whole_texts_are_kept_compressed(spark, tmp_path):
+    """Texts that share a passage are kept beside the checkpoints; they take less room there than they have bytes."""
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    line = "the same few words come again and again in here, "
+    df = spark.createDataFrame([(i, f"{i} " + line * 2000 + f" {i}") for i in range(40)], "doc_id long, text string").repartition(4)
+    R.passages_removed(df)
+    kept = sum(f.stat().st_size for f in tmp_path.rglob("*") if f.is_file())
+    assert kept < sum(len(r.text) for r in df.collect()) / 2, kept
