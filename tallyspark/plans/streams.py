@@ -45,8 +45,16 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return checkpointed(rows)
 
 
+#: Of a file stream: a batch takes all that has landed.
+WHOLE = {"files_per_batch": None}
+
+
 def in_turn(frames: list[DataFrame], name: str, start: Callable[[str], DataStreamWriter], text: bool = False) -> None:
-    """Lands one frame after the other in one folder and runs the stream after each: a batch each, of as many files as it takes."""
+    """Lands one frame after the other in one folder and runs the stream after each.
+
+    A frame is one batch, however many files it takes, if the stream bounds no batch (WHOLE): what follows from the order
+    of batches, as their numbers and watermarks, must not depend on how a frame was cut into files.
+    """
     spark = frames[0].sparkSession
     path, mark = scratch(spark, f"{name}-landing"), scratch(spark, f"{name}-mark")
     for frame in frames:
@@ -71,7 +79,7 @@ def stream_lines(spark, d):
     waves = [w.select(F.to_json(F.struct("event_key", "total_tokens")).alias("value")) for w in _waves(rows)]
     out = scratch(spark, "lines-out")
     keep = lambda batch, number: jobs.placed(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
-    in_turn([*waves, waves[0].limit(0)], "lines", lambda path: jobs.stream_text_lines(spark, path).writeStream.foreachBatch(keep), text=True)
+    in_turn([*waves, waves[0].limit(0)], "lines", lambda path: jobs.stream_text_lines(spark, path, **WHOLE).writeStream.foreachBatch(keep), text=True)
     return spark.read.parquet(out).dropDuplicates(["file_path", "line_no"]).select(F.get_json_object("value", "$.event_key").alias("event_key"))
 
 
@@ -120,7 +128,7 @@ def stream_dedupe(spark, d):
     late = again(a).where("usage_date >= DATE '2024-01-08'")  # within the overlap; older copies are for a merge
     out = scratch(spark, "deduped")
     frames = [a.unionByName(again(a)), b.unionByName(again(b)).unionByName(late), c.unionByName(again(c))]
-    in_turn(frames, "deduped", lambda path: jobs.stream_dedupe_events(jobs.stream_log_lines(spark, path, a.schema)).writeStream.outputMode("append").format("parquet").option("path", out))
+    in_turn(frames, "deduped", lambda path: jobs.stream_dedupe_events(jobs.stream_log_lines(spark, path, a.schema, **WHOLE)).writeStream.outputMode("append").format("parquet").option("path", out))
     return spark.read.parquet(out).select("device", "source", "event_key")
 
 
@@ -129,7 +137,7 @@ def stream_hourly(spark, d):
     """Three batches that touch the same hours; an hour's row takes the place of its earlier one."""
     waves, root = _waves(_events(spark, d)), scratch(spark, "hourly")
     keep = facts.keep_newest(spark, root, "hours", ["hour_start", "device", "source", "model"], F.to_date("hour_start"))
-    in_turn(waves, "hourly", lambda path: jobs.stream_hourly_usage(jobs.stream_log_lines(spark, path, waves[0].schema)).writeStream.outputMode("update").foreachBatch(keep))
+    in_turn(waves, "hourly", lambda path: jobs.stream_hourly_usage(jobs.stream_log_lines(spark, path, waves[0].schema, **WHOLE)).writeStream.outputMode("update").foreachBatch(keep))
     return facts.stored(spark, root, "hours").withColumn("hour_start", F.col("hour_start").cast("timestamp_ntz"))
 
 
@@ -137,7 +145,7 @@ def stream_hourly(spark, d):
 def stream_daily(spark, d):
     waves, root = _waves(_events(spark, d)), scratch(spark, "daily")
     keep = facts.keep_newest(spark, root, "days", ["usage_date", "device", "source", "model"], F.col("usage_date"))
-    in_turn(waves, "daily", lambda path: jobs.stream_daily_usage(jobs.stream_log_lines(spark, path, waves[0].schema)).writeStream.outputMode("update").foreachBatch(keep))
+    in_turn(waves, "daily", lambda path: jobs.stream_daily_usage(jobs.stream_log_lines(spark, path, waves[0].schema, **WHOLE)).writeStream.outputMode("update").foreachBatch(keep))
     return facts.stored(spark, root, "days")
 
 
@@ -151,7 +159,7 @@ def stream_counters(spark, d):
     cut = checkpointed(cut.join(first, "file_path").withColumn("segment", F.array_position("all", F.col("segment")).cast("int") - 1).drop("all"))
     out = scratch(spark, "counters")
     frames = [cut.where("segment = 0"), cut.where("segment = 2"), cut.where("segment = 1"), cut.where("segment > 2")]
-    in_turn(frames, "counters", lambda path: jobs.stream_counter_increments(jobs.stream_log_lines(spark, path, cut.schema).withColumn("landed", F.col("_metadata.file_modification_time"))).writeStream.outputMode("append").format("parquet").option("path", out))
+    in_turn(frames, "counters", lambda path: jobs.stream_counter_increments(jobs.stream_log_lines(spark, path, cut.schema, **WHOLE).withColumn("landed", F.col("_metadata.file_modification_time"))).writeStream.outputMode("append").format("parquet").option("path", out))
     return spark.read.parquet(out).select("file_path", "line_no", "output_tokens")
 
 
@@ -167,7 +175,7 @@ def stream_merge_daily(spark, d):
     root = scratch(spark, "daily-merged")
     rows = checkpointed(U.daily(spark, d).select(*M.DAILY_KEYS, "total_tokens", F.col("cost").cast("decimal(38,12)").alias("cost")))
     early = rows.withColumn("total_tokens", F.lit(1).cast("long")).withColumn("cost", (F.col("cost").cast("decimal(36,12)") + 1).cast("decimal(38,12)"))
-    in_turn([early, early, rows], "daily", lambda path: jobs.stream_merge_daily(spark, jobs.stream_log_lines(spark, path, rows.schema), root, TODAY, _now()))
+    in_turn([early, early, rows], "daily", lambda path: jobs.stream_merge_daily(spark, jobs.stream_log_lines(spark, path, rows.schema, **WHOLE), root, TODAY, _now()))
     out = jobs.stored_days(spark, root)
     return out.select(*M.DAILY_KEYS, "total_tokens", P.as_double(F.col("cost")).alias("cost_usd"), F.col("pricing_locked_at").isNotNull().alias("locked"))
 
@@ -179,7 +187,7 @@ def stream_ingest(spark, d):
     rows = checkpointed(U.named(spark, d).select("device", "source", "event_key", "usage_date", "total_tokens"))
     odd = F.crc32(F.col("event_key").cast("binary")) % 2 == 1
     frames = [rows.where(odd).withColumn("total_tokens", F.lit(0).cast("long")), rows.where(~odd), rows.where(odd)]
-    in_turn(frames, "events", lambda path: jobs.stream_merge_events(spark, jobs.stream_log_lines(spark, path, rows.schema), root))
+    in_turn(frames, "events", lambda path: jobs.stream_merge_events(spark, jobs.stream_log_lines(spark, path, rows.schema, **WHOLE), root))
     return jobs.stored_days(spark, root).select("event_key", "total_tokens")
 
 
@@ -206,8 +214,10 @@ def push_payloads(rows: DataFrame, mode, collected_at) -> DataFrame:
 
 
 def _pushed(spark: SparkSession, d: str) -> DataFrame:
-    """The events with a device for each user."""
-    rows = U.usage(spark, d).withColumns({"device": F.concat(F.lit("user-"), F.lpad(F.col("user_id").cast("string"), 9, "0")), "cost": F.col("cost").cast("decimal(38,12)")})
+    """The events with a device for each user, whose number it holds whole."""
+    number = F.col("user_id").cast("string")
+    digits = F.when(F.char_length(number) < 9, F.lpad(number, 9, "0")).otherwise(number)
+    rows = U.usage(spark, d).withColumns({"device": F.concat(F.lit("user-"), digits), "cost": F.col("cost").cast("decimal(38,12)")})
     return checkpointed(rows.select("device", "source", "event_key", "event_time", "usage_date", "model", "project_path", "session_id", "user_id", "event_id", *S.COUNTERS, "total_tokens", "cost"))
 
 
@@ -215,9 +225,14 @@ def _user():
     return F.regexp_extract("device", "[0-9]+", 0).cast("long")
 
 
+def _label(device: str):
+    """A device as it is shown: of a long number the first nine digits, which several devices may share."""
+    return F.substring(device, 1, len("user-") + 9).alias(device)
+
+
 def _at(day: int):
-    """Every device collects at its own second, so that payloads have one order."""
-    return (F.unix_timestamp(F.lit(f"2024-02-0{day} 00:00:00")) + _user()).cast("timestamp")
+    """Every device collects at its own millisecond, so that payloads have one order."""
+    return F.timestamp_millis(F.unix_timestamp(F.lit(f"2024-02-0{day} 00:00:00")) * 1000 + _user())
 
 
 _PUSHED_SQL = ", pushed AS (SELECT 'user-' || lpad(CAST(user_id AS VARCHAR), 9, '0') AS dev, u.* FROM usage u)"
@@ -238,7 +253,7 @@ def read_push(spark, d):
     out = []
     for name, table in readers.read_push_payload(sent.unionByName(broken)).items():
         sums = [F.lit(None).cast("long")] * 2 if name == "runs" else [F.sum("total_tokens"), F.sum(counters)]
-        out.append(table.groupBy("from_device", "mode").agg(F.count("*").alias("n"), sums[0].alias("total_tokens"), sums[1].alias("counters")).withColumn("name", F.lit(name)))
+        out.append(table.groupBy(_label("from_device"), "mode").agg(F.count("*").alias("n"), sums[0].alias("total_tokens"), sums[1].alias("counters")).withColumn("name", F.lit(name)))
     return readers.union_sources(out)
 
 
@@ -269,13 +284,13 @@ def stream_payloads(spark, d):
     two = push_payloads(rows.where(~full | (F.col("usage_date") > "2024-01-10")), F.when(full, "full").otherwise("incremental"), _at(2))
     three = push_payloads(rows.where(~full), F.lit("incremental"), _at(3))
     ingest = facts.ingest_payloads(spark, root, TODAY, _now())
-    in_turn([one, two, three], "payloads", lambda path: jobs.stream_text_lines(spark, path).writeStream.foreachBatch(ingest), text=True)
+    in_turn([one, two, three], "payloads", lambda path: jobs.stream_text_lines(spark, path, **WHOLE).writeStream.foreachBatch(ingest), text=True)
     usd, null = P.as_double(F.col("cost")).alias("cost_usd"), F.lit(None).cast("boolean").alias("locked")
-    time = facts.stored(spark, root, "time").select(F.lit("time").alias("name"), "device", "source", F.col("event_key").alias("key"), "total_tokens", usd, null)
-    daily = facts.stored(spark, root, "daily").select(F.lit("daily").alias("name"), "device", "source", F.concat_ws(" ", F.col("usage_date").cast("string"), "model").alias("key"), "total_tokens", usd, F.col("pricing_locked_at").isNotNull().alias("locked"))
-    sessions = facts.stored(spark, root, "sessions").select(F.lit("sessions").alias("name"), "device", "source", F.col("session_id").alias("key"), "total_tokens", usd, null)
+    time = facts.stored(spark, root, "time").select(F.lit("time").alias("name"), _label("device"), "source", F.col("event_key").alias("key"), "total_tokens", usd, null)
+    daily = facts.stored(spark, root, "daily").select(F.lit("daily").alias("name"), _label("device"), "source", F.concat_ws(" ", F.col("usage_date").cast("string"), "model").alias("key"), "total_tokens", usd, F.col("pricing_locked_at").isNotNull().alias("locked"))
+    sessions = facts.stored(spark, root, "sessions").select(F.lit("sessions").alias("name"), _label("device"), "source", F.col("session_id").alias("key"), "total_tokens", usd, null)
     wave = F.concat(F.lit("batch "), (F.col("batch_no") + 1).cast("string"))
-    runs = facts.stored(spark, root, "runs").select(F.lit("runs").alias("name"), "device", "source", wave.alias("key"), F.lit(None).cast("long").alias("total_tokens"), F.lit(None).cast("double").alias("cost_usd"), null)
+    runs = facts.stored(spark, root, "runs").select(F.lit("runs").alias("name"), _label("device"), "source", wave.alias("key"), F.lit(None).cast("long").alias("total_tokens"), F.lit(None).cast("double").alias("cost_usd"), null)
     return time.unionByName(daily).unionByName(sessions).unionByName(runs)
 
 
@@ -306,7 +321,7 @@ def late_data(spark, d):
     wave = rows.withColumn("wave", F.expr(f"CASE WHEN {_LATE} THEN 1 ELSE {_LANDS} END"))
     cutoffs = lambda marks: marks.select("device", "source", (F.col("watermark") - F.lit(timedelta(hours=48))).alias("cutoff"))
     split = facts.split_late(spark, root, cutoffs)
-    in_turn([wave.where(f"wave = {i}").drop("wave") for i in range(3)], "late", lambda path: jobs.stream_log_lines(spark, path, rows.schema).writeStream.foreachBatch(split))
+    in_turn([wave.where(f"wave = {i}").drop("wave") for i in range(3)], "late", lambda path: jobs.stream_log_lines(spark, path, rows.schema, **WHOLE).writeStream.foreachBatch(split))
     merged = checkpointed(facts.stored(spark, root, "time").select("event_key", F.lit("merged").alias("outcome")))
     late = checkpointed(facts.stored(spark, root, "late").select("event_key", F.lit("late").alias("outcome")))
     facts.repair_late(spark, root, 3, rows)
@@ -336,7 +351,7 @@ def stream_run_log(spark, d):
     path, mark = scratch(spark, "runs-landing"), scratch(spark, "runs-mark")
     for wave in waves:
         wave.write.mode("append").parquet(path)
-        start = lambda: jobs.run_available(jobs.stream_run_log(jobs.stream_log_lines(spark, path, rows.schema), out, sources, work), mark)
+        start = lambda: jobs.run_available(jobs.stream_run_log(jobs.stream_log_lines(spark, path, rows.schema, **WHOLE), out, sources, work), mark)
         try:
             start()
         except StreamingQueryException:

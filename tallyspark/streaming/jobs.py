@@ -9,7 +9,7 @@ from datetime import date, timedelta
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamReader, DataStreamWriter
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tallyspark.operators import counters
@@ -21,14 +21,18 @@ OVERLAP = "48 hours"
 EVERY_SECONDS, LEAST_SECONDS = 300.0, 10.0  # between batches; no less than the least
 
 
-def stream_log_lines(spark: SparkSession, folder: str, schema, files_per_batch: int = 1000) -> DataFrame:
-    """Landed segments; each file is seen once, so segments have to be closed and never grow."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+def _file_stream(spark: SparkSession, files_per_batch: int | None) -> DataStreamReader:
+    return spark.readStream if files_per_batch is None else spark.readStream.option("maxFilesPerTrigger", files_per_batch)
 
 
-def stream_text_lines(spark: SparkSession, folder: str, files_per_batch: int = 1000, glob: str = "*") -> DataFrame:
+def stream_log_lines(spark: SparkSession, folder: str, schema, files_per_batch: int | None = 1000) -> DataFrame:
+    """Landed segments; each file is seen once, so segments have to be closed and never grow. files_per_batch None: a batch takes all that has landed."""
+    return _file_stream(spark, files_per_batch).schema(schema).parquet(folder)
+
+
+def stream_text_lines(spark: SparkSession, folder: str, files_per_batch: int | None = 1000, glob: str = "*") -> DataFrame:
     """Lines of landed text segments: value, file_path, modified, and block, the byte at which the line's block begins."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(folder)
+    lines = _file_stream(spark, files_per_batch).option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(folder)
     meta = {"file_path": "file_path", "modified": "file_modification_time", "block": "file_block_start"}
     return lines.select(F.trim("value").alias("value"), *(F.col(f"_metadata.{v}").alias(k) for k, v in meta.items())).where("value <> ''")
 
