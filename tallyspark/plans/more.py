@@ -13,7 +13,7 @@ from tallyspark.operators import rollup as R
 from tallyspark.operators import series as W
 from tallyspark.plans import adapter as U
 from tallyspark.plans.adapter import BASE, dbl
-from tallyspark.plans.events import _TS, LANDED, _round_trip, scratch, store
+from tallyspark.plans.events import _TS, DOCUMENTS, LANDED, _documents, _round_trip, files_for, scratch, store
 from tallyspark.sources import collect, readers
 
 QUERIES: dict = {}
@@ -94,14 +94,13 @@ def message_json(spark, d):
 
 @query("S06_read_session_document", "SELECT session_id, model, count(*) AS n, CAST(sum(greatest(input_tokens - least(cache_read_tokens, input_tokens), 0)) AS BIGINT) AS input_tokens, CAST(sum(cache_read_tokens) AS BIGINT) AS cache_read_tokens, CAST(sum(reasoning_output_tokens) AS BIGINT) AS reasoning_output_tokens FROM named GROUP BY 1, 2")
 def session_document(spark, d):
-    """A document for each session of a user; its turns are an array in it, among turns of others."""
+    """A document for each session of a user, many to a file; its turns are an array in it, among turns of others."""
     tokens = "named_struct('input', input_tokens, 'output', output_tokens, 'cached', cache_read_tokens, 'thoughts', reasoning_output_tokens)"
     raw = U.usage_raw(spark, d).selectExpr("user_id", "session_id", f"named_struct('type', 'gemini', 'timestamp', {_TS}, 'model', raw_model, 'tokens', {tokens}) AS m")
     other = F.struct(F.lit("user").alias("type"), F.lit(None).cast("string").alias("timestamp"), F.lit("m").alias("model"), F.lit(None).cast(raw.schema["m"].dataType["tokens"].dataType).alias("tokens"))
     docs = raw.groupBy("user_id", "session_id").agg(F.concat(F.array(other), F.collect_list("m")).alias("messages"))
-    docs = docs.select("user_id", F.to_json(F.struct(F.col("session_id").alias("sessionId"), "messages")).alias("value"))
-    root = scratch(spark, "documents")
-    docs.repartition("user_id").write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("user_id").text(root)
+    docs = docs.select(F.col("session_id").alias("key"), F.struct(F.col("session_id").alias("sessionId"), "messages").alias("document"))
+    root = _documents(spark, docs, "documents", files_for(raw.count(), DOCUMENTS))
     out = readers.read_session_document(spark, [root], LANDED)
     return out.groupBy("session_id", "model").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("input_tokens", "cache_read_tokens", "reasoning_output_tokens")))
 

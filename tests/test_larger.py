@@ -1,11 +1,14 @@
 """Tables with more rows and larger numbers than the smallest ones, and work that must not follow from how they are cut into files."""
 
+import json
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tallyspark import catalog
-from tallyspark.plans import streams
+from tallyspark.plans import events, streams
+from tallyspark.sources import readers
 from tallyspark.streaming import jobs
 from tests.test_queries import SF, rows
 
@@ -38,3 +41,21 @@ def test_a_frame_of_many_files_is_one_batch(spark, text):
     read = (lambda path: jobs.stream_text_lines(spark, path, **streams.WHOLE)) if text else (lambda path: jobs.stream_log_lines(spark, path, frames[0].schema, **streams.WHOLE))
     streams.in_turn(frames, "files", lambda path: read(path).writeStream.foreachBatch(lambda b, n: seen.append((n, b.count()))), text=text)
     assert seen == [(0, 1005)]
+
+
+def test_files_of_one_or_many_session_documents(spark, tmp_path):
+    turn = lambda n: {"type": "gemini", "model": "g", "timestamp": "2024-01-01T00:00:00Z", "tokens": {"input": n, "output": 1}}
+    files = {"one": {"sessionId": "a", "messages": [turn(1), {"type": "user"}]}, "many": [{"sessionId": "b", "messages": [turn(2)]}, {"sessionId": "c", "messages": [turn(3), turn(4)]}, {"sessionId": "d"}], "none": [], "odd": [{"sessionId": 5, "messages": 7}, {"sessionId": "e", "messages": [turn(5)]}]}
+    for name, value in files.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(value, indent=1))
+    (tmp_path / "broken.json").write_text('[{"sessionId": "f", "messages": [')
+    got = sorted((r.session_id, r.input_tokens) for r in readers.read_session_document(spark, [str(tmp_path)]).collect())
+    assert got == [("a", 1), ("b", 2), ("c", 3), ("c", 4), ("e", 5)]
+
+
+def test_session_documents_land_in_few_files(spark, tmp_path, monkeypatch):
+    """As many files as the rows need, not one for every session."""
+    monkeypatch.setattr("tallyspark.plans.more.DOCUMENTS", 300)
+    monkeypatch.setattr(events, "scratch", lambda spark, name: str(tmp_path / name))
+    against_sql(spark, "S06_read_session_document", SF)
+    assert 2 <= len(list((tmp_path / "documents").glob("part-*.txt"))) <= 4  # of 1,000 events
