@@ -59,3 +59,19 @@ def test_session_documents_land_in_few_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(events, "scratch", lambda spark, name: str(tmp_path / name))
     against_sql(spark, "S06_read_session_document", SF)
     assert 2 <= len(list((tmp_path / "documents").glob("part-*.txt"))) <= 4  # of 1,000 events
+
+
+def test_events_that_share_time_model_and_counters_are_all_collected(spark, tmp_path):
+    """Different events, though the counter's reader takes lines that agree in all of these for one."""
+    folder = copies(tmp_path, "event_id + r * 900000 AS event_id, ts, user_id, event_type, value, props")
+    against_sql(spark, "E01_collect_sources", folder)
+
+
+def test_collected_sources_land_in_few_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tallyspark.plans.collection.DOCUMENTS", 40)
+    monkeypatch.setattr("tallyspark.plans.collection.LINES", 40)
+    for module in ("events", "collection"):
+        monkeypatch.setattr(f"tallyspark.plans.{module}.scratch", lambda spark, name: str(tmp_path / name))
+    against_sql(spark, "E01_collect_sources", SF)
+    for name in ("assistant", "counter", "messages", "documents", "stats", "turns", "agents"):
+        assert 2 <= len(list((tmp_path / name).rglob("part-*.txt"))) <= 3, name  # of 111 events
