@@ -75,3 +75,13 @@ def test_collected_sources_land_in_few_files(spark, tmp_path, monkeypatch):
     against_sql(spark, "E01_collect_sources", SF)
     for name in ("assistant", "counter", "messages", "documents", "stats", "turns", "agents"):
         assert 2 <= len(list((tmp_path / name).rglob("part-*.txt"))) <= 3, name  # of 111 events
+
+
+def test_idle_lines_land_in_files_of_their_number(spark, tmp_path, monkeypatch):
+    """A source without events whose lines grow with the table is no single file, and so no single task."""
+    monkeypatch.setattr("tallyspark.plans.collection.LINES", 300)
+    for module in ("events", "collection"):
+        monkeypatch.setattr(f"tallyspark.plans.{module}.scratch", lambda spark, name: str(tmp_path / name))
+    against_sql(spark, "M06_run_outcomes", SF)
+    files = list((tmp_path / "idle").rglob("part-*.txt"))
+    assert len(files) == 4 and sum(f.read_text().count("user") for f in files) == 1000
