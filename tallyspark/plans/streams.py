@@ -18,7 +18,7 @@ from tallyspark.operators import rollup as R
 from tallyspark.operators.stages import checkpointed, scratch
 from tallyspark.plans import adapter as U
 from tallyspark.plans.adapter import BASE, dbl
-from tallyspark.plans.events import TODAY, _cumulative
+from tallyspark.plans.events import LINES, TODAY, _cumulative, file_of, files_for
 from tallyspark.sources import readers
 from tallyspark.streaming import facts, jobs
 
@@ -92,29 +92,38 @@ def stream_lines(spark, d):
     "UNION ALL SELECT 'done', 'files of the last run', '0'",
 )
 def changed_files(spark, d):
-    """A file for each user, collected three times: between the first two runs files change, get shorter, go or come; then nothing."""
-    rows = checkpointed(U.named(spark, d).select("user_id", "event_id", "event_key"))
+    """A file for some users each, collected three times: between the first two runs files change, get shorter, go or come; then nothing.
+
+    What happened to a file happened to every user whose lines it held before or holds now. More events make more files, and
+    a file's users have one remainder by four.
+    """
+    rows = U.named(spark, d).select("user_id", "event_id", "event_key")
+    file = F.concat_ws("-", F.pmod("user_id", F.lit(4)), file_of("user_id", files_for(rows.count(), LINES)))
+    rows = checkpointed(rows.withColumn("file", file))
     landing, root = scratch(spark, "changing"), scratch(spark, "changing-facts")
 
-    def write(part: DataFrame, state: str, mode: str) -> None:
-        lines = part.select(F.concat(F.lit("user-"), "user_id").alias("user"), F.to_json(F.struct("event_key", F.lit(state).alias("state"))).alias("value"))
-        lines.repartition("user").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("user").text(landing)
+    def write(part: DataFrame, state: str, mode: str, kept: str = "true") -> None:
+        """Lines that aren't kept are left blank, so a file that loses all of them is still there."""
+        line = F.to_json(F.struct(F.concat(F.lit("user-"), "user_id").alias("user"), "event_key", F.lit(state).alias("state")))
+        lines = part.select("file", F.when(F.expr(kept), line).otherwise("").alias("value"))
+        lines.repartition("file").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("file").text(landing)
 
     write(rows.where("user_id % 4 <> 3"), "old", "overwrite")
     facts.collect_changed(spark, landing, root, 0, "part-*")
     write(rows.where("user_id % 4 = 1"), "new", "overwrite")
-    write(rows.where("user_id % 4 = 0 AND event_id % 2 = 0"), "old", "overwrite")
+    write(rows.where("user_id % 4 = 0"), "old", "overwrite", "event_id % 2 = 0")
     write(rows.where("user_id % 4 = 3"), "old", "append")
-    write_gone = rows.where("user_id % 4 = 2").select(F.concat(F.lit("user=user-"), "user_id").alias("name")).distinct()
+    write_gone = rows.where("user_id % 4 = 2").select(F.concat(F.lit("file="), "file").alias("name")).distinct()
     folder = spark._jvm.org.apache.hadoop.fs.Path(landing).getFileSystem(spark._jsc.hadoopConfiguration())
     for r in write_gone.toLocalIterator():
         folder.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{landing}/{r.name}"), True)
     second = facts.collect_changed(spark, landing, root, 1, "part-*")
     third = facts.collect_changed(spark, landing, root, 2, "part-*")
-    user = F.regexp_extract("file_path", "user=(user-[0-9]+)", 1)
-    # Spark gives a rewritten file another name, so a changed file of a user is one gone and one new
+    name = F.regexp_extract("file_path", "file=([0-9]+-[0-9]+)", 1).alias("file")
+    # Spark gives a rewritten file another name, so a changed one is one gone and one new
     kind = F.when(F.count_distinct("what") == 2, "changed").otherwise(F.max("what"))
-    done = second.groupBy(user.alias("user")).agg(kind.alias("what")).select(F.lit("done").alias("kind"), F.concat_ws(" ", "user", "what").alias("name"), F.lit("run 2").alias("state"))
+    held = readers.union_sources([facts.current(spark, root, "lines", number).select(name, F.get_json_object("value", "$.user").alias("user")) for number in (1, 2)])
+    done = second.groupBy(name).agg(kind.alias("what")).join(held.distinct(), "file").select(F.lit("done").alias("kind"), F.concat_ws(" ", "user", "what").alias("name"), F.lit("run 2").alias("state"))
     last = third.agg(F.count("*").cast("string").alias("state")).select(F.lit("done").alias("kind"), F.lit("files of the last run").alias("name"), "state")
     lines = facts.stored(spark, root, "lines").select(F.lit("line").alias("kind"), F.get_json_object("value", "$.event_key").alias("name"), F.get_json_object("value", "$.state").alias("state"))
     return lines.unionByName(done).unionByName(last)

@@ -8,8 +8,9 @@ same folders again. A log row without a part resets its owner: older parts of th
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from datetime import date
+from itertools import batched, chain
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from tallyspark.streaming.jobs import placed
 LOG = "table string, owner string, part string, batch int"
 OWNED = ["owner", "part"]
 LATEST = 1 << 30
+PATHS = 10_000  # of changed files in one read, at most
 
 
 def there(spark: SparkSession, path: str) -> bool:
@@ -75,9 +77,10 @@ class Batch:
             touched = touched.unionByName(resets.select("owner", F.lit(None).cast("string").alias("part")))
         self.put(table, merge(old, rows), touched)
 
-    def put(self, table: str, rows: DataFrame, touched: DataFrame) -> None:
-        """rows as the new content of the touched parts; a part without rows is empty from now on."""
-        rows.write.mode("overwrite").parquet(f"{self.root}/{table}/batch={self.number}")
+    def put(self, table: str, rows: DataFrame, touched: DataFrame, more: Iterable[DataFrame] = ()) -> None:
+        """rows, and those of the frames in `more`, as the new content of the touched parts; a part without rows is empty from now on."""
+        for mode, frame in chain([("overwrite", rows)], (("append", m) for m in more)):
+            frame.write.mode(mode).parquet(f"{self.root}/{table}/batch={self.number}")
         self.entries.append(touched.select(F.lit(table).alias("table"), *OWNED))
 
     def commit(self) -> None:
@@ -153,7 +156,7 @@ def collect_changed(spark: SparkSession, folder: str, root: str, number: int, gl
     """Reads the log files that are new or changed since the runs before and puts their lines in the place of those they had.
 
     A file counts as changed by its size or its time. Lines of files that are gone go too. Returns what was done: file_path,
-    what (new, changed or gone). The paths of changed files pass through the driver, as those of any read do.
+    what (new, changed or gone). The paths of changed files pass through the driver, as those of any read do, PATHS at a time.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
     files = checkpointed(files.select(F.col("path").alias("file_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")))
@@ -162,12 +165,13 @@ def collect_changed(spark: SparkSession, folder: str, root: str, number: int, gl
     both = files.join(known, "file_path", "full_outer")
     what = F.when(F.col("then").isNull(), "new").when(F.col("size").isNull(), "gone").when((F.col("size") != F.col("had")) | (F.col("modified") != F.col("then")), "changed")
     done = checkpointed(both.select("file_path", "size", "modified", what.alias("what")).where("what IS NOT NULL"))
-    paths = [r.file_path for r in done.where("what <> 'gone'").select("file_path").toLocalIterator()]
+    changed = (r.file_path for r in done.where("what <> 'gone'").select("file_path").toLocalIterator())
+    read = (readers.scan_session_lines(spark, list(paths), glob).drop("modified").withColumns(owner) for paths in batched(changed, PATHS))
     batch = Batch(spark, root, number)
     touched = done.withColumns(owner).select(*OWNED)
-    if paths:
-        lines = readers.scan_session_lines(spark, paths, glob).drop("modified").withColumns(owner)
-        batch.put("lines", lines, touched)
+    lines = next(read, None)
+    if lines is not None:
+        batch.put("lines", lines, touched, read)
     elif there(spark, f"{root}/lines"):
         batch.put("lines", spark.read.parquet(f"{root}/lines").drop("batch").limit(0), touched)
     batch.put("files", done.where("what <> 'gone'").drop("what").withColumns(owner), touched)

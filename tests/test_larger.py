@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tallyspark import catalog
 from tallyspark.plans import events, streams
 from tallyspark.sources import readers
-from tallyspark.streaming import jobs
+from tallyspark.streaming import facts, jobs
 from tests.test_queries import SF, rows
 
 
@@ -85,3 +85,29 @@ def test_idle_lines_land_in_files_of_their_number(spark, tmp_path, monkeypatch):
     against_sql(spark, "M06_run_outcomes", SF)
     files = list((tmp_path / "idle").rglob("part-*.txt"))
     assert len(files) == 4 and sum(f.read_text().count("user") for f in files) == 1000
+
+
+def test_changed_files_are_read_some_at_a_time(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(facts, "PATHS", 2)
+    reads, scan = [], readers.scan_session_lines
+    monkeypatch.setattr(readers, "scan_session_lines", lambda spark, roots, glob: reads.append(len(roots)) or scan(spark, roots, glob))
+    logs, root = tmp_path / "logs", str(tmp_path / "facts")
+    logs.mkdir()
+    for i in range(5):
+        (logs / f"{i}.jsonl").write_text(f"{i}\n{i}\n")
+    for _ in range(2):  # the batch comes again after a failure
+        assert facts.collect_changed(spark, str(logs), root, 0).count() == 5
+        assert sorted(r.value for r in facts.stored(spark, root, "lines").collect()) == sorted("0011223344")
+    assert reads == [2, 2, 1] * 2
+    (logs / "3.jsonl").write_text("7\n")
+    assert facts.collect_changed(spark, str(logs), root, 1).count() == 1 and reads[-1] == 1
+    assert sorted(r.value for r in facts.stored(spark, root, "lines").collect()) == sorted("001122447")
+
+
+def test_changed_files_of_many_users(spark, tmp_path, monkeypatch):
+    """Few files for many users, one of whom loses the only line."""
+    monkeypatch.setattr(streams, "LINES", 300)
+    monkeypatch.setattr(streams, "scratch", lambda spark, name: str(tmp_path / name))
+    duckdb.connect().execute(f"COPY (SELECT * FROM '{SF}/events.parquet' UNION ALL BY NAME SELECT * REPLACE (event_id + 1001 AS event_id, 400 AS user_id) FROM '{SF}/events.parquet' WHERE event_id = 0) TO '{tmp_path}/events.parquet'")
+    against_sql(spark, "T01_changed_log_files", tmp_path)
+    assert len(list((tmp_path / "changing").rglob("part-*.txt"))) <= 12
